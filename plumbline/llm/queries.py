@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup
+from . import bpe, dedup, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("posterior")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
@@ -22,5 +26,5 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_byte_bpe, op4_exact_dedup)}
-ORACLES: dict[str, str] = {"op4_exact_dedup": dedup.ORACLE}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_exact_dedup)}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality.oracle(), "op4_exact_dedup": dedup.ORACLE}
