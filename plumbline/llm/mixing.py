@@ -8,7 +8,7 @@ probability of its cell, drawn from a hash of its id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, words
@@ -18,6 +18,8 @@ DIMS = ("source", "lang", "topic")
 BUDGET, SWEEPS = 0.6, 8
 POWERS = {"source": 0.5, "lang": 0.5, "topic": 1.0}
 NONE = "(none)"
+#: So many cells at most are raked in one task.
+SMALL = 50_000
 
 
 def topic(text: Column) -> Column:
@@ -44,15 +46,21 @@ def rake(cells: DataFrame, margins: dict[str, DataFrame], budget: float, sweeps:
 
     ``margins`` maps a dimension to its target shares (dimension, share); ``budget`` is
     the number of tokens wanted. A value without a target gets none; a target without
-    cells stays unmet. Each sweep is kept in the shared folder.
+    cells stays unmet. Up to SMALL cells, one task rakes them without a shuffle; more
+    are dealt by dimension, and each sweep is kept in the shared folder.
     """
-    cells = cells.withColumn("x", F.col("t").cast("double"))
+    out = cells.withColumn("x", F.col("t").cast("double"))
+    for dim, share in margins.items():
+        out = out.join(share.select(dim, F.col("share").alias(f"_{dim}")), dim, "left")
+    out = saved(out)
+    small = out.count() <= SMALL
+    out = out.coalesce(1) if small else out
     for _ in range(sweeps):
-        for dim, share in margins.items():
-            factor = cells.groupBy(dim).agg(F.sum("x").alias("_sum")).join(share, dim, "left").select(dim, F.coalesce(F.col("share") * budget / F.col("_sum"), F.lit(0.0)).alias("_f"))
-            cells = cells.join(factor, dim).withColumn("x", F.least(F.col("t").cast("double"), F.col("x") * F.col("_f"))).drop("_f")
-        cells = saved(cells)
-    return cells
+        for dim in margins:
+            factor = F.coalesce(F.col(f"_{dim}") * budget / F.sum("x").over(Window.partitionBy(dim)), F.lit(0.0))
+            out = out.withColumn("x", F.least(F.col("t").cast("double"), F.col("x") * factor))
+        out = out if small else saved(out)
+    return saved(out.select(*cells.columns, "x"))
 
 
 def mix(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, topic_of: Column | None = None, seed: str = "mix") -> DataFrame:
