@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dedup, mixing, quality, urls
+from . import bpe, dedup, mixing, quality, tokenfile, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tokenfile.read(tokenfile.write(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -34,7 +39,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_exact_dedup, op7_url_filter, op9_source_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_exact_dedup, op6_token_files, op7_url_filter, op9_source_mixing)}
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
     "op4_exact_dedup": dedup.ORACLE,
