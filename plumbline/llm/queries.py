@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, dedup, mixing, quality, tokenfile, urls
+from . import bpe, dedup, mixing, quality, tokenfile, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def fold(n: int, id_col: str = "doc_id") -> Column:
+    """The remainder of crc32 of the id as text, which deals documents into n folds."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("posterior")
 
@@ -39,7 +45,14 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_exact_dedup, op6_token_files, op7_url_filter, op9_source_mixing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(fold(5) != 0))
+    scored = toxicity.score(docs, model)
+    return scored.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_exact_dedup, op6_token_files, op7_url_filter, op9_source_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
     "op4_exact_dedup": dedup.ORACLE,
