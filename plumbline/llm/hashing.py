@@ -97,3 +97,33 @@ def portions(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20)
         high = max(int(np.searchsorted(sizes, sizes[low] + limit, "right")) - 1, low + 1)
         yield batch.slice(low, high - low)
         low = high
+
+
+def distinct_words(words: Words) -> tuple[str, np.ndarray, np.ndarray]:
+    """The batch's distinct words as text, and its distinct (text, word) pairs."""
+    _, index, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+    n = max(len(index), 1)
+    pair = np.unique(words.doc * n + inverse) if len(inverse) else np.empty(0, np.int64)
+    return words.joined(index), pair // n, pair % n
+
+
+def word_grams(spaced: str, lengths: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bucket) of all character n-grams of the words in " w0 w1 ... "; a space marks a word's ends. ``buckets`` is a power of two."""
+    chars = np.frombuffer(spaced.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    space = chars == 32
+    word = np.cumsum(space) - 1  # a space belongs to the word after it
+    owners, out = [], []
+    for n in lengths:
+        m = len(chars) - n + 1
+        if m <= 0:
+            continue
+        inner = np.zeros(m, bool)
+        h = np.full(m, n, np.uint64)
+        for j in range(n):
+            h = h * np.uint64(0x100000001B3) + chars[j : j + m]
+            if 0 < j < n - 1:
+                inner |= space[j : j + m]
+        keep = np.flatnonzero(~inner)
+        owners.append(word[keep])
+        out.append((mix(h[keep]) & np.uint64(buckets - 1)).astype(np.int64))
+    return (np.concatenate(owners), np.concatenate(out)) if owners else (np.empty(0, np.int64), np.empty(0, np.int64))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, mixing, quality, tokenfile, toxicity, urls
+from . import bpe, dedup, langid, mixing, quality, tokenfile, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = langid.train(docs.where(fold(3) != 1))
+    return langid.predict(docs, field).withColumn("held_out", F.coalesce(fold(3) == 1, F.lit(False)))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_exact_dedup, op6_token_files, op7_url_filter, op9_source_mixing, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_exact_dedup, op6_token_files, op7_url_filter, op8_language_id, op9_source_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
     "op4_exact_dedup": dedup.ORACLE,

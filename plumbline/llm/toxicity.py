@@ -16,47 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import Words, mix, portions
+from .hashing import Words, distinct_words, portions, word_grams
 
 #: Lengths of n-grams, hash buckets, most training texts of each class, fitting steps, penalty.
 GRAMS, BUCKETS, SAMPLE, STEPS, PENALTY = (3, 4, 5, 6), 1 << 18, 2500, 200, 1e-4
 OUT = "doc_id long, score double, predicted int"
 
 
-def word_grams(spaced: str) -> tuple[np.ndarray, np.ndarray]:
-    """(word, bucket) of all n-grams of the words in " w0 w1 ... "; a space marks a word's ends."""
-    chars = np.frombuffer(spaced.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    space = chars == 32
-    word = np.cumsum(space) - 1  # a space belongs to the word after it
-    owners, buckets = [], []
-    for n in GRAMS:
-        m = len(chars) - n + 1
-        if m <= 0:
-            continue
-        inner = np.zeros(m, bool)
-        h = np.full(m, n, np.uint64)
-        for j in range(n):
-            h = h * np.uint64(0x100000001B3) + chars[j : j + m]
-            if 0 < j < n - 1:
-                inner |= space[j : j + m]
-        keep = np.flatnonzero(~inner)
-        owners.append(word[keep])
-        buckets.append((mix(h[keep]) & np.uint64(BUCKETS - 1)).astype(np.int64))
-    return (np.concatenate(owners), np.concatenate(buckets)) if owners else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def distinct_words(words: Words) -> tuple[str, np.ndarray, np.ndarray]:
-    """The batch's distinct words as text, and its distinct (text, word) pairs."""
-    _, index, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-    n = max(len(index), 1)
-    pair = np.unique(words.doc * n + inverse) if len(inverse) else np.empty(0, np.int64)
-    return words.joined(index), pair // n, pair % n
-
-
 def fit(texts: list[str], labels: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights of the buckets and the bias; ``prior`` is the share of toxic texts to assume, whatever the sample's."""
     spaced, doc, word = distinct_words(Words(pa.array(texts, pa.large_string())))
-    owner, bucket = word_grams(spaced)
+    owner, bucket = word_grams(spaced, GRAMS, BUCKETS)
     n_words = max(int(word.max(initial=0)) + 1, 1)
 
     def counts(by_doc: np.ndarray) -> np.ndarray:
@@ -85,7 +55,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float) -> tuple[np.ndarray,
 
 def score_texts(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
     spaced, doc, word = distinct_words(Words(texts))
-    owner, bucket = word_grams(spaced)
+    owner, bucket = word_grams(spaced, GRAMS, BUCKETS)
     by_word = np.bincount(owner, weights=weights[bucket], minlength=int(word.max(initial=0)) + 1)
     z = np.bincount(doc, weights=by_word[word], minlength=len(texts)) + bias
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
