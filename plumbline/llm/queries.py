@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, langid, mixing, quality, tokenfile, toxicity, urls
+from . import bpe, dedup, jaccard, langid, mixing, quality, tokenfile, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("posterior")
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
@@ -58,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op3_byte_bpe, op4_exact_dedup, op6_token_files, op7_url_filter, op8_language_id, op9_source_mixing, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_byte_bpe, op4_exact_dedup, op6_token_files, op7_url_filter, op8_language_id, op9_source_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
     "op4_exact_dedup": dedup.ORACLE,
