@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from .common import new_dir, saved
 
 #: Ids in a sequence, sequences in a batch; words whose ids a worker remembers.
-LENGTH, BATCH, REMEMBER = 2048, 64, 500_000
+LENGTH, BATCH, REMEMBER = 2048, 64, 250_000
 MANIFEST = "part int, file string, index string, n_docs long, n_ids long"
 
 
@@ -45,30 +45,42 @@ class WordEncoder:
 
     For tokenizers whose pre-tokens never reach over white space (and drop it), the ids
     of a text are those of its words in a row; the words go through the library itself.
+    New words go many to a call, with a mark between them that is one id of its own.
     """
 
+    MARK, CALL = "\x01", 256
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.seen: dict[bytes, tuple[int, ...]] = {}
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        self.mark = self.library([self.MARK])[0]
+        self.seen: dict[bytes, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remember the ids of words."""
+        plain = [w.decode("utf-8") for w in words]
+        joined = [f" {self.MARK} ".join(plain[i : i + self.CALL]) for i in range(0, len(plain), self.CALL)]
+        for i, ids in zip(range(0, len(plain), self.CALL), self.library(joined), strict=True):
+            some = words[i : i + self.CALL]
+            cut = np.flatnonzero(ids == self.mark[0])
+            if len(self.mark) == 1 and len(cut) == len(some) - 1:
+                parts = [ids[a:b] for a, b in zip([0, *(cut + 1)], [*cut, len(ids)], strict=True)]
+            else:  # a word holds the mark, or the mark is no id of its own
+                parts = self.library(plain[i : i + self.CALL])
+            self.seen.update((w, x.tobytes()) for w, x in zip(some, parts, strict=True))
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.encode("utf-8").split() for t in texts]  # bytes.split() cuts at ASCII white space alone
         if len(self.seen) > REMEMBER:
             self.seen.clear()
-        seen = self.seen
-        new = list({w for words in split for w in words if w not in seen})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False), strict=True):
-            seen[w] = tuple(e.ids)
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += seen[w]
-            out.append(ids)
-        return out
+        if new := list({w for words in split for w in words if w not in self.seen}):
+            self.learn(new)
+        return [np.frombuffer(b"".join(map(self.seen.__getitem__, words)), self.kind) for words in split]
 
 
 @functools.cache
@@ -93,9 +105,9 @@ class Writer:
         self.n_held = self.n_ids = 0
         self.docs: list[tuple] = []
 
-    def add(self, doc_id: int | None, ids: list[int]) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append((doc_id, self.n_ids, len(ids)))
-        self.held.append(np.asarray(ids, self.kind))
+        self.held.append(ids)
         self.n_held += len(ids)
         self.n_ids += len(ids)
         if self.n_held >= self.length * self.rows:
@@ -170,8 +182,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
                 some = b.slice(at, 64)
                 out = out or Writer(folder, part, enc.kind, length, batch)
                 for k, ids in zip(some.column(0).to_pylist(), enc.encode_batch(some.column(1).to_pylist()), strict=True):
-                    ids.append(end_id)
-                    out.add(k, ids)
+                    out.add(k, np.append(ids, enc.kind(end_id)))
         if out:
             out.close()
             yield pa.RecordBatch.from_pylist(
