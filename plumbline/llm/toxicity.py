@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 from .hashing import Words, distinct_words, portions, word_grams
 
 #: Lengths of n-grams, hash buckets, most training texts of each class, fitting steps, penalty.
-GRAMS, BUCKETS, SAMPLE, STEPS, PENALTY = (3, 4, 5, 6), 1 << 18, 2500, 200, 1e-4
+GRAMS, BUCKETS, SAMPLE, STEPS, PENALTY = (3, 4, 5, 6), 1 << 18, 1500, 200, 1e-4
 OUT = "doc_id long, score double, predicted int"
 
 
 def fit(texts: list[str], labels: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights of the buckets and the bias; ``prior`` is the share of toxic texts to assume, whatever the sample's."""
     spaced, doc, word = distinct_words(Words(pa.array(texts, pa.large_string())))
-    owner, bucket = word_grams(spaced, GRAMS, BUCKETS)
+    owner, bucket = (x.astype(np.int32) for x in word_grams(spaced, GRAMS, BUCKETS))
     n_words = max(int(word.max(initial=0)) + 1, 1)
 
     def counts(by_doc: np.ndarray) -> np.ndarray:
@@ -35,7 +35,7 @@ def fit(texts: list[str], labels: np.ndarray, prior: float) -> tuple[np.ndarray,
 
     toxic, clean = counts(labels) + 1, counts(1 - labels) + 1
     ratio = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
-    scaled = ratio[bucket]
+    scaled = ratio[bucket].astype(np.float32)
     v, bias = np.full(BUCKETS, 0.0), 0.0
     m1, m2, b1, b2 = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for step in range(1, STEPS + 1):
