@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, jaccard, langid, mixing, quality, tokenfile, toxicity, urls
+from . import bpe, dedup, jaccard, langid, lm, mixing, quality, tokenfile, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.build(docs.where(F.coalesce(fold(7) != 2, F.lit(True))))
+    return lm.score(docs, model).withColumn("held_out", F.coalesce(fold(7) == 2, F.lit(False)))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tokenfile.read(tokenfile.write(docs, public_tokenizers.path("word_bpe_49k.json")))
@@ -62,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_byte_bpe, op4_exact_dedup, op6_token_files, op7_url_filter, op8_language_id, op9_source_mixing, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_byte_bpe, op4_exact_dedup, op5_lm_scoring, op6_token_files, op7_url_filter, op8_language_id, op9_source_mixing, op10_toxicity)}
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
     "op4_exact_dedup": dedup.ORACLE,
