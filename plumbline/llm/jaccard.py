@@ -9,7 +9,8 @@ what they share are expanded to their members and verified on whole sets.
 
 Big families of near copies would still give all their pairs, so links are found in
 two rounds. The first verifies a few pairs: in the list of each prefix shingle every
-group with the next one, and in a group every member with the first. The second takes
+group with the next one (where that is so in a good part of their prefixes), and in a
+group every member with the first. The second takes
 all pairs that pass the filters but lie in different components of the first; pairs
 within one are connected already. No pair that could change a component is left out.
 """
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,15 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _thin(counts: np.ndarray) -> bytes:
+    """Counts byte by byte from the lowest, compressed; the high bytes are mostly zero."""
+    return zstandard.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _thick(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
     """How many sets of the table have a shingle of each bucket. Every task adds up a vector of fixed size."""
 
@@ -73,17 +84,17 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
             for part in portions(batch):
                 s = shingles(part.column(0), width)
                 total += np.bincount((np.concatenate(s) >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS).astype(np.uint32)
-        rows = [b.tobytes() for b in np.split(total, BLOCKS)]
+        rows = [_thin(b) for b in np.split(total, BLOCKS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(rows, pa.binary())], ["block", "counts"])
 
     def add(batches: pa.Table) -> pa.Table:
         out = np.zeros(BUCKETS // BLOCKS, np.uint32)
         for x in batches.column("counts"):
-            out += np.frombuffer(x.as_buffer(), np.uint32)
-        return pa.table({"block": batches.column("block")[:1], "counts": pa.array([out.tobytes()], pa.binary())})
+            out += _thick(x.as_py())
+        return pa.table({"block": batches.column("block")[:1], "counts": pa.array([_thin(out)], pa.binary())})
 
     parts = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    held = {r.block: np.frombuffer(r.counts, np.uint32) for r in parts}
+    held = {r.block: _thick(bytes(r.counts)) for r in parts}
     return np.concatenate([held.get(b, np.zeros(BUCKETS // BLOCKS, np.uint32)) for b in range(BLOCKS)])
 
 
@@ -110,9 +121,11 @@ def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n long, node binary, gid long, prefix binary")
 
 
-def meet(groups: DataFrame) -> DataFrame:
+def meet(nodes: DataFrame) -> DataFrame:
     """Prefix shingles that more than one group has, as rows (token, gid, n, pos, next): ``next`` is the group after it in the shingle's list.
 
+    The nodes of a group have one prefix; in a list they stand together and count once.
+
     Lists are dealt by range of (shingle, size, group), so a shingle that very many
     groups share is spread over tasks; at a task's edges a list may break, where rows
     are kept without a ``next``.
@@ -137,8 +150,10 @@ def meet(groups: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            token, gid, m = b.column(0).to_numpy(), b.column(1).to_numpy(), b.num_rows - 1
-            same = token[1:] == token[:-1]
+            token, gid = b.column(0).to_numpy(), b.column(1).to_numpy()
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])])
+            b, token, gid = b.filter(pa.array(new)), token[new], gid[new]
+            m, same = b.num_rows - 1, token[1:] == token[:-1]
             before = np.concatenate([[prev], same])
             if m:
                 yield out(b.slice(0, m), before[:m] | same, gid[1:], same)
@@ -146,7 +161,7 @@ def meet(groups: DataFrame) -> DataFrame:
         if held is not None:
             yield out(held, np.ones(1, bool), np.zeros(1, np.int64), np.zeros(1, bool))
 
-    rows = groups.select("gid", "n", "prefix").mapInArrow(spread, "token long, gid long, n long, pos long")
+    rows = nodes.select("gid", "n", "prefix").mapInArrow(spread, "token long, gid long, n long, pos long")
     return rows.repartitionByRange("token", "n", "gid").sortWithinPartitions("token", "n", "gid").mapInArrow(scan, "token long, gid long, n long, pos long, next long")
 
 
@@ -160,31 +175,30 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
     ids = wanted.select("doc_id").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch):
-                s = shingles(part.column(1), width)
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], ["node", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in shingles(part.column(1), width)], pa.binary()), part.column(1)], ["node", "text"])
 
-    held = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text").mapInArrow(sets, "node binary, items binary").dropDuplicates(["node"])
-    held = stored(held, "sets")
+    # texts travel, not their sets: they are smaller, and a set is soon made
+    held = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(keyed, "node binary, text string")
     both = (
-        pairs.join(held.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
-        .join(held.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
+        pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        .join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         .select("a", "b", "x", "y")
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, how = [], []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                i = len(np.intersect1d(x, y, assume_unique=True))
-                u = len(x) + len(y) - i
-                keep.append(100 * i >= percent * u)
-                how.append(i / u if u else 0.0)
-            rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(how, pa.float64())], ["a", "b", "jaccard"])
-            yield rows.filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            for b in portions(batch, "x"):
+                keep, how = [], []
+                for x, y in zip(shingles(b.column(2), width), shingles(b.column(3), width), strict=True):
+                    i = len(np.intersect1d(x, y, assume_unique=True))
+                    u = len(x) + len(y) - i
+                    keep.append(100 * i >= percent * u)
+                    how.append(i / u if u else 0.0)
+                rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(how, pa.float64())], ["a", "b", "jaccard"])
+                yield rows.filter(pa.array(keep, pa.bool_()))
 
     return saved(both.mapInArrow(compare, "a binary, b binary, jaccard double"))
 
@@ -201,13 +215,14 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     base = stored(described(docs, width, percent), "described")
     nodes = stored(base.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("rep")), "nodes")
     slim = nodes.select("node", "n", "gid", "rep")
-    groups = nodes.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("node").alias("head"))
-    heads = saved(groups.select("gid", "n", "head"))
-    shared = stored(meet(groups), "shared")
+    heads = saved(slim.groupBy("gid").agg(F.first("n").alias("n"), F.min("node").alias("head")))
+    shared = stored(meet(nodes), "shared")
 
-    # round one: neighbours in a shingle's list, and members with the head of their group
+    # round one: groups that are neighbours in many lists, and members with the head of their group
     left, right = heads.select(F.col("gid"), F.col("n").alias("n1"), F.col("head").alias("h1")), heads.select(F.col("gid").alias("next"), F.col("n").alias("n2"), F.col("head").alias("h2"))
-    near = shared.where("next IS NOT NULL").select("gid", "next").distinct().join(left, "gid").join(right, "next").where(sizes_fit(F.col("n1"), F.col("n2"), percent)).select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b"))
+    in_prefix = lambda n: n - F.ceil(n * percent / 100) + 1
+    often = F.col("c") * 4 >= in_prefix(F.least("n1", "n2"))
+    near = shared.where("next IS NOT NULL").groupBy("gid", "next").agg(F.count("*").alias("c")).join(left, "gid").join(right, "next").where(sizes_fit(F.col("n1"), F.col("n2"), percent) & often).select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b"))
     own = slim.join(heads.select("gid", "head"), "gid").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = verified(saved(near.union(own).distinct()), slim, docs, width, percent)
 
