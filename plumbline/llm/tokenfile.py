@@ -31,8 +31,8 @@ from tokenizers import Tokenizer
 
 from .common import new_dir, saved
 
-#: Ids in a sequence, sequences in a batch; words whose ids a worker remembers.
-LENGTH, BATCH, REMEMBER = 2048, 64, 250_000
+#: Ids in a sequence, sequences in a batch; words in a generation of what a worker remembers.
+LENGTH, BATCH, REMEMBER = 2048, 64, 200_000
 MANIFEST = "part int, file string, index string, n_docs long, n_ids long"
 
 
@@ -46,9 +46,12 @@ class WordEncoder:
     For tokenizers whose pre-tokens never reach over white space (and drop it), the ids
     of a text are those of its words in a row; the words go through the library itself.
     New words go many to a call, with a mark between them that is one id of its own.
+    Closing punctuation after a letter or digit is a pre-token of its own, so a word and
+    the same word before a comma are learned as one. What was seen lately is remembered
+    in two generations, so that common words stay.
     """
 
-    MARK, CALL = "\x01", 256
+    MARK, CALL, CLOSING = "\x01", 256, b".,;:!?%&*$#"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,29 +60,53 @@ class WordEncoder:
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.mark = self.library([self.MARK])[0]
         self.seen: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def missing(self, words) -> list[bytes]:
+        """Words without ids yet; those of the older generation move to the new one."""
+        out = []
+        for w in {w for w in words if w not in self.seen}:
+            if w in self.older:
+                self.seen[w] = self.older[w]
+            else:
+                out.append(w)
+        return out
+
     def learn(self, words: list[bytes]) -> None:
-        """Remember the ids of words."""
+        """Remember the ids of words, each through its parts."""
+        parts = {}
+        for w in words:
+            core = w.rstrip(self.CLOSING)
+            if len(core) < len(w) and core[-1:].isalnum():
+                parts[w] = core, w[len(core) :]
+        rest = [w for w in words if w not in parts]
+        self.ask(rest)
+        self.ask(self.missing(x for pair in parts.values() for x in pair))
+        for w, (core, tail) in parts.items():
+            self.seen[w] = self.seen[core] + self.seen[tail]
+
+    def ask(self, words: list[bytes]) -> None:
+        """Remember the ids of words from the library."""
         plain = [w.decode("utf-8") for w in words]
         joined = [f" {self.MARK} ".join(plain[i : i + self.CALL]) for i in range(0, len(plain), self.CALL)]
         for i, ids in zip(range(0, len(plain), self.CALL), self.library(joined), strict=True):
             some = words[i : i + self.CALL]
             cut = np.flatnonzero(ids == self.mark[0])
             if len(self.mark) == 1 and len(cut) == len(some) - 1:
-                parts = [ids[a:b] for a, b in zip([0, *(cut + 1)], [*cut, len(ids)], strict=True)]
+                bounds = np.concatenate([[0], cut + 1, [len(ids) + 1]]).tolist()
+                raw, size = ids.tobytes(), ids.itemsize
+                self.seen.update((w, raw[size * a : size * (b - 1)]) for w, a, b in zip(some, bounds, bounds[1:], strict=False))
             else:  # a word holds the mark, or the mark is no id of its own
-                parts = self.library(plain[i : i + self.CALL])
-            self.seen.update((w, x.tobytes()) for w, x in zip(some, parts, strict=True))
+                self.seen.update((w, x.tobytes()) for w, x in zip(some, self.library(plain[i : i + self.CALL]), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.encode("utf-8").split() for t in texts]  # bytes.split() cuts at ASCII white space alone
         if len(self.seen) > REMEMBER:
-            self.seen.clear()
-        if new := list({w for words in split for w in words if w not in self.seen}):
-            self.learn(new)
+            self.seen, self.older = {}, self.seen
+        self.learn(self.missing(w for words in split for w in words))
         return [np.frombuffer(b"".join(map(self.seen.__getitem__, words)), self.kind) for words in split]
 
 
