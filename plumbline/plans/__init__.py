@@ -1,6 +1,6 @@
 """The queries, by family."""
 
-from . import history, labels, masters  # noqa: F401
+from . import history, labels, masters, vision  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
