@@ -19,9 +19,9 @@ shorter context, so that every context's probabilities still sum to one.
 from __future__ import annotations
 
 import functools
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+import itertools
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from .hashing import Words, mix, portions
 _U = np.uint64
 #: The hash of the end of a text.
 END = mix(np.array([0xE0F], _U))[0]
-#: Least count of kept pairs and triples; bits for a word's id in a key; entries that a task holds before it adds up.
-LEAST, ID_BITS, HELD = 2, 40, 3_000_000
+#: Least count of kept pairs and triples; keys that a task holds before it adds up; most shards (their sizes, not their number, grow beyond); bytes of text looked up together.
+LEAST, HELD, SHARDS, PORTION = 2, 4_000_000, 256, 2 << 20
 BLOB = "shard int, keys binary, counts binary"
 
 
@@ -47,6 +47,8 @@ class Model:
     shards: int
     bases: tuple[int, ...]  # id of each shard's first word, then the number of words
     tokens: int
+    pair_bases: tuple[int, ...] = ()  # likewise for pairs
+    rank_bits: int = 0  # bits for a word's place among the successors of another
 
     @property
     def vocabulary(self) -> int:
@@ -65,38 +67,34 @@ def _expand(blob: bytes) -> np.ndarray:
 
 
 class Tally:
-    """Counts of (shard, key), added up when many have come in."""
+    """Counts 64-bit keys that rise with their shard; ``owner`` gives the shards of sorted keys."""
 
-    def __init__(self):
-        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+    def __init__(self, owner: Callable[[np.ndarray], np.ndarray]):
+        self.owner, self.held, self.size = owner, [], 0
 
-    def add(self, shard: np.ndarray, key: np.ndarray, count: np.ndarray | None = None) -> None:
-        self.held.append((shard.astype(np.int32), key, np.ones(len(key), np.int64) if count is None else count))
-        self.size += len(key)
-        if self.size > HELD:
-            self.settle()
+    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(keys)
+        self.size += len(keys)
+        if self.size >= HELD:
+            yield from self.flush()
 
-    def settle(self) -> None:
-        if not self.held:
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
             return
-        shard, key, count = (np.concatenate(x) for x in zip(*self.held, strict=True))
-        order = np.lexsort((key, shard))
-        shard, key, count = shard[order], key[order], count[order]
-        first = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.empty(0, np.int64)
-        self.held = [(shard[first], key[first], np.add.reduceat(count, first) if len(first) else count)]
-        # room for as many again, so that adding up stays rare
-        self.size = 0 if len(first) < HELD // 2 else len(first) // 2
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        self.settle()
-        for shard, key, count in self.held:
-            cut = np.flatnonzero(np.diff(shard, prepend=-1))
-            for a, b in zip(cut, [*cut[1:], len(shard)], strict=True):
-                cols = [pa.array([int(shard[a])], pa.int32()), pa.array([_squeeze(key[a:b])]), pa.array([zstandard.compress(count[a:b].astype("<u4").tobytes() if count[a:b].max() < 1 << 32 else b"", 1)])]
-                if count[a:b].max() >= 1 << 32:
-                    raise OverflowError("a task counted one n-gram four billion times")
-                yield pa.RecordBatch.from_arrays(cols, ["shard", "keys", "counts"])
+        keys = np.sort(np.concatenate(self.held))
+        self.held, self.size = [], 0
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        count, keys = np.diff(np.append(first, len(keys))).astype("<u4"), keys[first]
+        shard = self.owner(keys)
+        cut = np.flatnonzero(np.diff(shard, prepend=-1))
+        for a, b in zip(cut, [*cut[1:], len(shard)], strict=True):
+            cols = [pa.array([int(shard[a])], pa.int32()), pa.array([_squeeze(keys[a:b])]), pa.array([zstandard.compress(count[a:b].tobytes(), 1)])]
+            yield pa.RecordBatch.from_arrays(cols, ["shard", "keys", "counts"])
+
+
+def _bits(*sizes: int) -> None:
+    if sum(sizes) > 64:
+        raise OverflowError("the vocabulary or the number of pairs is too large for 64-bit keys")
 
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -165,21 +163,25 @@ class Trie:
         return self.at[i]
 
     def by_shard(self, shard: np.ndarray) -> Iterator[tuple[Shard, int, np.ndarray]]:
-        order = np.argsort(shard, kind="stable")
+        order = np.argsort(shard.astype(np.uint16), kind="stable")
         cut = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
         for i in range(self.model.shards):
             if cut[i + 1] > cut[i]:
                 yield self.shard(i), i, order[cut[i] : cut[i + 1]]
 
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id, count) of each hash; -1 and 0 for a word that is not in the vocabulary."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for s, i, rows in self.by_shard(shard_of(hashes, self.model.shards)):
+    def words(self, hashes: np.ndarray) -> dict[str, np.ndarray]:
+        """Of each hash: id (-1 for a word that is not in the vocabulary), count, shard, and place of the word among those with successors (-1: none)."""
+        n = len(hashes)
+        out = {"id": np.full(n, -1, np.int64), "count": np.zeros(n, np.int64), "shard": shard_of(hashes, self.model.shards), "context": np.full(n, -1, np.int64)}
+        for s, i, rows in self.by_shard(out["shard"]):
             at = s.hash.find(hashes[rows])
             ok = at >= 0
-            ids[rows[ok]] = at[ok] + self.bases[i]
-            counts[rows[ok]] = s.count[at[ok]]
-        return ids, counts
+            rows, at = rows[ok], at[ok]
+            out["id"][rows] = at + self.bases[i]
+            out["count"][rows] = s.count[at]
+            if self.levels >= 2:
+                out["context"][rows] = s.has.find(at.astype(_U))
+        return out
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), np.int64)
@@ -187,16 +189,14 @@ class Trie:
             out[rows] = s.count[ids[rows] - self.bases[i]]
         return out
 
-    def pairs(self, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
-        """For words a (ids, -1 none) and b after them: place of the pair in a's shard, place among a's successors, log10 p, log10 weight of a's shorter context."""
-        n = len(a)
+    def pairs(self, shard: np.ndarray, context: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+        """For words (shard, context) and b (ids, -1 none) after them: place of the pair in its shard, place among the first word's successors, log10 p, log10 weight of the shorter context."""
+        n = len(b)
         out = {"at": np.full(n, -1, np.int64), "rank": np.full(n, -1, np.int64), "p": np.zeros(n), "back": np.zeros(n)}
-        known = np.flatnonzero(a >= 0)
-        for s, i, some in self.by_shard(np.searchsorted(self.bases, a[known], "right") - 1):
+        known = np.flatnonzero(context >= 0)
+        for s, _, some in self.by_shard(shard[known]):
             rows = known[some]
-            c = s.has.find((a[rows] - self.bases[i]).astype(_U))
-            ok = c >= 0
-            rows, c = rows[ok], c[ok]
+            c = context[rows]
             out["back"][rows] = s.back1_book[s.back1[c]]
             ok = b[rows] >= 0
             rows, c = rows[ok], c[ok]
@@ -208,12 +208,12 @@ class Trie:
             out["p"][rows] = s.book2[s.p2[at]]
         return out
 
-    def triples(self, a: np.ndarray, at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For pairs at places ``at`` of a's shard and the place ``rank`` of a third word among the second's successors: (found, log10 p, log10 weight of the pair's shorter context)."""
-        n = len(a)
+    def triples(self, shard: np.ndarray, at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For pairs at places ``at`` of shards and the place ``rank`` of a third word among the second's successors: (found, log10 p, log10 weight of the pair's shorter context)."""
+        n = len(at)
         found, p, back = np.zeros(n, bool), np.zeros(n), np.zeros(n)
         known = np.flatnonzero(at >= 0)
-        for s, _, some in self.by_shard(np.searchsorted(self.bases, a[known], "right") - 1):
+        for s, _, some in self.by_shard(shard[known]):
             rows = known[some]
             c = s.has3.find(at[rows].astype(_U))
             ok = c >= 0
@@ -244,29 +244,29 @@ def sequences(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return hashes, doc
 
 
-def looked_up(trie: Trie, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, count, text) of every token."""
+def looked_up(trie: Trie, words: Words, least: int = 1) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(what ``Trie.words`` says of every token, text of each); words below ``least`` count as having no id."""
     hashes, doc = sequences(words)
     kinds, back = np.unique(hashes, return_inverse=True)
-    ids, counts = trie.words(kinds)
-    return ids[back], counts[back], doc
+    got = trie.words(kinds)
+    got["id"] = np.where(got["count"] >= least, got["id"], -1)
+    return {k: v[back] for k, v in got.items()}, doc
 
 
 def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Model:
     """Train on ``docs`` (text): three counting jobs, each writing one level of every shard. A null text is an empty one."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    S = shards or parts(spark)
+    S = shards or min(SHARDS, max(1, parts(spark) // 4))
     folder = new_dir(spark, "lm")
     pa.fs.FileSystem.from_uri(folder)[0].create_dir(pa.fs.FileSystem.from_uri(folder)[1], recursive=True)
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally = Tally(lambda k: shard_of(k, S))
         for batch in batches:
             for part in portions(batch):
-                kinds, n = np.unique(sequences(Words(part.column(0)))[0], return_counts=True)
-                tally.add(shard_of(kinds, S), kinds, n)
-        yield from tally.batches()
+                yield from tally.add(sequences(Words(part.column(0)))[0])
+        yield from tally.flush()
 
     def write_words(table: pa.Table) -> pa.Table:
         i = table.column("shard")[0].as_py()
@@ -283,16 +283,19 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
     model = Model(folder, S, tuple(bases), sum(r.total for r in done.values()))
     uniform = model.tokens + model.vocabulary + 1
 
+    bits = model.vocabulary.bit_length()
+    _bits(bits, bits)
+
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, tally = opened(model, 1), Tally()
+        trie = opened(model, 1)
+        tally = Tally(lambda k: np.searchsorted(trie.bases, (k >> _U(bits)).astype(np.int64), "right") - 1)
         for batch in batches:
-            for part in portions(batch):
-                ids, counts, doc = looked_up(trie, Words(part.column(0)))
-                ids = np.where(counts >= least, ids, -1)
+            for part in portions(batch, limit=PORTION):
+                got, doc = looked_up(trie, Words(part.column(0)), least)
+                ids = got["id"]
                 ok = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (doc[1:] == doc[:-1]))
-                i = np.searchsorted(trie.bases, ids[ok], "right") - 1
-                tally.add(i, ((ids[ok] - trie.bases[i]).astype(_U) << _U(ID_BITS)) | ids[ok + 1].astype(_U))
-        yield from tally.batches()
+                yield from tally.add((ids[ok].astype(_U) << _U(bits)) | ids[ok + 1].astype(_U))
+        yield from tally.flush()
 
     def write_pairs(table: pa.Table) -> pa.Table:
         i, trie = table.column("shard")[0].as_py(), opened(model, 1)
@@ -300,7 +303,7 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
         d = discount(count)
         keep = count >= least
         key, count = key[keep], count[keep]
-        a, b = (key >> _U(ID_BITS)).astype(np.int64), (key & _U((1 << ID_BITS) - 1)).astype(np.int64)
+        a, b = (key >> _U(bits)).astype(np.int64) - trie.bases[i], (key & _U((1 << bits) - 1)).astype(np.int64)
         heads, first, context = np.unique(a, return_index=True, return_inverse=True)
         total = trie.shard(i).count[heads]
         own = (count - d) / total[context]
@@ -315,7 +318,8 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
             | EliasFano.build(np.append(first, len(key)).astype(_U), "begin")
             | {"span": np.array([model.vocabulary]), "p": p, "book": book, "count": count, "back": weight, "back_book": weight_book},
         )
-        return pa.table({"shard": pa.array([i], pa.int32()), "n": pa.array([len(key)], pa.int64())})
+        most = int(np.bincount(context).max(initial=0)) if len(context) else 0
+        return pa.table({"shard": pa.array([i], pa.int32()), "n": pa.array([len(key)], pa.int64()), "most": pa.array([most], pa.int64())})
 
     def fill(name: str, done: set[int], extra: dict[str, np.ndarray]) -> None:
         empty = np.empty(0, _U)
@@ -323,19 +327,26 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
             arrays = EliasFano.build(empty, "has") | EliasFano.build(empty, "next") | {"span": np.array([1]), "p": np.empty(0, np.uint8), "book": np.zeros(256, np.float32), "back": np.empty(0, np.uint8), "back_book": np.zeros(256, np.float32)}
             write_arrays(f"{folder}/{name}-{i:05d}", arrays | extra)
 
-    made = saved(texts.mapInArrow(count_pairs, BLOB).groupBy("shard").applyInArrow(write_pairs, "shard int, n long")).collect()
+    made = saved(texts.mapInArrow(count_pairs, BLOB).groupBy("shard").applyInArrow(write_pairs, "shard int, n long, most long")).collect()
     fill("pairs", {r.shard for r in made}, EliasFano.build(np.empty(0, _U), "begin") | {"count": np.empty(0, np.int64)})
 
+    held = {r.shard: r.n for r in made}
+    pair_bases = (0, *itertools.accumulate(held.get(i, 0) for i in range(S)))
+    model = replace(model, pair_bases=pair_bases, rank_bits=max((r.most for r in made), default=0).bit_length())
+    _bits(pair_bases[-1].bit_length(), model.rank_bits)
+    rank_bits = _U(model.rank_bits)
+
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, tally = opened(model, 2), Tally()
+        trie, base = opened(model, 2), np.array(pair_bases, np.int64)
+        tally = Tally(lambda k: np.searchsorted(base, (k >> rank_bits).astype(np.int64), "right") - 1)
         for batch in batches:
-            for part in portions(batch):
-                ids, counts, doc = looked_up(trie, Words(part.column(0)))
-                at, rank = paired(trie, np.where(counts >= least, ids, -1), doc)[:2]
-                ok = np.flatnonzero((at[1:-1] >= 0) & (rank[2:] >= 0)) + 2 if len(ids) > 2 else np.empty(0, np.int64)
-                i = np.searchsorted(trie.bases, ids[ok - 2], "right") - 1
-                tally.add(i, (at[ok - 1].astype(_U) << _U(32)) | rank[ok].astype(_U))
-        yield from tally.batches()
+            for part in portions(batch, limit=PORTION):
+                got, doc = looked_up(trie, Words(part.column(0)), least)
+                at, rank = paired(trie, got, doc)[:2]
+                ok = np.flatnonzero((at[1:-1] >= 0) & (rank[2:] >= 0)) + 2 if len(at) > 2 else np.empty(0, np.int64)
+                pair = base[got["shard"][ok - 2]] + at[ok - 1]
+                yield from tally.add((pair.astype(_U) << rank_bits) | rank[ok].astype(_U))
+        yield from tally.flush()
 
     def write_triples(table: pa.Table) -> pa.Table:
         i, trie = table.column("shard")[0].as_py(), opened(model, 2)
@@ -344,7 +355,7 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
         keep = count >= least
         key, count = key[keep], count[keep]
         s = trie.shard(i)
-        pair, rank = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.int64)
+        pair, rank = (key >> rank_bits).astype(np.int64) - pair_bases[i], (key & _U((1 << model.rank_bits) - 1)).astype(np.int64)
         heads, context = np.unique(pair, return_inverse=True)
         own = (count - d) / s.count2[heads][context]
         back = np.maximum(1 - np.bincount(context, weights=own, minlength=len(heads)), 1e-9)
@@ -370,28 +381,28 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
     return model
 
 
-def paired(trie: Trie, ids: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def paired(trie: Trie, got: dict[str, np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each token with the one before it: place of the pair, rank, log10 p, log10 weight; -1 and 0 at a text's first."""
-    n = len(ids)
+    n = len(doc)
     at, rank, p, back = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.zeros(n), np.zeros(n)
     if n > 1:
-        before = np.where(doc[1:] == doc[:-1], ids[:-1], -1)
-        got = trie.pairs(before, ids[1:])
-        at[1:], rank[1:], p[1:], back[1:] = got["at"], got["rank"], got["p"], got["back"]
+        before = np.where(doc[1:] == doc[:-1], got["context"][:-1], -1)
+        pair = trie.pairs(got["shard"][:-1], before, got["id"][1:])
+        at[1:], rank[1:], p[1:], back[1:] = pair["at"], pair["rank"], pair["p"], pair["back"]
     return at, rank, p, back
 
 
 def score_tokens(trie: Trie, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, count in training, base log10 p, model log10 p) of every token."""
-    ids, counts, doc = looked_up(trie, words)
-    base = np.log10((counts + 1) / (trie.model.tokens + trie.model.vocabulary + 1))
-    at, rank, p2, back1 = paired(trie, ids, doc)
+    got, doc = looked_up(trie, words)
+    base = np.log10((got["count"] + 1) / (trie.model.tokens + trie.model.vocabulary + 1))
+    at, rank, p2, back1 = paired(trie, got, doc)
     p = np.where(at >= 0, p2, back1 + base)
-    if len(ids) > 2:
-        pair = np.where((doc[2:] == doc[1:-1]) & (at[1:-1] >= 0), at[1:-1], -1)
-        found, p3, back2 = trie.triples(ids[:-2], pair, rank[2:])
+    if len(doc) > 2:
+        pair = np.where(doc[2:] == doc[1:-1], at[1:-1], -1)
+        found, p3, back2 = trie.triples(got["shard"][:-2], pair, rank[2:])
         p[2:] = np.where(found, p3, back2 + p[2:])
-    return doc, counts, base, p
+    return doc, got["count"], base, p
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -405,7 +416,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = opened(model, 3)
         for batch in batches:
-            for part in portions(batch):
+            for part in portions(batch, limit=PORTION):
                 doc, counts, base, p = score_tokens(trie, Words(part.column(1)))
                 add = lambda x: np.bincount(doc, weights=x, minlength=part.num_rows)  # noqa: E731, B023
                 cols = [pa.array(np.bincount(doc, minlength=part.num_rows)), pa.array(add(counts > 0).astype(np.int64)), pa.array(np.full(part.num_rows, model.tokens)), pa.array(add(base)), pa.array(add(p))]
