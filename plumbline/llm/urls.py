@@ -88,7 +88,7 @@ def labelled(spark: SparkSession) -> DataFrame:
 
 def fit(train: DataFrame, buckets: int = BUCKETS) -> list[float]:
     """Weights of the buckets, then the bias. ``train`` (row, label, host, path) is small: its Gram matrix is held in one row."""
-    rows = train.withColumn("f", features(buckets)).withColumn("norm", F.sqrt(F.size("f")))
+    rows = train.withColumn("f", features(buckets)).withColumn("norm", F.sqrt(F.greatest(F.size("f"), F.lit(1))))
     # the table is one small row from here on; array positions stand for rows
     table = rows.agg(F.sort_array(F.collect_list(F.struct("row", "label", "f", "norm"))).alias("t"))
     gram = "transform(t, a -> struct(a.row AS row, a.label AS label, transform(t, b -> size(array_intersect(a.f, b.f)) / (a.norm * b.norm) + 1) AS ks))"
@@ -108,14 +108,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, train: Da
     A rule fits its host and all subdomains if the path starts with the rule's; the
     longest rule wins. Without a rule the regression decides: block from probability
     0.5. A null url, or one without ``://``, has an empty host and path, fits no rule
-    and gets the verdict of its marks alone. Repeated rows repeat; an empty table gives
+    and gets the verdict of the bias alone. Repeated rows repeat; an empty table gives
     no rows; other columns are ignored, whatever their names.
     """
     weights = fit(labelled(pages.sparkSession) if train is None else train)
     held = F.split(F.lit(",".join(f"{w:.9g}" for w in weights)), ",").cast("array<double>")
     urls = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     scored = urls.withColumns({"_rule": longest_rule(rules), "_f": features(len(weights) - 1)})
-    z = F.aggregate("_f", F.lit(0.0), lambda s, i: s + F.get(held, i)) / F.sqrt(F.size("_f")) + F.lit(weights[-1])
+    z = F.aggregate("_f", F.lit(0.0), lambda s, i: s + F.get(held, i)) / F.sqrt(F.greatest(F.size("_f"), F.lit(1))) + F.lit(weights[-1])
     return scored.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), F.when(z >= 0, "block").otherwise("allow")).alias("verdict"))
 
 
@@ -142,4 +142,4 @@ z AS (SELECT rid, sum(coalesce(w.w, 0)) / sqrt(any_value(n)) + any_value(bias) A
   (SELECT rid, unnest(f) AS b, len(f) AS n, list_sum(a) AS bias FROM pf, al) x LEFT JOIN w ON w.b = x.b GROUP BY rid),
 r AS (SELECT rid, arg_max(h || pp, length(h || pp)) AS rule, arg_max(v, length(h || pp)) AS verdict FROM p, (VALUES {rules}) t(v, h, pp)
   WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pp) GROUP BY rid)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN z >= 0 THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN z USING (rid) LEFT JOIN r USING (rid)"""
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN coalesce(z, (SELECT list_sum(a) FROM al)) >= 0 THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN z USING (rid) LEFT JOIN r USING (rid)"""
