@@ -3,7 +3,11 @@
 Each rule reads counts of a text and votes good, bad or abstains. Expectation
 maximisation (two classes, each rule with its own accuracy on good and on bad
 texts, votes independent given the class) estimates the accuracies from the votes
-alone, and a text is kept by its posterior probability of being good. The votes
+alone, and a text is kept by its posterior probability of being good. One thing the
+votes cannot tell: whether texts that a single rule rejects are bad texts of one kind
+or good ones that the rule misjudges. So each rule states the least accuracy on good
+texts that may be estimated for it. A rule sure of itself can then reject a text
+alone; the others need one another. The votes
 collapse to patterns with counts before any estimation: at most 3 to the power of
 the number of rules rows, however many texts there are.
 """
@@ -19,16 +23,16 @@ from .common import SPACE, saved, stored, strip_space, words
 
 #: Words in a window, rounds of estimation, pseudo-count of each vote, least posterior.
 WINDOW, ROUNDS, PSEUDO, KEEP = 8, 10, 1.0, 0.5
-#: rule: (votes bad, votes good), as SQL over the counts; it abstains where neither holds.
+#: rule: (votes bad, votes good, least accuracy on good texts); the votes are SQL over the counts, and it abstains where neither holds.
 RULES = {
-    "length": ("n_words < 20", "n_words >= 50"),
-    "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
-    "capitals": ("2 * n_capitals > word_chars", "5 * n_capitals <= word_chars"),
-    "stutter": ("10 * n_stutter > n_words", "50 * n_stutter <= n_words"),
-    "repeats": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words"),
-    "lines": ("2 * n_dup_lines > n_lines", "10 * n_dup_lines <= n_lines"),
-    "variety": ("10 * n_distinct < n_words", "2 * n_distinct >= n_words"),
-    "word_length": ("word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words"),
+    "length": ("n_words < 20", "n_words >= 50", 0.9),
+    "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words", 0.998),
+    "capitals": ("2 * n_capitals > word_chars", "5 * n_capitals <= word_chars", 0.998),
+    "stutter": ("10 * n_stutter > n_words", "50 * n_stutter <= n_words", 0.998),
+    "repeats": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words", 0.9),
+    "lines": ("2 * n_dup_lines > n_lines", "10 * n_dup_lines <= n_lines", 0.9),
+    "variety": ("10 * n_distinct < n_words", "2 * n_distinct >= n_words", 0.9),
+    "word_length": ("word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words", 0.9),
 }
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stutter", "n_distinct"]
@@ -36,7 +40,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def vote(rule: str) -> str:
     """0 bad, 1 abstain, 2 good."""
-    bad, good = RULES[rule]
+    bad, good, _ = RULES[rule]
     return f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 2 ELSE 1 END"
 
 
@@ -72,7 +76,7 @@ def estimate(votes: DataFrame, rules: list[str], rounds: int = ROUNDS) -> dict:
     """Class share and accuracies from votes (one column per rule): {"good": share, rule: (accuracy on bad, on good)}.
 
     Starts from the view that a text with any bad vote is likely bad. An empty table
-    leaves every accuracy at one half.
+    leaves every accuracy at one half or its least value.
     """
     patterns = saved(votes.groupBy(*rules).agg(F.count("*").alias("n")))
     q = F.when(F.least(*rules) == 0, 0.1).otherwise(0.9)
@@ -87,7 +91,7 @@ def estimate(votes: DataFrame, rules: list[str], rounds: int = ROUNDS) -> dict:
         model = {"good": (got[0] + PSEUDO) / (got[0] + got[1] + 2 * PSEUDO)}
         for i, r in enumerate(rules):
             bad0, bad1, good0, good1 = got[2 + 4 * i : 6 + 4 * i]
-            model[r] = ((bad0 + PSEUDO) / (bad0 + good0 + 2 * PSEUDO), (good1 + PSEUDO) / (bad1 + good1 + 2 * PSEUDO))
+            model[r] = ((bad0 + PSEUDO) / (bad0 + good0 + 2 * PSEUDO), max((good1 + PSEUDO) / (bad1 + good1 + 2 * PSEUDO), RULES[r][2]))
         q = posterior(model, rules)
     return model
 
@@ -151,7 +155,7 @@ def oracle(source: str = "documents") -> str:
     for i in range(ROUNDS):
         s = lambda cond, q: f"coalesce(sum(n * {q}) FILTER (WHERE {cond}), 0)"
         accs = ", ".join(
-            f"({s(f'{r} = 0', '(1 - q)')} + 1) / ({s(f'{r} <> 1', '(1 - q)')} + 2) AS {r}_bad, ({s(f'{r} = 2', 'q')} + 1) / ({s(f'{r} <> 1', 'q')} + 2) AS {r}_good" for r in rules
+            f"({s(f'{r} = 0', '(1 - q)')} + 1) / ({s(f'{r} <> 1', '(1 - q)')} + 2) AS {r}_bad, greatest(({s(f'{r} = 2', 'q')} + 1) / ({s(f'{r} <> 1', 'q')} + 2), {RULES[r][2]}::DOUBLE) AS {r}_good" for r in rules
         )
         ctes.append(f"m{i} AS MATERIALIZED (SELECT (sum(n * q) + 1) / (sum(n) + 2) AS good, {accs} FROM q{i})")
         ctes.append(f"q{i + 1} AS (SELECT g.*, {odds(f'm{i}')} AS q FROM g, m{i})")
