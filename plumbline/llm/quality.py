@@ -29,7 +29,7 @@ RULES = {
     "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words", 0.998),
     "capitals": ("2 * n_capitals > word_chars", "5 * n_capitals <= word_chars", 0.998),
     "stutter": ("10 * n_stutter > n_words", "50 * n_stutter <= n_words", 0.998),
-    "repeats": ("100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words", 0.9),
+    "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 5 * n_words", 0.9),
     "lines": ("2 * n_dup_lines > n_lines", "10 * n_dup_lines <= n_lines", 0.9),
     "variety": ("10 * n_distinct < n_words", "2 * n_distinct >= n_words", 0.9),
     "word_length": ("word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words", 0.9),
