@@ -19,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, saved, stored, strip_space, words
+from .common import SPACE, saved, strip_space, words
 
 #: Words in a window, rounds of estimation, pseudo-count of each vote, least posterior.
 WINDOW, ROUNDS, PSEUDO, KEEP = 8, 10, 1.0, 0.5
@@ -78,22 +78,24 @@ def estimate(votes: DataFrame, rules: list[str], rounds: int = ROUNDS) -> dict:
     Starts from the view that a text with any bad vote is likely bad. An empty table
     leaves every accuracy at one half or its least value.
     """
-    patterns = saved(votes.groupBy(*rules).agg(F.count("*").alias("n")))
-    q = F.when(F.least(*rules) == 0, 0.1).otherwise(0.9)
-    model: dict = {}
-    for _ in range(rounds):
-        sums = [F.sum(F.col("n") * q), F.sum(F.col("n") * (1 - q))]
-        for r in rules:
-            for v in (0, 2):
-                hit = F.when(F.col(r) == v, F.col("n"))
-                sums += [F.sum(hit * (1 - q)), F.sum(hit * q)]
-        got = [x or 0.0 for x in patterns.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
-        model = {"good": (got[0] + PSEUDO) / (got[0] + got[1] + 2 * PSEUDO)}
-        for i, r in enumerate(rules):
-            bad0, bad1, good0, good1 = got[2 + 4 * i : 6 + 4 * i]
-            model[r] = ((bad0 + PSEUDO) / (bad0 + good0 + 2 * PSEUDO), max((good1 + PSEUDO) / (bad1 + good1 + 2 * PSEUDO), RULES[r][2]))
-        q = posterior(model, rules)
-    return model
+    size = len(rules)
+    least = "array(" + ", ".join(f"{RULES[r][2]}D" for r in rules) + ")"
+    add = lambda of, cond: f"aggregate(w, 0D, (s, p) -> s + IF({cond}, p.{of}, 0D))"
+    # p: a pattern's votes v and its weights, as good (g) and as bad (b); m: the model before; all in the row that holds the patterns
+    odds = """ln(m.good) - ln(1 - m.good) + aggregate(zip_with(p.v, m.acc, (x, a) ->
+        CASE x WHEN 0 THEN ln(1 - a.good) - ln(a.bad) WHEN 2 THEN ln(a.good) - ln(1 - a.bad) ELSE 0D END), 0D, (s, t) -> s + t)"""
+    weigh = lambda q: f"transform(t, p -> transform(array({q}), q -> struct(p.v AS v, p.n * q AS g, p.n * (1 - q) AS b))[0])"
+    fitted = f"""struct(
+        ({add("g", "true")} + {PSEUDO}D) / ({add("g", "true")} + {add("b", "true")} + {2 * PSEUDO}D) AS good,
+        transform(sequence(0, {size - 1}), j -> struct(
+          ({add("b", "p.v[j] = 0")} + {PSEUDO}D) / ({add("b", "p.v[j] <> 1")} + {2 * PSEUDO}D) AS bad,
+          greatest(({add("g", "p.v[j] = 2")} + {PSEUDO}D) / ({add("g", "p.v[j] <> 1")} + {2 * PSEUDO}D), {least}[j]) AS good)) AS acc)"""
+    step = lambda q: f"transform(array({weigh(q)}), w -> {fitted})[0]"
+    first = step("IF(array_min(p.v) = 0, 0.1D, 0.9D)")
+    patterns = votes.groupBy(F.array(*rules).alias("v")).agg(F.count("*").cast("double").alias("n"))
+    table = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("t"))
+    got = table.selectExpr(f"transform(array(t), t -> aggregate(sequence(2, {rounds}), {first}, (m, i) -> {step(f'1 / (1 + exp(-({odds})))')}))[0] AS m").first().m
+    return {"good": got.good} | {r: (a.bad, a.good) for r, a in zip(rules, got.acc, strict=True)}
 
 
 def posterior(model: dict, rules: list[str]):
@@ -113,7 +115,7 @@ def judge(docs: DataFrame) -> DataFrame:
     columns are ignored, whatever their names.
     """
     rules = list(RULES)
-    counts = stored(text_counts(docs.select("doc_id", "text")).select("doc_id", *COUNTS), "quality")
+    counts = saved(text_counts(docs.select("doc_id", "text")).select("doc_id", *COUNTS))
     voted = counts.withColumns({r: F.expr(vote(r)) for r in rules})
     model = estimate(voted, rules)
     failed = F.expr(BASE_FAILED)
