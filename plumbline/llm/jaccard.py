@@ -17,20 +17,23 @@ within one are connected already. No pair that could change a component is left
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, stored
+from .common import new_dir, saved
 from .components import components
+from .eliasfano import map_arrays, write_arrays
 from .hashing import Words, mix, portions
 
-#: Buckets of the table of counts that orders shingles; its bytes are 4 times this, however many shingles there are.
-BUCKETS, BLOCKS = 1 << 21, 32
+#: Buckets in a file of counts; shingles that a task holds before it sends them.
+BLOCK, HELD = 1 << 22, 4_000_000
 #: So many ids at most are broadcast to fetch texts by id.
 BROADCAST_IDS = 200_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -66,49 +69,99 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _thin(counts: np.ndarray) -> bytes:
-    """Counts byte by byte from the lowest, compressed; the high bytes are mostly zero."""
-    return zstandard.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+class Counts:
+    """How many sets of a table have a shingle of each bucket, up to 255, in files of BLOCK buckets in the shared folder.
 
+    Files are mapped into memory when first asked for. Their number grows with the table,
+    so that buckets stay about as many as shingles and rare ones can be told from others.
+    """
+
+    def __init__(self, folder: str, blocks: int):
+        self.folder, self.blocks, self.at = folder, blocks, {}
+
+    def bucket(self, s: np.ndarray) -> np.ndarray:
+        return ((s >> np.uint64(24)) % np.uint64(self.blocks * BLOCK)).astype(np.int64)
 
-def _thick(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        bucket = self.bucket(s)
+        out = np.zeros(len(s), np.uint8)
+        order = np.argsort(bucket)
+        cut = np.searchsorted(bucket[order], np.arange(self.blocks + 1) * BLOCK)
+        for i in np.flatnonzero(cut[1:] > cut[:-1]):
+            if i not in self.at:
+                self.at[i] = map_arrays(f"{self.folder}/{i:05d}")["n"]
+            rows = order[cut[i] : cut[i + 1]]
+            out[rows] = self.at[i][bucket[rows] - i * BLOCK]
+        return out
 
 
-def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How many sets of the table have a shingle of each bucket. Every task adds up a vector of fixed size."""
+@functools.lru_cache(maxsize=2)
+def opened(folder: str, blocks: int) -> Counts:
+    return Counts(folder, blocks)
+
+
+def shingle_counts(docs: DataFrame, width: int) -> tuple[str, int]:
+    """Count the shingles of all texts; (folder, number of blocks) of the files.
+
+    Tasks send sorted bucket numbers as gaps, about a byte for each shingle.
+    """
+    spark = docs.sparkSession
+    folder = new_dir(spark, "shingles")
+    fs, path = pa.fs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    blocks = max(1, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (8 * BLOCK) + 1  # a shingle for some eight bytes
+    table = Counts(folder, blocks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.uint32)
-        for batch in batches:
-            for part in portions(batch):
-                s = shingles(part.column(0), width)
-                total += np.bincount((np.concatenate(s) >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS).astype(np.uint32)
-        rows = [_thin(b) for b in np.split(total, BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(rows, pa.binary())], ["block", "counts"])
+        held, size = [], 0
 
-    def add(batches: pa.Table) -> pa.Table:
-        out = np.zeros(BUCKETS // BLOCKS, np.uint32)
-        for x in batches.column("counts"):
-            out += _thick(x.as_py())
-        return pa.table({"block": batches.column("block")[:1], "counts": pa.array([_thin(out)], pa.binary())})
+        def out() -> Iterator[pa.RecordBatch]:
+            b = np.sort(np.concatenate(held))
+            cut = np.searchsorted(b, np.arange(blocks + 1) * BLOCK)
+            for i in np.flatnonzero(cut[1:] > cut[:-1]):
+                gaps = np.diff(b[cut[i] : cut[i + 1]] - i * BLOCK, prepend=0).astype("<u4")
+                blob = zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([blob], pa.binary())], ["block", "gaps"])
 
-    parts = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    held = {r.block: _thick(bytes(r.counts)) for r in parts}
-    return np.concatenate([held.get(b, np.zeros(BUCKETS // BLOCKS, np.uint32)) for b in range(BLOCKS)])
+        for batch in batches:
+            for part in portions(batch):
+                for s in shingles(part.column(0), width):
+                    held.append(table.bucket(s))
+                    size += len(s)
+                if size >= HELD:
+                    yield from out()
+                    held, size = [], 0
+        if size:
+            yield from out()
+
+    def write(rows: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.int64)
+        for x in rows.column("gaps").to_pylist():
+            gaps = np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+            total += np.bincount(np.cumsum(gaps, dtype=np.int64), minlength=BLOCK)
+        block = rows.column("block")[0].as_py()
+        write_arrays(f"{folder}/{block:05d}", {"n": np.minimum(total, 255).astype(np.uint8)})
+        return pa.table({"block": pa.array([block], pa.int32())})
+
+    done = {r.block for r in saved(docs.select("text").mapInArrow(count, "block int, gaps binary").groupBy("block").applyInArrow(write, "block int")).collect()}
+    for i in set(range(blocks)) - done:
+        write_arrays(f"{folder}/{i:05d}", {"n": np.zeros(BLOCK, np.uint8)})
+    return folder, blocks
 
 
 def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n, node, gid, prefix): set size, set, group of equal prefix and size, and the prefix's hashes, rarest first."""
-    held = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, width))
+    folder, blocks = shingle_counts(docs, width)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = held.value
+        common = opened(folder, blocks)
         for batch in batches:
             for part in portions(batch):
                 n, node, gid, prefix = [], [], [], []
-                for s in shingles(part.column(1), width):
-                    order = np.lexsort((s, common[(s >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1)]))
+                sets = shingles(part.column(1), width)
+                counts = np.split(common(np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1])
+                for s, seen in zip(sets, counts, strict=True):
+                    order = np.argsort(seen, kind="stable")  # s rises, so ties stand in order of hash
                     p = s[order[: prefix_size(len(s), percent)]] if len(s) else s
                     n.append(len(s))
                     node.append(set_key(s))
@@ -212,11 +265,11 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     null ids take part but name no component unless they are alone; an empty table gives no
     rows; other columns are ignored.
     """
-    base = stored(described(docs, width, percent), "described")
-    nodes = stored(base.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("rep")), "nodes")
+    base = saved(described(docs, width, percent))
+    nodes = saved(base.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("rep")))
     slim = nodes.select("node", "n", "gid", "rep")
     heads = saved(slim.groupBy("gid").agg(F.first("n").alias("n"), F.min("node").alias("head")))
-    shared = stored(meet(nodes), "shared")
+    shared = saved(meet(nodes))
 
     # round one: groups that are neighbours in many lists, and members with the head of their group
     left, right = heads.select(F.col("gid"), F.col("n").alias("n1"), F.col("head").alias("h1")), heads.select(F.col("gid").alias("next"), F.col("n").alias("n2"), F.col("head").alias("h2"))
@@ -234,13 +287,15 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     by_group = at.select("gid", "comp").distinct()
     rows = shared.drop("next").join(by_group, "gid")
     open_ = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rows = stored(rows.join(open_, "token"), "open")
+    rows = saved(rows.join(open_, "token"))
     one = rows.select("token", *(F.col(c).alias(c + "1") for c in ("gid", "n", "pos", "comp")))
     two = rows.select("token", *(F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "comp")))
     need = (F.col("n1") + F.col("n2")) * percent / (100 + percent) - 1e-6
     pairs = (
         one.join(two, "token")
         .where((F.col("comp1") < F.col("comp2")) & (F.col("gid1") != F.col("gid2")) & sizes_fit(F.col("n1"), F.col("n2"), percent))
+        # what is shared before this place is no more than stands before it in either, what is shared from it on no more than stands there
+        .where(F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need)
         .groupBy("gid1", "comp1", "gid2", "comp2", "n1", "n2")
         .agg(F.count("*").alias("c"), F.max("pos1").alias("l1"), F.max("pos2").alias("l2"))
         .where(F.col("c") + F.least(F.col("n1") - F.col("l1"), F.col("n2") - F.col("l2")) - 1 >= need)
