@@ -149,9 +149,9 @@ def shingle_counts(docs: DataFrame, width: int) -> tuple[str, int]:
     return folder, blocks
 
 
-def described(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def described(docs: DataFrame, width: int, percent: int, counted: tuple[str, int]) -> DataFrame:
     """(doc_id, n, node, gid, prefix): set size, set, group of equal prefix and size, and the prefix's hashes, rarest first."""
-    folder, blocks = shingle_counts(docs, width)
+    folder, blocks = counted
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = opened(folder, blocks)
@@ -265,7 +265,10 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     null ids take part but name no component unless they are alone; an empty table gives no
     rows; other columns are ignored.
     """
-    base = saved(described(docs, width, percent))
+    counted = shingle_counts(docs, width)
+    base = saved(described(docs, width, percent, counted))
+    fs, path = pa.fs.FileSystem.from_uri(counted[0])
+    fs.delete_dir(path)  # what was made with them is kept
     nodes = saved(base.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("rep")))
     slim = nodes.select("node", "n", "gid", "rep")
     heads = saved(slim.groupBy("gid").agg(F.first("n").alias("n"), F.min("node").alias("head")))
