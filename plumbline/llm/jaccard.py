@@ -5,7 +5,8 @@ the whole table (rare ones first). Two sets with enough in common share a shingl
 within the first tenth of either (prefix filter). Texts of one set are one node;
 nodes of one prefix and size are one group, and groups, not nodes, meet by shared
 prefix shingles. Group pairs that pass the filters on size and on the positions of
-what they share are expanded to their members and verified on whole sets.
+what they share are expanded to their members, which parity bits tell apart without
+their texts, and verified on whole sets.
 
 Big families of near copies would still give all their pairs, so links are found in
 two rounds. The first verifies a few pairs: in the list of each prefix shingle every
@@ -34,6 +35,8 @@ from .hashing import Words, mix, portions
 
 #: Buckets in a file of counts; shingles that a task holds before it sends them.
 BLOCK, HELD = 1 << 22, 4_000_000
+#: Bits that tell sets apart before their texts are fetched.
+PARITY = 512
 #: So many ids at most are broadcast to fetch texts by id.
 BROADCAST_IDS = 200_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -65,6 +68,18 @@ def set_key(s: np.ndarray) -> bytes:
     return np.array([mix(s * _K[1]).sum(dtype=np.uint64), mix(s + _K[2]).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
+def parity(s: np.ndarray) -> list[int]:
+    """PARITY bits, each the parity of the shingles that hash to it, as longs. Two sets differ in at least as many shingles as bits."""
+    bits = np.bincount((mix(s ^ _K[3]) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
+def may_link(x: str, y: str, n1: Column, n2: Column, percent: int) -> Column:
+    """False only where the parity bits ``x`` and ``y`` show that two sets differ in more shingles than similar ones can."""
+    differ = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, PARITY // 64)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+    return differ <= (n1 + n2) * (100 - percent) / (100 + percent) + 1e-6
+
+
 def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -150,14 +165,14 @@ def shingle_counts(docs: DataFrame, width: int) -> tuple[str, int]:
 
 
 def described(docs: DataFrame, width: int, percent: int, counted: tuple[str, int]) -> DataFrame:
-    """(doc_id, n, node, gid, prefix): set size, set, group of equal prefix and size, and the prefix's hashes, rarest first."""
+    """(doc_id, n, node, gid, prefix, bits): set size, set, group of equal prefix and size, the prefix's hashes, rarest first, and parity bits."""
     folder, blocks = counted
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = opened(folder, blocks)
         for batch in batches:
             for part in portions(batch):
-                n, node, gid, prefix = [], [], [], []
+                n, node, gid, prefix, bits = [], [], [], [], []
                 sets = shingles(part.column(1), width)
                 counts = np.split(common(np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1])
                 for s, seen in zip(sets, counts, strict=True):
@@ -168,10 +183,11 @@ def described(docs: DataFrame, width: int, percent: int, counted: tuple[str, int
                     placed = np.append(p * _K[3] + np.arange(len(p), dtype=np.uint64), np.uint64(len(s)))
                     gid.append(int(mix(placed).sum(dtype=np.uint64).astype(np.int64)))
                     prefix.append(p.tobytes())
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "gid", "prefix"])
+                    bits.append(parity(s))
+                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "gid", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n long, node binary, gid long, prefix binary")
+    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n long, node binary, gid long, prefix binary, bits array<long>")
 
 
 def meet(nodes: DataFrame) -> DataFrame:
@@ -269,8 +285,9 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     base = saved(described(docs, width, percent, counted))
     fs, path = pa.fs.FileSystem.from_uri(counted[0])
     fs.delete_dir(path)  # what was made with them is kept
-    nodes = saved(base.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("rep")))
+    nodes = saved(base.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep")))
     slim = nodes.select("node", "n", "gid", "rep")
+    bits = nodes.select("node", "bits")
     heads = saved(slim.groupBy("gid").agg(F.first("n").alias("n"), F.min("node").alias("head")))
     shared = saved(meet(nodes))
 
@@ -286,28 +303,34 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     def placed(links: DataFrame) -> DataFrame:
         return slim.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    at = saved(placed(links))
-    by_group = at.select("gid", "comp").distinct()
+    full = saved(placed(links).join(bits, "node"))
+    # a group of one member has that member's bits, and pairs of groups are filtered by them already
+    by_group = full.groupBy("gid", "comp").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
     rows = shared.drop("next").join(by_group, "gid")
     open_ = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     rows = saved(rows.join(open_, "token"))
-    one = rows.select("token", *(F.col(c).alias(c + "1") for c in ("gid", "n", "pos", "comp")))
-    two = rows.select("token", *(F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "comp")))
+    one = rows.select("token", *(F.col(c).alias(c + "1") for c in ("gid", "n", "pos", "comp", "bits")))
+    two = rows.select("token", *(F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "comp", "bits")))
     need = (F.col("n1") + F.col("n2")) * percent / (100 + percent) - 1e-6
     pairs = (
         one.join(two, "token")
         .where((F.col("comp1") < F.col("comp2")) & (F.col("gid1") != F.col("gid2")) & sizes_fit(F.col("n1"), F.col("n2"), percent))
+        .where(F.coalesce(may_link("bits1", "bits2", F.col("n1"), F.col("n2"), percent), F.lit(True)))
         # what is shared before this place is no more than stands before it in either, what is shared from it on no more than stands there
         .where(F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need)
         .groupBy("gid1", "comp1", "gid2", "comp2", "n1", "n2")
         .agg(F.count("*").alias("c"), F.max("pos1").alias("l1"), F.max("pos2").alias("l2"))
         .where(F.col("c") + F.least(F.col("n1") - F.col("l1"), F.col("n2") - F.col("l2")) - 1 >= need)
     )
-    m1, m2 = (at.select(F.col("gid").alias(f"gid{i}"), F.col("comp").alias(f"comp{i}"), F.col("node").alias(x)) for i, x in ((1, "a"), (2, "b")))
-    across = pairs.join(m1, ["gid1", "comp1"]).join(m2, ["gid2", "comp2"]).select("a", "b")
+    m1, m2 = (full.select(F.col("gid").alias(f"gid{i}"), F.col("comp").alias(f"comp{i}"), F.col("node").alias(x), F.col("bits").alias(f"bits{i}")) for i, x in ((1, "a"), (2, "b")))
+    left = pairs.select("gid1", "comp1", "gid2", "comp2", "n1", "n2").join(m1, ["gid1", "comp1"]).alias("l")
+    meets = (F.col("l.gid2") == F.col("r.gid2")) & (F.col("l.comp2") == F.col("r.comp2")) & may_link("l.bits1", "r.bits2", F.col("l.n1"), F.col("l.n2"), percent)
+    across = left.join(m2.alias("r"), meets).select("a", "b")
     mixed = by_group.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select("gid")
-    inside = at.join(mixed, "gid")
-    within = inside.select("gid", F.col("node").alias("a"), F.col("comp").alias("c1")).join(inside.select("gid", F.col("node").alias("b"), F.col("comp").alias("c2")), "gid").where("c1 < c2").select("a", "b")
+    inside = full.join(mixed, "gid")
+    l, r = (inside.select("gid", "n", F.col("node").alias(x), "comp", "bits").alias(side) for side, x in (("l", "a"), ("r", "b")))
+    meets = (F.col("l.gid") == F.col("r.gid")) & (F.col("l.comp") < F.col("r.comp")) & may_link("l.bits", "r.bits", F.col("l.n"), F.col("r.n"), percent)
+    within = l.join(r, meets).select("a", "b")
     more = verified(saved(across.union(within).distinct()), slim, docs, width, percent)
 
     last = placed(links.union(more))
