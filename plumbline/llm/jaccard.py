@@ -300,10 +300,8 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     links = verified(saved(near.union(own).distinct()), slim, docs, width, percent)
 
     # round two: all pairs of groups that share a prefix shingle, but for those in one component already
-    def placed(links: DataFrame) -> DataFrame:
-        return slim.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-    full = saved(placed(links).join(bits, "node"))
+    placed = slim.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    full = saved(placed.join(bits, "node"))
     # a group of one member has that member's bits, and pairs of groups are filtered by them already
     by_group = full.groupBy("gid", "comp").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
     rows = shared.drop("next").join(by_group, "gid")
@@ -333,7 +331,11 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     within = l.join(r, meets).select("a", "b")
     more = verified(saved(across.union(within).distinct()), slim, docs, width, percent)
 
-    last = placed(links.union(more))
+    # what the second round links are components of the first; however many links join two of them, they count as one
+    of = lambda x: full.select(F.col("node").alias(x), F.col("comp").alias("c" + x))
+    between = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b").distinct()
+    top = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    last = full.join(top, "comp", "left").select("node", "rep", F.coalesce("top", "comp").alias("comp"))
     least = saved(last.groupBy("comp").agg(F.min("rep").alias("least")))
     named = last.select("node", "comp").join(least, "comp").select("node", "least")
     return base.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
