@@ -11,9 +11,9 @@ are smoothed by interpolated absolute discounting and quantised to 256 values a
 and shard. Scoring tasks map the shards into memory and look up a batch at a time.
 
 A word's hash stands for the word: two words of one hash (odds of 1 in 10^5 for ten
-million words) would count as one. Pairs and triples are kept from ``LEAST``
-occurrences on, those of words that occur as often; the mass of the rest goes to the
-shorter context, so that every context's probabilities still sum to one.
+million words) would count as one. All pairs and triples are kept, once-seen ones
+included; what the discount takes from each goes to the shorter context, so that every
+context's probabilities sum to one.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ from .hashing import Words, mix, portions
 _U = np.uint64
 #: The hash of the end of a text.
 END = mix(np.array([0xE0F], _U))[0]
-#: Least count of kept pairs and triples; keys that a task holds before it adds up; most shards (their sizes, not their number, grow beyond); bytes of text looked up together.
-LEAST, HELD, SHARDS, PORTION = 2, 4_000_000, 256, 2 << 20
+#: Keys that a task holds before it adds up; most shards (their sizes, not their number, grow beyond); bytes of text looked up together.
+HELD, SHARDS, PORTION = 4_000_000, 256, 2 << 20
 BLOB = "shard int, keys binary, counts binary"
 
 
@@ -124,6 +124,13 @@ def discount(count: np.ndarray) -> float:
     return min(max(one / (one + 2 * two), 0.1), 0.95) if one else 0.5
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted numbers: the distinct ones, the first place of each, and which of them each is."""
+    new = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    return x[first], first, np.cumsum(new) - 1
+
+
 def _rising(context: np.ndarray, number: np.ndarray, span: int) -> np.ndarray:
     return context.astype(_U) * _U(span) + number.astype(_U)
 
@@ -244,16 +251,15 @@ def sequences(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return hashes, doc
 
 
-def looked_up(trie: Trie, words: Words, least: int = 1) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """(what ``Trie.words`` says of every token, text of each); words below ``least`` count as having no id."""
+def looked_up(trie: Trie, words: Words) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(what ``Trie.words`` says of every token, text of each)."""
     hashes, doc = sequences(words)
     kinds, back = np.unique(hashes, return_inverse=True)
     got = trie.words(kinds)
-    got["id"] = np.where(got["count"] >= least, got["id"], -1)
     return {k: v[back] for k, v in got.items()}, doc
 
 
-def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Model:
+def build(docs: DataFrame, shards: int | None = None) -> Model:
     """Train on ``docs`` (text): three counting jobs, each writing one level of every shard. A null text is an empty one."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
@@ -291,7 +297,7 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
         tally = Tally(lambda k: np.searchsorted(trie.bases, (k >> _U(bits)).astype(np.int64), "right") - 1)
         for batch in batches:
             for part in portions(batch, limit=PORTION):
-                got, doc = looked_up(trie, Words(part.column(0)), least)
+                got, doc = looked_up(trie, Words(part.column(0)))
                 ids = got["id"]
                 ok = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (doc[1:] == doc[:-1]))
                 yield from tally.add((ids[ok].astype(_U) << _U(bits)) | ids[ok + 1].astype(_U))
@@ -301,10 +307,8 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
         i, trie = table.column("shard")[0].as_py(), opened(model, 1)
         key, count = _summed(table)
         d = discount(count)
-        keep = count >= least
-        key, count = key[keep], count[keep]
         a, b = (key >> _U(bits)).astype(np.int64) - trie.bases[i], (key & _U((1 << bits) - 1)).astype(np.int64)
-        heads, first, context = np.unique(a, return_index=True, return_inverse=True)
+        heads, first, context = _runs(a)
         total = trie.shard(i).count[heads]
         own = (count - d) / total[context]
         back = np.maximum(1 - np.bincount(context, weights=own, minlength=len(heads)), 1e-9)
@@ -316,7 +320,7 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
             EliasFano.build(heads.astype(_U), "has")
             | EliasFano.build(_rising(context, b, model.vocabulary), "next")
             | EliasFano.build(np.append(first, len(key)).astype(_U), "begin")
-            | {"span": np.array([model.vocabulary]), "p": p, "book": book, "count": count, "back": weight, "back_book": weight_book},
+            | {"span": np.array([model.vocabulary]), "p": p, "book": book, "count": count.astype("<u4"), "back": weight, "back_book": weight_book},
         )
         most = int(np.bincount(context).max(initial=0)) if len(context) else 0
         return pa.table({"shard": pa.array([i], pa.int32()), "n": pa.array([len(key)], pa.int64()), "most": pa.array([most], pa.int64())})
@@ -328,7 +332,7 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
             write_arrays(f"{folder}/{name}-{i:05d}", arrays | extra)
 
     made = saved(texts.mapInArrow(count_pairs, BLOB).groupBy("shard").applyInArrow(write_pairs, "shard int, n long, most long")).collect()
-    fill("pairs", {r.shard for r in made}, EliasFano.build(np.empty(0, _U), "begin") | {"count": np.empty(0, np.int64)})
+    fill("pairs", {r.shard for r in made}, EliasFano.build(np.empty(0, _U), "begin") | {"count": np.empty(0, "<u4")})
 
     held = {r.shard: r.n for r in made}
     pair_bases = (0, *itertools.accumulate(held.get(i, 0) for i in range(S)))
@@ -341,7 +345,7 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
         tally = Tally(lambda k: np.searchsorted(base, (k >> rank_bits).astype(np.int64), "right") - 1)
         for batch in batches:
             for part in portions(batch, limit=PORTION):
-                got, doc = looked_up(trie, Words(part.column(0)), least)
+                got, doc = looked_up(trie, Words(part.column(0)))
                 at, rank = paired(trie, got, doc)[:2]
                 ok = np.flatnonzero((at[1:-1] >= 0) & (rank[2:] >= 0)) + 2 if len(at) > 2 else np.empty(0, np.int64)
                 pair = base[got["shard"][ok - 2]] + at[ok - 1]
@@ -352,11 +356,9 @@ def build(docs: DataFrame, shards: int | None = None, least: int = LEAST) -> Mod
         i, trie = table.column("shard")[0].as_py(), opened(model, 2)
         key, count = _summed(table)
         d = discount(count)
-        keep = count >= least
-        key, count = key[keep], count[keep]
         s = trie.shard(i)
         pair, rank = (key >> rank_bits).astype(np.int64) - pair_bases[i], (key & _U((1 << model.rank_bits) - 1)).astype(np.int64)
-        heads, context = np.unique(pair, return_inverse=True)
+        heads, _, context = _runs(pair)
         own = (count - d) / s.count2[heads][context]
         back = np.maximum(1 - np.bincount(context, weights=own, minlength=len(heads)), 1e-9)
         # p of the third word after the second alone, from the second's shard

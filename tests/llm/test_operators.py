@@ -202,6 +202,21 @@ def test_lm_beats_its_base(spark):
         assert r.score > 0.5 * r.base_score
 
 
+def test_lm_keeps_what_occurs_once(spark):
+    rnd = random.Random(17)
+    rows = [(i, " ".join(rnd.choices([f"v{k}" for k in range(300)], k=40))) for i in range(60)]
+    quoted = " ".join(rows[7][1].split(" ")[5:25])
+    model = lm.build(frame(spark, rows), shards=3)
+    tokens = [[*words_of(t), None] for _, t in rows]
+    assert model.pair_bases[-1] == len({tuple(x[k : k + 2]) for x in tokens for k in range(len(x) - 1)})
+    assert sum(lm.Trie(model, 3).shard(i).next3.n for i in range(3)) == len({tuple(x[k : k + 3]) for x in tokens for k in range(len(x) - 2)})
+    # a passage of one training text against the same words in another order
+    shuffled = quoted.split(" ")
+    rnd.shuffle(shuffled)
+    a, b = sorted(lm.score(frame(spark, [(1, quoted), (2, " ".join(shuffled))]), model).collect(), key=lambda r: r.doc_id)
+    assert abs(a.base_score - b.base_score) < 1e-6 and a.score > b.score + 10
+
+
 # ---- 6 token files ----
 def test_token_files(spark, odd):
     path = public_tokenizers.path("word_bpe_49k.json")
