@@ -9,6 +9,8 @@ each entry to its successors below. A triple's last word is stored by its place
 the successors of the middle word, which is what the search looks for. Probabilities
 are smoothed by interpolated absolute discounting and quantised to 256 values a level
 and shard. Scoring tasks map the shards into memory and look up a batch at a time.
+The number of shards follows the bytes of text; triples have shards of their own, cut
+by the counts of their pairs, so that a frequent first word spreads over several.
 
 A word's hash stands for the word: two words of one hash (odds of 1 in 10^5 for ten
 million words) would count as one. All pairs and triples are kept, once-seen ones
@@ -29,15 +31,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, parts, saved
+from .common import new_dir, saved
 from .eliasfano import EliasFano, map_arrays, write_arrays
 from .hashing import Words, mix, portions
 
 _U = np.uint64
 #: The hash of the end of a text.
 END = mix(np.array([0xE0F], _U))[0]
-#: Keys that a task holds before it adds up; most shards (their sizes, not their number, grow beyond); bytes of text looked up together.
-HELD, SHARDS, PORTION = 4_000_000, 256, 2 << 20
+#: Keys that a task holds before it adds up; bytes of text for each shard; most shards of words and pairs; occurrences of pairs for each shard of triples; bytes of text looked up together.
+HELD, SHARD_BYTES, SHARDS, TRIPLES, PORTION = 4_000_000, 16 << 20, (1 << 16) - 1, 3_000_000, 2 << 20
 BLOB = "shard int, keys binary, counts binary"
 
 
@@ -49,6 +51,7 @@ class Model:
     tokens: int
     pair_bases: tuple[int, ...] = ()  # likewise for pairs
     rank_bits: int = 0  # bits for a word's place among the successors of another
+    triple_bases: tuple[int, ...] = (0,)  # first pair of each shard of triples, then the number of pairs
 
     @property
     def vocabulary(self) -> int:
@@ -98,14 +101,24 @@ def _bits(*sizes: int) -> None:
 
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of a shard from the blobs of all tasks."""
-    keys = [_expand(x) for x in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(zstandard.decompress(x), "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(count, first)
+    """Sorted keys and counts of a shard from the blobs of all tasks, added up as they come: no more is held than about twice the distinct keys."""
+    key, count = np.empty(0, _U), np.empty(0, np.int64)
+    held, size = [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = np.concatenate([key, *(k for k, _ in held)]), np.concatenate([count, *(c for _, c in held)])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(counts, first)
+
+    for k, c in zip(table.column("keys"), table.column("counts"), strict=True):
+        held.append((_expand(k.as_py()), np.frombuffer(zstandard.decompress(c.as_py()), "<u4").astype(np.int64)))
+        size += len(held[-1][0])
+        if size >= max(HELD // 4, len(key)):
+            key, count = merged()
+            held, size = [], 0
+    return merged() if held else (key, count)
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +149,7 @@ def _rising(context: np.ndarray, number: np.ndarray, span: int) -> np.ndarray:
 
 
 class Shard:
-    """Views of one shard's levels."""
+    """Views of one shard's words and pairs."""
 
     def __init__(self, folder: str, i: int, levels: int):
         a = map_arrays(f"{folder}/words-{i:05d}")
@@ -145,10 +158,23 @@ class Shard:
             a = map_arrays(f"{folder}/pairs-{i:05d}")
             self.has, self.next, self.begin = EliasFano(a, "has"), EliasFano(a, "next"), EliasFano(a, "begin")
             self.span2, self.p2, self.book2, self.count2, self.back1, self.back1_book = int(a["span"][0]), a["p"], a["book"], a["count"], a["back"], a["back_book"]
-        if levels >= 3:
-            a = map_arrays(f"{folder}/triples-{i:05d}")
-            self.has3, self.next3 = EliasFano(a, "has"), EliasFano(a, "next")
-            self.span3, self.p3, self.book3, self.back2, self.back2_book = int(a["span"][0]), a["p"], a["book"], a["back"], a["back_book"]
+
+
+class Triples:
+    """Views of one shard of triples."""
+
+    def __init__(self, folder: str, i: int):
+        a = map_arrays(f"{folder}/triples-{i:05d}")
+        self.has, self.next = EliasFano(a, "has"), EliasFano(a, "next")
+        self.span, self.p, self.book, self.back, self.back_book = int(a["span"][0]), a["p"], a["book"], a["back"], a["back_book"]
+
+
+def _grouped(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs, with its rows."""
+    order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    for i in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        yield i, order[cut[i] : cut[i + 1]]
 
 
 @functools.lru_cache(maxsize=4)
@@ -162,7 +188,9 @@ class Trie:
     def __init__(self, model: Model, levels: int):
         self.model, self.levels = model, levels
         self.bases = np.array(model.bases, np.int64)
+        self.triple_bases = np.array(model.triple_bases, np.int64)
         self.at: dict[int, Shard] = {}
+        self.third: dict[int, Triples] = {}
 
     def shard(self, i: int) -> Shard:
         if i not in self.at:
@@ -170,11 +198,8 @@ class Trie:
         return self.at[i]
 
     def by_shard(self, shard: np.ndarray) -> Iterator[tuple[Shard, int, np.ndarray]]:
-        order = np.argsort(shard.astype(np.uint16), kind="stable")
-        cut = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
-        for i in range(self.model.shards):
-            if cut[i + 1] > cut[i]:
-                yield self.shard(i), i, order[cut[i] : cut[i + 1]]
+        for i, rows in _grouped(shard, self.model.shards):
+            yield self.shard(i), i, rows
 
     def words(self, hashes: np.ndarray) -> dict[str, np.ndarray]:
         """Of each hash: id (-1 for a word that is not in the vocabulary), count, shard, and place of the word among those with successors (-1: none)."""
@@ -220,18 +245,21 @@ class Trie:
         n = len(at)
         found, p, back = np.zeros(n, bool), np.zeros(n), np.zeros(n)
         known = np.flatnonzero(at >= 0)
-        for s, _, some in self.by_shard(shard[known]):
-            rows = known[some]
-            c = s.has3.find(at[rows].astype(_U))
+        pair = np.array(self.model.pair_bases, np.int64)[shard[known]] + at[known]
+        for i, some in _grouped(np.searchsorted(self.triple_bases, pair, "right") - 1, len(self.triple_bases) - 1):
+            if i not in self.third:
+                self.third[i] = Triples(self.model.folder, i)
+            s, rows = self.third[i], known[some]
+            c = s.has.find((pair[some] - self.triple_bases[i]).astype(_U))
             ok = c >= 0
             rows, c = rows[ok], c[ok]
-            back[rows] = s.back2_book[s.back2[c]]
+            back[rows] = s.back_book[s.back[c]]
             ok = rank[rows] >= 0
             rows, c = rows[ok], c[ok]
-            k = s.next3.find(_rising(c, rank[rows], s.span3))
+            k = s.next.find(_rising(c, rank[rows], s.span))
             ok = k >= 0
             found[rows[ok]] = True
-            p[rows[ok]] = s.book3[s.p3[k[ok]]]
+            p[rows[ok]] = s.book[s.p[k[ok]]]
         return found, p, back
 
 
@@ -263,7 +291,7 @@ def build(docs: DataFrame, shards: int | None = None) -> Model:
     """Train on ``docs`` (text): three counting jobs, each writing one level of every shard. A null text is an empty one."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    S = shards or min(SHARDS, max(1, parts(spark) // 4))
+    S = shards or min(SHARDS, max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)))
     folder = new_dir(spark, "lm")
     pa.fs.FileSystem.from_uri(folder)[0].create_dir(pa.fs.FileSystem.from_uri(folder)[1], recursive=True)
 
@@ -323,26 +351,28 @@ def build(docs: DataFrame, shards: int | None = None) -> Model:
             | {"span": np.array([model.vocabulary]), "p": p, "book": book, "count": count.astype("<u4"), "back": weight, "back_book": weight_book},
         )
         most = int(np.bincount(context).max(initial=0)) if len(context) else 0
-        return pa.table({"shard": pa.array([i], pa.int32()), "n": pa.array([len(key)], pa.int64()), "most": pa.array([most], pa.int64())})
+        cuts = np.flatnonzero(np.diff((np.cumsum(count) - count) // TRIPLES, prepend=-1)).tolist()
+        return pa.table({"shard": pa.array([i], pa.int32()), "n": pa.array([len(key)], pa.int64()), "most": pa.array([most], pa.int64()), "cuts": pa.array([cuts], pa.list_(pa.int64()))})
 
-    def fill(name: str, done: set[int], extra: dict[str, np.ndarray]) -> None:
+    def fill(name: str, n: int, done: set[int], extra: dict[str, np.ndarray]) -> None:
         empty = np.empty(0, _U)
-        for i in set(range(S)) - done:
+        for i in set(range(n)) - done:
             arrays = EliasFano.build(empty, "has") | EliasFano.build(empty, "next") | {"span": np.array([1]), "p": np.empty(0, np.uint8), "book": np.zeros(256, np.float32), "back": np.empty(0, np.uint8), "back_book": np.zeros(256, np.float32)}
             write_arrays(f"{folder}/{name}-{i:05d}", arrays | extra)
 
-    made = saved(texts.mapInArrow(count_pairs, BLOB).groupBy("shard").applyInArrow(write_pairs, "shard int, n long, most long")).collect()
-    fill("pairs", {r.shard for r in made}, EliasFano.build(np.empty(0, _U), "begin") | {"count": np.empty(0, "<u4")})
+    made = saved(texts.mapInArrow(count_pairs, BLOB).groupBy("shard").applyInArrow(write_pairs, "shard int, n long, most long, cuts array<long>")).collect()
+    fill("pairs", S, {r.shard for r in made}, EliasFano.build(np.empty(0, _U), "begin") | {"count": np.empty(0, "<u4")})
 
     held = {r.shard: r.n for r in made}
     pair_bases = (0, *itertools.accumulate(held.get(i, 0) for i in range(S)))
-    model = replace(model, pair_bases=pair_bases, rank_bits=max((r.most for r in made), default=0).bit_length())
+    triple_bases = (*(pair_bases[r.shard] + c for r in sorted(made) for c in r.cuts), pair_bases[-1])
+    model = replace(model, pair_bases=pair_bases, triple_bases=triple_bases, rank_bits=max((r.most for r in made), default=0).bit_length())
     _bits(pair_bases[-1].bit_length(), model.rank_bits)
     rank_bits = _U(model.rank_bits)
 
     def count_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, base = opened(model, 2), np.array(pair_bases, np.int64)
-        tally = Tally(lambda k: np.searchsorted(base, (k >> rank_bits).astype(np.int64), "right") - 1)
+        tally = Tally(lambda k: np.searchsorted(trie.triple_bases, (k >> rank_bits).astype(np.int64), "right") - 1)
         for batch in batches:
             for part in portions(batch, limit=PORTION):
                 got, doc = looked_up(trie, Words(part.column(0)))
@@ -356,13 +386,15 @@ def build(docs: DataFrame, shards: int | None = None) -> Model:
         i, trie = table.column("shard")[0].as_py(), opened(model, 2)
         key, count = _summed(table)
         d = discount(count)
-        s = trie.shard(i)
-        pair, rank = (key >> rank_bits).astype(np.int64) - pair_bases[i], (key & _U((1 << model.rank_bits) - 1)).astype(np.int64)
+        # all pairs of a shard of triples are of one shard of pairs
+        j = int(np.searchsorted(np.array(pair_bases, np.int64), triple_bases[i], "right")) - 1
+        s, start = trie.shard(j), triple_bases[i] - pair_bases[j]
+        pair, rank = (key >> rank_bits).astype(np.int64) - triple_bases[i], (key & _U((1 << model.rank_bits) - 1)).astype(np.int64)
         heads, _, context = _runs(pair)
-        own = (count - d) / s.count2[heads][context]
+        own = (count - d) / s.count2[heads + start][context]
         back = np.maximum(1 - np.bincount(context, weights=own, minlength=len(heads)), 1e-9)
         # p of the third word after the second alone, from the second's shard
-        middle = (s.next.get(pair) % _U(s.span2)).astype(np.int64)
+        middle = (s.next.get(pair + start) % _U(s.span2)).astype(np.int64)
         lower = np.zeros(len(pair))
         for t, j, rows in trie.by_shard(np.searchsorted(trie.bases, middle, "right") - 1):
             c = t.has.find((middle[rows] - trie.bases[j]).astype(_U))
@@ -379,7 +411,7 @@ def build(docs: DataFrame, shards: int | None = None) -> Model:
         return pa.table({"shard": pa.array([i], pa.int32()), "n": pa.array([len(key)], pa.int64())})
 
     made = saved(texts.mapInArrow(count_triples, BLOB).groupBy("shard").applyInArrow(write_triples, "shard int, n long")).collect()
-    fill("triples", {r.shard for r in made}, {})
+    fill("triples", len(triple_bases) - 1, {r.shard for r in made}, {})
     return model
 
 

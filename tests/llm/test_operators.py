@@ -209,7 +209,7 @@ def test_lm_keeps_what_occurs_once(spark):
     model = lm.build(frame(spark, rows), shards=3)
     tokens = [[*words_of(t), None] for _, t in rows]
     assert model.pair_bases[-1] == len({tuple(x[k : k + 2]) for x in tokens for k in range(len(x) - 1)})
-    assert sum(lm.Trie(model, 3).shard(i).next3.n for i in range(3)) == len({tuple(x[k : k + 3]) for x in tokens for k in range(len(x) - 2)})
+    assert sum(lm.Triples(model.folder, i).next.n for i in range(len(model.triple_bases) - 1)) == len({tuple(x[k : k + 3]) for x in tokens for k in range(len(x) - 2)})
     # a passage of one training text against the same words in another order
     shuffled = quoted.split(" ")
     rnd.shuffle(shuffled)
@@ -217,6 +217,23 @@ def test_lm_keeps_what_occurs_once(spark):
     assert abs(a.base_score - b.base_score) < 1e-6 and a.score > b.score + 10
 
 
+def test_lm_shards_follow_the_text(spark, monkeypatch):
+    rnd = random.Random(18)
+    # half of all words are one word, so most triples of its shard begin with it
+    rows = [(i, " ".join(w for _ in range(40) for w in ("hot", f"v{rnd.randrange(200)}"))) for i in range(60)]
+    whole = lm.build(frame(spark, rows))
+    for name, value in (("SHARD_BYTES", 4000), ("TRIPLES", 500), ("HELD", 300)):
+        monkeypatch.setattr(lm, name, value)
+    model = lm.build(frame(spark, rows))
+    assert whole.shards == 1 and model.shards == -(-sum(len(t) for _, t in rows) // 4000)
+    sizes = [lm.Triples(model.folder, i).next.n for i in range(len(model.triple_bases) - 1)]
+    tokens = [[*words_of(t), None] for _, t in rows]
+    assert sum(sizes) == len({tuple(x[k : k + 3]) for x in tokens for k in range(len(x) - 2)}) and max(sizes) < 600
+    assert (model.tokens, model.vocabulary, model.pair_bases[-1]) == (whole.tokens, whole.vocabulary, whole.pair_bases[-1])
+    one, two = (sorted((r.doc_id, r.score) for r in lm.score(frame(spark, rows), m).collect()) for m in (whole, model))
+    assert all(abs(a - b) < 0.1 * abs(a) for (_, a), (_, b) in zip(one, two, strict=True))
+
+
 # ---- 6 token files ----
 def test_token_files(spark, odd):
     path = public_tokenizers.path("word_bpe_49k.json")
