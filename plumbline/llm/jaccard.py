@@ -251,6 +251,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
 
     # texts travel, not their sets: they are smaller, and a set is soon made
     held = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(keyed, "node binary, text string")
+    nameless = wanted.where("doc_id IS NULL").select("node")
+    if not nameless.isEmpty():  # sets that only rows with a null id have: their texts are found by the set
+        texts = docs.where("doc_id IS NULL").select("doc_id", "text").mapInArrow(keyed, "node binary, text string")
+        held = held.union(texts.join(nameless, "node").groupBy("node").agg(F.first("text").alias("text")))
     both = (
         pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
         .join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")

@@ -100,6 +100,18 @@ def test_jaccard(spark, odd):
         assert got == components_model(rows, width, percent)
 
 
+def test_jaccard_null_ids(spark):
+    w = [f"w{k}" for k in range(120)]
+    chain = [" ".join(w[i : i + 60]) for i in range(0, 10)]  # each is near the next two and no further
+    copies = [" ".join(["z", *w[60:118]]), " ".join(["y", *w[60:118]])]
+    rows = [(7, chain[0]), (None, chain[2]), (None, chain[4]), (None, chain[4]), (3, chain[6]), (None, copies[0]), (None, copies[1]), (20, "alone here")]
+    numbered = [(10**9 + k if i is None else i, t) for k, (i, t) in enumerate(rows)]
+    for width, percent in ((3, 90), (5, 80)):
+        want = [tuple(None if x >= 10**9 else x for x in r) for r in components_model(numbered, width, percent)]
+        got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(frame(spark, rows), width, percent).collect()]
+        assert Counter(got) == Counter(want) and (7, 61 - width, 3) in got
+
+
 def test_jaccard_odd(spark, odd):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(odd[1]).collect()]
     assert len(got) == len(odd[0]) and (1, 0, 1) in got and (None, 1, None) in got
