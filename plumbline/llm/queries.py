@@ -44,7 +44,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return tokenfile.read(tokenfile.write(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return tokenfile.read(tokenfile.write(docs, public_tokenizers.path("word_bpe_49k.json"), special_as_text=False))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

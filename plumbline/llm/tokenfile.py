@@ -53,10 +53,10 @@ class WordEncoder:
 
     MARK, CALL, CLOSING = "\x01", 256, b".,;:!?%&*$#"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.mark = self.library([self.MARK])[0]
         self.seen: dict[bytes, bytes] = {}
@@ -111,8 +111,8 @@ class WordEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, special_as_text: bool) -> WordEncoder:
+    return WordEncoder(path, special_as_text)
 
 
 class Writer:
@@ -193,17 +193,19 @@ class Reader:
         return self.views[b][k * self.length : (k + 1) * self.length], np.array(self.file.get_batch(b).column(1)[k].as_py())
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, length: int = LENGTH, batch: int = BATCH) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, length: int = LENGTH, batch: int = BATCH, special_as_text: bool = True) -> DataFrame:
     """Write ``docs`` (doc_id, text) and return the manifest: part, file, index, n_docs, n_ids, start.
 
     A null or empty text has the end id alone. Null ids come first; equal ids follow one
     another in any order. An empty table gives an empty manifest. Other columns are ignored.
+    The strings of special tokens in a text are ordinary text with ``special_as_text``;
+    without it they get their own ids, as from the library as loaded.
     """
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "ids")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, out, part = encoder(tokenizer_path), None, TaskContext.get().partitionId()
+        enc, out, part = encoder(tokenizer_path, special_as_text), None, TaskContext.get().partitionId()
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 some = b.slice(at, 64)

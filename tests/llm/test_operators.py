@@ -273,6 +273,22 @@ def test_token_files(spark, odd):
     assert tokenfile.read(tokenfile.write(odd[1], path)).count() == len(odd[0])
 
 
+def test_token_files_special(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    rnd = random.Random(9)
+    pieces = ["<|startoftext|>", "<|endoftext|>", "<|endoftext", "|>", "ab", "Ab,", " ", "\n", "\u00a0", "É", "12", "!", ".", "\x01", "\u3000", "'s"]
+    rows = [(i, "".join(rnd.choice(pieces) for _ in range(12))) for i in range(400)] + [(900, "a<|endoftext|>b"), (901, "<|startoftext|>"), (902, "x <|endoftext|>, y<|startoftext|>.")]
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.read(tokenfile.write(frame(spark, rows), path, length=64, batch=3, special_as_text=False)).collect()}
+    start, wrong = 0, []
+    for i, x in sorted(rows):
+        ids = [*t.encode(x, add_special_tokens=False).ids, 1]
+        if got[i] != (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())):
+            wrong.append(x)
+        start += len(ids)
+    assert not wrong
+
+
 # ---- 7 URL filters ----
 def test_urls(spark):
     rows = [
