@@ -2,18 +2,18 @@
 
 Texts become sets of hashed word shingles, ordered by how common a shingle is in
 the whole table (rare ones first). Two sets with enough in common share a shingle
-within the first tenth of either (prefix filter). Texts of one set are one node;
+within the first part of either (prefix filter). Texts of one set are one node;
 nodes of one prefix and size are one group, and groups, not nodes, meet by shared
-prefix shingles. Group pairs that pass the filters on size and on the positions of
-what they share are expanded to their members, which parity bits tell apart without
-their texts, and verified on whole sets.
-
-Big families of near copies would still give all their pairs, so links are found in
-two rounds. The first verifies a few pairs: in the list of each prefix shingle every
-group with the next one (where that is so in a good part of their prefixes), and in a
-group every member with the first. The second takes
-all pairs that pass the filters but lie in different components of the first; pairs
-within one are connected already. No pair that could change a component is left out.
+prefix shingles. Group pairs that pass the filters on size, on the positions of what
+they share and on parity bits of their members are expanded to those members, and
+verified on whole sets.
+
+Big families of near copies would give all their pairs, so they are collapsed first.
+Members of a group are verified against its first; then, a few times over, the list of
+each prefix shingle has a leader among the sets of about one size, and every group in
+another component than its leader's is verified against it. Only then are all pairs
+taken that pass the filters and still lie in different components; those of one
+component are connected already. No pair that could change a component is left out.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ BLOCK, HELD = 1 << 22, 4_000_000
 PARITY = 512
 #: So many ids at most are broadcast to fetch texts by id.
 BROADCAST_IDS = 200_000
+#: How often lists are collapsed on leaders before all pairs are taken; how many outside its largest component make a list worth a further round.
+ROUNDS, FEW = 2, 8
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -74,9 +76,20 @@ def parity(s: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-def may_link(x: str, y: str, n1: Column, n2: Column, percent: int) -> Column:
-    """False only where the parity bits ``x`` and ``y`` show that two sets differ in more shingles than similar ones can."""
-    differ = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(1, PARITY // 64)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+def may_link(one: str, two: str, n1: Column, n2: Column, percent: int) -> Column:
+    """False only where parity bits show that members of two groups differ in more shingles than similar sets can.
+
+    Columns ``every`` and ``some`` with the suffixes ``one`` and ``two`` hold the bits that all
+    members of a group have, and those that any has (null: the same).
+    """
+
+    def word(i: int) -> Column:
+        (e1, s1), (e2, s2) = ((F.get(f"every{x}", F.lit(i)), F.get(F.coalesce(f"some{x}", f"every{x}"), F.lit(i))) for x in (one, two))
+        return F.bit_count(e1.bitwiseAND(F.bitwise_not(s2)).bitwiseOR(e2.bitwiseAND(F.bitwise_not(s1))))
+
+    differ = word(0)
+    for i in range(1, PARITY // 64):
+        differ = differ + word(i)
     return differ <= (n1 + n2) * (100 - percent) / (100 + percent) + 1e-6
 
 
@@ -165,14 +178,17 @@ def shingle_counts(docs: DataFrame, width: int) -> tuple[str, int]:
 
 
 def described(docs: DataFrame, width: int, percent: int, counted: tuple[str, int]) -> DataFrame:
-    """(doc_id, n, node, gid, prefix, bits): set size, set, group of equal prefix and size, the prefix's hashes, rarest first, and parity bits."""
+    """(doc_id, key, n, node, gid, skip, prefix, bits): the text's hash, set size, set, group of equal prefix and size, the prefix's hashes, rarest first, and parity bits.
+
+    The first ``skip`` hashes of a prefix, which one text alone has, are left out of it: nothing meets by them.
+    """
     folder, blocks = counted
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = opened(folder, blocks)
         for batch in batches:
             for part in portions(batch):
-                n, node, gid, prefix, bits = [], [], [], [], []
+                n, node, gid, skip, prefix, bits = [], [], [], [], [], []
                 sets = shingles(part.column(1), width)
                 counts = np.split(common(np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1])
                 for s, seen in zip(sets, counts, strict=True):
@@ -182,56 +198,55 @@ def described(docs: DataFrame, width: int, percent: int, counted: tuple[str, int
                     node.append(set_key(s))
                     placed = np.append(p * _K[3] + np.arange(len(p), dtype=np.uint64), np.uint64(len(s)))
                     gid.append(int(mix(placed).sum(dtype=np.uint64).astype(np.int64)))
-                    prefix.append(p.tobytes())
+                    alone = int(np.count_nonzero(seen[order[: len(p)]] == 1)) if len(s) else 0
+                    skip.append(alone)
+                    prefix.append(p[alone:].tobytes())
                     bits.append(parity(s))
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "node", "gid", "prefix", "bits"])
+                cols = [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(gid, pa.int64()), pa.array(skip, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "node", "gid", "skip", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n long, node binary, gid long, prefix binary, bits array<long>")
+    return docs.select("doc_id", "text", text_key(docs["text"]).alias("key")).mapInArrow(task, "doc_id long, key long, n long, node binary, gid long, skip long, prefix binary, bits array<long>")
 
 
-def meet(nodes: DataFrame) -> DataFrame:
-    """Prefix shingles that more than one group has, as rows (token, gid, n, pos, next): ``next`` is the group after it in the shingle's list.
+def meet(units: DataFrame) -> DataFrame:
+    """Prefix shingles that more than one of ``units`` (unit, n, skip, prefix) has, as rows (token, unit, n, pos).
 
-    The nodes of a group have one prefix; in a list they stand together and count once.
-
-    Lists are dealt by range of (shingle, size, group), so a shingle that very many
-    groups share is spread over tasks; at a task's edges a list may break, where rows
-    are kept without a ``next``.
+    Lists are dealt by range of (shingle, size, unit), so a shingle that very many share is
+    spread over tasks; at a task's edges a row is kept whether or not it has company.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+            tokens = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(3)]
+            if not tokens:
+                continue
             sizes = np.array([len(t) for t in tokens])
-            rep = lambda c: np.repeat(b.column(c).to_numpy(), sizes)
-            pos = np.concatenate([np.arange(k) for k in sizes]) if len(sizes) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(rep(0)), pa.array(rep(1)), pa.array(pos)], ["token", "gid", "n", "pos"])
+            rep = np.repeat(np.arange(len(sizes)), sizes)
+            pos = np.arange(len(rep)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + b.column(2).to_numpy()[rep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), b.column(0).take(pa.array(rep)), b.column(1).take(pa.array(rep)), pa.array(pos)], ["token", "unit", "n", "pos"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, prev = None, True  # the last row waits for the next; whether the row before it is of its list (at the edge: maybe)
-
-        def out(rows: pa.RecordBatch, keep: np.ndarray, following: np.ndarray, there: np.ndarray) -> pa.RecordBatch:
-            cols = [c.filter(pa.array(keep)) for c in rows.columns]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(following[keep], pa.int64(), mask=~there[keep])], ["token", "gid", "n", "pos", "next"])
-
         for b in batches:
             if not b.num_rows:
                 continue
             b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-            token, gid = b.column(0).to_numpy(), b.column(1).to_numpy()
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (gid[1:] != gid[:-1])])
-            b, token, gid = b.filter(pa.array(new)), token[new], gid[new]
-            m, same = b.num_rows - 1, token[1:] == token[:-1]
+            token, m = b.column(0).to_numpy(), b.num_rows - 1
+            same = token[1:] == token[:-1]
             before = np.concatenate([[prev], same])
             if m:
-                yield out(b.slice(0, m), before[:m] | same, gid[1:], same)
+                yield b.slice(0, m).filter(pa.array(before[:m] | same))
             held, prev = b.slice(m, 1), bool(before[m])
         if held is not None:
-            yield out(held, np.ones(1, bool), np.zeros(1, np.int64), np.zeros(1, bool))
+            yield held
+
+    kind = "token long, unit binary, n long, pos long"
+    rows = units.where("length(prefix) > 0").select("unit", "n", "skip", "prefix").mapInArrow(spread, kind)
+    return rows.repartitionByRange("token", "n", "unit").sortWithinPartitions("token", "n", "unit").mapInArrow(scan, kind)
 
-    rows = nodes.select("gid", "n", "prefix").mapInArrow(spread, "token long, gid long, n long, pos long")
-    return rows.repartitionByRange("token", "n", "gid").sortWithinPartitions("token", "n", "gid").mapInArrow(scan, "token long, gid long, n long, pos long, next long")
+
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
@@ -276,7 +291,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
     return saved(both.mapInArrow(compare, "a binary, b binary, jaccard double"))
 
 
-def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def merged(comps: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """``comps`` (``key``, comp) after ``links`` (a, b) between keys: components that links join become one."""
+    of = lambda x: comps.select(F.col(key).alias(x), F.col("comp").alias("c" + x))
+    # however many links join two components, they count as one
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b").distinct()
+    top = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return saved(comps.join(top, "comp", "left").select(key, F.coalesce("top", "comp").alias("comp")))
+
+
+def similar(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
 
     Texts link when 100 * shared shingles >= ``percent`` * shingles of either; a component
@@ -285,67 +309,110 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     null ids take part but name no component unless they are alone; an empty table gives no
     rows; other columns are ignored.
     """
+    return joined(docs, width, percent, rounds).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def joined(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
+    """(doc_id, key, n, node, least, first): each row's text, set size, set, smallest doc_id of its component, and the least set that has it."""
     counted = shingle_counts(docs, width)
     base = saved(described(docs, width, percent, counted))
     fs, path = pa.fs.FileSystem.from_uri(counted[0])
     fs.delete_dir(path)  # what was made with them is kept
-    nodes = saved(base.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"), F.min("doc_id").alias("rep")))
-    slim = nodes.select("node", "n", "gid", "rep")
-    bits = nodes.select("node", "bits")
-    heads = saved(slim.groupBy("gid").agg(F.first("n").alias("n"), F.min("node").alias("head")))
-    shared = saved(meet(nodes))
-
-    # round one: groups that are neighbours in many lists, and members with the head of their group
-    left, right = heads.select(F.col("gid"), F.col("n").alias("n1"), F.col("head").alias("h1")), heads.select(F.col("gid").alias("next"), F.col("n").alias("n2"), F.col("head").alias("h2"))
-    in_prefix = lambda n: n - F.ceil(n * percent / 100) + 1
-    often = F.col("c") * 4 >= in_prefix(F.least("n1", "n2"))
-    near = shared.where("next IS NOT NULL").groupBy("gid", "next").agg(F.count("*").alias("c")).join(left, "gid").join(right, "next").where(sizes_fit(F.col("n1"), F.col("n2"), percent) & often).select(F.least("h1", "h2").alias("a"), F.greatest("h1", "h2").alias("b"))
-    own = slim.join(heads.select("gid", "head"), "gid").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    links = verified(saved(near.union(own).distinct()), slim, docs, width, percent)
-
-    # round two: all pairs of groups that share a prefix shingle, but for those in one component already
-    placed = slim.join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    full = saved(placed.join(bits, "node"))
-    # a group of one member has that member's bits, and pairs of groups are filtered by them already
-    by_group = full.groupBy("gid", "comp").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
-    rows = shared.drop("next").join(by_group, "gid")
-    open_ = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rows = saved(rows.join(open_, "token"))
-    one = rows.select("token", *(F.col(c).alias(c + "1") for c in ("gid", "n", "pos", "comp", "bits")))
-    two = rows.select("token", *(F.col(c).alias(c + "2") for c in ("gid", "n", "pos", "comp", "bits")))
+    nodes = saved(base.where("n > 0").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "gid", "skip", "prefix", "bits")), F.min("doc_id").alias("rep")))
+    slim = nodes.select("node", "n", "rep")
+
+    # the members of a group meet its first; what they link to is a unit of it
+    many = nodes.groupBy("gid").agg(F.count("*").alias("k"), F.min("node").alias("head")).where("k > 1").select("gid", "head")
+    own = saved(nodes.select("gid", "node").join(many, "gid").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    members = nodes.select("node", "gid", F.col("node").alias("comp"))
+    if not own.isEmpty():
+        members = merged(nodes.select("node", F.col("node").alias("comp")), verified(own, slim, docs, width, percent), "node").join(nodes.select("node", "gid"), "node")
+    words = range(PARITY // 64)
+    every, some = (F.array(*(f(F.get("bits", F.lit(i))) for i in words)) for f in (F.bit_and, F.bit_or))
+    units = saved(
+        members.join(nodes.drop("gid"), "node")
+        .groupBy("gid", "comp")
+        .agg(F.min("node").alias("unit"), *(F.first(c).alias(c) for c in ("n", "skip", "prefix")), every.alias("every"), F.when(F.count("*") > 1, some).alias("some"))
+        .drop("gid", "comp")
+    )
+    of_unit = members.join(members.groupBy("gid", "comp").agg(F.min("node").alias("unit")), ["gid", "comp"]).select("node", "unit") if not own.isEmpty() else slim.select("node", F.col("node").alias("unit"))
+    of_unit = saved(of_unit)
+    # sets of about one size: similar ones lie in one band or in two that touch
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+    rows = saved(meet(units).join(units.select("unit", (F.length("prefix") / 8).cast("int").alias("k")), "unit").withColumn("band", band))
+    bits = units.select("unit", "every", "some")
+    comps = units.select("unit", F.col("unit").alias("comp"))
     need = (F.col("n1") + F.col("n2")) * percent / (100 + percent) - 1e-6
+    # what is shared before this place is no more than stands before it in either, what is shared from it on no more than stands there
+    places_fit = F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need
+    fit = sizes_fit(F.col("n1"), F.col("n2"), percent) & places_fit
+    bits_fit = may_link("1", "2", F.col("n1"), F.col("n2"), percent)
+    named = lambda df, i, *names: df.select(*(F.col(c).alias(f"{c}{i}") for c in names))
+
+    def apart() -> DataFrame:
+        """The rows of lists that reach more than one component."""
+        placed = rows.join(comps, "unit")
+        lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        return placed.join(lists, "token")
+
+    def largest(live: DataFrame) -> DataFrame:
+        """The largest component of each list, and how many rows are not in it."""
+        return live.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("all")).select("token", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.count")).alias("others"))
+
+    for i in range(rounds):
+        live = apart()
+        # of those with most to share; later of those that are not in their list's largest component, if they are not few
+        able = live if i == 0 else live.join(largest(live).where(f"others >= {FEW}"), "token").where("comp != main")
+        first = able.groupBy("token", "band").agg(F.max(F.struct("k", "unit", "n", "pos", "comp")).alias("l"))
+        first = first.select("token", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"), *(F.col(f"l.{c}").alias(f"{c}1") for c in ("unit", "n", "pos", "comp")))
+        other = live.select("token", "band", *(F.col(c).alias(f"{c}2") for c in ("unit", "n", "pos", "comp")))
+        met = other.join(first, ["token", "band"]).where((F.col("comp1") != F.col("comp2")) & fit).select("unit1", "n1", "unit2", "n2").distinct()
+        met = met.join(named(bits, 1, "unit", "every", "some"), "unit1").join(named(bits, 2, "unit", "every", "some"), "unit2").where(bits_fit)
+        pairs = saved(met.select(F.least("unit1", "unit2").alias("a"), F.greatest("unit1", "unit2").alias("b")).distinct())
+        if pairs.isEmpty():
+            break
+        comps = merged(comps, verified(pairs, slim, docs, width, percent), "unit")
+
+    # all pairs of units that share a prefix shingle, but for those in one component already; one of a pair is always outside its list's largest component
+    live = saved(apart())
+    main = largest(live)
+    full = live.join(bits, "unit").select("token", "unit", "n", "pos", "comp", "every", "some")
+    outside = full.join(main, "token").where("comp != main")
+    swap = F.col("unit1") > F.col("unit2")
+    names = ("token", "unit", "n", "pos", "comp", "every", "some")
     pairs = (
-        one.join(two, "token")
-        .where((F.col("comp1") < F.col("comp2")) & (F.col("gid1") != F.col("gid2")) & sizes_fit(F.col("n1"), F.col("n2"), percent))
-        .where(F.coalesce(may_link("bits1", "bits2", F.col("n1"), F.col("n2"), percent), F.lit(True)))
-        # what is shared before this place is no more than stands before it in either, what is shared from it on no more than stands there
-        .where(F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= need)
-        .groupBy("gid1", "comp1", "gid2", "comp2", "n1", "n2")
+        named(full, 1, *names)
+        .join(named(outside, 2, *names, "main"), F.col("token1") == F.col("token2"))
+        .where((F.col("comp1") != F.col("comp2")) & ((F.col("comp1") == F.col("main2")) | (F.col("comp1") < F.col("comp2"))) & fit & bits_fit)
+        .select(*(F.when(swap, F.col(f"{c}{3 - i}")).otherwise(F.col(f"{c}{i}")).alias(f"{c}{i}") for c in ("unit", "n", "pos") for i in (1, 2)))
+        .groupBy("unit1", "unit2", "n1", "n2")
         .agg(F.count("*").alias("c"), F.max("pos1").alias("l1"), F.max("pos2").alias("l2"))
         .where(F.col("c") + F.least(F.col("n1") - F.col("l1"), F.col("n2") - F.col("l2")) - 1 >= need)
     )
-    m1, m2 = (full.select(F.col("gid").alias(f"gid{i}"), F.col("comp").alias(f"comp{i}"), F.col("node").alias(x), F.col("bits").alias(f"bits{i}")) for i, x in ((1, "a"), (2, "b")))
-    left = pairs.select("gid1", "comp1", "gid2", "comp2", "n1", "n2").join(m1, ["gid1", "comp1"]).alias("l")
-    meets = (F.col("l.gid2") == F.col("r.gid2")) & (F.col("l.comp2") == F.col("r.comp2")) & may_link("l.bits1", "r.bits2", F.col("l.n1"), F.col("l.n2"), percent)
-    across = left.join(m2.alias("r"), meets).select("a", "b")
-    mixed = by_group.groupBy("gid").agg(F.count("*").alias("k")).where("k > 1").select("gid")
-    inside = full.join(mixed, "gid")
-    l, r = (inside.select("gid", "n", F.col("node").alias(x), "comp", "bits").alias(side) for side, x in (("l", "a"), ("r", "b")))
-    meets = (F.col("l.gid") == F.col("r.gid")) & (F.col("l.comp") < F.col("r.comp")) & may_link("l.bits", "r.bits", F.col("l.n"), F.col("r.n"), percent)
-    within = l.join(r, meets).select("a", "b")
-    more = verified(saved(across.union(within).distinct()), slim, docs, width, percent)
-
-    # what the second round links are components of the first; however many links join two of them, they count as one
-    of = lambda x: full.select(F.col("node").alias(x), F.col("comp").alias("c" + x))
-    between = more.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b").distinct()
-    top = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    last = full.join(top, "comp", "left").select("node", "rep", F.coalesce("top", "comp").alias("comp"))
-    least = saved(last.groupBy("comp").agg(F.min("rep").alias("least")))
-    named = last.select("node", "comp").join(least, "comp").select("node", "least")
-    return base.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    pairs = saved(pairs.select("unit1", "unit2"))
+    if not pairs.isEmpty():
+        inside = nodes.select("node", "n", "bits").join(of_unit, "node")
+        sides = (inside.select(F.col("unit").alias(f"unit{i}"), F.col("node").alias(x), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"every{i}"), F.lit(None).cast("array<long>").alias(f"some{i}")) for i, x in ((1, "a"), (2, "b")))
+        one, two = sides
+        meets = (F.col("l.unit2") == F.col("r.unit2")) & may_link("1", "2", F.col("n1"), F.col("n2"), percent)
+        across = pairs.join(one, "unit1").alias("l").join(two.alias("r"), meets).select("a", "b")
+        more = verified(saved(across), slim, docs, width, percent)
+        unit_of = lambda x: of_unit.select(F.col("node").alias(x), F.col("unit").alias("u" + x))
+        comps = merged(comps, more.join(unit_of("a"), "a").join(unit_of("b"), "b").select(F.col("ua").alias("a"), F.col("ub").alias("b")), "unit")
+
+    last = of_unit.join(comps, "unit").join(slim, "node").select("node", "rep", "comp")
+    least = saved(last.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), F.col("node").alias("node"))).alias("l")))
+    named = last.select("node", "comp").join(least, "comp").select("node", F.col("l.id").alias("least"), F.col("l.node").alias("first"))
+    return base.select("doc_id", "key", "n", "node").join(named, "node", "left")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` but for near copies: of each component the row with the smallest doc_id stays."""
-    stay = similar(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay")), "left_semi")
+    """The rows of ``docs`` but for near copies: of each component the row with the smallest doc_id stays.
+
+    Where that id has several texts in a component, or all its ids are null, those of one set
+    stay; repeated rows share one fate. Rows without words stay. An empty table stays empty;
+    all columns are kept, whatever their names.
+    """
+    placed = joined(docs, width, percent, ROUNDS)
+    stay = placed.where("node <=> first AND doc_id <=> least OR n = 0").select("doc_id", "key").distinct()
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]) & (text_key(docs["text"]) == stay["key"]), "left_semi")
