@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,10 +34,12 @@ def strip_space(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or on one machine a folder of our own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         held = spark.sparkContext.getCheckpointDir()
+        if held is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = held or tempfile.mkdtemp(prefix="plumbline-")
         if held is None:
             spark.sparkContext.setCheckpointDir(at)
@@ -61,6 +64,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_key(text: Column) -> Column:
+    """With an id, what tells the rows of a table apart: repeated rows have one key."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text are among ``keys`` (doc_id, key), with all their columns, whatever their names."""
+    keys = keys.select("doc_id", "key").distinct()
+    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["doc_id"]) & (text_key(docs["text"]) == keys["key"]), "left_semi")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, saved
+from .common import new_dir, rows_of, saved, text_key
 from .components import components
 from .eliasfano import map_arrays, write_arrays
 from .hashing import Words, mix, portions
@@ -245,10 +245,6 @@ def meet(units: DataFrame) -> DataFrame:
     return rows.repartitionByRange("token", "n", "unit").sortWithinPartitions("token", "n", "unit").mapInArrow(scan, kind)
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
@@ -414,5 +410,4 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     all columns are kept, whatever their names.
     """
     placed = joined(docs, width, percent, ROUNDS)
-    stay = placed.where("node <=> first AND doc_id <=> least OR n = 0").select("doc_id", "key").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]) & (text_key(docs["text"]) == stay["key"]), "left_semi")
+    return rows_of(docs, placed.where("node <=> first AND doc_id <=> least OR n = 0"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .hashing import Words, portions, word_grams
 
-#: Lengths of n-grams, hash buckets, most training texts of a language and words of each, words in a training sequence and in a stretch.
+#: Lengths of n-grams, hash buckets, most training texts of a language, words fitted for each text on average, words in a training sequence and in a stretch.
 GRAMS, BUCKETS, SAMPLE, WORDS, SEQUENCE, STRETCH = (2, 3, 4), 1 << 16, 200, 600, 48, (4, 24)
 STEPS, PENALTY = 60, 1e-5
 #: Texts of so many bytes are labelled together.
@@ -81,8 +81,12 @@ def forward_backward(score: np.ndarray, move: np.ndarray, first: np.ndarray, siz
     return p / p.sum(1, keepdims=True), ahead, e * back
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 7) -> Field:
-    """Fit to whole labelled texts; every word bears the label of its text."""
+def fit(texts: list[str], labels: list[str], seed: int = 7, n_words: int = WORDS) -> Field:
+    """Fit to whole labelled texts; every word bears the label of its text.
+
+    Lexicons count all words. Sequences are stretches from anywhere in the texts, as many words
+    as there are, at most ``n_words`` times the number of texts. Empty texts add nothing.
+    """
     names = sorted(set(labels))
     L = len(names)
     of_doc = np.array([names.index(x) for x in labels])
@@ -99,7 +103,7 @@ def fit(texts: list[str], labels: list[str], seed: int = 7) -> Field:
     rng = np.random.default_rng(seed)
     size = words.first[1:] - words.first[:-1]
     full = np.flatnonzero(size > 0)
-    want, got, total = len(kind) // SEQUENCE * SEQUENCE, [], 0
+    want, got, total = min(len(kind), n_words * len(texts)) // SEQUENCE * SEQUENCE, [], 0
     while total < want:
         d = rng.choice(full)
         n = min(int(rng.integers(*STRETCH)), size[d])
@@ -149,8 +153,8 @@ def label_texts(texts: pa.Array, field: Field) -> tuple[np.ndarray, np.ndarray,
 def train(docs: DataFrame, sample: int = SAMPLE, n_words: int = WORDS) -> Field | None:
     """Fit to at most ``sample`` texts of each language of ``docs`` (doc_id, text, lang), drawn by a hash of the id.
 
-    Of a drawn text at most ``n_words`` words are fitted, a stretch from its middle. Rows
-    without text or lang are left out. None if no language is left.
+    Rows without text or lang are left out; of several rows of one id the least by language
+    and text counts. None if no language is left.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     names = sorted(r.lang for r in rows.select("lang").distinct().collect())
@@ -160,16 +164,9 @@ def train(docs: DataFrame, sample: int = SAMPLE, n_words: int = WORDS) -> Field
         drawn = some if drawn is None else drawn.union(some)
     if drawn is None:
         return None
-    middle = F.expr(f"array_join(slice(w, greatest(1, int((size(w) - {n_words}) / 2)), {n_words}), ' ')")
-    got = (
-        rows.join(F.broadcast(drawn.distinct()), "doc_id")
-        .select("doc_id", "lang", F.split("text", "[\\x20\\x09-\\x0D]+").alias("w"))
-        .select("doc_id", "lang", middle.alias("text"))
-        .dropDuplicates(["doc_id"])
-        .collect()
-    )
+    got = rows.join(F.broadcast(drawn.distinct()), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*").collect()
     got.sort(key=lambda r: r.doc_id)
-    return fit([r.text for r in got], [r.lang for r in got])
+    return fit([r.text for r in got], [r.lang for r in got], n_words=n_words)
 
 
 def predict(docs: DataFrame, field: Field | None) -> DataFrame:

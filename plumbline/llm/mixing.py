@@ -57,35 +57,63 @@ def rake(cells: DataFrame, margins: dict[str, DataFrame], budget: float, sweeps:
     out = out.coalesce(1) if small else out
     for _ in range(sweeps):
         for dim in margins:
-            factor = F.coalesce(F.col(f"_{dim}") * budget / F.sum("x").over(Window.partitionBy(dim)), F.lit(0.0))
+            # a margin whose cells have nothing left stays as it is
+            factor = F.coalesce(F.col(f"_{dim}") * budget / F.nullif(F.sum("x").over(Window.partitionBy(dim)), F.lit(0.0)), F.lit(0.0))
             out = out.withColumn("x", F.least(F.col("t").cast("double"), F.col("x") * factor))
         out = out if small else saved(out)
     return saved(out.select(*cells.columns, "x"))
 
 
-def mix(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, topic_of: Column | None = None, seed: str = "mix") -> DataFrame:
+def residual(cells: DataFrame, margins: dict[str, DataFrame], budget: float) -> float:
+    """How far the calibrated tokens x of raked ``cells`` are from the margins: the largest difference of a value's share of ``budget`` from its target."""
+    off = [
+        cells.groupBy(d).agg(F.sum("x").alias("x")).join(share.select(d, "share"), d, "full").agg(F.max(F.abs(F.coalesce("x", F.lit(0.0)) / budget - F.coalesce("share", F.lit(0.0)))).alias("off"))
+        for d, share in margins.items()
+    ]
+    return max((df.first()["off"] or 0.0 for df in off), default=0.0) if budget else 0.0
+
+
+def mix(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, topic_of: Column | None = None, seed: str = "mix", margins: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source, lang): doc_id, source, lang, topic, n_tokens, p, kept.
 
-    ``p`` is the share of its cell's tokens that stay. Null dimensions form a value of
-    their own, "(none)". A text without words adds no tokens; a cell without tokens keeps
+    ``margins`` gives target weights as tables (dimension, share) for any of source, lang and
+    topic; a dimension without one is raked to its present shares to a power. ``p`` is the
+    share of its cell's tokens that stay; how near the targets are met, ``residual`` tells.
+    Null dimensions form a value of their own, "(none)". A value that its target table lacks
+    gets no tokens. A text without words adds no tokens; a cell without tokens keeps
     its documents. Repeated rows share one fate; a null id draws like an empty one; an
     empty table gives no rows; other columns are ignored.
     """
+    return drawn(docs, budget, powers, topic_of, seed, margins).drop("key")
+
+
+def drawn(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, topic_of: Column | None = None, seed: str = "mix", margins: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The same with key, the hash of each row's text and dimensions."""
     n = F.size(words(F.col("text"))).cast("long")
-    slim = docs.select("doc_id", *(F.coalesce(F.col(d), F.lit(NONE)).alias(d) for d in ("source", "lang")), (topic(F.col("text")) if topic_of is None else F.coalesce(topic_of, F.lit(NONE))).alias("topic"), n.alias("n_tokens"))
+    slim = docs.select("doc_id", mix_key(docs).alias("key"), *(F.coalesce(F.col(d), F.lit(NONE)).alias(d) for d in ("source", "lang")), (topic(F.col("text")) if topic_of is None else F.coalesce(topic_of, F.lit(NONE))).alias("topic"), n.alias("n_tokens"))
     slim = saved(slim)
     cells = saved(slim.groupBy(*DIMS).agg(F.sum("n_tokens").alias("t")).where("t > 0"))
     total = cells.agg(F.sum("t").alias("t")).first()["t"] or 0
-    fitted = rake(cells, {d: saved(targets(cells, d, powers[d])) for d in DIMS}, budget * total)
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
+    given = margins or {}
+    fitted = rake(cells, {d: given[d] if d in given else saved(targets(cells, d, powers[d])) for d in DIMS}, budget * total)
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
     p = F.coalesce(F.col("x") / F.col("t"), F.lit(1.0))
-    return slim.join(fitted, list(DIMS), "left").select("doc_id", *DIMS, "n_tokens", F.round(p, 6).alias("p"), (drawn < p).alias("kept"))
+    return slim.join(fitted, list(DIMS), "left").select("doc_id", "key", *DIMS, "n_tokens", F.round(p, 6).alias("p"), (u < p).alias("kept"))
 
 
-def keep_mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the mix keeps, with all their columns."""
-    kept = mix(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+def mix_key(docs: DataFrame) -> Column:
+    return F.xxhash64(*(F.coalesce(docs[c], F.lit("")) for c in ("text", "source", "lang")))
+
+
+def keep_mixed(docs: DataFrame, margins: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source, lang and others) that the mix keeps, with all their columns, whatever their names.
+
+    Rows of one id draw alike, each for its own cell; repeated rows share one fate; a null id
+    draws like an empty one; a null source or language is a value of its own; rows of a cell
+    without words stay; an empty table stays empty.
+    """
+    kept = drawn(docs, margins=margins).where("kept").select("doc_id", "key").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (mix_key(docs) == kept["key"]), "left_semi")
 
 
 def oracle(source: str = "documents") -> str:

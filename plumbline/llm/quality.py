@@ -5,9 +5,9 @@ maximisation (two classes, each rule with its own accuracy on good and on bad
 texts, votes independent given the class) estimates the accuracies from the votes
 alone, and a text is kept by its posterior probability of being good. One thing the
 votes cannot tell: whether texts that a single rule rejects are bad texts of one kind
-or good ones that the rule misjudges. So each rule states the least accuracy on good
-texts that may be estimated for it. A rule sure of itself can then reject a text
-alone; the others need one another. The votes
+or good ones that the rule misjudges. So the accuracy of every rule on good texts has
+one Beta prior, whose pseudo-counts are in proportion to the votes that the rule casts;
+what a rule's bad vote weighs against the others is estimated. The votes
 collapse to patterns with counts before any estimation: at most 3 to the power of
 the number of rules rows, however many texts there are.
 """
@@ -19,20 +19,22 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, saved, strip_space, words
+from .common import SPACE, rows_of, saved, strip_space, text_key, words
 
 #: Words in a window, rounds of estimation, pseudo-count of each vote, least posterior.
 WINDOW, ROUNDS, PSEUDO, KEEP = 8, 10, 1.0, 0.5
-#: rule: (votes bad, votes good, least accuracy on good texts); the votes are SQL over the counts, and it abstains where neither holds.
+#: Prior of a rule's accuracy on good texts: mean, and how many times the rule's own votes it weighs.
+PRIOR, WEIGHT = 0.999, 9.0
+#: rule: (votes bad, votes good); the votes are SQL over the counts, and it abstains where neither holds.
 RULES = {
-    "length": ("n_words < 20", "n_words >= 50", 0.9),
-    "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words", 0.998),
-    "capitals": ("2 * n_capitals > word_chars", "5 * n_capitals <= word_chars", 0.998),
-    "stutter": ("10 * n_stutter > n_words", "50 * n_stutter <= n_words", 0.998),
-    "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 5 * n_words", 0.9),
-    "lines": ("2 * n_dup_lines > n_lines", "10 * n_dup_lines <= n_lines", 0.9),
-    "variety": ("10 * n_distinct < n_words", "2 * n_distinct >= n_words", 0.9),
-    "word_length": ("word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words", 0.9),
+    "length": ("n_words < 20", "n_words >= 50"),
+    "symbols": ("10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    "capitals": ("2 * n_capitals > word_chars", "5 * n_capitals <= word_chars"),
+    "stutter": ("10 * n_stutter > n_words", "50 * n_stutter <= n_words"),
+    "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 5 * n_words"),
+    "lines": ("2 * n_dup_lines > n_lines", "10 * n_dup_lines <= n_lines"),
+    "variety": ("10 * n_distinct < n_words", "2 * n_distinct >= n_words"),
+    "word_length": ("word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words"),
 }
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stutter", "n_distinct"]
@@ -40,7 +42,7 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def vote(rule: str) -> str:
     """0 bad, 1 abstain, 2 good."""
-    bad, good, _ = RULES[rule]
+    bad, good = RULES[rule]
     return f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 2 ELSE 1 END"
 
 
@@ -76,10 +78,9 @@ def estimate(votes: DataFrame, rules: list[str], rounds: int = ROUNDS) -> dict:
     """Class share and accuracies from votes (one column per rule): {"good": share, rule: (accuracy on bad, on good)}.
 
     Starts from the view that a text with any bad vote is likely bad. An empty table
-    leaves every accuracy at one half or its least value.
+    leaves every accuracy at one half.
     """
     size = len(rules)
-    least = "array(" + ", ".join(f"{RULES[r][2]}D" for r in rules) + ")"
     add = lambda of, cond: f"aggregate(w, 0D, (s, p) -> s + IF({cond}, p.{of}, 0D))"
     # p: a pattern's votes v and its weights, as good (g) and as bad (b); m: the model before; all in the row that holds the patterns
     odds = """ln(m.good) - ln(1 - m.good) + aggregate(zip_with(p.v, m.acc, (x, a) ->
@@ -89,7 +90,7 @@ def estimate(votes: DataFrame, rules: list[str], rounds: int = ROUNDS) -> dict:
         ({add("g", "true")} + {PSEUDO}D) / ({add("g", "true")} + {add("b", "true")} + {2 * PSEUDO}D) AS good,
         transform(sequence(0, {size - 1}), j -> struct(
           ({add("b", "p.v[j] = 0")} + {PSEUDO}D) / ({add("b", "p.v[j] <> 1")} + {2 * PSEUDO}D) AS bad,
-          greatest(({add("g", "p.v[j] = 2")} + {PSEUDO}D) / ({add("g", "p.v[j] <> 1")} + {2 * PSEUDO}D), {least}[j]) AS good)) AS acc)"""
+          ({add("g", "p.v[j] = 2")} + {WEIGHT * PRIOR}D * {add("g", "p.v[j] <> 1")} + {PSEUDO}D) / ({1 + WEIGHT}D * {add("g", "p.v[j] <> 1")} + {2 * PSEUDO}D) AS good)) AS acc)"""
     step = lambda q: f"transform(array({weigh(q)}), w -> {fitted})[0]"
     first = step("IF(array_min(p.v) = 0, 0.1D, 0.9D)")
     patterns = votes.groupBy(F.array(*rules).alias("v")).agg(F.count("*").cast("double").alias("n"))
@@ -114,18 +115,26 @@ def judge(docs: DataFrame) -> DataFrame:
     judged alike, null ids pass through, an empty table gives no rows, and other
     columns are ignored, whatever their names.
     """
+    return judged(docs).drop("key")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """The same with key, the hash of each row's text."""
     rules = list(RULES)
-    counts = saved(text_counts(docs.select("doc_id", "text")).select("doc_id", *COUNTS))
+    counts = saved(text_counts(docs.select("doc_id", "text", text_key(docs["text"]).alias("key"))).select("doc_id", "key", *COUNTS))
     voted = counts.withColumns({r: F.expr(vote(r)) for r in rules})
     model = estimate(voted, rules)
     failed = F.expr(BASE_FAILED)
-    return voted.select("doc_id", *COUNTS, failed.alias("base_failed"), posterior(model, rules).alias("posterior")).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP))
+    return voted.select("doc_id", "key", *COUNTS, failed.alias("base_failed"), posterior(model, rules).alias("posterior")).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all their columns."""
-    kept = judge(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of ``docs`` (doc_id, text and others) whose text is kept, with all their columns, whatever their names.
+
+    Rows of one id are judged each by its own text; a null or empty text goes; repeated rows
+    share one fate, null ids are judged like others, and an empty table stays empty.
+    """
+    return rows_of(docs, judged(docs).where("kept"))
 
 
 def oracle(source: str = "documents") -> str:
@@ -157,9 +166,9 @@ def oracle(source: str = "documents") -> str:
     for i in range(ROUNDS):
         s = lambda cond, q: f"coalesce(sum(n * {q}) FILTER (WHERE {cond}), 0)"
         accs = ", ".join(
-            f"({s(f'{r} = 0', '(1 - q)')} + 1) / ({s(f'{r} <> 1', '(1 - q)')} + 2) AS {r}_bad, greatest(({s(f'{r} = 2', 'q')} + 1) / ({s(f'{r} <> 1', 'q')} + 2), {RULES[r][2]}::DOUBLE) AS {r}_good" for r in rules
+            f"({s(f'{r} = 0', '(1 - q)')} + 1) / ({s(f'{r} <> 1', '(1 - q)')} + 2) AS {r}_bad, ({s(f'{r} = 2', 'q')} + {WEIGHT * PRIOR}::DOUBLE * {s(f'{r} <> 1', 'q')} + 1) / ({1 + WEIGHT}::DOUBLE * {s(f'{r} <> 1', 'q')} + 2) AS {r}_good" for r in rules
         )
         ctes.append(f"m{i} AS MATERIALIZED (SELECT (sum(n * q) + 1) / (sum(n) + 2) AS good, {accs} FROM q{i})")
         ctes.append(f"q{i + 1} AS (SELECT g.*, {odds(f'm{i}')} AS q FROM g, m{i})")
     last = odds(f"m{ROUNDS - 1}")
-    return f"WITH {', '.join(ctes)} SELECT doc_id, {', '.join(COUNTS)}, ({BASE_FAILED}) AS base_failed, NOT ({BASE_FAILED}) AND {last} >= {KEEP} AS kept FROM v, m{ROUNDS - 1}"
+    return f"WITH {', '.join(ctes)} SELECT doc_id, {', '.join(COUNTS)}, ({BASE_FAILED}) AS base_failed, round({last}, 4) AS posterior, NOT ({BASE_FAILED}) AND {last} >= {KEEP} AS kept FROM v, m{ROUNDS - 1}"

@@ -20,7 +20,7 @@ def fold(n: int, id_col: str = "doc_id") -> Column:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("posterior")
+    return quality.judge(table(spark, sf_dir, "documents")).withColumn("posterior", F.round("posterior", 4))
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

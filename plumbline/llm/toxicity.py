@@ -24,7 +24,10 @@ OUT = "doc_id long, score double, predicted int"
 
 
 def fit(texts: list[str], labels: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
-    """Weights of the buckets and the bias; ``prior`` is the share of toxic texts to assume, whatever the sample's."""
+    """Weights of the buckets and the bias; ``prior`` is the share of toxic texts to assume, whatever the sample's.
+
+    Empty texts have no features and count in the bias; repeated texts count as often as they stand.
+    """
     spaced, doc, word = distinct_words(Words(pa.array(texts, pa.large_string())))
     owner, bucket = (x.astype(np.int32) for x in word_grams(spaced, GRAMS, BUCKETS))
     n_words = max(int(word.max(initial=0)) + 1, 1)
@@ -66,7 +69,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
     Only the drawn ids are broadcast, never more than twice ``sample``, so the texts are
     not shuffled. Labels other than 0 and 1, and those of ids without a document, are left
-    out. Without both classes the model says 0.5 throughout.
+    out; of several texts of one id the least counts. Without both classes the model says 0.5 throughout.
     """
     rows = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = rows.agg(F.avg("toxic").alias("a")).first()["a"]
@@ -74,7 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     for y in (0, 1):
         some = rows.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         drawn = some if drawn is None else drawn.union(some)
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).collect()
+    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     got.sort(key=lambda r: r.doc_id)
     y = np.array([r.toxic for r in got], float)
     if not 0 < y.sum() < len(y):

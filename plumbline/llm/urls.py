@@ -60,12 +60,12 @@ def path(url: Column) -> Column:
 
 
 def longest_rule(rules: list[tuple[str, str, str]]) -> Column:
-    """The rule that fits columns host and path, as struct(size, rule, verdict); the longest wins, then the later in order. Null if none fits."""
+    """The rule that fits columns host and path, as struct(size, at, rule, verdict); the longest wins, then the later in order. Null if none fits."""
     if not rules:
-        return F.lit(None).cast("struct<size:int,rule:string,verdict:string>")
-    table = F.array(*(F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("h"), F.lit(p).alias("p")) for v, h, p in rules))
+        return F.lit(None).cast("struct<size:int,at:int,rule:string,verdict:string>")
+    table = F.array(*(F.struct(F.lit(len(h + p)).alias("size"), F.lit(i).alias("at"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("h"), F.lit(p).alias("p")) for i, (v, h, p) in enumerate(rules)))
     fits = F.filter(table, lambda r: ((F.col("host") == r.h) | F.endswith(F.col("host"), F.concat(F.lit("."), r.h))) & F.startswith(F.col("path"), r.p))
-    return F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r.rule.alias("rule"), r.verdict.alias("verdict"))))
+    return F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r["at"].alias("at"), r.rule.alias("rule"), r.verdict.alias("verdict"))))
 
 
 def features(buckets: int = BUCKETS) -> Column:
@@ -87,7 +87,11 @@ def labelled(spark: SparkSession) -> DataFrame:
 
 
 def fit(train: DataFrame, buckets: int = BUCKETS) -> list[float]:
-    """Weights of the buckets, then the bias. ``train`` (row, label, host, path) is small: its Gram matrix is held in one row."""
+    """Weights of the buckets, then the bias. ``train`` (row, label, host, path) is small: its Gram matrix is held in one row.
+
+    Rows are told apart by ``row``, which must differ; repeated urls count as often as they
+    stand; an empty host or path has no n-grams but its marks; an empty table gives weights of 0.
+    """
     rows = train.withColumn("f", features(buckets)).withColumn("norm", F.sqrt(F.greatest(F.size("f"), F.lit(1))))
     # the table is one small row from here on; array positions stand for rows
     table = rows.agg(F.sort_array(F.collect_list(F.struct("row", "label", "f", "norm"))).alias("t"))

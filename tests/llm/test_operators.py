@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plumbline.llm import bpe, components, dedup, jaccard, langid, lm, mixing, quality, tokenfile, toxicity, urls
@@ -411,3 +412,55 @@ def test_hashing():
     assert [w.text(i).decode() for i in range(len(w.hash))] == want
     assert len(set(w.hash.tolist())) == len(set(want)) and len({(a, b) for a, b in zip(want, w.hash.tolist())}) == len(set(want))
     assert w.joined(np.arange(len(want))) == " " + " ".join(want) + " "
+
+
+def test_jaccard_families(spark):
+    """Hundreds of near copies in sub-families, long texts, and a group of one prefix and size whose members differ."""
+    rnd = random.Random(11)
+    rows, k = [], 0
+    base = [f"w{rnd.randrange(5000)}" for _ in range(60)]
+    for _ in range(300):
+        b = list(base)
+        for _ in range(rnd.choice([1, 2, 4, 6])):
+            b[rnd.randrange(len(b))] = f"z{rnd.randrange(4)}"
+        rows.append((k := k + 1, " ".join(b)))
+    long = [f"v{rnd.randrange(9000)}" for _ in range(3000)]
+    for edits in (0, 20, 60, 150):
+        b = list(long)
+        for _ in range(edits):
+            b[rnd.randrange(len(b))] = f"y{rnd.randrange(10**6)}"
+        rows.append((k := k + 1, " ".join(b)))
+    for i in range(30):  # one rare passage, then common words in another order
+        rows.append((k := k + 1, " ".join([f"p{j}" for j in range(25)] + [f"c{(j * (i % 5 + 1)) % 40}" for j in range(20)])))
+    rows += rows[:3]
+    for width, percent in ((3, 90), (5, 80)):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar(frame(spark, rows), width, percent).collect())
+        assert got == components_model(rows, width, percent)
+
+
+def test_stages_on_odd_tables(spark, odd):
+    """Null and repeated ids, ids of several texts, empty texts and tables, reserved-looking columns."""
+    rows = [(1, "a b"), (1, "a  b"), (1, "a  b"), (None, "a b"), (2, None), (3, ""), (4, " \n"), (5, "x y z"), (5, "quite another text of id five")]
+    kind = "doc_id long, text string, lang string, source string, key long, _stay long, _kept long, row string, node string"
+    docs = spark.createDataFrame([(i, t, None, "s", 1, 2, 3, "r", "n") for i, t in rows], kind)
+    stages = {"quality": quality.keep_good, "dedup": dedup.keep_first, "near": jaccard.keep_one, "mix": mixing.keep_mixed}
+    got = {}
+    for name, stage in stages.items():
+        out = stage(docs)
+        assert out.columns == docs.columns, name
+        got[name] = Counter((r.doc_id, r.text) for r in out.collect())
+        assert stage(docs.limit(0)).count() == 0
+    assert got["quality"] == {}
+    assert got["dedup"] == Counter({(1, "a  b"): 2, (2, None): 0, (5, "x y z"): 1, (5, "quite another text of id five"): 1, (4, " \n"): 1}) - Counter()
+    assert got["near"][(5, "x y z")] == 1 and got["near"][(1, "a b")] + got["near"][(1, "a  b")] == 3 and got["near"][(2, None)] == 1
+
+
+def test_mixing_given_targets(spark):
+    rows = [(i, " ".join(["w"] * 10), "en" if i % 2 else "de", f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    share = spark.createDataFrame([("s0", 0.6), ("s1", 0.4)], "source string, share double")  # s2 has no target
+    out = mixing.mix(docs, budget=0.3, margins={"source": share}).cache()
+    got = {r.source: r.x for r in out.groupBy("source").agg(F.sum(F.col("p") * F.col("n_tokens")).alias("x")).collect()}
+    assert got["s2"] == 0 and abs(got["s0"] - 0.6 * 1800) < 1 and abs(got["s1"] - 0.4 * 1800) < 1
+    cells = out.groupBy("source", "lang", "topic").agg(F.sum(F.col("p") * F.col("n_tokens")).alias("x"))
+    assert mixing.residual(cells, {"source": share}, 1800.0) < 1e-3
