@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from itertools import count, takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,10 +70,12 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id and text are among ``keys`` (doc_id, key), with all their columns, whatever their names."""
-    keys = keys.select("doc_id", "key").distinct()
-    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["doc_id"]) & (text_key(docs["text"]) == keys["key"]), "left_semi")
+def rows_of(docs: DataFrame, keys: DataFrame, key: Column | None = None) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and key (unless given, that of the text) are among ``keys`` (doc_id, key), with all their columns, whatever their names."""
+    taken = {c.lower() for c in docs.columns}
+    i, k = ("".join([n, *("_" for _ in takewhile(lambda m: n + "_" * m in taken, count()))]) for n in ("_id", "_key"))
+    keys = keys.select(F.col("doc_id").alias(i), F.col("key").alias(k)).distinct()
+    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col(i)) & ((text_key(F.col("text")) if key is None else key) == F.col(k)), "left_semi")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -205,7 +205,7 @@ def described(docs: DataFrame, width: int, percent: int, counted: tuple[str, int
                 cols = [part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(node, pa.binary()), pa.array(gid, pa.int64()), pa.array(skip, pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "key", "n", "node", "gid", "skip", "prefix", "bits"])
 
-    return docs.select("doc_id", "text", text_key(docs["text"]).alias("key")).mapInArrow(task, "doc_id long, key long, n long, node binary, gid long, skip long, prefix binary, bits array<long>")
+    return docs.select("doc_id", "text", text_key(F.col("text")).alias("key")).mapInArrow(task, "doc_id long, key long, n long, node binary, gid long, skip long, prefix binary, bits array<long>")
 
 
 def meet(units: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, words
+from .common import rows_of, saved, words
 
 DIMS = ("source", "lang", "topic")
 #: Share of all tokens to keep; sweeps over the margins; targets: shares of the tokens now, to this power.
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWE
 def drawn(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = POWERS, topic_of: Column | None = None, seed: str = "mix", margins: dict[str, DataFrame] | None = None) -> DataFrame:
     """The same with key, the hash of each row's text and dimensions."""
     n = F.size(words(F.col("text"))).cast("long")
-    slim = docs.select("doc_id", mix_key(docs).alias("key"), *(F.coalesce(F.col(d), F.lit(NONE)).alias(d) for d in ("source", "lang")), (topic(F.col("text")) if topic_of is None else F.coalesce(topic_of, F.lit(NONE))).alias("topic"), n.alias("n_tokens"))
+    slim = docs.select("doc_id", mix_key().alias("key"), *(F.coalesce(F.col(d), F.lit(NONE)).alias(d) for d in ("source", "lang")), (topic(F.col("text")) if topic_of is None else F.coalesce(topic_of, F.lit(NONE))).alias("topic"), n.alias("n_tokens"))
     slim = saved(slim)
     cells = saved(slim.groupBy(*DIMS).agg(F.sum("n_tokens").alias("t")).where("t > 0"))
     total = cells.agg(F.sum("t").alias("t")).first()["t"] or 0
@@ -101,8 +101,8 @@ def drawn(docs: DataFrame, budget: float = BUDGET, powers: dict[str, float] = PO
     return slim.join(fitted, list(DIMS), "left").select("doc_id", "key", *DIMS, "n_tokens", F.round(p, 6).alias("p"), (u < p).alias("kept"))
 
 
-def mix_key(docs: DataFrame) -> Column:
-    return F.xxhash64(*(F.coalesce(docs[c], F.lit("")) for c in ("text", "source", "lang")))
+def mix_key() -> Column:
+    return F.xxhash64(*(F.coalesce(c, F.lit("")) for c in ("text", "source", "lang")))
 
 
 def keep_mixed(docs: DataFrame, margins: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -112,8 +112,7 @@ def keep_mixed(docs: DataFrame, margins: dict[str, DataFrame] | None = None) ->
     draws like an empty one; a null source or language is a value of its own; rows of a cell
     without words stay; an empty table stays empty.
     """
-    kept = drawn(docs, margins=margins).where("kept").select("doc_id", "key").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]) & (mix_key(docs) == kept["key"]), "left_semi")
+    return rows_of(docs, drawn(docs, margins=margins).where("kept"), mix_key())
 
 
 def oracle(source: str = "documents") -> str:

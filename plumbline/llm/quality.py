@@ -121,7 +121,7 @@ def judge(docs: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """The same with key, the hash of each row's text."""
     rules = list(RULES)
-    counts = saved(text_counts(docs.select("doc_id", "text", text_key(docs["text"]).alias("key"))).select("doc_id", "key", *COUNTS))
+    counts = saved(text_counts(docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))).select("doc_id", "key", *COUNTS))
     voted = counts.withColumns({r: F.expr(vote(r)) for r in rules})
     model = estimate(voted, rules)
     failed = F.expr(BASE_FAILED)

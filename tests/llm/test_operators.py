@@ -441,7 +441,7 @@ def test_jaccard_families(spark):
 def test_stages_on_odd_tables(spark, odd):
     """Null and repeated ids, ids of several texts, empty texts and tables, reserved-looking columns."""
     rows = [(1, "a b"), (1, "a  b"), (1, "a  b"), (None, "a b"), (2, None), (3, ""), (4, " \n"), (5, "x y z"), (5, "quite another text of id five")]
-    kind = "doc_id long, text string, lang string, source string, key long, _stay long, _kept long, row string, node string"
+    kind = "doc_id long, text string, lang string, source string, key long, _id long, _KEY long, row string, node string"
     docs = spark.createDataFrame([(i, t, None, "s", 1, 2, 3, "r", "n") for i, t in rows], kind)
     stages = {"quality": quality.keep_good, "dedup": dedup.keep_first, "near": jaccard.keep_one, "mix": mixing.keep_mixed}
     got = {}
