@@ -58,6 +58,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """Like ``saved``, in partitions of about ``rows`` rows, if those are fewer: what is small then makes few tasks and few shuffle files, however many partitions it came from."""
+    out = saved(df)
+    return out.coalesce(max(1, -(-out.count() // rows)))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Like ``saved``, as a Parquet table: columnar and compressed, for wide or many rows."""
     path = new_dir(df.sparkSession, name)

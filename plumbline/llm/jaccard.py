@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, rows_of, saved, text_key
+from .common import new_dir, packed, rows_of, saved, text_key
 from .components import components
 from .eliasfano import map_arrays, write_arrays
 from .hashing import Words, mix, portions
@@ -40,7 +40,7 @@ PARITY = 512
 #: So many ids at most are broadcast to fetch texts by id.
 BROADCAST_IDS = 200_000
 #: How often lists are collapsed on leaders before all pairs are taken; how many outside its largest component make a list worth a further round.
-ROUNDS, FEW = 2, 8
+ROUNDS, FEW = 3, 8
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -251,7 +251,7 @@ def sizes_fit(a: Column, b: Column, percent: int) -> Column:
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar enough, with their Jaccard similarity."""
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("doc_id")))
+    wanted = packed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("doc_id")))
     ids = wanted.select("doc_id").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
 
@@ -284,7 +284,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
                 rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(how, pa.float64())], ["a", "b", "jaccard"])
                 yield rows.filter(pa.array(keep, pa.bool_()))
 
-    return saved(both.mapInArrow(compare, "a binary, b binary, jaccard double"))
+    return packed(both.mapInArrow(compare, "a binary, b binary, jaccard double"))
 
 
 def merged(comps: DataFrame, links: DataFrame, key: str) -> DataFrame:
@@ -319,7 +319,7 @@ def joined(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
 
     # the members of a group meet its first; what they link to is a unit of it
     many = nodes.groupBy("gid").agg(F.count("*").alias("k"), F.min("node").alias("head")).where("k > 1").select("gid", "head")
-    own = saved(nodes.select("gid", "node").join(many, "gid").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    own = packed(nodes.select("gid", "node").join(many, "gid").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")))
     members = nodes.select("node", "gid", F.col("node").alias("comp"))
     if not own.isEmpty():
         members = merged(nodes.select("node", F.col("node").alias("comp")), verified(own, slim, docs, width, percent), "node").join(nodes.select("node", "gid"), "node")
@@ -357,14 +357,15 @@ def joined(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
 
     for i in range(rounds):
         live = apart()
-        # of those with most to share; later of those that are not in their list's largest component, if they are not few
-        able = live if i == 0 else live.join(largest(live).where(f"others >= {FEW}"), "token").where("comp != main")
-        first = able.groupBy("token", "band").agg(F.max(F.struct("k", "unit", "n", "pos", "comp")).alias("l"))
+        # one of those with most to share, the same in many lists; later another in each list that has more than a few outside its largest component
+        able = live if i == 0 else live.join(largest(live).where(f"others >= {FEW}"), "token")
+        turn = F.lit(0).cast("long") if i == 0 else F.xxhash64("token", "unit", F.lit(i))
+        first = able.groupBy("token", "band").agg(F.max(F.struct("k", turn.alias("turn"), "unit", "n", "pos", "comp")).alias("l"))
         first = first.select("token", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"), *(F.col(f"l.{c}").alias(f"{c}1") for c in ("unit", "n", "pos", "comp")))
         other = live.select("token", "band", *(F.col(c).alias(f"{c}2") for c in ("unit", "n", "pos", "comp")))
         met = other.join(first, ["token", "band"]).where((F.col("comp1") != F.col("comp2")) & fit).select("unit1", "n1", "unit2", "n2").distinct()
         met = met.join(named(bits, 1, "unit", "every", "some"), "unit1").join(named(bits, 2, "unit", "every", "some"), "unit2").where(bits_fit)
-        pairs = saved(met.select(F.least("unit1", "unit2").alias("a"), F.greatest("unit1", "unit2").alias("b")).distinct())
+        pairs = packed(met.select(F.least("unit1", "unit2").alias("a"), F.greatest("unit1", "unit2").alias("b")).distinct())
         if pairs.isEmpty():
             break
         comps = merged(comps, verified(pairs, slim, docs, width, percent), "unit")
@@ -385,14 +386,14 @@ def joined(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
         .agg(F.count("*").alias("c"), F.max("pos1").alias("l1"), F.max("pos2").alias("l2"))
         .where(F.col("c") + F.least(F.col("n1") - F.col("l1"), F.col("n2") - F.col("l2")) - 1 >= need)
     )
-    pairs = saved(pairs.select("unit1", "unit2"))
+    pairs = packed(pairs.select("unit1", "unit2"))
     if not pairs.isEmpty():
         inside = nodes.select("node", "n", "bits").join(of_unit, "node")
         sides = (inside.select(F.col("unit").alias(f"unit{i}"), F.col("node").alias(x), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"every{i}"), F.lit(None).cast("array<long>").alias(f"some{i}")) for i, x in ((1, "a"), (2, "b")))
         one, two = sides
         meets = (F.col("l.unit2") == F.col("r.unit2")) & may_link("1", "2", F.col("n1"), F.col("n2"), percent)
         across = pairs.join(one, "unit1").alias("l").join(two.alias("r"), meets).select("a", "b")
-        more = verified(saved(across), slim, docs, width, percent)
+        more = verified(packed(across), slim, docs, width, percent)
         unit_of = lambda x: of_unit.select(F.col("node").alias(x), F.col("unit").alias("u" + x))
         comps = merged(comps, more.join(unit_of("a"), "a").join(unit_of("b"), "b").select(F.col("ua").alias("a"), F.col("ub").alias("b")), "unit")
 
