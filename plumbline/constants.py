@@ -33,5 +33,11 @@ LUMINANCE = (0.299, 0.587, 0.114)
 MERGE_HEIGHT_RATIO, MERGE_OVERLAP, MERGE_CENTER, MERGE_WIDTH_OVERLAP = 2.0, 0.45, 0.55, 0.35
 MERGE_GAP_HEIGHT, MERGE_GAP_IMAGE, MERGE_UNION_HEIGHT, MERGE_PADDING = 1.8, 0.04, 1.45, 1.0
 COLORS = ("RED", "YELLOW", "GREEN", "CYAN", "BLUE", "WHITE", "BLACK", "UNKNOWN")
-DEFAULT_CONSTRUCTIONS = ((1, "x", "c001"), (2, "y", "c002"))
+DEFAULT_LABELS = ("H150X150X7", "B1Sb30N-7A", "C200X200X8")
+DEFAULT_CONSTRUCTIONS = ((1, "F-M_FQ", "20251111202F"), (2, "新社屋建設工事", "20250001"))
+DEFAULT_PROCESSES = (
+    (1, 1, "FINS", "FINS"), (2, 1, "FAS検査", "FAS"), (3, 1, "FAILA0", "FAIL"), (4, 1, "FAW検査", "FAW"), (5, 1, "CINJA0", "CINJ"), (6, 1, "建て方管理", "BLD"),
+    (7, 2, "一次加工", "P01"), (8, 2, "組立", "P02"), (9, 2, "溶接", "P03"), (10, 2, "塗装", "P04"), (11, 2, "検査", "P05"),
+    (12, 3, "FINS", "FINS"), (13, 3, "FAS検査", "FAS"), (14, 3, "FAILA0", "FAIL"), (15, 3, "FAW検査", "FAW"), (16, 3, "CINJA0", "CINJ"), (17, 3, "建て方管理", "BLD"),
+)
 # ---- end of fixed values ----

@@ -82,6 +82,37 @@ def unclipped(cx: Column, cy: Column, w: Column, h: Column, angle: Column, ratio
     return F.array(*(v for u, t in corners for v in (cx + u * c - t * s, cy + u * s + t * c)))
 
 
+def corner_order(p: Column) -> Column:
+    """A quad's corners as top-left, top-right, bottom-right, bottom-left: the two highest by x, then the two lowest by falling x; ties as they stand."""
+    points = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(F.get(p, i * 2 + 1).alias("y"), i.alias("i"), F.get(p, i * 2).alias("x")))
+    by_y = F.array_sort(points)
+    # within a half, order by x and then by the place in the order by y
+    half = lambda at: F.array_sort(F.transform(F.slice(by_y, at, 2), lambda q, k: F.struct(q.x.alias("x"), k.alias("k"), q.y.alias("y"))))
+    top, low = half(1), half(3)
+    corners = (F.get(top, F.lit(0)), F.get(top, F.lit(1)), F.get(low, F.lit(1)), F.get(low, F.lit(0)))
+    return F.array(*(c[k] for c in corners for k in ("x", "y")))
+
+
+def crop_size(p: Column) -> tuple[Column, Column]:
+    """Width and height of the upright crop of an ordered quad: means of opposite sides, cut to whole numbers between 1 and 2000."""
+    side = lambda a, b: F.sqrt(F.pow(F.get(p, F.lit(2 * a)) - F.get(p, F.lit(2 * b)), F.lit(2)) + F.pow(F.get(p, F.lit(2 * a + 1)) - F.get(p, F.lit(2 * b + 1)), F.lit(2)))
+    whole = lambda v: F.greatest(F.lit(1), F.least(F.lit(2000), v.cast("int")))
+    return whole((side(0, 1) + side(3, 2)) / 2), whole((side(0, 3) + side(1, 2)) / 2)
+
+
+def on_view(p: Column, image_w: Column, image_h: Column, view_w: Column, view_h: Column, shrink: float = 0.7) -> Column:
+    """A polygon as drawn over a view that the image fills, centred: shrunk about the mean of its corners, scaled and shifted."""
+    scale = F.greatest(view_w / image_w, view_h / image_h)
+    dx, dy = (view_w - image_w * scale) / 2, (view_h - image_h * scale) / 2
+    cx, cy = _sum(xs(p)) / (F.size(p) / 2), _sum(ys(p)) / (F.size(p) / 2)
+
+    def one(v: Column, i: Column) -> Column:
+        c, d = F.when(i % 2 == 0, cx).otherwise(cy), F.when(i % 2 == 0, dx).otherwise(dy)
+        return (c + (v - c) * shrink) * scale + d
+
+    return F.transform(p, one)
+
+
 def same_line(a: str, b: str, image_w: Column, colors_fit: Column) -> Column:
     """Whether boxes with columns left, top, right, bottom behind prefixes a and b belong to one line of text."""
     g = lambda p, n: F.col(p + n)

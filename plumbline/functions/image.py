@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
-    CONTRAST_LIFT, CONTRAST_MAX_SCALE, CONTRAST_MIN_RANGE, CONTRAST_SPAN, ERROR_TOKENS, KEEP_RATIO, KEEP_SHORT, KEEP_SHORT_CONFIDENCE, LUMINANCE,
+    COLORS, CONTRAST_LIFT, CONTRAST_MAX_SCALE, CONTRAST_MIN_RANGE, CONTRAST_SPAN, ERROR_TOKENS, KEEP_RATIO, KEEP_SHORT, KEEP_SHORT_CONFIDENCE, LUMINANCE,
     RECOGNISED_CONFIDENCE, RECOGNISED_RATIO, RECOGNISED_USEFUL, SCORE_CONFIDENCE, SCORE_LENGTH, SCORE_LENGTH_MAX, SCORE_RATIO,
 )
 from .text import trimmed, useful_count
@@ -41,6 +41,62 @@ def color_class(h: Column, s: Column, v: Column) -> Column:
     )
 
 
+def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Hue (0 to 360), saturation and value (0 to 1) of a pixel (0 to 255)."""
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = (top - low).cast("double")
+    h = F.when(span == 0, 0.0).when(top == r, F.pmod((g - b) / F.nullif(span, F.lit(0.0)), F.lit(6.0))).when(top == g, (b - r) / F.nullif(span, F.lit(0.0)) + 2).otherwise((r - g) / F.nullif(span, F.lit(0.0)) + 4)
+    return h * 60, saturation(r, g, b), top / 255
+
+
+def dominant(pixels: DataFrame, key: str, box: tuple[int, int, int, int], least: float = 0.01) -> DataFrame:
+    """(key, color): the commonest marking colour of each image's pixels (x, y, color) in a box (left, top, right, bottom), the right and bottom edges outside.
+
+    Every step-th pixel counts, a step being a 64th of the longer side; UNKNOWN where fewer than ``least`` of them show a colour.
+    """
+    left, top, right, bottom = box
+    step = max(1, max(right - left, bottom - top) // 64)
+    inside = (F.col("x") >= left) & (F.col("x") < right) & (F.col("y") >= top) & (F.col("y") < bottom) & ((F.col("x") - left) % step == 0) & ((F.col("y") - top) % step == 0)
+    order = F.array_position(F.array(*(F.lit(c) for c in COLORS)), F.col("color"))
+    by = pixels.where(inside).groupBy(key, "color").agg(F.count("*").alias("n"))
+    known = F.col("color") != "UNKNOWN"
+    best = by.groupBy(key).agg(F.max_by(F.when(known, F.col("color")), F.when(known, F.struct(F.col("n"), -order))).alias("best"), F.sum(F.when(known, F.col("n"))).alias("valid"), F.sum("n").alias("all"))
+    return best.select(key, F.coalesce(F.when(F.col("valid") / F.col("all") >= least, F.col("best")), F.lit("UNKNOWN")).alias("color"))
+
+
+def laplacian(grid: Column, width: int, height: int) -> Column:
+    """255 times the four-neighbour Laplacian of a grid given row by row; 0 at its edges."""
+    at = lambda i: F.get(grid, i)
+
+    def one(i: Column) -> Column:
+        y, x = F.floor(i / width), i % width
+        edge = (y == 0) | (y == height - 1) | (x == 0) | (x == width - 1)
+        return F.when(edge, 0.0).otherwise(255 * (at(i - 1) + at(i + 1) + at(i - width) + at(i + width) - 4 * at(i)))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), one)
+
+
+def stretched(v: Column, scale: Column, bias: Column) -> Column:
+    """A channel after ``contrast``, held between 0 and 255."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(255.0), v * scale + bias))
+
+
+def detection_input(v: Column) -> Column:
+    """A channel value (0 to 255) as the detector takes it."""
+    return (v / 255 - 0.485) / 0.229
+
+
+def recognition_input(v: Column) -> Column:
+    """A channel value (0 to 255) as the recogniser takes it."""
+    return v / 127.5 - 1
+
+
+def planes(pixels: Column) -> Column:
+    """Pixels [[r, g, b], ...] as all reds, then all greens, then all blues."""
+    channel = lambda c: F.transform(pixels, lambda p: F.get(p, F.lit(c)))
+    return F.flatten(F.array(*(channel(c) for c in range(3))))
+
+
 def colors_fit(a: Column, b: Column) -> Column:
     """Unknown goes with anything."""
     return (a == "UNKNOWN") | (b == "UNKNOWN") | (a == b)

@@ -44,3 +44,16 @@ def resized(w: Column, h: Column, side: int = IMAGE_SIDE) -> tuple[Column, Colum
     long = F.greatest(w, h)
     f = F.when(long > side, side / long).otherwise(1.0)
     return (w * f).cast("long"), (h * f).cast("long")
+
+
+def right_angle(degrees: Column) -> Column:
+    """Degrees between 0 and 360, as a turn of the other way may leave them below 0."""
+    return F.pmod(degrees, F.lit(360))
+
+
+def unaccounted(total: Column, *phases: Column) -> Column:
+    """What of a run's time no phase accounts for; never below 0."""
+    spent = phases[0]
+    for p in phases[1:]:
+        spent = spent + p
+    return F.greatest(F.lit(0), total - spent)

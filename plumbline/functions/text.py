@@ -9,10 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..constants import CODE_CHARS, CODE_MAX, CODE_MIN, CODE_PREFIX, LOOKALIKE_FROM, LOOKALIKE_TO
+from ..constants import CODE_CHARS, CODE_MAX, CODE_MIN, CODE_PREFIX, LOOKALIKE_FROM, LOOKALIKE_TO, UNSET
 
-#: White space at either end, ASCII and ideographic.
-_ENDS = r"^[\s\x{3000}]+|[\s\x{3000}]+$"
+#: White space at either end, Unicode's and the separators of ASCII.
+_ENDS = r"\A[\s\x1C-\x1F\x85\p{Z}]+|[\s\x1C-\x1F\x85\p{Z}]+\z"
 
 
 def trimmed(c: Column) -> Column:
@@ -83,9 +83,9 @@ def ascii_folded(c: Column) -> Column:
 
 
 def contains_like(column: Column, typed: str) -> Column:
-    """``LIKE '%typed%'``: ASCII case-insensitive, wildcards in the typed text stay wildcards; an empty query matches all."""
-    typed = typed.strip()
-    return F.lit(True) if not typed else ascii_folded(column).like(f"%{typed.lower() if typed.isascii() else typed}%")
+    """``LIKE '%typed%'``: A-Z match a-z and nothing else is folded; wildcards in the typed text stay wildcards, a backslash is itself; an empty query matches all."""
+    folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in typed.strip()).replace("\\", "\\\\")
+    return F.lit(True) if not folded else ascii_folded(column).like(f"%{folded}%")
 
 
 def worker_number(c: Column) -> Column:
@@ -93,5 +93,32 @@ def worker_number(c: Column) -> Column:
     return F.coalesce(F.when(c.rlike(r"\A[+-]?[0-9]+\z"), c.try_cast("int")), F.lit(1))
 
 
+def before_mark(c: Column, mark: str) -> Column:
+    """What stands before the first ``mark``, trimmed; all of it without one."""
+    return trimmed(F.substring_index(c, mark, 1))
+
+
+def two_decimals(c: Column) -> Column:
+    return F.format_string("%.2f", c.cast("double"))
+
+
+def header_label(site: Column, process: Column) -> Column:
+    return F.concat(F.lit("【"), site, F.lit("】"), process)
+
+
+def or_unset(c: Column) -> Column:
+    return F.coalesce(F.nullif(trimmed(c), F.lit("")), F.lit(UNSET))
+
+
+def request_payload(**fields: Column) -> Column:
+    """A JSON object with these names, in order."""
+    return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+
+
+def zipped(codes: Column, **lists: tuple[Column, Column]) -> Column:
+    """Parallel lists met by position, as structs (code, ...): where a list is shorter than ``codes`` its default stands (a column, or the code itself if None)."""
+    return F.transform(codes, lambda c, i: F.struct(c.alias("code"), *(F.coalesce(F.get(v, i), c if d is None else d).alias(k) for k, (v, d) in lists.items())))
+
+
 def location(warehouse: Column, column: Column, tier: Column) -> Column:
     return F.concat_ws(" / ", *(F.when(F.trim(c) != "", c) for c in (warehouse, column, tier)))

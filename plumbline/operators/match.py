@@ -4,24 +4,55 @@ A text's distance to a label is the least edit distance over the text's look-ali
 variants. Up to ``MATCH_MAX_DISTANCE`` edits count, so a label can only be as much
 longer or shorter than the text: labels and texts meet in a hash join on length, each
 variant being dealt to the few lengths it can reach, and not as every text with every
-label. Distinct texts are matched once.
+label. Distinct texts are matched once. The best few of a text mostly lie within one
+edit; those are found first, through an index of labels with up to one character left
+out, and only texts that it does not settle go on to the wider search.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MATCH_MAX_DISTANCE, MATCH_MIN_LENGTH, MATCH_TOP
 from ..functions.text import match_form, variants
+from .keep import saved
+from .masters import with_ordinal
 
 _K = MATCH_MAX_DISTANCE
 
 
 def indexed(labels: DataFrame) -> DataFrame:
     """Labels (code) with their place in code order (the last tie-break) and their match form."""
-    # codes are unique; a rank over them all is the one global order there is
-    return labels.select("code", F.row_number().over(Window.orderBy("code")).alias("label_index"), match_form(F.col("code")).alias("label"))
+    return with_ordinal(labels.select("code"), ["code"], "label_index").select("code", F.col("label_index").cast("int").alias("label_index"), match_form(F.col("code")).alias("label"))
+
+
+def shortened(c: Column) -> Column:
+    """The string and every string with one of its characters left out; strings one edit apart share one of these."""
+    cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
+    return F.when(F.length(c) == 0, F.array(c)).otherwise(F.array_distinct(F.concat(F.array(c), cut)))
+
+
+def _varied(texts: DataFrame) -> DataFrame:
+    """One row for each look-alike variant of each distinct text: text, form, heads, v."""
+    spread = 2 * texts.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be put together again
+    t = texts.select("text").distinct().repartition(spread, "text").where(F.length("text") >= MATCH_MIN_LENGTH).select("text", match_form(F.col("text")).alias("form")).withColumn("vs", variants(F.col("form")))
+    heads = F.array_distinct(F.transform(F.filter("vs", lambda v: F.length(v) >= 2), lambda v: F.substring(v, 1, 2)))
+    return t.select("text", "form", heads.alias("heads"), F.explode("vs").alias("v"))
+
+
+def _gathered(pairs: DataFrame) -> DataFrame:
+    prefix = (F.length("label") >= 2) & F.array_contains("heads", F.substring("label", 1, 2))
+    return pairs.groupBy("text", "code", "label_index").agg(
+        F.first("label").alias("label"), F.min("d").alias("distance"), F.max(prefix).alias("prefix"), F.first(F.abs(F.length("form") - F.length("label"))).alias("length_diff")
+    )
+
+
+def close(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """The candidates within one edit, through the index of shortened labels."""
+    keyed = labels.withColumn("key", F.explode(shortened(F.col("label"))))
+    pairs = _varied(texts).withColumn("key", F.explode(shortened(F.col("v")))).join(keyed, "key").withColumn("d", F.levenshtein("v", "label", 1)).where("d >= 0")
+    return _gathered(pairs)
 
 
 def candidates(texts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -31,16 +62,10 @@ def candidates(texts: DataFrame, labels: DataFrame) -> DataFrame:
     stand, match nothing. The distance 0 is that of equal forms: case, spaces, hyphens and one
     look-alike are free.
     """
-    spread = 2 * texts.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be put together again
-    t = texts.select("text").distinct().repartition(spread, "text").where(F.length("text") >= MATCH_MIN_LENGTH).select("text", match_form(F.col("text")).alias("form")).withColumn("vs", variants(F.col("form")))
-    heads = F.array_distinct(F.transform(F.filter("vs", lambda v: F.length(v) >= 2), lambda v: F.substring(v, 1, 2)))
     # one row a variant and label length it can reach: plain rows keep the distance inside generated code
-    by_variant = t.select("text", "form", heads.alias("heads"), F.explode("vs").alias("v")).withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.length("v") - _K), F.length("v") + _K)))
+    by_variant = _varied(texts).withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.length("v") - _K), F.length("v") + _K)))
     pairs = by_variant.join(labels.withColumn("len", F.length("label")), "len").withColumn("d", F.levenshtein("v", "label", _K)).where("d >= 0")
-    prefix = (F.length("label") >= 2) & F.array_contains("heads", F.substring("label", 1, 2))
-    return pairs.groupBy("text", "code", "label_index").agg(
-        F.first("label").alias("label"), F.min("d").alias("distance"), F.max(prefix).alias("prefix"), F.first(F.abs(F.length("form") - F.length("label"))).alias("length_diff")
-    )
+    return _gathered(pairs)
 
 
 def ranked(found: DataFrame) -> DataFrame:
@@ -56,7 +81,11 @@ def top(texts: DataFrame, labels: DataFrame, k: int = MATCH_TOP) -> DataFrame:
 
     A text is ambiguous when its first two candidates tie in distance and length difference.
     """
-    r = ranked(candidates(texts, labels))
+    # where enough labels share the text's head and lie within one edit, no other can come among the first
+    near = saved(close(texts, labels).where("prefix"))
+    settled = near.groupBy("text").agg(F.count("*").alias("_n")).where(f"_n >= {max(k, 2)}").select("text")
+    rest = texts.select("text").distinct().join(settled, "text", "left_anti")
+    r = ranked(near.join(settled, "text", "left_semi").unionByName(candidates(rest, labels)))
     tie = (F.col("rank") == 1) & (F.col("next_distance") == F.col("distance")) & (F.col("next_diff") == F.col("length_diff"))
     flag = F.max(F.coalesce(tie, F.lit(False))).over(Window.partitionBy("text"))
     return r.withColumn("is_ambiguous", flag).where(F.col("rank") <= k).select("text", "rank", "code", "distance", (F.col("distance") == 0).alias("is_exact"), "is_ambiguous")

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import MERGE_CENTER, MERGE_GAP_HEIGHT, MERGE_GAP_IMAGE, MERGE_HEIGHT_RATIO, MERGE_OVERLAP, MERGE_PADDING, MERGE_UNION_HEIGHT, MERGE_WIDTH_OVERLAP
+from ..constants import AREA_MIN, MERGE_CENTER, MERGE_GAP_HEIGHT, MERGE_GAP_IMAGE, MERGE_HEIGHT_RATIO, MERGE_OVERLAP, MERGE_PADDING, MERGE_UNION_HEIGHT, MERGE_WIDTH_OVERLAP
 
 
 def argmax(scores: Column) -> Column:
@@ -54,6 +54,12 @@ def components(pixels: DataFrame, min_size: int) -> DataFrame:
     return pixels.select("image", "x", "y").groupBy("image").applyInPandas(label, "image long, component long, x long, y long")
 
 
+def largest(regions: DataFrame, key: str, n: int, least_area: float = AREA_MIN) -> DataFrame:
+    """Of each image's regions (ord, area) the ``n`` largest above ``least_area``, ties as they stand, with their rank."""
+    w = Window.partitionBy(key).orderBy(F.desc("area"), "ord")
+    return regions.where(F.col("area") > least_area).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
 def merge_lines(boxes: DataFrame, image_w: float) -> DataFrame:
     """Greedy merging of boxes (image, ord, left, top, right, bottom) that share a line.
 

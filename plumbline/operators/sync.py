@@ -11,9 +11,10 @@ from .history import eligible
 def step(parents: DataFrame, items: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
     """Parents after one sync, with ``sent``: the items that went out with each.
 
-    ``outcomes`` (id, ok) says how sending went. Eligible parents without items become
-    SYNCED and count nothing; others become SYNCED on success; on failure they become
-    FAILED with one more retry and a message. Other parents stay as they are.
+    ``outcomes`` (id, ok, message) says how sending went. Eligible parents without items become
+    SYNCED and count nothing; others become SYNCED on success, which leaves an old message
+    in place; on failure they become FAILED with one more retry and the outcome's message.
+    Other parents stay as they are.
     """
     n = items.groupBy(F.col("registrationId").alias("id")).agg(F.count("*").alias("_n"))
     p = parents.join(n, "id", "left").join(outcomes, "id", "left")
@@ -26,6 +27,6 @@ def step(parents: DataFrame, items: DataFrame, outcomes: DataFrame, now: int) ->
             "syncStatus": F.when(done, "SYNCED").when(failed, "FAILED").otherwise(F.col("syncStatus")),
             "syncedAt": F.when(done, F.lit(now)).when(failed, F.lit(None)).otherwise(F.col("syncedAt")),
             "retryCount": F.when(failed, F.col("retryCount") + 1).otherwise(F.col("retryCount")),
-            "errorMessage": F.when(failed, "send failed").when(done, F.lit(None)).otherwise(F.col("errorMessage")),
+            "errorMessage": F.when(failed, F.coalesce("message", F.lit("Unknown Exception"))).otherwise(F.col("errorMessage")),
         }
-    ).drop("_n", "ok")
+    ).drop("_n", "ok", "message")

@@ -11,19 +11,25 @@ from ..operators.history import ordered_codes
 from ..sources import standins as T
 from .registry import query
 
-# ---- label imports: half of the labels are there; the file repeats some and has headers and blanks ----
-_EXISTING = "existing AS (SELECT DISTINCT p_brand || '-' || p_size AS code FROM part WHERE p_partkey % 2 = 0)"
-_INCOMING = "incoming AS (SELECT p_partkey AS ord, CASE p_partkey % 9 WHEN 0 THEN '製品番号' WHEN 1 THEN ' Code ' WHEN 2 THEN ' ' ELSE ' ' || p_brand || '-' || p_size || ' ' END AS cell FROM part WHERE p_partkey % 3 = 0)"
-_LINES = "f AS (SELECT ord, trim(cell) AS code FROM incoming WHERE trim(cell) <> '' AND trim(cell) <> '製品番号' AND lower(trim(cell)) <> 'code')"
+# ---- label imports: some labels are there, some under another size; the file has headers, blanks, small, wide and foreign letters ----
+_ASCII = "".join(chr(i) for i in range(0x21, 0x7F))
+_WIDE = "".join(chr(i + 0xFEE0) for i in range(0x21, 0x7F))
+_CODE = "upper(p_brand) || '-' || p_size"
+_EXISTING = f"existing AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN {_CODE} ELSE {_CODE} || '-OLD' END AS code FROM part)"
+_Q = lambda x: x.replace("'", "''")
+_INCOMING = f"""incoming AS (SELECT p_partkey AS ord, CASE p_partkey % 9 WHEN 0 THEN '製品番号' WHEN 1 THEN ' Code ' WHEN 2 THEN ' ' WHEN 3 THEN translate({_CODE}, '{_Q(_ASCII)}', '{_WIDE}') WHEN 4 THEN lower({_CODE})
+    WHEN 5 THEN {_CODE} || 'é' WHEN 6 THEN '鉄' ELSE ' ' || {_CODE} || ' ' END AS cell FROM part)"""
+_LINES = f"f AS (SELECT * FROM (SELECT ord, regexp_replace(trim(upper(translate(cell, '{_WIDE}', '{_Q(_ASCII)}'))), '[^\\x20-\\x7E]', '', 'g') AS code FROM incoming WHERE trim(cell) <> '' AND trim(cell) <> '製品番号' AND lower(trim(cell)) <> 'code') WHERE code <> '')"
 
 
 def _labels(spark, d):
     p = T.read(spark, d, "part")
-    code = F.concat("p_brand", F.lit("-"), F.col("p_size").cast("string"))
+    code = F.concat(F.upper("p_brand"), F.lit("-"), F.col("p_size").cast("string"))
     k = F.col("p_partkey") % 9
-    cell = F.when(k == 0, "製品番号").when(k == 1, " Code ").when(k == 2, " ").otherwise(F.concat(F.lit(" "), code, F.lit(" ")))
-    existing = p.where("p_partkey % 2 = 0").select(code.alias("code")).distinct()
-    return existing, M.label_lines(p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("ord"), cell.alias("cell")))
+    cell = F.when(k == 0, "製品番号").when(k == 1, " Code ").when(k == 2, " ").when(k == 3, F.translate(code, _ASCII, _WIDE)).when(k == 4, F.lower(code))
+    cell = cell.when(k == 5, F.concat(code, F.lit("é"))).when(k == 6, "鉄").otherwise(F.concat(F.lit(" "), code, F.lit(" ")))
+    existing = p.select(F.when(F.col("p_partkey") % 2 == 0, code).otherwise(F.concat(code, F.lit("-OLD"))).alias("code")).distinct()
+    return existing, M.label_lines(p.select(F.col("p_partkey").alias("ord"), cell.alias("cell")))
 
 
 @query(f"WITH {_INCOMING}, {_LINES} SELECT DISTINCT code FROM f")
@@ -102,24 +108,24 @@ def cascade_delete(spark, d):
     return M.cascade(T.items(spark, d), left, "registrationId").select("registrationId", "productCode", "displayOrder")
 
 
-_NEW = "SELECT o_orderkey + 5000 AS id, o_totalprice AS price FROM orders WHERE o_orderkey % 3 = 0"
+_NEW = "SELECT o_orderkey + 5000 AS id, o_totalprice AS price FROM orders"
 
 
 @query(f"WITH n AS ({_NEW}) SELECT * FROM n UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT id FROM n)")
 def upsert_replace(spark, d):
     old = T.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    return M.upsert(old, old.where("id % 3 = 0").withColumn("id", F.col("id") + 5000), "id")
+    return M.upsert(old, old.withColumn("id", F.col("id") + 5000), "id")
 
 
 _STEP = f"""{T.with_('registrations', 'items')}, n AS (SELECT registrationId AS id, count(*) AS n FROM items GROUP BY 1),
 x AS (SELECT r.*, n, syncStatus IN ('PENDING', 'FAILED') AND retryCount < 3 AS due, (n IS NULL OR r.id % 4 <> 0) AS good FROM registrations r LEFT JOIN n USING (id)),
 y AS (SELECT id, CASE WHEN due AND good THEN 'SYNCED' WHEN due THEN 'FAILED' ELSE syncStatus END AS syncStatus, CASE WHEN due AND good THEN 1700000000000 WHEN due THEN NULL ELSE syncedAt END AS syncedAt,
-  CASE WHEN due AND NOT good THEN retryCount + 1 ELSE retryCount END AS retryCount, CASE WHEN due AND good THEN NULL WHEN due THEN 'send failed' ELSE errorMessage END AS errorMessage, CASE WHEN due AND good THEN coalesce(n, 0) ELSE 0 END AS sent, n, due FROM x)"""
+  CASE WHEN due AND NOT good THEN retryCount + 1 ELSE retryCount END AS retryCount, CASE WHEN due AND NOT good THEN 'HTTP ' || (500 + id % 3) ELSE errorMessage END AS errorMessage, CASE WHEN due AND good THEN coalesce(n, 0) ELSE 0 END AS sent, n, due FROM x)"""
 
 
 def _step(spark, d):
     parents, items = T.registrations(spark, d), T.items(spark, d)
-    return Y.step(parents, items, parents.select("id", (F.col("id") % 4 != 0).alias("ok")), 1700000000000)
+    return Y.step(parents, items, parents.select("id", (F.col("id") % 4 != 0).alias("ok"), F.concat(F.lit("HTTP "), (F.col("id") % 3 + 500).cast("string")).alias("message")), 1700000000000)
 
 
 _COLS = "id, syncStatus, syncedAt, retryCount, errorMessage, sent"

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import COLORS
 from ..functions import geometry as G
 from ..functions import image as I
 from ..functions import numeric as N
 from ..operators import regions as R
+from ..operators.masters import with_ordinal
 from ..sources import standins as T
 from .registry import query
 
@@ -46,17 +46,19 @@ def ctc_confidence_stats(spark, d):
 _TRIM = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 _USEFUL = f"length(regexp_replace({_TRIM}, '[^\\p{{L}}\\p{{Nd}}\\-/]', '', 'g'))"
 _SEEN = f"""{T.with_('recognised_texts')}, x AS (SELECT text_id, CASE text_id % 8 WHEN 0 THEN 'EMPTY' WHEN 1 THEN '@#%!' WHEN 2 THEN left(text, 2) ELSE text END AS text, abs(embedding[1]) * 2::FLOAT AS conf, abs(embedding[2]) * 2::FLOAT AS conf_r
-  FROM recognised_texts JOIN embeddings ON vec_id = text_id % 500),
+  FROM recognised_texts JOIN (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS slot, count(*) OVER () AS many FROM embeddings) ON slot = text_id % many),
 y AS (SELECT *, {_USEFUL} AS useful, CASE WHEN length({_TRIM}) = 0 THEN 0 ELSE {_USEFUL} / length({_TRIM}) END::FLOAT AS ratio, upper({_TRIM}) IN ('EMPTY', 'FORMATERR', 'ERROR') AS bad, length({_TRIM}) AS n FROM x)"""
 _SCORE = lambda c: f"CASE WHEN n = 0 THEN 0::FLOAT ELSE {c} * 0.80::FLOAT + ratio * 0.15::FLOAT + least(n, 24)::FLOAT * 0.002::FLOAT END"
 
 
 def _seen(spark, d):
-    t = T.recognised_texts(spark, d).withColumn("vec_id", F.col("text_id") % 500)
+    vectors = with_ordinal(T.read(spark, d, "embeddings"), ["vec_id"], "at", 0)
+    many = vectors.agg(F.count("*").alias("many"))
+    t = T.recognised_texts(spark, d).join(F.broadcast(many)).withColumn("at", F.col("text_id") % F.col("many"))
     k = F.col("text_id") % 8
     text = F.when(k == 0, "EMPTY").when(k == 1, "@#%!").when(k == 2, F.substring("text", 1, 2)).otherwise(F.col("text"))
     conf = lambda i: F.abs(F.get("embedding", F.lit(i))) * I.f32(2.0)
-    return t.join(T.read(spark, d, "embeddings"), "vec_id").select("text_id", text.alias("text"), conf(0).alias("conf"), conf(1).alias("conf_r"))
+    return t.join(vectors, "at").select("text_id", text.alias("text"), conf(0).alias("conf"), conf(1).alias("conf_r"))
 
 
 @query(f"{_SEEN} SELECT text_id, NOT bad AND useful > 0 AND ratio >= 0.45::FLOAT AND NOT (useful <= 2 AND conf < 0.60::FLOAT) AND n > 0 AS kept FROM y")
@@ -88,13 +90,7 @@ def contrast_params(spark, d):
 
 @query(f"WITH {_E}, l AS (SELECT vec_id, unnest(list_transform(range(1, 65), lambda i: CASE WHEN (i - 1) // 8 IN (0, 7) OR (i - 1) % 8 IN (0, 7) THEN 0 ELSE 255 * (e[i - 1] + e[i + 1] + e[i - 8] + e[i + 8] - 4 * e[i]) END)) AS v FROM e) SELECT vec_id, round(var_pop(v), 3) AS score, var_pop(v) < 100 AS blurred FROM l GROUP BY 1")
 def blur_score(spark, d):
-    e = lambda i: F.get("e", i)
-
-    def laplacian(i):
-        edge = (F.floor(i / 8)).isin(0, 7) | (i % 8).isin(0, 7)
-        return F.when(edge, 0.0).otherwise(255 * (e(i - 1) + e(i + 1) + e(i - 8) + e(i + 8) - 4 * e(i)))
-
-    v = _e(spark, d).select("vec_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(63)), laplacian)).alias("v"))
+    v = _e(spark, d).select("vec_id", F.explode(I.laplacian(F.col("e"), 8, 8)).alias("v"))
     s = v.groupBy("vec_id").agg(F.var_pop("v").alias("s"))
     return s.select("vec_id", F.round("s", 3).alias("score"), N.is_blurred(F.col("s")).alias("blurred"))
 
@@ -139,11 +135,8 @@ def color_category(spark, d):
 
 @query(f"WITH {_HSV}, o AS (SELECT vec_id, color, count(*) AS n, list_position(['RED', 'YELLOW', 'GREEN', 'CYAN', 'BLUE', 'WHITE', 'BLACK'], color) AS o FROM cls WHERE color <> 'UNKNOWN' GROUP BY ALL), b AS (SELECT vec_id, arg_max(color, n * 10 - o) AS color, sum(n) AS valid FROM o GROUP BY 1) SELECT vec_id, coalesce(CASE WHEN valid / 21.0 >= 0.01 THEN b.color END, 'UNKNOWN') AS color FROM e LEFT JOIN b USING (vec_id)")
 def dominant_color(spark, d):
-    order = F.array_position(F.array(*(F.lit(c) for c in COLORS)), F.col("color"))
-    by = _colors(spark, d).groupBy("vec_id", "color").agg(F.count("*").alias("n"))
-    known = F.col("color") != "UNKNOWN"
-    best = by.groupBy("vec_id").agg(F.max_by(F.when(known, F.col("color")), F.when(known, F.struct(F.col("n"), -order))).alias("best"), F.sum(F.when(known, F.col("n"))).alias("valid"), F.sum("n").alias("all"))
-    return best.select("vec_id", F.coalesce(F.when(F.col("valid") / F.col("all") >= 0.01, F.col("best")), F.lit("UNKNOWN")).alias("color"))
+    px = _colors(spark, d).select("vec_id", F.col("k").alias("x"), F.lit(0).alias("y"), "color")
+    return I.dominant(px, "vec_id", (0, 0, 21, 1))
 
 
 # ---- sizes ----

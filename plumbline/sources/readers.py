@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..constants import LABEL_PLACEHOLDER
+from ..constants import DEFAULT_CONSTRUCTIONS, DEFAULT_LABELS, DEFAULT_PROCESSES, LABEL_PLACEHOLDER
 from ..functions.text import trimmed
 from ..operators.masters import label_lines, process_lines, with_ordinal
 
@@ -41,23 +46,48 @@ def json_strings(spark: SparkSession, path: str, default: list[str]) -> DataFram
     return good.unionByName(fallback.join(F.broadcast(none)).where("_n = 0").drop("_n"))
 
 
-def json_rows(spark: SparkSession, path: str, schema: StructType | str, default: list[tuple]) -> DataFrame:
-    """A file holding a JSON array of objects; the default rows where it is missing."""
+def json_rows(spark: SparkSession, path: str, schema: str, default: list[tuple]) -> DataFrame:
+    """A file holding a JSON array of objects; the default rows where it is missing or malformed."""
+    fallback = spark.createDataFrame(default, schema)
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        text = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if not _missing(e):
             raise
-        return spark.createDataFrame(default, schema)
+        return fallback
+    parsed = text.select(F.from_json("value", f"array<struct<{schema}>>").alias("rows"))
+    good = parsed.where("rows IS NOT NULL").select(F.inline("rows"))
+    none = parsed.agg(F.count("rows").alias("_n"))
+    return good.unionByName(fallback.join(F.broadcast(none)).where("_n = 0").drop("_n"))
+
+
+def default_labels(spark: SparkSession, path: str) -> DataFrame:
+    return json_strings(spark, path, list(DEFAULT_LABELS))
+
+
+def default_constructions(spark: SparkSession, path: str) -> DataFrame:
+    return json_rows(spark, path, "id long, name string, code string, isActive boolean", [(*x, True) for x in DEFAULT_CONSTRUCTIONS])
+
+
+def default_processes(spark: SparkSession, path: str) -> DataFrame:
+    return json_rows(spark, path, "id long, constructionId long, name string, code string, isActive boolean", [(*x, True) for x in DEFAULT_PROCESSES])
 
 
 def csv_cells(spark: SparkSession, path: str, columns: int) -> DataFrame:
-    """Records of a CSV file as (ord, c0, c1, ...), numbered from 0 in file order; quoted cells may hold line ends."""
-    schema = ", ".join(f"c{i} string" for i in range(columns))
-    # with multiLine a file is read by one task in order, so the rising ids are file order; imports are small files
-    rows = spark.read.schema(schema).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").csv(path)
-    rows = rows.withColumn("_at", F.monotonically_increasing_id())
-    return with_ordinal(rows, ["_at"], "ord", 0).drop("_at").withColumn("c0", F.regexp_replace("c0", "^﻿", ""))
+    """Records of a CSV file as (ord, c0, c1, ...), numbered from 0 in file order, blank ones too; quoted cells may hold line ends.
+
+    An import is one small file that somebody uploads, and one task parses it. Missing cells are null.
+    """
+    names = ["ord", *(f"c{i}" for i in range(columns))]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                records = csv.reader(io.StringIO(bytes(content).decode("utf-8-sig"), newline=""))
+                yield pd.DataFrame([(i, *(r + [None] * columns)[:columns]) for i, r in enumerate(records)], columns=names)
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    return files.mapInPandas(parse, "ord long, " + ", ".join(f"{c} string" for c in names[1:]))
 
 
 def label_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +27,27 @@ def export_rows(registrations: DataFrame) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """Part files with a header each; UTF-8 with a byte-order mark before the first column's name."""
-    first, *rest = rows.columns
-    rows.select(F.col(first).alias("\ufeff" + first), *rest).write.mode("overwrite").option("header", True).csv(path)
+    """Part files with a header each; UTF-8 with a byte-order mark before the first column's name, CR LF at the end of records."""
+    head = io.StringIO()
+    csv.writer(head, lineterminator="").writerow(rows.columns)
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["\ufeff" + head.getvalue()]})
+        yield from batches
+
+    line = F.to_csv(F.struct(*rows.columns), {"escape": '"'})
+    rows.select(line.alias("value")).mapInPandas(lines, "value string").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """Replace a JSON collection; the commit protocol makes the new files visible only when all are written."""
-    rows.write.mode("overwrite").json(path)
+    """Replace a JSON collection, each part file a JSON array; the commit protocol makes the new files visible only when all are written."""
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead = "["
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"value": [(lead if i == 0 else ",") + x for i, x in enumerate(b["value"])]})
+                lead = ","
+        yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
+
+    rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).mapInPandas(lines, "value string").write.mode("overwrite").text(path)

@@ -127,7 +127,7 @@ def test_json_readers(spark, tmp_path):
     with pytest.raises(Exception):
         readers.json_array(spark, f"{tmp_path}/bad.json", "id long").collect()
     sinks.write_json(spark.range(3), f"{tmp_path}/out")
-    assert spark.read.json(f"{tmp_path}/out").count() == 3
+    assert readers.json_array(spark, f"{tmp_path}/out", "id long").count() == 3
 
 
 def test_sync(spark):
@@ -136,7 +136,7 @@ def test_sync(spark):
         "id long, syncStatus string, syncedAt long, retryCount int, errorMessage string",
     )
     items = spark.createDataFrame([(1,), (1,), (2,), (3,), (5,)], "registrationId long")
-    outcomes = spark.createDataFrame([(1, True), (2, False)], "id long, ok boolean")
+    outcomes = spark.createDataFrame([(1, True, None), (2, False, "HTTP 503")], "id long, ok boolean, message string")
     got = {r.id: (r.syncStatus, r.retryCount, r.sent) for r in sync.step(parents, items, outcomes, 9).collect()}
     assert got == {1: ("SYNCED", 0, 2), 2: ("FAILED", 3, 0), 3: ("SYNCING", 0, 0), 4: ("SYNCED", 0, 0), 5: ("FAILED", 3, 0)}
     again = parents.where("id IN (2, 3, 5)").withColumn("retryCount", F.when(F.col("id") == 2, 3).otherwise(F.col("retryCount")))
