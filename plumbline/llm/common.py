@@ -58,10 +58,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def packed(df: DataFrame, rows: int = 250_000) -> DataFrame:
-    """Like ``saved``, in partitions of about ``rows`` rows, if those are fewer: what is small then makes few tasks and few shuffle files, however many partitions it came from."""
+def tasks_for(kept: DataFrame, rows: int = 250_000) -> int:
+    """How many tasks of ``rows`` rows a kept table makes."""
+    return max(1, -(-kept.count() // rows))
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """Like ``saved``, in as few partitions as its rows need: what is small makes few tasks and few shuffle files, however many partitions it came from."""
     out = saved(df)
-    return out.coalesce(max(1, -(-out.count() // rows)))
+    return out.coalesce(tasks_for(out))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, saved
+from .common import saved, tasks_for
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,10 +16,11 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the longest chain. Only sums, minima and joins on node ids take part;
     no component is ever gathered.
     """
-    edges = packed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    # steps on few edges stay in few tasks; their number never grows from round to round
+    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    # steps on few edges stay in few tasks; the number of edges hardly grows from round to round
+    k, before = tasks_for(edges), None
     few = lambda df: df.coalesce(k)
-    k, before = edges.rdd.getNumPartitions(), None
+    edges = few(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))

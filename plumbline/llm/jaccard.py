@@ -40,7 +40,7 @@ PARITY = 512
 #: So many ids at most are broadcast to fetch texts by id.
 BROADCAST_IDS = 200_000
 #: How often lists are collapsed on leaders before all pairs are taken; how many outside its largest component make a list worth a further round.
-ROUNDS, FEW = 3, 8
+ROUNDS, FEW = 2, 8
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
