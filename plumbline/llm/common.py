@@ -58,14 +58,21 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def tasks_for(kept: DataFrame, rows: int = 250_000) -> int:
+#: Short rows that one task reads of a kept table.
+ROWS = 16_000
+
+
+def tasks_for(kept: DataFrame, rows: int = ROWS) -> int:
     """How many tasks of ``rows`` rows a kept table makes."""
     return max(1, -(-kept.count() // rows))
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """Like ``saved``, in as few partitions as its rows need: what is small makes few tasks and few shuffle files, however many partitions it came from."""
-    out = saved(df)
+def packed(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Like ``saved``, in as few partitions as its rows need: what is small makes few tasks and few shuffle files, however many partitions it came from.
+
+    Where it is known beforehand that ``most`` tasks are enough for it, no more write it.
+    """
+    out = saved(df.coalesce(most) if most else df)
     return out.coalesce(tasks_for(out))
 
 

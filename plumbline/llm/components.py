@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, tasks_for
+from .common import packed, saved, tasks_for
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, most: int | None = None) -> DataFrame:
     """(node, comp) for every node of ``links`` (a, b): comp is the least node that links reach.
 
     Large-star and small-star rounds (each node's larger, then smaller neighbours hang
     on to its least neighbour) end after a number of rounds that grows as the
     logarithm of the longest chain. Only sums, minima and joins on node ids take part;
-    no component is ever gathered.
+    no component is ever gathered. ``most``: so many tasks are enough for the links.
     """
-    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    edges = packed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), most)
     # steps on few edges stay in few tasks; the number of edges hardly grows from round to round
     k, before = tasks_for(edges), None
     few = lambda df: df.coalesce(k)
-    edges = few(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))

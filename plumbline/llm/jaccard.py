@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, packed, rows_of, saved, text_key
+from .common import new_dir, packed, rows_of, saved, tasks_for, text_key
 from .components import components
 from .eliasfano import map_arrays, write_arrays
 from .hashing import Words, mix, portions
@@ -39,6 +39,8 @@ BLOCK, HELD = 1 << 22, 4_000_000
 PARITY = 512
 #: So many ids at most are broadcast to fetch texts by id.
 BROADCAST_IDS = 200_000
+#: Pairs whose texts one task compares.
+TEXTS = 1000
 #: How often lists are collapsed on leaders before all pairs are taken; how many outside its largest component make a list worth a further round.
 ROUNDS, FEW = 2, 8
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -209,7 +211,7 @@ def described(docs: DataFrame, width: int, percent: int, counted: tuple[str, int
 
 
 def meet(units: DataFrame) -> DataFrame:
-    """Prefix shingles that more than one of ``units`` (unit, n, skip, prefix) has, as rows (token, unit, n, pos).
+    """Prefix shingles that more than one of ``units`` (unit, n, skip, prefix) has, as rows (token, unit, n, pos, k); k is how many such hashes the unit has.
 
     Lists are dealt by range of (shingle, size, unit), so a shingle that very many share is
     spread over tasks; at a task's edges a row is kept whether or not it has company.
@@ -223,7 +225,7 @@ def meet(units: DataFrame) -> DataFrame:
             sizes = np.array([len(t) for t in tokens])
             rep = np.repeat(np.arange(len(sizes)), sizes)
             pos = np.arange(len(rep)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + b.column(2).to_numpy()[rep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), b.column(0).take(pa.array(rep)), b.column(1).take(pa.array(rep)), pa.array(pos)], ["token", "unit", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), b.column(0).take(pa.array(rep)), b.column(1).take(pa.array(rep)), pa.array(pos), pa.array(sizes[rep])], ["token", "unit", "n", "pos", "k"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, prev = None, True  # the last row waits for the next; whether the row before it is of its list (at the edge: maybe)
@@ -240,7 +242,7 @@ def meet(units: DataFrame) -> DataFrame:
         if held is not None:
             yield held
 
-    kind = "token long, unit binary, n long, pos long"
+    kind = "token long, unit binary, n long, pos long, k long"
     rows = units.where("length(prefix) > 0").select("unit", "n", "skip", "prefix").mapInArrow(spread, kind)
     return rows.repartitionByRange("token", "n", "unit").sortWithinPartitions("token", "n", "unit").mapInArrow(scan, kind)
 
@@ -249,9 +251,11 @@ def sizes_fit(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets are similar enough, with their Jaccard similarity."""
-    wanted = packed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("doc_id")))
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar enough, with their Jaccard similarity. ``tasks``: how many are enough for the nodes."""
+    some = tasks_for(pairs, TEXTS)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().coalesce(tasks)
+    wanted = packed(ends.join(nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("doc_id")), tasks)
     ids = wanted.select("doc_id").distinct()
     ids = F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids
 
@@ -268,6 +272,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
         held = held.union(texts.join(nameless, "node").groupBy("node").agg(F.first("text").alias("text")))
     both = (
         pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+        .coalesce(some)
         .join(held.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         .select("a", "b", "x", "y")
     )
@@ -284,16 +289,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, pe
                 rows = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(how, pa.float64())], ["a", "b", "jaccard"])
                 yield rows.filter(pa.array(keep, pa.bool_()))
 
-    return packed(both.mapInArrow(compare, "a binary, b binary, jaccard double"))
+    return packed(both.mapInArrow(compare, "a binary, b binary, jaccard double"), some)
 
 
-def merged(comps: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """``comps`` (``key``, comp) after ``links`` (a, b) between keys: components that links join become one."""
+def merged(comps: DataFrame, links: DataFrame, key: str, tasks: int) -> DataFrame:
+    """``comps`` (``key``, comp), for which ``tasks`` tasks are enough, after ``links`` (a, b) between keys: components that links join become one."""
     of = lambda x: comps.select(F.col(key).alias(x), F.col("comp").alias("c" + x))
     # however many links join two components, they count as one
-    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b").distinct()
-    top = components(between).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    return saved(comps.join(top, "comp", "left").select(key, F.coalesce("top", "comp").alias("comp")))
+    between = links.join(of("a"), "a").coalesce(tasks).join(of("b"), "b").coalesce(tasks).select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b").distinct()
+    top = components(between, tasks).select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    return saved(comps.join(top, "comp", "left").select(key, F.coalesce("top", "comp").alias("comp")).coalesce(tasks)).coalesce(tasks)
 
 
 def similar(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
@@ -315,27 +320,34 @@ def joined(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
     fs, path = pa.fs.FileSystem.from_uri(counted[0])
     fs.delete_dir(path)  # what was made with them is kept
     nodes = saved(base.where("n > 0").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "gid", "skip", "prefix", "bits")), F.min("doc_id").alias("rep")))
+    # steps on short rows get tasks by their number; of a large table that is more than a shuffle makes, and changes nothing
+    k = tasks_for(nodes)
+    few = lambda df: df.coalesce(k)
+    nodes = few(nodes)
     slim = nodes.select("node", "n", "rep")
 
     # the members of a group meet its first; what they link to is a unit of it
     many = nodes.groupBy("gid").agg(F.count("*").alias("k"), F.min("node").alias("head")).where("k > 1").select("gid", "head")
-    own = packed(nodes.select("gid", "node").join(many, "gid").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    own = packed(nodes.select("gid", "node").join(few(many), "gid").where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")), k)
     members = nodes.select("node", "gid", F.col("node").alias("comp"))
     if not own.isEmpty():
-        members = merged(nodes.select("node", F.col("node").alias("comp")), verified(own, slim, docs, width, percent), "node").join(nodes.select("node", "gid"), "node")
+        members = merged(nodes.select("node", F.col("node").alias("comp")), verified(own, slim, docs, width, percent, k), "node", k)
+        members = few(members.join(nodes.select("node", "gid"), "node"))
     words = range(PARITY // 64)
     every, some = (F.array(*(f(F.get("bits", F.lit(i))) for i in words)) for f in (F.bit_and, F.bit_or))
     units = saved(
-        members.join(nodes.drop("gid"), "node")
+        few(members.join(nodes.drop("gid"), "node"))
         .groupBy("gid", "comp")
         .agg(F.min("node").alias("unit"), *(F.first(c).alias(c) for c in ("n", "skip", "prefix")), every.alias("every"), F.when(F.count("*") > 1, some).alias("some"))
         .drop("gid", "comp")
-    )
-    of_unit = members.join(members.groupBy("gid", "comp").agg(F.min("node").alias("unit")), ["gid", "comp"]).select("node", "unit") if not own.isEmpty() else slim.select("node", F.col("node").alias("unit"))
-    of_unit = saved(of_unit)
+        .coalesce(k)
+    ).coalesce(k)
+    of_unit = members.join(few(members.groupBy("gid", "comp").agg(F.min("node").alias("unit"))), ["gid", "comp"]).select("node", "unit") if not own.isEmpty() else slim.select("node", F.col("node").alias("unit"))
+    of_unit = few(saved(few(of_unit)))
     # sets of about one size: similar ones lie in one band or in two that touch
     band = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
-    rows = saved(meet(units).join(units.select("unit", (F.length("prefix") / 8).cast("int").alias("k")), "unit").withColumn("band", band))
+    rows = packed(meet(units).withColumn("band", band))
+    kr = max(k, tasks_for(rows))
     bits = units.select("unit", "every", "some")
     comps = units.select("unit", F.col("unit").alias("comp"))
     need = (F.col("n1") + F.col("n2")) * percent / (100 + percent) - 1e-6
@@ -347,13 +359,13 @@ def joined(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
 
     def apart() -> DataFrame:
         """The rows of lists that reach more than one component."""
-        placed = rows.join(comps, "unit")
+        placed = rows.join(comps, "unit").coalesce(kr)
         lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        return placed.join(lists, "token")
+        return packed(placed.join(lists.coalesce(kr), "token"), kr)
 
     def largest(live: DataFrame) -> DataFrame:
         """The largest component of each list, and how many rows are not in it."""
-        return live.groupBy("token", "comp").count().groupBy("token").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("all")).select("token", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.count")).alias("others"))
+        return live.groupBy("token", "comp").count().coalesce(kr).groupBy("token").agg(F.max(F.struct("count", "comp")).alias("m"), F.sum("count").alias("all")).select("token", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.count")).alias("others"))
 
     for i in range(rounds):
         live = apart()
@@ -363,18 +375,18 @@ def joined(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
         first = able.groupBy("token", "band").agg(F.max(F.struct("k", turn.alias("turn"), "unit", "n", "pos", "comp")).alias("l"))
         first = first.select("token", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"), *(F.col(f"l.{c}").alias(f"{c}1") for c in ("unit", "n", "pos", "comp")))
         other = live.select("token", "band", *(F.col(c).alias(f"{c}2") for c in ("unit", "n", "pos", "comp")))
-        met = other.join(first, ["token", "band"]).where((F.col("comp1") != F.col("comp2")) & fit).select("unit1", "n1", "unit2", "n2").distinct()
-        met = met.join(named(bits, 1, "unit", "every", "some"), "unit1").join(named(bits, 2, "unit", "every", "some"), "unit2").where(bits_fit)
-        pairs = packed(met.select(F.least("unit1", "unit2").alias("a"), F.greatest("unit1", "unit2").alias("b")).distinct())
+        met = other.join(first.coalesce(kr), ["token", "band"]).where((F.col("comp1") != F.col("comp2")) & fit).select("unit1", "n1", "unit2", "n2").coalesce(kr).distinct().coalesce(kr)
+        met = met.join(named(bits, 1, "unit", "every", "some"), "unit1").coalesce(kr).join(named(bits, 2, "unit", "every", "some"), "unit2").coalesce(kr).where(bits_fit)
+        pairs = packed(met.select(F.least("unit1", "unit2").alias("a"), F.greatest("unit1", "unit2").alias("b")).distinct(), kr)
         if pairs.isEmpty():
             break
-        comps = merged(comps, verified(pairs, slim, docs, width, percent), "unit")
+        comps = merged(comps, verified(pairs, slim, docs, width, percent, k), "unit", k)
 
     # all pairs of units that share a prefix shingle, but for those in one component already; one of a pair is always outside its list's largest component
-    live = saved(apart())
-    main = largest(live)
-    full = live.join(bits, "unit").select("token", "unit", "n", "pos", "comp", "every", "some")
-    outside = full.join(main, "token").where("comp != main")
+    live = apart()
+    main = largest(live).coalesce(kr)
+    full = live.join(bits, "unit").coalesce(kr).select("token", "unit", "n", "pos", "comp", "every", "some")
+    outside = full.join(main, "token").coalesce(kr).where("comp != main")
     swap = F.col("unit1") > F.col("unit2")
     names = ("token", "unit", "n", "pos", "comp", "every", "some")
     pairs = (
@@ -386,20 +398,20 @@ def joined(docs: DataFrame, width: int, percent: int, rounds: int) -> DataFrame:
         .agg(F.count("*").alias("c"), F.max("pos1").alias("l1"), F.max("pos2").alias("l2"))
         .where(F.col("c") + F.least(F.col("n1") - F.col("l1"), F.col("n2") - F.col("l2")) - 1 >= need)
     )
-    pairs = packed(pairs.select("unit1", "unit2"))
+    pairs = packed(pairs.select("unit1", "unit2"), kr)
     if not pairs.isEmpty():
         inside = nodes.select("node", "n", "bits").join(of_unit, "node")
         sides = (inside.select(F.col("unit").alias(f"unit{i}"), F.col("node").alias(x), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"every{i}"), F.lit(None).cast("array<long>").alias(f"some{i}")) for i, x in ((1, "a"), (2, "b")))
         one, two = sides
         meets = (F.col("l.unit2") == F.col("r.unit2")) & may_link("1", "2", F.col("n1"), F.col("n2"), percent)
-        across = pairs.join(one, "unit1").alias("l").join(two.alias("r"), meets).select("a", "b")
-        more = verified(packed(across), slim, docs, width, percent)
+        across = pairs.join(one, "unit1").coalesce(kr).alias("l").join(two.alias("r"), meets).select("a", "b")
+        more = verified(packed(across), slim, docs, width, percent, k)
         unit_of = lambda x: of_unit.select(F.col("node").alias(x), F.col("unit").alias("u" + x))
-        comps = merged(comps, more.join(unit_of("a"), "a").join(unit_of("b"), "b").select(F.col("ua").alias("a"), F.col("ub").alias("b")), "unit")
+        comps = merged(comps, more.join(unit_of("a"), "a").coalesce(k).join(unit_of("b"), "b").select(F.col("ua").alias("a"), F.col("ub").alias("b")), "unit", k)
 
-    last = of_unit.join(comps, "unit").join(slim, "node").select("node", "rep", "comp")
-    least = saved(last.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), F.col("node").alias("node"))).alias("l")))
-    named = last.select("node", "comp").join(least, "comp").select("node", F.col("l.id").alias("least"), F.col("l.node").alias("first"))
+    last = few(few(of_unit.join(comps, "unit")).join(slim, "node").select("node", "rep", "comp"))
+    least = saved(last.groupBy("comp").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), F.col("node").alias("node"))).alias("l")).coalesce(k)).coalesce(k)
+    named = few(last.select("node", "comp").join(least, "comp")).select("node", F.col("l.id").alias("least"), F.col("l.node").alias("first"))
     return base.select("doc_id", "key", "n", "node").join(named, "node", "left")
 
 
