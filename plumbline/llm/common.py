@@ -103,3 +103,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def parts(spark: SparkSession) -> int:
     """How many partitions a shuffle makes in this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: DuckDB's SQL for CRC-32: a table of 256 entries made by rule, and the CRC of the UTF-8 bytes of ``text`` where that table is at hand as ``tab``.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab"
+
+
+def crc_sql(text: str) -> str:
+    each = f"list_transform(range(strlen({text})), lambda i: ('0x' || hex({text})[2 * i + 1 : 2 * i + 2])::BIGINT)"
+    return f"xor(list_reduce({each}, lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1]), 4294967295), 4294967295)"

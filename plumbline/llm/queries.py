@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, jaccard, langid, lm, mixing, quality, tokenfile, toxicity, urls
+from . import bpe, dedup, importance, jaccard, langid, lm, merkle, mixing, quality, tokenfile, toxicity, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,10 +68,31 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False)))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_byte_bpe, op4_exact_dedup, op5_lm_scoring, op6_token_files, op7_url_filter, op8_language_id, op9_source_mixing, op10_toxicity)}
+def op11_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = {k: F.col(k) for k in ("doc_id", "source", "lang", "n_chars", "text")}
+    bare = c | {"text": F.replace(c["text"], F.lit("\n"), F.lit(""))}
+    tampered = merkle.leaf(*(F.when(fold(2) == 0, bare[k]).otherwise(c[k]) for k in c))
+    rows = merkle.check(merkle.manifest(table(spark, sf_dir, "documents"), other=tampered), F.col("other"))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard, op3_byte_bpe, op4_exact_dedup, op5_lm_scoring, op6_token_files, op7_url_filter, op8_language_id, op9_source_mixing, op10_toxicity, op11_warc_revisits, op12_merkle_manifest, op13_importance_resampling)}
 ORACLES: dict[str, str] = {
     "op1_quality_rules": quality.oracle(),
     "op4_exact_dedup": dedup.ORACLE,
     "op7_url_filter": urls.oracle(),
     "op9_source_mixing": mixing.oracle(),
+    "op11_warc_revisits": warc.ORACLE,
+    "op12_merkle_manifest": merkle.oracle(),
+    "op13_importance_resampling": importance.oracle(),
 }
