@@ -67,7 +67,8 @@ class Grams:
     """The n-grams of a batch of texts: for each length 1 to ``width`` the document and bucket of every one."""
 
     def __init__(self, texts: pa.Array, width: int = WIDTH, buckets: int = BUCKETS):
-        lower = pc.ascii_lower(texts.cast(pa.large_string()).fill_null(""))
+        # 32-bit offsets: the kernel takes slices of large strings from the wrong place, and a portion is short or one text
+        lower = pc.ascii_lower(texts.cast(pa.string()).fill_null(""))
         lists = pc.split_pattern_regex(lower, BETWEEN)
         flat, doc = pc.list_flatten(lists), pc.list_parent_indices(lists)
         some = pc.not_equal(flat, "")
