@@ -1,16 +1,21 @@
 """Fuzzy matching of recognised text to the label master.
 
 A text's distance to a label is the least edit distance over the text's look-alike
-variants. Up to ``MATCH_MAX_DISTANCE`` edits count, so a label can only be as much
-longer or shorter than the text: labels and texts meet in a hash join on length, each
-variant being dealt to the few lengths it can reach, and not as every text with every
-label. Distinct texts are matched once. The best few of a text mostly lie within one
-edit; those are found first, through an index of labels with up to one character left
-out, and only texts that it does not settle go on to the wider search.
+variants. Texts and labels meet through a segment index: a label is cut into one piece
+more than the edits allowed, so that one piece at least survives whole, at a place that
+the number of edits before and after it bounds. Labels are often alike at the front;
+cuts are therefore set by how much the characters at each place tell labels of one
+length apart, and not at equal distances. The bounded edit distance decides.
+
+Distinct forms are matched once, however many texts have them. The best few of a form
+mostly lie within one or two edits: the search widens edit by edit, and forms that have
+enough candidates drop out.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,7 @@ from .keep import saved
 from .masters import with_ordinal
 
 _K = MATCH_MAX_DISTANCE
+_KEY = ["len", "part", "piece"]
 
 
 def indexed(labels: DataFrame) -> DataFrame:
@@ -27,50 +33,110 @@ def indexed(labels: DataFrame) -> DataFrame:
     return with_ordinal(labels.select("code"), ["code"], "label_index").select("code", F.col("label_index").cast("int").alias("label_index"), match_form(F.col("code")).alias("label"))
 
 
-def shortened(c: Column) -> Column:
-    """The string and every string with one of its characters left out; strings one edit apart share one of these."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))
-    return F.when(F.length(c) == 0, F.array(c)).otherwise(F.array_distinct(F.concat(F.array(c), cut)))
+def cuts(labels: DataFrame, pieces: int) -> DataFrame:
+    """For each length of labels (label) of ``pieces`` characters or more: where the pieces start (from 0) and how long they are.
+
+    Every piece has about the same share of what the characters tell (the entropy at their
+    places, among labels of that length), and one character at least. Cuts only decide how many
+    candidates there are; the result must be kept, as both sides of a search need the same.
+    """
+    chars = labels.select(F.length("label").alias("len"), F.posexplode(F.split("label", "")).alias("pos", "ch")).where((F.col("len") >= pieces) & (F.col("pos") < F.col("len")))
+    seen = chars.groupBy("len", "pos", "ch").agg(F.count("*").alias("n"))
+    told = seen.groupBy("len", "pos").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("bits"))
+    upto = Window.partitionBy("len").orderBy("pos")
+    told = told.withColumns({"before": F.sum("bits").over(upto) - F.col("bits"), "all": F.sum("bits").over(Window.partitionBy("len"))})
+    # a piece begins with the first place before which its share has been told
+    share = [F.count_if(F.col("before") < F.col("all") * j / pieces - 1e-9).alias(f"c{j}") for j in range(1, pieces)]
+    found = told.groupBy("len").agg(*share) if share else told.select("len").distinct()
+    starts = [F.lit(0)]
+    for j in range(1, pieces):
+        starts.append(F.greatest(starts[-1] + 1, F.least(F.col(f"c{j}"), F.col("len") - (pieces - j))))
+    ends = [*starts[1:], F.col("len")]
+    return found.select("len", F.array(*(s.cast("int") for s in starts)).alias("starts"), F.array(*((e - s).cast("int") for s, e in zip(starts, ends, strict=True))).alias("sizes"))
 
 
-def _varied(texts: DataFrame) -> DataFrame:
-    """One row for each look-alike variant of each distinct text: text, form, heads, v."""
-    spread = 2 * texts.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be put together again
-    t = texts.select("text").distinct().repartition(spread, "text").where(F.length("text") >= MATCH_MIN_LENGTH).select("text", match_form(F.col("text")).alias("form")).withColumn("vs", variants(F.col("form")))
-    heads = F.array_distinct(F.transform(F.filter("vs", lambda v: F.length(v) >= 2), lambda v: F.substring(v, 1, 2)))
-    return t.select("text", "form", heads.alias("heads"), F.explode("vs").alias("v"))
+def _key(part: Column, piece: Column) -> Column:
+    return F.struct(part.cast("int").alias("part"), piece.alias("piece"))
+
+
+def _short_keys(c: Column, alone: Column) -> Column:
+    """Keys for labels too short to be cut: every pair of strings within the radius in length matches (``alone``); a longer text shares a character."""
+    chars = F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+    return F.concat(F.when(alone, F.array(_key(F.lit(-2), F.lit("")))).otherwise(F.array().cast("array<struct<part:int,piece:string>>")), F.transform(chars, lambda x: _key(F.lit(-1), x)))
+
+
+def _label_keys(labels: DataFrame, at: DataFrame, radius: int) -> DataFrame:
+    """A row for each piece of each label: code, label_index, label, len, part, piece."""
+    cut = labels.withColumn("len", F.length("label")).join(at, "len", "left")
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(radius)), lambda j: _key(j, F.substring("label", F.get("starts", j) + 1, F.get("sizes", j))))
+    keys = F.when(F.col("starts").isNotNull(), pieces).otherwise(_short_keys(F.col("label"), F.lit(True)))
+    return cut.select("code", "label_index", "label", "len", F.explode(keys).alias("k")).select("code", "label_index", "label", "len", "k.part", "k.piece")
 
 
-def _gathered(pairs: DataFrame) -> DataFrame:
+def _text_keys(varied: DataFrame, at: DataFrame, radius: int) -> DataFrame:
+    """A row for each piece of a label that a variant (form, heads, v) may hold, for each length in reach.
+
+    Piece j has at most j edits before it and at most radius - j after it, if it is the
+    first to survive with as few on either side; this bounds how far it can have moved.
+    """
+    near = varied.withColumns({"size": F.length("v"), "len": F.explode(F.sequence(F.greatest(F.lit(0), F.length("v") - radius), F.length("v") + radius))})
+    cut = near.join(at, "len", "left")
+    longer = F.col("size") - F.col("len")
+
+    def of_piece(j: Column) -> Column:
+        start, size = F.get("starts", j), F.get("sizes", j)
+        low = F.greatest(-j, longer - (radius - j), -start)
+        high = F.least(j, longer + (radius - j), F.col("size") - size - start)
+        spots = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda m: _key(j, F.substring("v", start + m + 1, size)))
+
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(radius)), of_piece)))
+    alone = F.col("size") <= radius
+    short = F.filter(_short_keys(F.col("v"), alone), lambda k: (k["part"] == -2) == alone)
+    keys = F.when(F.col("starts").isNotNull(), pieces).when(F.col("len") <= radius, short)
+    return cut.select("form", "heads", "v", "len", F.explode(keys).alias("k")).select("form", "heads", "v", "len", "k.part", "k.piece")
+
+
+def _forms(texts: DataFrame) -> DataFrame:
+    """Distinct texts that can match (text, form)."""
+    return texts.select("text").distinct().where(F.length("text") >= MATCH_MIN_LENGTH).select("text", match_form(F.col("text")).alias("form"))
+
+
+def within(forms: DataFrame, labels: DataFrame, radius: int = _K) -> DataFrame:
+    """(form, code, label_index, label, distance, prefix, length_diff) for labels within ``radius`` edits of each distinct form."""
+    at = saved(cuts(labels, radius + 1))
+    spread = 2 * forms.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be put together again
+    f = forms.select("form").distinct().repartition(spread, "form").withColumn("vs", variants(F.col("form")))
+    heads = F.array_distinct(F.transform(F.filter("vs", lambda v: F.length(v) >= 2), lambda v: F.substring(v, 1, 2)))
+    varied = f.select("form", heads.alias("heads"), F.explode("vs").alias("v"))
+    pairs = _text_keys(varied, at, radius).join(_label_keys(labels, at, radius), _KEY).withColumn("d", F.levenshtein("v", "label", radius)).where("d >= 0")
     prefix = (F.length("label") >= 2) & F.array_contains("heads", F.substring("label", 1, 2))
-    return pairs.groupBy("text", "code", "label_index").agg(
+    return pairs.groupBy("form", "code", "label_index").agg(
         F.first("label").alias("label"), F.min("d").alias("distance"), F.max(prefix).alias("prefix"), F.first(F.abs(F.length("form") - F.length("label"))).alias("length_diff")
     )
 
 
-def close(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """The candidates within one edit, through the index of shortened labels."""
-    keyed = labels.withColumn("key", F.explode(shortened(F.col("label"))))
-    pairs = _varied(texts).withColumn("key", F.explode(shortened(F.col("v")))).join(keyed, "key").withColumn("d", F.levenshtein("v", "label", 1)).where("d >= 0")
-    return _gathered(pairs)
-
-
-def candidates(texts: DataFrame, labels: DataFrame) -> DataFrame:
+def candidates(texts: DataFrame, labels: DataFrame, radius: int = _K) -> DataFrame:
     """(text, code, label_index, label, distance, prefix, length_diff) for labels within reach of each distinct text.
 
     ``texts`` has a column text. Texts of fewer than ``MATCH_MIN_LENGTH`` characters, as they
     stand, match nothing. The distance 0 is that of equal forms: case, spaces, hyphens and one
     look-alike are free.
     """
-    # one row a variant and label length it can reach: plain rows keep the distance inside generated code
-    by_variant = _varied(texts).withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), F.length("v") - _K), F.length("v") + _K)))
-    pairs = by_variant.join(labels.withColumn("len", F.length("label")), "len").withColumn("d", F.levenshtein("v", "label", _K)).where("d >= 0")
-    return _gathered(pairs)
+    t = _forms(texts)
+    return within(t, labels, radius).join(t, "form").select("text", "code", "label_index", "label", "distance", "prefix", "length_diff")
+
+
+def candidate_counts(texts: DataFrame, labels: DataFrame, radius: int = _K) -> DataFrame:
+    """How many labels are within reach of each distinct text that has any, and how many of them share its head."""
+    t = saved(_forms(texts))
+    n = within(t, labels, radius).groupBy("form").agg(F.count("*").alias("n"), F.max("prefix").alias("any_prefix"), F.count_if("prefix").alias("with_prefix"))
+    return t.join(n, "form").drop("form")
 
 
-def ranked(found: DataFrame) -> DataFrame:
+def ranked(found: DataFrame, by: str = "text") -> DataFrame:
     """Candidates in order of rank; where any shares the text's first two characters, only such are ranked."""
-    by_text = Window.partitionBy("text")
+    by_text = Window.partitionBy(by)
     ordered = by_text.orderBy("distance", F.desc("prefix"), "length_diff", "label_index")
     best = found.withColumn("_any", F.max("prefix").over(by_text)).where("prefix OR NOT _any").drop("_any")
     return best.withColumns({"rank": F.row_number().over(ordered), "next_distance": F.lead("distance").over(ordered), "next_diff": F.lead("length_diff").over(ordered)})
@@ -81,11 +147,19 @@ def top(texts: DataFrame, labels: DataFrame, k: int = MATCH_TOP) -> DataFrame:
 
     A text is ambiguous when its first two candidates tie in distance and length difference.
     """
-    # where enough labels share the text's head and lie within one edit, no other can come among the first
-    near = saved(close(texts, labels).where("prefix"))
-    settled = near.groupBy("text").agg(F.count("*").alias("_n")).where(f"_n >= {max(k, 2)}").select("text")
-    rest = texts.select("text").distinct().join(settled, "text", "left_anti")
-    r = ranked(near.join(settled, "text", "left_semi").unionByName(candidates(rest, labels)))
+    t = saved(_forms(texts))
+    rest, found = t.select("form").distinct(), []
+    for radius in range(1, _K + 1):
+        near = saved(within(rest, labels, radius))
+        if radius < _K:
+            # where enough labels share the head and lie within this many edits, no other can come among the first
+            settled = near.where("prefix").groupBy("form").agg(F.count("*").alias("_n")).where(f"_n >= {max(k, 2)}").select("form")
+            found.append(near.join(settled, "form", "left_semi"))
+            rest = saved(rest.join(settled, "form", "left_anti"))
+        else:
+            found.append(near)
+    r = ranked(functools.reduce(DataFrame.unionByName, found), "form")
     tie = (F.col("rank") == 1) & (F.col("next_distance") == F.col("distance")) & (F.col("next_diff") == F.col("length_diff"))
-    flag = F.max(F.coalesce(tie, F.lit(False))).over(Window.partitionBy("text"))
-    return r.withColumn("is_ambiguous", flag).where(F.col("rank") <= k).select("text", "rank", "code", "distance", (F.col("distance") == 0).alias("is_exact"), "is_ambiguous")
+    flag = F.max(F.coalesce(tie, F.lit(False))).over(Window.partitionBy("form"))
+    best = r.withColumn("is_ambiguous", flag).where(F.col("rank") <= k).select("form", "rank", "code", "distance", (F.col("distance") == 0).alias("is_exact"), "is_ambiguous")
+    return t.join(best, "form").drop("form")

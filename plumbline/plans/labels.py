@@ -108,8 +108,7 @@ def fuzzy_ambiguous(spark, d):
 
 @query(f"{_MATCH} SELECT text, count(*) AS n, bool_or(prefix) AS any_prefix, count(*) FILTER (WHERE prefix) AS with_prefix FROM c GROUP BY text")
 def fuzzy_prefix_priority(spark, d):
-    c = M.candidates(T.recognised_texts(spark, d), M.indexed(T.product_labels(spark, d)))
-    return c.groupBy("text").agg(F.count("*").alias("n"), F.max("prefix").alias("any_prefix"), F.count_if("prefix").alias("with_prefix"))
+    return M.candidate_counts(T.recognised_texts(spark, d), M.indexed(T.product_labels(spark, d)))
 
 
 @query(f"{_MATCH} SELECT text_id, m.text IS NOT NULL AS matched, m.code FROM recognised_texts LEFT JOIN (SELECT text, code FROM f WHERE rank = 1) m USING (text)")
