@@ -32,6 +32,12 @@ BLUR_BELOW, TILT_LOW, TILT_HIGH = 100.0, 15.0, 75.0
 LUMINANCE = (0.299, 0.587, 0.114)
 MERGE_HEIGHT_RATIO, MERGE_OVERLAP, MERGE_CENTER, MERGE_WIDTH_OVERLAP = 2.0, 0.45, 0.55, 0.35
 MERGE_GAP_HEIGHT, MERGE_GAP_IMAGE, MERGE_UNION_HEIGHT, MERGE_PADDING = 1.8, 0.04, 1.45, 1.0
+EXPAND_X, EXPAND_Y, MAX_REGIONS, TALL = 1.10, 1.30, 24, 1.2
+BLUR_WIDTH, CROP_MIN, CROP_CHECK, WHITE = 320, 8, 128, 255
+CROP_BRIGHT, CROP_DARK, CROP_EDGE, CROP_SATURATION, CROP_VALUE = 175.0, 80.0, 110.0, 0.18, 0.16
+CROP_BRIGHT_SHARE, CROP_FEW, CROP_EDGE_SHARE, CROP_FLAT, CROP_PLAIN = 0.96, 0.002, 0.003, 35.0, 45.0
+CROP_COLORED_LEAST, CROP_EDGE_LEAST = 2, 3
+COLOR_SAMPLES, COLOR_SHARE = 64, 0.01
 COLORS = ("RED", "YELLOW", "GREEN", "CYAN", "BLUE", "WHITE", "BLACK", "UNKNOWN")
 DEFAULT_LABELS = ("H150X150X7", "B1Sb30N-7A", "C200X200X8")
 DEFAULT_CONSTRUCTIONS = ((1, "F-M_FQ", "20251111202F"), (2, "新社屋建設工事", "20250001"))

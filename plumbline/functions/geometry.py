@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MERGE_CENTER, MERGE_GAP_HEIGHT, MERGE_GAP_IMAGE, MERGE_HEIGHT_RATIO, MERGE_OVERLAP, MERGE_UNION_HEIGHT, MERGE_WIDTH_OVERLAP, UNCLIP
+from ..constants import MERGE_CENTER, MERGE_GAP_HEIGHT, MERGE_GAP_IMAGE, MERGE_HEIGHT_RATIO, MERGE_OVERLAP, MERGE_PADDING, MERGE_UNION_HEIGHT, MERGE_WIDTH_OVERLAP, UNCLIP
 
 
 def xs(p: Column) -> Column:
@@ -36,13 +36,15 @@ def int_bbox(p: Column) -> dict[str, Column]:
     return {k: (F.floor(v) if k in ("left", "top") else F.ceil(v)) for k, v in b.items()}
 
 
-def expanded(p: Column, factor: float, w: float, h: float) -> Column:
-    """Scaled about the mean of the corners and held inside the image."""
+def expanded(p: Column, factor: float, w, h, factor_y: float | None = None) -> Column:
+    """Scaled about the mean of the corners, in y by ``factor_y`` if given, and held inside the image."""
+    w, h = (v.cast("double") if isinstance(v, Column) else F.lit(v) for v in (w, h))
+    in_y = factor if factor_y is None else factor_y
     cx, cy = _sum(xs(p)) / (F.size(p) / 2), _sum(ys(p)) / (F.size(p) / 2)
 
     def one(v: Column, i: Column) -> Column:
-        c, top = F.when(i % 2 == 0, cx).otherwise(cy), F.when(i % 2 == 0, w).otherwise(h)
-        return F.greatest(F.lit(0.0), F.least(top, c + (v - c) * factor))
+        c, top, by = F.when(i % 2 == 0, cx).otherwise(cy), F.when(i % 2 == 0, w).otherwise(h), F.when(i % 2 == 0, F.lit(factor)).otherwise(in_y)
+        return F.greatest(F.lit(0.0), F.least(top, c + (v - c) * by))
 
     return F.transform(p, one)
 
@@ -57,21 +59,21 @@ def inverse_letterbox(p: Column, scale: Column, pad_x: Column, pad_y: Column, w:
     return F.transform(p, one)
 
 
-def pca_rect(points: DataFrame, key: str) -> DataFrame:
+def pca_rect(points: DataFrame, *key: str) -> DataFrame:
     """Principal-axis rectangle of each key's points (x, y): key, n, cx, cy, w, h, angle. Fewer than three points give none.
 
     Two aggregations: moments, then extents along the axes; nothing is gathered.
     """
-    m = points.groupBy(key).agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("cxx"), F.var_pop("y").alias("cyy"), F.covar_pop("x", "y").alias("cxy")).where("n >= 3")
+    m = points.groupBy(*key).agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("cxx"), F.var_pop("y").alias("cyy"), F.covar_pop("x", "y").alias("cxy")).where("n >= 3")
     half = (F.col("cxx") + F.col("cyy")) / 2
     disc = F.sqrt(F.greatest(F.lit(0.0), half * half - (F.col("cxx") * F.col("cyy") - F.col("cxy") * F.col("cxy"))))
     angle = F.when(F.abs("cxy") > 1e-10, F.atan2(F.col("cxy"), half + disc - F.col("cyy"))).when(F.col("cxx") >= F.col("cyy"), 0.0).otherwise(F.pi() / 2)
     m = m.withColumn("angle", angle)
     dx, dy, a = F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.col("angle")
     along, across = dx * F.cos(a) + dy * F.sin(a), dy * F.cos(a) - dx * F.sin(a)
-    at = points.join(m, key).withColumns({"_u": along, "_v": across})
+    at = points.join(m, list(key)).withColumns({"_u": along, "_v": across})
     extent = lambda c: F.greatest(F.lit(1.0), F.max(c) - F.min(c))
-    return at.groupBy(key, "n", "cx", "cy", "angle").agg(extent("_u").alias("w"), extent("_v").alias("h"))
+    return at.groupBy(*key, "n", "cx", "cy", "angle").agg(extent("_u").alias("w"), extent("_v").alias("h"))
 
 
 def unclipped(cx: Column, cy: Column, w: Column, h: Column, angle: Column, ratio: float = UNCLIP) -> Column:
@@ -113,9 +115,14 @@ def on_view(p: Column, image_w: Column, image_h: Column, view_w: Column, view_h:
     return F.transform(p, one)
 
 
-def same_line(a: str, b: str, image_w: Column, colors_fit: Column) -> Column:
-    """Whether boxes with columns left, top, right, bottom behind prefixes a and b belong to one line of text."""
-    g = lambda p, n: F.col(p + n)
+def box_of(prefix: str) -> dict[str, Column]:
+    """The box in the columns left, top, right and bottom behind a prefix."""
+    return {k: F.col(prefix + k) for k in ("left", "top", "right", "bottom")}
+
+
+def same_line(a: dict[str, Column], b: dict[str, Column], image_w: Column, colors_fit: Column) -> Column:
+    """Whether the boxes a and b belong to one line of text."""
+    g = lambda p, n: p[n]
     h = lambda p: F.greatest(g(p, "bottom") - g(p, "top"), F.lit(1.0))
     w = lambda p: F.greatest(g(p, "right") - g(p, "left"), F.lit(1.0))
     high, low = F.greatest(h(a), h(b)), F.least(h(a), h(b))
@@ -133,3 +140,17 @@ def same_line(a: str, b: str, image_w: Column, colors_fit: Column) -> Column:
         & (union <= high * MERGE_UNION_HEIGHT)
         & colors_fit
     )
+
+
+def line_box(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """One box for two on a line: as wide as both, no higher than the higher one, its middle their middles' mean by width."""
+    wide = lambda p: F.greatest(p["right"] - p["left"], F.lit(1.0))
+    middle = lambda p: (p["top"] + p["bottom"]) / 2
+    ha, hb = (p["bottom"] - p["top"] for p in (a, b))
+    at = (middle(a) * wide(a) + middle(b) * wide(b)) / (wide(a) + wide(b))
+    half = F.greatest(ha, hb, (ha + hb) / 2 * MERGE_PADDING) / 2
+    return {"left": F.least(a["left"], b["left"]), "top": at - half, "right": F.greatest(a["right"], b["right"]), "bottom": at + half}
+
+
+def as_polygon(b: dict[str, Column]) -> Column:
+    return F.array(b["left"], b["top"], b["right"], b["top"], b["right"], b["bottom"], b["left"], b["bottom"])

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
-    COLORS, CONTRAST_LIFT, CONTRAST_MAX_SCALE, CONTRAST_MIN_RANGE, CONTRAST_SPAN, ERROR_TOKENS, KEEP_RATIO, KEEP_SHORT, KEEP_SHORT_CONFIDENCE, LUMINANCE,
+    COLORS, CONTRAST_LIFT, CROP_BRIGHT, CROP_BRIGHT_SHARE, CROP_COLORED_LEAST, CROP_DARK, CROP_EDGE, CROP_EDGE_LEAST, CROP_EDGE_SHARE, CROP_FEW, CROP_FLAT, CROP_PLAIN, CROP_SATURATION, CROP_VALUE,
+    CONTRAST_MAX_SCALE, CONTRAST_MIN_RANGE, CONTRAST_SPAN, ERROR_TOKENS, KEEP_RATIO, KEEP_SHORT, KEEP_SHORT_CONFIDENCE, LUMINANCE,
     RECOGNISED_CONFIDENCE, RECOGNISED_RATIO, RECOGNISED_USEFUL, SCORE_CONFIDENCE, SCORE_LENGTH, SCORE_LENGTH_MAX, SCORE_RATIO,
 )
 from .text import trimmed, useful_count
@@ -25,6 +26,26 @@ def saturation(r: Column, g: Column, b: Column) -> Column:
     return F.when(top == 0, 0.0).otherwise((top - F.least(r, g, b)) / top)
 
 
+def crop_counts(r: Column, g: Column, b: Column) -> list[Column]:
+    """Sums over a crop's pixels that tell whether there is anything to read."""
+    lum, value = luminance(r, g, b), F.greatest(r, g, b) / 255
+    n = lambda on, name: F.count_if(on).alias(name)
+    return [
+        n(lum > CROP_BRIGHT, "bright"), n(lum < CROP_DARK, "dark"), n((saturation(r, g, b) > CROP_SATURATION) & (value > CROP_VALUE), "colored"), n(lum < CROP_EDGE, "edge"),
+        (F.max(lum) - F.min(lum)).alias("contrast"), F.count("*").alias("n"),
+    ]
+
+
+def is_useful_crop() -> Column:
+    """Over ``crop_counts``: neither bright all over, nor without colour and edges, nor flat."""
+    c, share = F.col, lambda k: F.col(k) / F.col("n")
+    pale = share("colored") < CROP_FEW
+    blank = (share("bright") > CROP_BRIGHT_SHARE) & (share("dark") < CROP_FEW) & pale & (c("contrast") < CROP_FLAT)
+    plain = pale & (share("edge") < CROP_EDGE_SHARE) & (c("contrast") < CROP_PLAIN)
+    flat = (c("colored") < CROP_COLORED_LEAST) & (c("edge") < CROP_EDGE_LEAST) & (c("contrast") < CROP_FLAT)
+    return ~(blank | plain | flat)
+
+
 def color_class(h: Column, s: Column, v: Column) -> Column:
     """Marking colour of hue (0 to 360), saturation and value (0 to 1)."""
     return (
@@ -64,16 +85,17 @@ def dominant(pixels: DataFrame, key: str, box: tuple[int, int, int, int], least:
     return best.select(key, F.coalesce(F.when(F.col("valid") / F.col("all") >= least, F.col("best")), F.lit("UNKNOWN")).alias("color"))
 
 
-def laplacian(grid: Column, width: int, height: int) -> Column:
-    """255 times the four-neighbour Laplacian of a grid given row by row; 0 at its edges."""
+def laplacian(grid: Column, width, height, times: int = 255) -> Column:
+    """``times`` the four-neighbour Laplacian of a grid given row by row; 0 at its edges."""
     at = lambda i: F.get(grid, i)
+    width, height = (v if isinstance(v, Column) else F.lit(v) for v in (width, height))
 
     def one(i: Column) -> Column:
         y, x = F.floor(i / width), i % width
         edge = (y == 0) | (y == height - 1) | (x == 0) | (x == width - 1)
-        return F.when(edge, 0.0).otherwise(255 * (at(i - 1) + at(i + 1) + at(i - width) + at(i + width) - 4 * at(i)))
+        return F.when(edge, 0.0).otherwise(times * (at(i - 1) + at(i + 1) + at(i - width) + at(i + width) - 4 * at(i)))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), one)
+    return F.transform(F.sequence(F.lit(0), (width * height - 1).cast("int")), one)
 
 
 def stretched(v: Column, scale: Column, bias: Column) -> Column:

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import AREA_MIN, MERGE_CENTER, MERGE_GAP_HEIGHT, MERGE_GAP_IMAGE, MERGE_HEIGHT_RATIO, MERGE_OVERLAP, MERGE_PADDING, MERGE_UNION_HEIGHT, MERGE_WIDTH_OVERLAP
+from ..constants import AREA_MIN, COLORS, HEAT_MIN_SIZE, HEAT_THRESHOLD
+from ..functions import geometry as G
+from ..functions import image as I
+from ..functions import raster as R
+
+#: Images of a batch that are worked on at once.
+_IMAGES = 16
 
 
 def argmax(scores: Column) -> Column:
@@ -24,34 +34,101 @@ def decoded(classes: Column, symbols: Column) -> Column:
     return F.array_join(F.transform(F.filter(emitted(classes), lambda t: F.get(classes, t) < F.size(symbols)), lambda t: F.get(symbols, F.get(classes, t))), "")
 
 
+def _joined_runs(image: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """For runs of lit pixels in reading order, image by image: the first run of each run's component.
+
+    Runs of neighbouring rows that overlap are linked; links go to the smaller number and are
+    then followed to their ends, for all images of a batch at once, until no link joins two components.
+    """
+    top = np.arange(len(y))
+    if not len(y):
+        return top
+    # one number line for all: a spare column parts rows, a spare row parts images
+    wide, tall = int(high.max()) + 2, int(y.max()) + 2
+    base = (image * tall + y) * wide
+    start, end = base + low, base + high
+    first = np.searchsorted(end, start - wide)
+    n = np.maximum(np.searchsorted(start, end - wide, "right") - first, 0)
+    lower = np.repeat(top, n)
+    upper = np.repeat(first, n) + np.arange(len(lower)) - np.repeat(np.cumsum(n) - n, n)
+    while True:
+        a, b = top[lower], top[upper]
+        apart = a != b
+        if not apart.any():
+            return top
+        np.minimum.at(top, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (top[top] != top).any():
+            top = top[top]
+
+
+def _numbered_runs(ids: np.ndarray, image: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, min_size: int) -> pa.RecordBatch:
+    """The runs of components of ``min_size`` pixels and more, components numbered from 0 in each image by their first pixel."""
+    top = _joined_runs(image, y, low, high)
+    keep = np.bincount(top, weights=high - low + 1, minlength=len(y)) >= min_size
+    heads = np.flatnonzero(keep & (top == np.arange(len(y))))
+    number = np.zeros(len(y), np.int64)
+    number[heads] = np.arange(len(heads)) - np.searchsorted(image[heads], image[heads])
+    kept = np.flatnonzero(keep[top])
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (ids[image[kept]], number[top[kept]], y[kept], low[kept], high[kept])], ["image", "component", "y", "x0", "x1"])
+
+
+_RUNS = "image long, component long, y long, x0 long, x1 long"
+
+
+def component_runs(maps: DataFrame, threshold: float = HEAT_THRESHOLD, min_size: int = HEAT_MIN_SIZE) -> DataFrame:
+    """4-neighbour components of the values above ``threshold`` in maps (image, width, heat row by row): image, component, y, x0, x1, a row for each run of pixels.
+
+    An image is a row of ``maps`` and never leaves its task; no shuffle.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _IMAGES):
+                b = whole.slice(at, _IMAGES)
+                heat = b.column(2)
+                size = pc.list_value_length(heat).fill_null(0).to_numpy(zero_copy_only=False)
+                lit = heat.flatten().fill_null(0).to_numpy(zero_copy_only=False) > threshold
+                image = np.repeat(np.arange(b.num_rows), size)
+                width = np.maximum(b.column(1).fill_null(1).to_numpy(zero_copy_only=False), 1).astype(np.int64)[image]
+                place = np.arange(len(lit)) - np.repeat(np.cumsum(size) - size, size)
+                x = place % width
+                edge = np.empty(len(lit), bool)
+                edge[:1], edge[1:] = True, ~lit[:-1]
+                starts = np.flatnonzero(lit & (edge | (x == 0)))
+                edge[-1:], edge[:-1] = True, ~lit[1:]
+                ends = np.flatnonzero(lit & (edge | (x == width - 1)))
+                ids = b.column(0).to_numpy(zero_copy_only=False)
+                yield _numbered_runs(ids, image[starts], (place // width)[starts], x[starts], x[ends], min_size)
+
+    return maps.select("image", "width", "heat").mapInArrow(task, _RUNS)
+
+
+def run_pixels(runs: DataFrame) -> DataFrame:
+    """The pixels (image, component, x, y) of runs."""
+    return runs.select("image", "component", F.explode(F.sequence("x0", "x1")).alias("x"), "y")
+
+
 def components(pixels: DataFrame, min_size: int) -> DataFrame:
     """4-neighbour components of lit pixels (image, x, y): image, component, x, y; smaller ones are left out.
 
     ``component`` numbers an image's components by their first pixel in reading order. An
     image, whose size is fixed, is the unit of work.
     """
+    places = pixels.groupBy("image").agg(F.sort_array(F.collect_set(F.struct("y", "x"))).alias("p")).select("image", F.col("p.y").alias("y"), F.col("p.x").alias("x"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _IMAGES):
+                b = whole.slice(at, _IMAGES)
+                image = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False))
+                y, x = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
+                new = np.ones(len(x), bool)
+                new[1:] = (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1]) | (image[1:] != image[:-1])
+                starts = np.flatnonzero(new)
+                ends = np.append(starts[1:], len(x)) - 1 if len(x) else starts
+                yield _numbered_runs(b.column(0).to_numpy(zero_copy_only=False), image[starts], y[starts], x[starts], x[ends], min_size)
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["x", "y"]).sort_values(["y", "x"])
-        left, found = set(zip(pdf.x, pdf.y, strict=True)), []
-        for start in zip(pdf.x, pdf.y, strict=True):
-            if start not in left:
-                continue
-            left.discard(start)
-            cells, todo = [start], [start]
-            while todo:
-                x, y = todo.pop()
-                for n in ((x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1)):
-                    if n in left:
-                        left.discard(n)
-                        cells.append(n)
-                        todo.append(n)
-            if len(cells) >= min_size:
-                found.append(cells)
-        rows = [(pdf["image"].iloc[0], i, x, y) for i, cells in enumerate(found) for x, y in sorted(cells)]
-        return pd.DataFrame(rows, columns=["image", "component", "x", "y"]).astype({"image": "int64", "component": "int64", "x": "int64", "y": "int64"})
-
-    return pixels.select("image", "x", "y").groupBy("image").applyInPandas(label, "image long, component long, x long, y long")
+    return run_pixels(places.mapInArrow(task, _RUNS))
 
 
 def largest(regions: DataFrame, key: str, n: int, least_area: float = AREA_MIN) -> DataFrame:
@@ -60,47 +137,60 @@ def largest(regions: DataFrame, key: str, n: int, least_area: float = AREA_MIN)
     return regions.where(F.col("area") > least_area).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def merge_lines(boxes: DataFrame, image_w: float) -> DataFrame:
-    """Greedy merging of boxes (image, ord, left, top, right, bottom) that share a line.
+_BOX = "struct<left:double,top:double,right:double,bottom:double,color:string>"
+_SIDES = ("left", "top", "right", "bottom")
 
-    The first pair that fits, in order, merges into its first box and the search begins anew;
-    the outcome depends on that order, so an image's few boxes are merged in one place. An
-    image is the unit of work; boxes of unknown colour only, as no pixels are at hand.
+
+def merged_boxes(boxes: Column, image_w: Column, color_of: Callable[[dict[str, Column]], Column] | None = None) -> Column:
+    """Greedy merging of an array of boxes (left, top, right, bottom) that share a line.
+
+    The first pair that fits, in order, merges into its first box, and the search begins anew.
+    This is a fold: its state is the boxes that are left and whether the last search found a
+    pair. ``color_of`` gives the colour of a box; boxes of different known colours stay apart.
     """
+    sides = lambda b: {k: b[k] for k in _SIDES}
+    color = color_of or (lambda b: F.lit(COLORS[-1]))
+    whole = lambda b: F.struct(*(b[k].cast("double").alias(k) for k in _SIDES), color(b).alias("color")).cast(_BOX)
+
+    def first_pair(x: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(x) - 1)
+        fits = lambda i, j: G.same_line(sides(F.get(x, i)), sides(F.get(x, j)), image_w, I.colors_fit(F.get(x, i)["color"], F.get(x, j)["color"]))
+        partner = lambda i: F.array_min(F.filter(places, lambda j: (j > i) & fits(i, j)))
+        return F.get(F.filter(F.transform(places, lambda i: F.struct(i.alias("i"), partner(i).alias("j"))), lambda p: p["j"].isNotNull()), F.lit(0))
 
-    def fits(a: list[float], b: list[float]) -> bool:
-        ha, hb = max(a[3] - a[1], 1.0), max(b[3] - b[1], 1.0)
-        high, low = max(ha, hb), min(ha, hb)
-        narrow = max(min(a[2] - a[0], b[2] - b[0]), 1.0)
-        lap_y, lap_x = min(a[3], b[3]) - max(a[1], b[1]), min(a[2], b[2]) - max(a[0], b[0])
-        checks = (
-            high <= MERGE_HEIGHT_RATIO * low,
-            max(lap_y, 0.0) >= MERGE_OVERLAP * low,
-            abs(a[1] + a[3] - b[1] - b[3]) / 2 <= MERGE_CENTER * high,
-            max(lap_x, 0.0) <= MERGE_WIDTH_OVERLAP * narrow,
-            max(-lap_x, 0.0) <= min(MERGE_GAP_HEIGHT * high, MERGE_GAP_IMAGE * image_w),
-            max(a[3], b[3]) - min(a[1], b[1]) <= MERGE_UNION_HEIGHT * high,
-        )
-        return all(checks)
-
-    def joined(a: list[float], b: list[float]) -> list[float]:
-        wa, wb = max(a[2] - a[0], 1.0), max(b[2] - b[0], 1.0)
-        ha, hb = a[3] - a[1], b[3] - b[1]
-        middle = ((a[1] + a[3]) / 2 * wa + (b[1] + b[3]) / 2 * wb) / (wa + wb)
-        half = max(ha, hb, (ha + hb) / 2 * MERGE_PADDING) / 2
-        return [min(a[0], b[0]), middle - half, max(a[2], b[2]), middle + half]
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        todo = pdf[["left", "top", "right", "bottom"]].to_numpy().tolist()
-        pair = True
-        while pair:
-            pair = next(((i, j) for i in range(len(todo)) for j in range(i + 1, len(todo)) if fits(todo[i], todo[j])), None)
-            if pair:
-                todo[pair[0]] = joined(todo[pair[0]], todo.pop(pair[1]))
-        out = pd.DataFrame(todo, columns=["left", "top", "right", "bottom"])
-        out.insert(0, "image", pdf["image"].iloc[0])
-        out.insert(1, "line", range(len(out)))
-        return out.astype({"image": "int64", "line": "int64"})
-
-    return boxes.groupBy("image").applyInPandas(merge, "image long, line long, left double, top double, right double, bottom double")
+    def step(state: Column) -> Column:
+        x = state["x"]
+
+        def next_of(p: Column) -> Column:
+            put = lambda m: F.filter(F.transform(x, lambda b, k: F.when(k == p["i"], m).otherwise(b)), lambda b, k: k != p["j"])
+            both = F.struct(*(v.alias(k) for k, v in G.line_box(sides(F.get(x, p["i"])), sides(F.get(x, p["j"]))).items()))
+            return F.when(p.isNull(), F.struct(x.alias("x"), F.lit(False).alias("open"))).otherwise(F.struct(R.bound(R.bound(both, lambda b: whole(sides(b))), put).alias("x"), F.lit(True).alias("open")))
+
+        return F.when(state["open"], R.bound(first_pair(x), next_of)).otherwise(state)
+
+    start = F.struct(F.transform(boxes, lambda b: whole(sides(b))).alias("x"), F.lit(True).alias("open"))
+    return F.when(F.size(boxes) > 1, F.aggregate(F.sequence(F.lit(1), F.size(boxes)), start, lambda s, _: step(s), lambda s: s["x"])).otherwise(F.transform(boxes, lambda b: whole(sides(b))))
+
+
+def _listed(boxes: DataFrame, *more: str) -> DataFrame:
+    """Each image's boxes (ord, left, top, right, bottom) in order, an array; an image has few."""
+    return boxes.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("ord", *_SIDES, *more))).alias("boxes"))
+
+
+def merge_lines(boxes: DataFrame, image_w: float) -> DataFrame:
+    """Boxes (image, ord, left, top, right, bottom) of unknown colour, merged: image, line, left, top, right, bottom."""
+    out = _listed(boxes).select("image", F.posexplode(merged_boxes(F.col("boxes"), F.lit(image_w))).alias("line", "b"))
+    return out.select("image", F.col("line").cast("long").alias("line"), *(F.col(f"b.{k}") for k in _SIDES))
+
+
+def merge_polygons(polygons: DataFrame, pictures: DataFrame) -> DataFrame:
+    """Polygons (image, ord, p) merged by line and colour: image, line, p. A single polygon of an image stays as it is, rotated or not.
+
+    ``pictures`` has image, w, h and classes, the colour names of its pixels row by row; an image is one row of it.
+    """
+    boxed = polygons.select("image", "ord", "p", *(v.alias(k) for k, v in G.bbox(F.col("p")).items()))
+    met = _listed(boxed, "p").join(pictures.select("image", "w", "h", "classes"), "image")
+    lines = merged_boxes(F.col("boxes"), F.col("w"), lambda b: R.dominant_in(F.col("classes"), F.col("w"), F.col("h"), b))
+    rects = F.transform(lines, lambda b: G.as_polygon({k: b[k] for k in _SIDES}))
+    alone = F.transform("boxes", lambda b: b["p"])
+    return met.select("image", F.posexplode(F.when(F.size("boxes") > 1, rects).otherwise(alone)).alias("line", "p"))

@@ -109,15 +109,8 @@ def _pixels(spark, d):
     SELECT vec_id, NOT ((bright > 0.96 AND dark < 0.002 AND colored < 0.002 AND contrast < 35) OR (colored < 0.002 AND edge < 0.003 AND contrast < 45) OR (colored * n < 2 AND edge * n < 3 AND contrast < 35)) AS useful FROM a"""
 )
 def crop_filter(spark, d):
-    rgb = F.col("r"), F.col("g"), F.col("b")
-    q = _pixels(spark, d).select("vec_id", I.luminance(*rgb).alias("lum"), I.saturation(*rgb).alias("sat"), (F.greatest(*rgb) / 255).alias("val"))
-    share = lambda c: F.avg(c.cast("int"))
-    a = q.groupBy("vec_id").agg(
-        share(F.col("lum") > 175).alias("bright"), share(F.col("lum") < 80).alias("dark"), share((F.col("sat") > 0.18) & (F.col("val") > 0.16)).alias("colored"),
-        share(F.col("lum") < 110).alias("edge"), (F.max("lum") - F.min("lum")).alias("contrast"), F.count("*").alias("n"),
-    )
-    poor = "(bright > 0.96 AND dark < 0.002 AND colored < 0.002 AND contrast < 35) OR (colored < 0.002 AND edge < 0.003 AND contrast < 45) OR (colored * n < 2 AND edge * n < 3 AND contrast < 35)"
-    return a.select("vec_id", (~F.expr(poor)).alias("useful"))
+    a = _pixels(spark, d).groupBy("vec_id").agg(*I.crop_counts(F.col("r"), F.col("g"), F.col("b")))
+    return a.select("vec_id", I.is_useful_crop().alias("useful"))
 
 
 _HSV = f"{_E}, hsv AS (SELECT vec_id, k, (e[3 * k + 1] + 0.5) * 360 AS h, abs(e[3 * k + 2]) * 3 AS s, abs(e[3 * k + 3]) * 4 AS v FROM e, range(21) t(k)), cls AS (SELECT vec_id, k, CASE WHEN v < 0.25 THEN 'UNKNOWN' WHEN s < 0.16 AND v > 0.72 THEN 'WHITE' WHEN v < 0.28 THEN 'BLACK' WHEN s < 0.18 THEN 'UNKNOWN' WHEN h BETWEEN 0 AND 22 OR h >= 338 THEN 'RED' WHEN h BETWEEN 35 AND 78 THEN 'YELLOW' WHEN h BETWEEN 80 AND 155 THEN 'GREEN' WHEN h BETWEEN 156 AND 210 THEN 'CYAN' WHEN h BETWEEN 211 AND 260 THEN 'BLUE' ELSE 'UNKNOWN' END AS color FROM hsv)"
@@ -253,7 +246,7 @@ def line_merge_predicate(spark, d):
     two = b.select("vec_id", (F.col("k") - 1).alias("k"), *((F.col(c) + (60 if c in ("left", "right") else 0)).alias("b_" + c) for c in sides))
     color = lambda on, name: F.when(on, "UNKNOWN").otherwise(name)
     fit = I.colors_fit(color(F.col("k") % 3 == 0, "RED"), F.when(F.col("k") % 2 == 0, "RED").otherwise("BLUE"))
-    return one.join(two, ["vec_id", "k"]).select("vec_id", "k", G.same_line("a_", "b_", F.lit(1600), fit).alias("merges"))
+    return one.join(two, ["vec_id", "k"]).select("vec_id", "k", G.same_line(G.box_of("a_"), G.box_of("b_"), F.lit(1600), fit).alias("merges"))
 
 
 @query(

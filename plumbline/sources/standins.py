@@ -6,7 +6,7 @@ registrations, line items for their items, and brand with size for the label mas
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -84,6 +84,51 @@ def recognised_texts(spark: SparkSession, folder: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("text_id"), seen.alias("text"))
 
 
+def _vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings (image, e); few bytes that become many pixels, so dealt out first."""
+    e = read(spark, folder, "embeddings").select(F.col("vec_id").alias("image"), F.col("embedding").cast("array<double>").alias("e"))
+    return e.repartition(2 * spark.sparkContext.defaultParallelism, "image")
+
+
+def heat_maps(spark: SparkSession, folder: str) -> DataFrame:
+    """A detector's output, 64 by 64: each embedding as 8 by 8 values, mixed in between."""
+    e = _vectors(spark, folder)
+
+    def one(k: Column) -> Column:
+        x, y = (k % 64).cast("int"), F.floor(k / 64).cast("int")
+        i, j, fx, fy = F.floor(x / 8).cast("int"), F.floor(y / 8).cast("int"), (x % 8) / 8, (y % 8) / 8
+        i2, j2 = F.least(i + 1, F.lit(7)), F.least(j + 1, F.lit(7))
+        g = lambda a, b: F.get("e", b * 8 + a)
+        return ((g(i, j) * (1 - fx) + g(i2, j) * fx) * (1 - fy) + (g(i, j2) * (1 - fx) + g(i2, j2) * fx) * fy) * 3
+
+    return e.select("image", F.lit(64).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(4095)), one).alias("heat"))
+
+
+def pictures(spark: SparkSession, folder: str, w: int = 96, h: int = 72) -> DataFrame:
+    """Pictures of w by h pixels, 8 by 8 fields of one colour each, as channels row by row."""
+    e = _vectors(spark, folder)
+
+    def channel(c: int) -> Column:
+        def one(k: Column) -> Column:
+            field = F.floor(F.floor(k / w) * 8 / h) * 8 + F.floor((k % w) * 8 / w) + 7 * c
+            return F.round(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.get("e", (field % 64).cast("int")) * 3 + 0.5) * 255)))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), one)
+
+    return e.select("image", F.lit(w).alias("w"), F.lit(h).alias("h"), *(channel(c).alias(k) for c, k in enumerate("rgb")))
+
+
+def readings(spark: SparkSession, folder: str) -> DataFrame:
+    """A recogniser's two readings of each of an image's first 24 regions."""
+    e = read(spark, folder, "embeddings").select(F.col("vec_id").alias("image"), "embedding")
+    r = e.withColumn("index", F.explode(F.sequence(F.lit(1), F.lit(24))))
+    k = F.col("image") * 24 + F.col("index")
+    code = F.concat(F.lit("B"), (k % 97).cast("string"), F.lit("-"), (k % 31).cast("string"))
+    text = F.when(k % 9 == 0, "EMPTY").when(k % 9 == 1, "@#%!").when(k % 9 == 2, F.substring(code, 1, 2)).when(k % 9 == 3, F.concat(code, F.lit("!!!"))).otherwise(code)
+    conf = lambda i: F.abs(F.get("embedding", F.col("index") + i)) * F.lit(4.0).cast("float")
+    return r.select("image", "index", text.alias("text"), conf(0).alias("confidence"), F.when(k % 2 == 0, F.reverse(code)).otherwise(code).alias("text_r"), conf(20).alias("confidence_r"))
+
+
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of conversations, numbered."""
     c = read(spark, folder, "conversations")
@@ -104,6 +149,8 @@ SQL = {
     "items": "items AS (SELECT l_orderkey AS registrationId, p_brand || '-' || p_size AS productCode, l_linenumber AS displayOrder, l_extendedprice AS price FROM lineitem JOIN part ON l_partkey = p_partkey)",
     "recognised_texts": """recognised_texts AS (SELECT p_partkey AS text_id, CASE p_partkey % 5 WHEN 0 THEN translate(code, '0158', 'OISB') WHEN 1 THEN substring(code, 1, 3) || substring(code, 5)
         WHEN 2 THEN replace(code, '-', ' ') WHEN 3 THEN lower(code) ELSE code END AS text FROM (SELECT p_partkey, p_brand || '-' || p_size AS code FROM part))""",
+    "heat": """heat AS (SELECT image, x, y, ((g(e, i, j) * (1 - fx) + g(e, i2, j) * fx) * (1 - fy) + (g(e, i, j2) * (1 - fx) + g(e, i2, j2) * fx) * fy) * 3 AS v FROM (
+        SELECT vec_id AS image, embedding::DOUBLE[] AS e, x, y, x // 8 AS i, y // 8 AS j, least(x // 8 + 1, 7) AS i2, least(y // 8 + 1, 7) AS j2, (x % 8) / 8::DOUBLE AS fx, (y % 8) / 8::DOUBLE AS fy FROM embeddings, range(64) a(x), range(64) b(y)))""".replace("g(e, i, j)", "e[j * 8 + i + 1]").replace("g(e, i2, j)", "e[j * 8 + i2 + 1]").replace("g(e, i, j2)", "e[j2 * 8 + i + 1]").replace("g(e, i2, j2)", "e[j2 * 8 + i2 + 1]"),
     "lines": """lines AS (SELECT conv_id, turn, (generate_subscripts(l, 1) - 1)::INT AS line_no, unnest(l) AS line FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations))""",
 }
 
