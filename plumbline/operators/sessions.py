@@ -1,40 +1,105 @@
-"""Idle time-outs and throttling."""
+"""Idle time-outs and throttling, as scans over ranges with carried state.
+
+A user's events or a stream's frames may be a third of all rows, so they are not gathered.
+Rows are sorted into ranges; each range is summed up by what it does to the state it is
+entered with; the states at the ranges' borders follow from the sums alone, a few short
+rows; then all ranges are finished side by side.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import FRAME_GAP_MS, IDLE_HOURS
+from .keep import saved
+
+
+def _ranged(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows sorted into ranges (_range) that are the same in every reading."""
+    return saved(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id()))
 
 
 def sessions(events: DataFrame, hours: int = IDLE_HOURS) -> DataFrame:
     """Events (user_id, ts, event_id) with a session number: a new one after more than ``hours`` without an event."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts") - F.lag("ts").over(w) > F.expr(f"INTERVAL {hours} HOURS")
-    return events.withColumn("_new", F.coalesce(gap.cast("int"), F.lit(1))).withColumn("session", F.sum("_new").over(w).cast("long")).drop("_new")
+    return _numbered(_ranged(events, "user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], "ts", lambda now, before: now - before > F.expr(f"INTERVAL {hours} HOURS"), "session")
+
+
+def _numbered(ranged: DataFrame, key: str, order: list[str], value: str, parts, name: str) -> DataFrame:
+    """Rows of a key in runs numbered from 1; ``parts`` (value, value before) tells where a run begins. Null keys are one key."""
+    bare = F.struct(F.col(key).alias("k"))  # a struct is equal to itself with a null inside
+    rows = ranged.withColumn("_key", bare)
+    piece = Window.partitionBy("_range", "_key").orderBy(*order)
+    new = F.coalesce(parts(F.col(value), F.lag(value).over(piece)), F.lit(False))
+    rows = rows.withColumn("_new", new.cast("long")).withColumn("_within", F.sum("_new").over(piece))
+    sums = rows.groupBy("_range", "_key").agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_new").alias("_runs"))
+    whole = Window.partitionBy("_key").orderBy("_range")  # a row for each range at most
+    first = F.coalesce(parts(F.col("_low"), F.lag("_high").over(whole)), F.lag(F.lit(1)).over(whole).isNull())
+    sums = sums.withColumn("_first", first.cast("long"))
+    before = F.coalesce(F.sum(F.col("_first") + F.col("_runs")).over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("_first")
+    out = rows.join(sums.select("_range", "_key", before.alias("_before")), ["_range", "_key"])
+    return out.withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).select(*(c for c in ranged.columns if c != "_range"), name)
+
+
+def _ends(ts: np.ndarray, gap: int) -> np.ndarray:
+    """For each frame of a sorted run: the last one taken in the run, if it is taken itself."""
+    n = len(ts)
+    end, nxt = np.arange(n), np.searchsorted(ts, ts + gap)
+    while (nxt < n).any():  # twice as far each time
+        on = np.flatnonzero(nxt < n)
+        end[on], nxt[on] = end[nxt[on]], nxt[nxt[on]]
+    return end
 
 
 def throttled(frames: DataFrame, gap_ms: int = FRAME_GAP_MS) -> DataFrame:
     """Frames (stream, ts_ms, frame_id) that are taken: each at least ``gap_ms`` after the last one taken.
 
-    Which frame is taken depends on the one taken before, so a stream's frames are walked in
-    order, a batch at a time; streams of any length pass through bounded memory.
+    Which frame is taken depends on the one before. A range of a stream is entered at one of
+    the few frames that lie within the gap from its first, or at the one after; for each the
+    range's last frame taken is worked out beforehand. Null times are never taken.
     """
+    names = ["stream", "ts_ms", "frame_id"]
+    rows = frames.select(*names).where("ts_ms IS NOT NULL")
+    if gap_ms <= 0:
+        return rows
+    ranged = _ranged(rows, *names).withColumn("_of", F.to_json(F.struct("stream")))  # never null
+    piece = ["_of", "_range"]
+
+    def ways(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ts = np.sort(pdf["ts_ms"].to_numpy(np.int64))
+        last = ts[_ends(ts, gap_ms)]
+        at = np.unique(ts[: int(np.searchsorted(ts, ts[0] + gap_ms)) + 1], return_index=True)[1]
+        return pd.DataFrame({"_of": key[0], "_range": key[1], "entry": ts[at], "exit": last[at]})
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, last = None, None
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, last, place, entered = None, None, None, False
         for b in batches:
-            keep = []
-            for s, t in zip(b["stream"], b["ts_ms"], strict=True):
-                take = s != stream or t - last >= gap_ms
-                keep.append(take)
-                if take:
-                    stream, last = s, t
-            yield b[keep]
-
-    rows = frames.select("stream", "ts_ms", "frame_id")
-    return rows.repartition("stream").sortWithinPartitions("stream", "ts_ms", "frame_id").mapInPandas(walk, rows.schema)
+            out = []
+            for s, r, entry, end in zip(b["_of"], b["_range"], b["entry"], b["exit"], strict=True):
+                if s != stream:
+                    stream, last, place = s, None, None
+                if r != place:
+                    place, entered = r, False
+                if not entered and (last is None or entry >= last + gap_ms):
+                    out.append((s, r, entry))
+                    last, entered = end, True
+            yield pd.DataFrame(out, columns=["_of", "_range", "entry"]).astype({"_of": "object", "_range": "int32", "entry": "int64"})
+
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts_ms", "frame_id"])
+        ts = pdf["ts_ms"].to_numpy(np.int64)
+        nxt, take = np.searchsorted(ts, ts + gap_ms), []
+        i = int(np.searchsorted(ts, pdf["entry"].iloc[0]))
+        while i < len(ts):
+            take.append(i)
+            i = int(nxt[i])
+        return pdf.iloc[take][names]
+
+    # one row for each way into a range; these alone are walked stream by stream
+    found = ranged.groupBy(*piece).applyInPandas(ways, "_of string, _range int, entry long, exit long")
+    entries = found.repartition("_of").sortWithinPartitions(*piece, "entry").mapInPandas(carry, "_of string, _range int, entry long")
+    return ranged.join(entries, piece).groupBy(*piece).applyInPandas(walk, rows.schema)

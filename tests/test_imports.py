@@ -1,8 +1,10 @@
 """Imports, sync, search and files as the store has them: cases that once went wrong."""
 
 import csv
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
@@ -10,7 +12,7 @@ from plumbline.functions import image as I
 from plumbline.functions import text as X
 from plumbline.operators import masters as M
 from plumbline.operators import match as Y
-from plumbline.operators import sync
+from plumbline.operators import sessions, sync
 from plumbline.sources import readers, sinks
 
 
@@ -104,3 +106,38 @@ def test_zipped_lists_fill_up(spark):
     df = spark.createDataFrame([(["A", "B", "C"], ["a", None], ["x.jpg"])], "codes array<string>, raws array<string>, crops array<string>")
     z = X.zipped(F.col("codes"), raw=(F.col("raws"), None), crop=(F.col("crops"), F.lit("")))
     assert [tuple(x) for x in df.select(z.alias("z")).first().z] == [("A", "a", "x.jpg"), ("B", "B", ""), ("C", "C", "")]
+
+
+def test_one_hot_user_over_many_ranges(spark, many_ranges):
+    rnd = random.Random(11)
+    rows, s = [], 0
+    for k in range(3000):
+        s += rnd.choice([0, 60, 3600, 3 * 3600, 3 * 3600 + 1])
+        rows.append((1, s, k))
+    rows += [(u, rnd.randrange(10**6), 10_000 + 10 * u + k) for u in range(2, 30) for k in range(rnd.randrange(1, 8))] + [(None, 5, 20_000), (None, 6, 20_001)]
+    events = spark.createDataFrame(rows, "user_id long, s long, event_id long").select("user_id", F.timestamp_seconds("s").alias("ts"), "event_id")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    plain = events.withColumn("n", F.coalesce((F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL 3 HOURS")).cast("int"), F.lit(1))).withColumn("session", F.sum("n").over(w)).collect()
+    want = {r.event_id: r.session for r in plain}
+    got = sessions.sessions(events)
+    assert {r.event_id: r.session for r in got.collect()} == want and got.columns == ["user_id", "ts", "event_id", "session"]
+    hot = sessions._ranged(events, "user_id", "ts", "event_id").where("user_id = 1").select("_range").distinct().count()
+    assert hot > 1  # the hot user fills several tasks
+
+
+@pytest.mark.parametrize("gap", [1, 40, 150, 5000])
+def test_throttling_over_many_ranges(spark, many_ranges, gap):
+    rnd = random.Random(gap)
+    rows, t = [], 0
+    for k in range(2500):
+        t += rnd.choice([0, 0, 1, 20, 33, 149, 150, 151])
+        rows.append((1, t, k))
+    rows += [(2, x, 5000 + x) for x in range(0, 900, 30)] + [(None, x, 9000 + x) for x in range(0, 400, 100)]
+    last, want = {}, set()
+    for stream, at, frame in sorted(rows, key=lambda r: (r[0] or 0, r[1], r[2])):
+        if stream not in last or at - last[stream] >= gap:
+            last[stream] = at
+            want.add((stream, at, frame))
+    frames = spark.createDataFrame([*rows, (1, None, 1)], "stream long, ts_ms long, frame_id long")
+    assert {tuple(r) for r in sessions.throttled(frames, gap).collect()} == want
+    assert sessions.throttled(frames.limit(0), gap).count() == 0
