@@ -35,7 +35,7 @@ def last(x):
     return (x is None, x)
 
 
-def test_warc(spark):
+def test_warc(spark, many_ranges):
     manifest = warc.write(pages_frame(spark, PAGES), date="2026-01-01T00:00:00Z")
     records = warc.read(manifest, payloads=True).collect()
     by_payload = {}
@@ -113,7 +113,7 @@ def docs_frame(spark, rows):
 
 
 @pytest.mark.parametrize(("fan", "height"), [(3, 1), (3, 2), (3, 6), (2, 1)])
-def test_merkle(spark, fan, height):
+def test_merkle(spark, many_ranges, fan, height):
     rnd = random.Random(fan * 10 + height)
     rows = [(i, rnd.choice(["hot", "hot", "hot", "hot", None, "", "é", "b"]), rnd.choice(["en", None]), rnd.choice([i, None]), rnd.choice([f"t{i}\nx", "", None])) for i in range(150)]
     rows += [(7, "hot", None, None, "again"), (8, "b", None, 1, "same"), (8, "b", None, 1, "same"), (None, "hot", "en", 1, "no id"), (200, "lone", "en", 3, LONG)]
@@ -158,7 +158,7 @@ def resample_model(docs, target, percent, buckets):
     return [(*r, place[r].pop() if place.get(r) else None) for r in rows]
 
 
-def test_importance(spark, odd):
+def test_importance(spark, many_ranges, odd):
     rnd = random.Random(7)
     text = lambda n: rnd.choice(" ;-\n\0").join(rnd.choice(["Aa", "b1", "é", "漢字", "c" * 70, "d", "E", "ı"]) for _ in range(rnd.randrange(n)))
     rows = odd[0] + [(100 + i, text(60)) for i in range(200)] + [(50, "one two " * 20)] * 2 + [(None, "w " * 30)]
