@@ -17,6 +17,7 @@ MAX_RETRIES = 3
 REFRESH_MS = 24 * 60 * 60 * 1000
 IDLE_HOURS = 3
 FRAME_GAP_MS = 150
+BACKOFF_MIN_MS, BACKOFF_MAX_MS = 10_000, 5 * 60 * 60 * 1000
 NO_VALUE = "—"
 UNSET = "未指定"
 CONFIDENCE_GREEN, CONFIDENCE_AMBER = 0.6, 0.3
@@ -47,3 +48,5 @@ DEFAULT_PROCESSES = (
     (12, 3, "FINS", "FINS"), (13, 3, "FAS検査", "FAS"), (14, 3, "FAILA0", "FAIL"), (15, 3, "FAW検査", "FAW"), (16, 3, "CINJA0", "CINJ"), (17, 3, "建て方管理", "BLD"),
 )
 # ---- end of fixed values ----
+#: How long a consumer of frames may be silent before it counts as done; our own choice.
+BUSY_MS = 60_000
