@@ -42,6 +42,11 @@ COLOR_SAMPLES, COLOR_SHARE = 64, 0.01
 COLORS = ("RED", "YELLOW", "GREEN", "CYAN", "BLUE", "WHITE", "BLACK", "UNKNOWN")
 DEFAULT_LABELS = ("H150X150X7", "B1Sb30N-7A", "C200X200X8")
 DEFAULT_CONSTRUCTIONS = ((1, "F-M_FQ", "20251111202F"), (2, "新社屋建設工事", "20250001"))
+SEED_CONSTRUCTIONS = ((1, "○○ビル新築工事", "CONST-001"), (2, "△△マンション改修工事", "CONST-002"), (3, "□□工場増築工事", "CONST-003"))
+SEED_PROCESSES = (
+    (1, 1, "柱加工", "PROC-001"), (2, 1, "梁加工", "PROC-002"), (3, 1, "検査", "PROC-003"), (4, 1, "出荷", "PROC-004"), (5, 2, "搬入", "PROC-005"),
+    (6, 2, "組立", "PROC-006"), (7, 2, "溶接", "PROC-007"), (8, 3, "切断", "PROC-008"), (9, 3, "塗装", "PROC-009"),
+)
 DEFAULT_PROCESSES = (
     (1, 1, "FINS", "FINS"), (2, 1, "FAS検査", "FAS"), (3, 1, "FAILA0", "FAIL"), (4, 1, "FAW検査", "FAW"), (5, 1, "CINJA0", "CINJ"), (6, 1, "建て方管理", "BLD"),
     (7, 2, "一次加工", "P01"), (8, 2, "組立", "P02"), (9, 2, "溶接", "P03"), (10, 2, "塗装", "P04"), (11, 2, "検査", "P05"),

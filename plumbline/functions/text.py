@@ -48,13 +48,15 @@ def is_extractable(c: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode compatibility composition, which Spark has no expression for."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    """Unicode compatibility composition, which Spark has no expression for; nulls stay as they are."""
+    some = s.notna()
+    return s.where(~some, s[some].map(lambda x: unicodedata.normalize("NFKC", x))) if some.any() else s
 
 
 def server_normalized(c: Column) -> Column:
-    """NFKC, upper case, trim, then printable ASCII alone; pure ASCII needs no Python, but its cost is paid per batch."""
-    return F.regexp_replace(trimmed(F.upper(nfkc(c))), r"[^\x20-\x7E]", "")
+    """NFKC, upper case, trim, then printable ASCII alone. What is ASCII already does not go through Python; a null takes its place there."""
+    composed = F.coalesce(nfkc(F.when(~c.rlike(r"\A[\x00-\x7F]*\z"), c)), c)
+    return F.regexp_replace(trimmed(F.upper(composed)), r"[^\x20-\x7E]", "")
 
 
 def match_form(c: Column) -> Column:
@@ -102,6 +104,19 @@ def two_decimals(c: Column) -> Column:
     return F.format_string("%.2f", c.cast("double"))
 
 
+def result_note(confidence: Column, distance: Column, raw: Column) -> Column:
+    """What is noted of a matched text: confidence, distance and the text as read."""
+    return F.concat(F.lit("信頼度:"), two_decimals(confidence), F.lit("  距離:"), distance.cast("string"), F.lit("  OCR:"), raw)
+
+
+def unmatched_note(raw: Column, confidence: Column) -> Column:
+    return F.concat(raw, F.lit("  (信頼度:"), two_decimals(confidence), F.lit(")"))
+
+
+def bullet(c: Column) -> Column:
+    return F.concat(F.lit("・"), c)
+
+
 def header_label(site: Column, process: Column) -> Column:
     return F.concat(F.lit("【"), site, F.lit("】"), process)
 
@@ -115,6 +130,22 @@ def request_payload(**fields: Column) -> Column:
     return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
 
 
+REQUEST = "process_id int, division string, worker_id int, device_id string, registered_at string, product_numbers array<string>, construction_name string, process_name string"
+RESPONSE = "success boolean, message string, id int"
+
+
+def read_request(c: Column) -> Column:
+    """A request as a struct; names that are missing, or not of their kind, are null, and so is what is no object."""
+    return F.from_json(c, REQUEST)
+
+
+def send_outcome(status: Column, body: Column) -> tuple[Column, Column]:
+    """(ok, message) of an answer to a request: success needs a status of the 200s and a body that says so; a failure without a message gives the status."""
+    r = F.from_json(body, RESPONSE)
+    ok = status.between(200, 299) & F.coalesce(r["success"], F.lit(False))
+    return ok, F.when(~ok, F.coalesce(r["message"], F.concat(F.lit("HTTP "), status.cast("string"))))
+
+
 def zipped(codes: Column, **lists: tuple[Column, Column]) -> Column:
     """Parallel lists met by position, as structs (code, ...): where a list is shorter than ``codes`` its default stands (a column, or the code itself if None)."""
     return F.transform(codes, lambda c, i: F.struct(c.alias("code"), *(F.coalesce(F.get(v, i), c if d is None else d).alias(k) for k, (v, d) in lists.items())))

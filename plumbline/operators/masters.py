@@ -113,11 +113,12 @@ def split_flat(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
     return flat.drop("productCode"), flat.select(F.col("id").alias("registrationId"), "productCode", F.lit(0).alias("displayOrder"), "registeredAt")
 
 
-def ingested(posted: DataFrame, received_at: str, existing: int = 0) -> DataFrame:
-    """Records of posted registrations (id, at, process_id, ..., codes): one a code, with its own id, a list of the one code and the time of receipt."""
+def ingested(posted: DataFrame, received_at: str | None = None, existing: int = 0) -> DataFrame:
+    """Records of posted registrations (id, at, process_id, ..., codes): one a code, with its own id, a list of the one code and the time of receipt, the query's own unless given."""
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if received_at is None else F.lit(received_at)
     rows = posted.select(*(c for c in posted.columns if c != "codes"), F.posexplode("codes").alias("pos", "code"))
     out = with_ordinal(rows, ["at", "id", "pos"], "_row", existing + 1)
-    return out.drop("id", "at", "pos").withColumnRenamed("_row", "id").withColumn("product_numbers", F.array("code")).withColumn("received_at", F.lit(received_at)).drop("code")
+    return out.drop("id", "at", "pos").withColumnRenamed("_row", "id").withColumn("product_numbers", F.array("code")).withColumn("received_at", now).drop("code")
 
 
 def exploded(posted: DataFrame, existing: int = 0) -> DataFrame:

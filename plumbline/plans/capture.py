@@ -98,6 +98,24 @@ def request_payload(spark, d):
     return r.select("id", X.request_payload(process_id=c("id") % 25, division=c("processName"), worker_id=X.worker_number(c("userId")), device_id=F.lit("dev"), registered_at=at, product_numbers=c("codes"), construction_name=c("constructionName"), process_name=c("processName")).alias("payload"))
 
 
+_PARTS = f"{_CODES} SELECT r.id, (r.id % 25)::INT AS process_id, processName AS division, userId::INT AS worker_id, 'dev' AS device_id, strftime(make_timestamp(registeredAt * 1000), '%Y-%m-%dT%H:%M:%S') AS registered_at, len(codes)::INT AS n, codes[1] AS first, codes[len(codes)] AS last, constructionName AS construction_name, processName AS process_name FROM registrations r JOIN p USING (id)"
+
+
+@query(_PARTS)
+def request_fields(spark, d):
+    """Requests read back from JSON."""
+    r = request_payload(spark, d).withColumn("r", X.read_request(F.col("payload")))
+    n = F.col("r.product_numbers")
+    return r.select("id", *(f"r.{k}" for k in ("process_id", "division", "worker_id", "device_id", "registered_at", "construction_name", "process_name")), F.size(n).alias("n"), F.get(n, F.lit(0)).alias("first"), F.get(n, F.size(n) - 1).alias("last"))
+
+
+@query(f"{T.with_('recognised_texts')} SELECT text_id, '信頼度:' || format('{{:.2f}}', (text_id % 100) / 100.0::DOUBLE) || '  距離:' || (text_id % 4) || '  OCR:' || text AS note, '・' || text || '  (信頼度:' || format('{{:.2f}}', (text_id % 100) / 100.0::DOUBLE) || ')' AS unmatched FROM recognised_texts")
+def result_notes(spark, d):
+    k, t = F.col("text_id"), F.col("text")
+    conf = (k % 100) / 100.0
+    return T.recognised_texts(spark, d).select("text_id", X.result_note(conf, k % 4, t).alias("note"), X.bullet(X.unmatched_note(t, conf)).alias("unmatched"))
+
+
 @query(f"{T.with_('registrations')} SELECT id, strftime(make_timestamp(registeredAt * 1000), '%Y-%m-%dT%H:%M:%S') AS sent_form, strftime(make_timestamp(registeredAt * 1000), '%Y/%m/%d %H:%M') AS shown_form, strftime(make_timestamp(registeredAt * 1000), '%Y%m%d_%H%M%S') AS file_form FROM registrations")
 def date_formats(spark, d):
     at = F.timestamp_millis("registeredAt")

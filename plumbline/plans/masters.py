@@ -79,6 +79,11 @@ def process_import_diff(spark, d):
     return M.import_diff(T.processes(spark, d), M.process_lines(_cells(spark, d)).withColumn("isActive", F.lit(True)), ["constructionId", "code"])
 
 
+@query(f"SELECT *, true AS \"isActive\" FROM {_PROC}")
+def process_import_replace(spark, d):
+    return M.import_rows(T.processes(spark, d), M.process_lines(_cells(spark, d)).withColumn("isActive", F.lit(True)), ["constructionId", "code"], "replace")
+
+
 @query("WITH b AS (SELECT DISTINCT p_brand AS code FROM part), s AS (SELECT p_type AS code FROM part WHERE p_size > 1000) SELECT code FROM s UNION ALL SELECT code FROM b WHERE (SELECT count(*) FROM s) = 0")
 def label_source_fallback(spark, d):
     p = T.read(spark, d, "part")

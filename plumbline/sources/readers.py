@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..constants import DEFAULT_CONSTRUCTIONS, DEFAULT_LABELS, DEFAULT_PROCESSES, LABEL_PLACEHOLDER
+from ..constants import DEFAULT_CONSTRUCTIONS, DEFAULT_LABELS, DEFAULT_PROCESSES, LABEL_PLACEHOLDER, SEED_CONSTRUCTIONS, SEED_PROCESSES
 from ..functions.text import trimmed
 from ..operators.masters import label_lines, process_lines, with_ordinal
 
@@ -73,6 +73,13 @@ def default_processes(spark: SparkSession, path: str) -> DataFrame:
     return json_rows(spark, path, "id long, constructionId long, name string, code string, isActive boolean", [(*x, True) for x in DEFAULT_PROCESSES])
 
 
+def seeded(spark: SparkSession, constructions: DataFrame | None = None, processes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sites, processes) of a new store: the seed rows, under the columns of the default tables. Tables that are given are there already, and stay as they are."""
+    sites = spark.createDataFrame([(*x, True) for x in SEED_CONSTRUCTIONS], "id long, name string, code string, isActive boolean")
+    steps = spark.createDataFrame([(*x, True) for x in SEED_PROCESSES], "id long, constructionId long, name string, code string, isActive boolean")
+    return sites if constructions is None else constructions, steps if processes is None else processes
+
+
 def csv_cells(spark: SparkSession, path: str, columns: int) -> DataFrame:
     """Records of a CSV file as (ord, c0, c1, ...), numbered from 0 in file order, blank ones too; quoted cells may hold line ends.
 

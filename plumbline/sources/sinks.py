@@ -7,6 +7,7 @@ import io
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +27,17 @@ def export_rows(registrations: DataFrame) -> DataFrame:
     )
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
-    """Part files with a header each; UTF-8 with a byte-order mark before the first column's name, CR LF at the end of records."""
+def write_csv(rows: DataFrame, path: str, one_header: bool = False) -> None:
+    """Part files with a header each; UTF-8 with a byte-order mark before the first column's name, CR LF at the end of records.
+
+    With ``one_header`` only the first part has it: the parts put together by name are one file, though no task has seen it whole.
+    """
     head = io.StringIO()
     csv.writer(head, lineterminator="").writerow(rows.columns)
 
     def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": ["\ufeff" + head.getvalue()]})
+        if not one_header or TaskContext.get().partitionId() == 0:
+            yield pd.DataFrame({"value": ["\ufeff" + head.getvalue()]})
         yield from batches
 
     line = F.to_csv(F.struct(*rows.columns), {"escape": '"'})

@@ -2,6 +2,8 @@
 
 import csv
 import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import Window
@@ -141,3 +143,43 @@ def test_throttling_over_many_ranges(spark, many_ranges, gap):
     frames = spark.createDataFrame([*rows, (1, None, 1)], "stream long, ts_ms long, frame_id long")
     assert {tuple(r) for r in sessions.throttled(frames, gap).collect()} == want
     assert sessions.throttled(frames.limit(0), gap).count() == 0
+
+
+def test_normalising_mixes_ascii_and_others(spark):
+    cells = ["  ab-1 ", "ａ１", "e\u0301x", "²", None, "", "ﬁ\u3000z", "\u3000ＡＢ　", "plain"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    want = [None if c is None else "".join(x for x in unicodedata.normalize("NFKC", c).upper().strip() if " " <= x <= "~") for c in cells]
+    assert [r[0] for r in df.select(X.server_normalized(F.col("c"))).collect()] == want
+
+
+def test_requests_and_answers(spark):
+    df = spark.createDataFrame([('{"process_id": 3, "division": "d", "worker_id": "x", "product_numbers": ["A", null]}',), ("nonsense",), ("{}",), (None,)], "j string")
+    first, *rest = [r[0] for r in df.select(X.read_request(F.col("j"))).collect()]
+    assert (first.process_id, first.division, first.worker_id, first.product_numbers, first.construction_name) == (3, "d", None, ["A", None], None)
+    assert rest[2] is None and all(v is None for r in rest[:2] for v in r)
+    answers = spark.createDataFrame([(200, '{"success": true, "message": "fine"}'), (200, '{"success": false, "message": "no"}'), (503, None), (500, '{"success": true}'), (201, "[]")], "s int, b string")
+    ok, message = X.send_outcome(F.col("s"), F.col("b"))
+    assert [tuple(r) for r in answers.select(ok, message).collect()] == [(True, None), (False, "no"), (False, "HTTP 503"), (False, "HTTP 500"), (False, "HTTP 201")]
+
+
+def test_import_rows_and_seeds(spark):
+    sites, steps = readers.seeded(spark)
+    assert (sites.count(), steps.count()) == (3, 9) and M.orphans(steps, sites, "constructionId").count() == 0
+    new = spark.createDataFrame([(1, "n", "CONST-001", True), (2, "m", "X", True)], sites.schema)
+    assert sorted(r.code for r in M.import_rows(sites, new, ["code"], "replace").collect()) == ["CONST-001", "X"]
+    assert sorted(r.code for r in M.import_rows(sites, new, ["code"], "diff").collect()) == ["CONST-001", "CONST-002", "CONST-003", "X"]
+    kept = readers.seeded(spark, new)
+    assert kept[0] is new and kept[1].count() == 9
+
+
+def test_csv_with_one_header(spark, tmp_path):
+    rows = spark.range(100).repartitionByRange(3, "id").select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 2, "0")).alias("code"))
+    sinks.write_csv(rows, f"{tmp_path}/out", one_header=True)
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*"))).decode("utf-8-sig")
+    assert whole == "code\r\n" + "".join(f"c{i:02d}\r\n" for i in range(100))
+
+
+def test_time_of_receipt(spark):
+    posted = spark.createDataFrame([(1, 5, ["A", "B"])], "id long, at long, codes array<string>")
+    got = M.ingested(posted).collect()
+    assert len({r.received_at for r in got}) == 1 and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}", got[0].received_at)
