@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,14 +46,48 @@ def _numbered(ranged: DataFrame, key: str, order: list[str], value: str, parts,
     return out.withColumn(name, (F.col("_before") + F.col("_within")).cast("long")).select(*(c for c in ranged.columns if c != "_range"), name)
 
 
-def _ends(ts: np.ndarray, gap: int) -> np.ndarray:
-    """For each frame of a sorted run: the last one taken in the run, if it is taken itself."""
-    n = len(ts)
-    end, nxt = np.arange(n), np.searchsorted(ts, ts + gap)
-    while (nxt < n).any():  # twice as far each time
-        on = np.flatnonzero(nxt < n)
-        end[on], nxt[on] = end[nxt[on]], nxt[nxt[on]]
-    return end
+class _Chains:
+    """Frames sorted by group and time: where each group begins and ends, and of each frame the next one that could be taken after it (n: none in its group)."""
+
+    def __init__(self, key: list[np.ndarray], ts: np.ndarray, gap: int):
+        n = len(ts)
+        new = np.ones(n, bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
+        self.ts, self.gap = ts, gap
+        self.first = np.flatnonzero(new)
+        self.end = np.append(self.first[1:], n)
+        self.group = np.cumsum(new) - 1
+        base = ts - ts[self.first][self.group]
+        # groups follow each other on one line, more than a gap apart
+        span = base[self.end - 1] + gap + 1
+        self.shift = np.cumsum(span) - span
+        self.line = base + self.shift[self.group]
+        nxt = np.searchsorted(self.line, self.line + gap)
+        self.nxt = np.where(nxt < self.end[self.group], nxt, n)
+
+    def ends(self) -> np.ndarray:
+        """Of each frame, if it is taken: the last one taken in its group."""
+        n = len(self.ts)
+        end, nxt = np.arange(n), self.nxt.copy()
+        while (on := np.flatnonzero(nxt < n)).size:  # twice as far each time
+            end[on], nxt[on] = end[nxt[on]], nxt[nxt[on]]
+        return end
+
+    def ways_in(self) -> np.ndarray:
+        """The frames that may be taken first in their group, whatever came before: those within the gap from its first frame, and the one after."""
+        near = self.line - self.shift[self.group] < self.gap
+        near[1:] &= (self.line[1:] != self.line[:-1])
+        after = np.searchsorted(self.line, self.shift + self.gap)
+        return np.union1d(np.flatnonzero(near), after[after < self.end])
+
+    def taken(self, start: np.ndarray) -> np.ndarray:
+        """All frames taken from those that are taken first, one a group."""
+        n, out = len(self.ts), []
+        while start.size:
+            out.append(start)
+            start = self.nxt[start]
+            start = start[start < n]
+        return np.sort(np.concatenate(out)) if out else start
 
 
 def throttled(frames: DataFrame, gap_ms: int = FRAME_GAP_MS) -> DataFrame:
@@ -69,11 +104,13 @@ def throttled(frames: DataFrame, gap_ms: int = FRAME_GAP_MS) -> DataFrame:
     ranged = _ranged(rows, *names).withColumn("_of", F.to_json(F.struct("stream")))  # never null
     piece = ["_of", "_range"]
 
-    def ways(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ts = np.sort(pdf["ts_ms"].to_numpy(np.int64))
-        last = ts[_ends(ts, gap_ms)]
-        at = np.unique(ts[: int(np.searchsorted(ts, ts[0] + gap_ms)) + 1], return_index=True)[1]
-        return pd.DataFrame({"_of": key[0], "_range": key[1], "entry": ts[at], "exit": last[at]})
+    def ways(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if not (held := [b[["_of", "_range", "ts_ms"]] for b in batches]):
+            return
+        pdf = pd.concat(held, ignore_index=True)  # the times of one range
+        c = _Chains([pdf["_of"].to_numpy()], pdf["ts_ms"].to_numpy(np.int64), gap_ms)
+        at = c.ways_in()
+        yield pd.DataFrame({"_of": pdf["_of"].iloc[at], "_range": pdf["_range"].iloc[at], "entry": c.ts[at], "exit": c.ts[c.ends()[at]]})
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, last, place, entered = None, None, None, False
@@ -89,17 +126,24 @@ def throttled(frames: DataFrame, gap_ms: int = FRAME_GAP_MS) -> DataFrame:
                     last, entered = end, True
             yield pd.DataFrame(out, columns=["_of", "_range", "entry"]).astype({"_of": "object", "_range": "int32", "entry": "int64"})
 
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "frame_id"])
-        ts = pdf["ts_ms"].to_numpy(np.int64)
-        nxt, take = np.searchsorted(ts, ts + gap_ms), []
-        i = int(np.searchsorted(ts, pdf["entry"].iloc[0]))
-        while i < len(ts):
-            take.append(i)
-            i = int(nxt[i])
-        return pdf.iloc[take][names]
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (held := list(batches)):
+            return
+        table = pa.Table.from_batches(held)
+        pdf = table.select([*piece, "ts_ms", "_row"]).to_pandas()
+        # before the frames of a piece stands the time of the one to be taken first, if any
+        head = pdf["_row"].to_numpy() == 0
+        entry, place = pdf[head], np.flatnonzero(~head)
+        pdf = pdf.iloc[place]
+        c = _Chains([pdf["_of"].to_numpy(), pdf["_range"].to_numpy()], pdf["ts_ms"].to_numpy(np.int64), gap_ms)
+        at = pdf.iloc[c.first][piece].merge(entry[[*piece, "ts_ms"]], "left", on=piece)["ts_ms"]
+        some = np.flatnonzero(at.notna())
+        start = np.searchsorted(c.line, at.to_numpy()[some].astype(np.int64) - c.ts[c.first][some] + c.shift[some])
+        yield from table.select(names).take(place[c.taken(start)]).to_batches()
 
     # one row for each way into a range; these alone are walked stream by stream
-    found = ranged.groupBy(*piece).applyInPandas(ways, "_of string, _range int, entry long, exit long")
+    found = ranged.mapInPandas(ways, "_of string, _range int, entry long, exit long")
     entries = found.repartition("_of").sortWithinPartitions(*piece, "entry").mapInPandas(carry, "_of string, _range int, entry long")
-    return ranged.join(entries, piece).groupBy(*piece).applyInPandas(walk, rows.schema)
+    heads = entries.select(F.lit(None).cast(rows.schema["stream"].dataType).alias("stream"), F.col("entry").cast(rows.schema["ts_ms"].dataType).alias("ts_ms"), F.lit(None).cast(rows.schema["frame_id"].dataType).alias("frame_id"), *piece, F.lit(0).alias("_row"))
+    both = heads.unionByName(ranged.withColumn("_row", F.lit(1)).select("stream", "ts_ms", "frame_id", *piece, "_row"))
+    return both.repartition(*piece).sortWithinPartitions(*piece, "_row", "ts_ms", "frame_id").mapInArrow(walk, rows.schema)

@@ -142,6 +142,8 @@ def test_throttling_over_many_ranges(spark, many_ranges, gap):
             want.add((stream, at, frame))
     frames = spark.createDataFrame([*rows, (1, None, 1)], "stream long, ts_ms long, frame_id long")
     assert {tuple(r) for r in sessions.throttled(frames, gap).collect()} == want
+    big = frames.withColumn("frame_id", F.col("frame_id") + (1 << 60))
+    assert {(r.stream, r.ts_ms, r.frame_id - (1 << 60)) for r in sessions.throttled(big, gap).collect()} == want
     assert sessions.throttled(frames.limit(0), gap).count() == 0
 
 
