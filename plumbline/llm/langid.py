@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .hashing import Words, portions, word_grams
 
-#: Lengths of n-grams, hash buckets, most training texts of a language, words fitted for each text on average, words in a training sequence and in a stretch.
-GRAMS, BUCKETS, SAMPLE, WORDS, SEQUENCE, STRETCH = (2, 3, 4), 1 << 16, 200, 600, 48, (4, 24)
+#: Lengths of n-grams, hash buckets, most training texts of a language, words in a training sequence and in a stretch.
+GRAMS, BUCKETS, SAMPLE, SEQUENCE, STRETCH = (2, 3, 4), 1 << 16, 200, 48, (4, 24)
 STEPS, PENALTY = 60, 1e-5
 #: Texts of so many bytes are labelled together.
 PORTION = 2 << 20
@@ -81,11 +81,23 @@ def forward_backward(score: np.ndarray, move: np.ndarray, first: np.ndarray, siz
     return p / p.sum(1, keepdims=True), ahead, e * back
 
 
-def fit(texts: list[str], labels: list[str], seed: int = 7, n_words: int = WORDS) -> Field:
+def stretches(first: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Every word of the texts once (text i has words first[i] to first[i + 1]): texts cut into stretches of random lengths, and the stretches shuffled."""
+    n = int(first[-1])
+    # cuts at random steps, and wherever a text ends
+    steps = np.cumsum(rng.integers(*STRETCH, n // STRETCH[0] + 1))
+    cuts = np.union1d(first, steps[steps < n])
+    size = np.diff(cuts)
+    order = rng.permutation(len(size))
+    low, size = cuts[:-1][order], size[order]
+    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(n)
+
+
+def fit(texts: list[str], labels: list[str], seed: int = 7) -> Field:
     """Fit to whole labelled texts; every word bears the label of its text.
 
-    Lexicons count all words. Sequences are stretches from anywhere in the texts, as many words
-    as there are, at most ``n_words`` times the number of texts. Empty texts add nothing.
+    Lexicons count all words, and every word stands in a training sequence, in a stretch of its
+    text among those of others. Empty texts add nothing.
     """
     names = sorted(set(labels))
     L = len(names)
@@ -99,18 +111,9 @@ def fit(texts: list[str], labels: list[str], seed: int = 7, n_words: int = WORDS
     lexicon, member = hashes[sure], by[sure].argmax(1)
     owner, bucket = features(words, index, lexicon, member)
     norm = 1 / np.sqrt(np.maximum(np.bincount(owner, minlength=len(hashes)), 1))
-    # stretches of random texts, end to end, cut into sequences of one length
-    rng = np.random.default_rng(seed)
-    size = words.first[1:] - words.first[:-1]
-    full = np.flatnonzero(size > 0)
-    want, got, total = min(len(kind), n_words * len(texts)) // SEQUENCE * SEQUENCE, [], 0
-    while total < want:
-        d = rng.choice(full)
-        n = min(int(rng.integers(*STRETCH)), size[d])
-        at = words.first[d] + rng.integers(0, size[d] - n + 1)
-        got.append(np.arange(at, at + n))
-        total += n
-    flat = np.concatenate(got)[:want] if got else np.empty(0, np.int64)
+    # stretches end to end, cut into sequences of one length; the first words fill up the last
+    flat = stretches(words.first, np.random.default_rng(seed)) if len(kind) else np.empty(0, np.int64)
+    flat = np.resize(flat, -(-len(flat) // SEQUENCE) * SEQUENCE)
     k, y = kind[flat].reshape(-1, SEQUENCE), label[flat].reshape(-1, SEQUENCE)
     S = len(k)
     starts, sizes = np.arange(S) * SEQUENCE, np.full(S, SEQUENCE)
@@ -150,7 +153,7 @@ def label_texts(texts: pa.Array, field: Field) -> tuple[np.ndarray, np.ndarray,
     return mean.argmax(1), mean.max(1), words, p
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, n_words: int = WORDS) -> Field | None:
+def train(docs: DataFrame, sample: int = SAMPLE) -> Field | None:
     """Fit to at most ``sample`` texts of each language of ``docs`` (doc_id, text, lang), drawn by a hash of the id.
 
     Rows without text or lang are left out; of several rows of one id the least by language
@@ -166,7 +169,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, n_words: int = WORDS) -> Field
         return None
     got = rows.join(F.broadcast(drawn.distinct()), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*").collect()
     got.sort(key=lambda r: r.doc_id)
-    return fit([r.text for r in got], [r.lang for r in got], n_words=n_words)
+    return fit([r.text for r in got], [r.lang for r in got])
 
 
 def predict(docs: DataFrame, field: Field | None) -> DataFrame:

@@ -360,6 +360,16 @@ def test_forward_backward_is_exact():
         assert np.allclose(p[first : first + size], total / total.sum(1, keepdims=True))
 
 
+def test_language_stretches_hold_every_word_once():
+    for sizes in ([0, 1, 100, 0, 30_000, 3], [2], [0, 0, 5]):
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        flat = langid.stretches(first, np.random.default_rng(1))
+        assert sorted(flat.tolist()) == list(range(sum(sizes)))
+        doc = np.searchsorted(first, flat, "right") - 1
+        runs = np.diff(np.flatnonzero(np.concatenate([[True], (np.diff(flat) != 1) | (np.diff(doc) != 0), [True]])))
+        assert sum(sizes) < 1000 or (np.mean(runs <= 2 * langid.STRETCH[1]) > 0.95 and len(runs) > 1000)
+
+
 # ---- 9 mixing ----
 def test_mixing(spark, odd):
     rows = [(i, "w " * (20 + i % 50), ["en", "de", None][i % 3], f"src{0 if i % 2 else i % 5}") for i in range(2000)]
