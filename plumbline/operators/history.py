@@ -44,3 +44,11 @@ def process_ids(processes: DataFrame, constructions: DataFrame) -> DataFrame:
     """(constructionName, processName, processId): the smallest id where names repeat."""
     c = constructions.select(F.col("id").alias("constructionId"), F.col("name").alias("constructionName"))
     return processes.join(c, "constructionId").groupBy("constructionName", F.col("name").alias("processName")).agg(F.min("id").alias("processId"))
+
+
+def login_outcomes(tries: DataFrame, users: DataFrame) -> DataFrame:
+    """``tries`` (userId, password, and others) with the outcome: what is blank, else mismatch, or ok for an active user (userId, password, id, isActive)."""
+    known = users.where("isActive").groupBy("userId", "password").agg(F.min("id").alias("_user"))
+    no_id, no_pw = F.trim("userId") == "", F.trim("password") == ""
+    outcome = F.when(no_id & no_pw, "both blank").when(no_id, "id blank").when(no_pw, "password blank").when(F.col("_user").isNull(), "mismatch").otherwise("ok")
+    return tries.join(known, ["userId", "password"], "left").withColumn("outcome", outcome).drop("_user")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MATCH_MAX_DISTANCE, MATCH_MIN_LENGTH, MATCH_TOP
-from ..functions.text import match_form, variants
+from ..functions.text import clean_code, match_form, trimmed, validation_error, variants
 from .keep import saved
 from .masters import with_ordinal
 
@@ -163,3 +163,33 @@ def top(texts: DataFrame, labels: DataFrame, k: int = MATCH_TOP) -> DataFrame:
     flag = F.max(F.coalesce(tie, F.lit(False))).over(Window.partitionBy("form"))
     best = r.withColumn("is_ambiguous", flag).where(F.col("rank") <= k).select("form", "rank", "code", "distance", (F.col("distance") == 0).alias("is_exact"), "is_ambiguous")
     return t.join(best, "form").drop("form")
+
+
+def resolved(reads: DataFrame, labels: DataFrame, k: int = MATCH_TOP) -> DataFrame:
+    """Each read text (raw, and whatever else, such as an id and a confidence) cleaned, validated and matched; blank ones are dropped.
+
+    Adds raw_text, cleaned_code, is_valid, matched_label, match_distance (the largest integer without
+    a match), is_exact, candidates (up to ``k``, joined by bars) and display_code in place of raw.
+    """
+    kept = reads.withColumns({"raw_text": trimmed(F.col("raw")), "cleaned_code": clean_code(F.col("raw"))}).where("raw_text != ''").drop("raw")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "code", "distance", "is_exact")))  # at most k
+    best = top(kept.select(F.col("cleaned_code").alias("text")), labels, k).groupBy("text").agg(ordered.alias("_m")).withColumnRenamed("text", "_of")
+    first = lambda name: F.get("_m", F.lit(0))[name]
+    return kept.join(best, kept["cleaned_code"] == best["_of"], "left").withColumns(
+        {
+            "is_valid": validation_error(F.col("cleaned_code")).isNull(),
+            "matched_label": first("code"),
+            "match_distance": F.coalesce(first("distance"), F.lit(2147483647)),
+            "is_exact": F.coalesce(first("is_exact"), F.lit(False)),
+            "candidates": F.coalesce(F.array_join(F.transform("_m", lambda x: x["code"]), "|"), F.lit("")),
+            "display_code": F.coalesce(first("code"), "cleaned_code"),
+        }
+    ).drop("_m", "_of")
+
+
+def overlay_states(reads: DataFrame, labels: DataFrame) -> DataFrame:
+    """Each read text with what the overlay shows of it (state): matched, unmatched, or tracking while it is blank."""
+    texts = reads.withColumn("_text", clean_code(F.col("raw")))
+    best = top(texts.where(trimmed(F.col("raw")) != "").select(F.col("_text").alias("text")), labels, 1).select(F.col("text").alias("_of"), "code")
+    state = F.when(trimmed(F.col("raw")) == "", "tracking").when(F.col("code").isNull(), "unmatched").otherwise("matched")
+    return texts.join(best, texts["_text"] == best["_of"], "left").withColumn("state", state).drop("_text", "_of", "code")

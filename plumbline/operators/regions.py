@@ -177,6 +177,11 @@ def _listed(boxes: DataFrame, *more: str) -> DataFrame:
     return boxes.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("ord", *_SIDES, *more))).alias("boxes"))
 
 
+def badges(shown: DataFrame, key: str, order: str) -> DataFrame:
+    """Regions that are shown with their badge: they are counted from 1, while their own number (order) keeps the gaps of those that are not."""
+    return shown.withColumn("badge", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+
+
 def merge_lines(boxes: DataFrame, image_w: float) -> DataFrame:
     """Boxes (image, ord, left, top, right, bottom) of unknown colour, merged: image, line, left, top, right, bottom."""
     out = _listed(boxes).select("image", F.posexplode(merged_boxes(F.col("boxes"), F.lit(image_w))).alias("line", "b"))

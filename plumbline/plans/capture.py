@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..constants import MATCH_TOP
 from ..functions import geometry as G
 from ..functions import image as I
 from ..functions import numeric as N
@@ -21,8 +19,8 @@ from .vision import _BOX, _E, _PS, _QUADS, _boxes, _e, _quads, _spread
 
 # ---- recognition chain ----
 _READ = f"""{T.with_('product_labels', 'recognised_texts')},
-raw AS (SELECT text_id, CASE text_id % 6 WHEN 0 THEN '  Xa1 ' || text || ' ' WHEN 1 THEN '  ' WHEN 2 THEN text || '!' ELSE text END AS raw FROM recognised_texts),
-dom AS (SELECT text_id, {_TRIM('raw')} AS raw, {_CLEAN('raw')} AS text FROM raw WHERE {_TRIM('raw')} <> ''),
+raw AS (SELECT text_id, (text_id % 100) / 100::DOUBLE AS confidence, CASE text_id % 6 WHEN 0 THEN '  Xa1 ' || text || ' ' WHEN 1 THEN '  ' WHEN 2 THEN text || '!' ELSE text END AS raw FROM recognised_texts),
+dom AS (SELECT text_id, confidence, {_TRIM('raw')} AS raw, {_CLEAN('raw')} AS text FROM raw WHERE {_TRIM('raw')} <> ''),
 l AS (SELECT code, row_number() OVER (ORDER BY code)::INT AS label_index, {_FORM('code')} AS label FROM product_labels),
 t AS (SELECT DISTINCT text, {_FORM('text')} AS form FROM dom WHERE length(text) >= 4),
 v AS (SELECT text, form, unnest({_VARIANTS('form')}) AS v FROM t),
@@ -36,34 +34,22 @@ best AS (SELECT text, arg_min(code, rank) AS code, min(distance)::INT AS distanc
 def _read(spark, d):
     k = F.col("text_id") % 6
     raw = F.when(k == 0, F.concat(F.lit("  Xa1 "), "text", F.lit(" "))).when(k == 1, "  ").when(k == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    return T.recognised_texts(spark, d).select("text_id", raw.alias("raw"))
+    return T.recognised_texts(spark, d).select("text_id", ((F.col("text_id") % 100) / 100).alias("confidence"), raw.alias("raw"))
 
 
 @query(
-    f"""WITH {_READ.removeprefix('WITH ')} SELECT text_id, dom.raw AS raw_text, dom.text AS cleaned_code, length(dom.text) BETWEEN 2 AND 50 AND regexp_full_match(dom.text, '[{_CHARS}]+') AS is_valid, best.code AS matched_label,
+    f"""WITH {_READ.removeprefix('WITH ')} SELECT text_id, confidence, dom.raw AS raw_text, dom.text AS cleaned_code, length(dom.text) BETWEEN 2 AND 50 AND regexp_full_match(dom.text, '[{_CHARS}]+') AS is_valid, best.code AS matched_label,
     coalesce(distance, 2147483647) AS match_distance, coalesce(distance = 0, false) AS is_exact, coalesce(candidates, '') AS candidates, coalesce(best.code, dom.text) AS display_code FROM dom LEFT JOIN best ON best.text = dom.text"""
 )
 def recognition_chain(spark, d):
     """Each read text cleaned, validated and matched; blank ones are dropped."""
-    dom = _read(spark, d).select("text_id", X.trimmed(F.col("raw")).alias("raw_text"), X.clean_code(F.col("raw")).alias("text")).where("raw_text != ''")
-    top = Y.top(dom.select("text"), Y.indexed(T.product_labels(spark, d)), MATCH_TOP)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "code", "distance", "is_exact")))
-    best = top.groupBy("text").agg(ordered.alias("m")).select(F.col("text").alias("of"), F.get("m", F.lit(0)).alias("first"), F.array_join(F.transform("m", lambda x: x.code), "|").alias("candidates"))
-    out = dom.join(best, dom["text"] == best["of"], "left")
-    return out.select(
-        "text_id", "raw_text", F.col("text").alias("cleaned_code"), X.validation_error(F.col("text")).isNull().alias("is_valid"), F.col("first.code").alias("matched_label"),
-        F.coalesce("first.distance", F.lit(2147483647)).alias("match_distance"), F.coalesce("first.is_exact", F.lit(False)).alias("is_exact"), F.coalesce("candidates", F.lit("")).alias("candidates"),
-        F.coalesce("first.code", "text").alias("display_code"),
-    )
+    return Y.resolved(_read(spark, d), Y.indexed(T.product_labels(spark, d)))
 
 
 @query(f"WITH {_READ.removeprefix('WITH ')} SELECT CASE WHEN dom.text IS NULL THEN 'tracking' WHEN best.code IS NULL THEN 'unmatched' ELSE 'matched' END AS state, count(*) AS n FROM raw LEFT JOIN dom USING (text_id) LEFT JOIN best ON best.text = dom.text GROUP BY 1")
 def overlay_state(spark, d):
     """What the overlay shows of each region: a label, a text without one, or a blank that is still tracked."""
-    read = _read(spark, d).select("text_id", X.trimmed(F.col("raw")).alias("raw"), X.clean_code(F.col("raw")).alias("text"))
-    best = Y.top(read.where("raw != ''").select("text"), Y.indexed(T.product_labels(spark, d)), 1).select(F.col("text").alias("of"), "code")
-    state = F.when(F.col("raw") == "", "tracking").when(F.col("code").isNull(), "unmatched").otherwise("matched")
-    return read.join(best, read["text"] == best["of"], "left").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    return Y.overlay_states(_read(spark, d), Y.indexed(T.product_labels(spark, d))).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l_orderkey AS registrationId, l_linenumber AS displayOrder, l_partkey AS code, l_quantity > 10 AS selected, l_tax > 0.04 AS edited, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY ALL")
@@ -81,7 +67,7 @@ _CODES = f"{T.with_('registrations', 'items')}, p AS (SELECT registrationId AS i
 def zipped_lists(spark, d):
     """Codes with their read texts and crops by position; the shorter lists are filled up."""
     p = ordered_codes(T.items(spark, d))
-    codes = F.transform("codes", lambda c: c) if dict(p.dtypes)["codes"] == "array<string>" else F.col("codes")
+    codes = F.col("codes")
     z = X.zipped(codes, raw_text=(F.slice(codes, 1, 2), None), crop=(F.array(F.lit("crop0")), F.lit("")))
     return p.select(F.col("registrationId").alias("id"), F.posexplode(z).alias("pos", "z")).select("id", F.col("pos").cast("long").alias("pos"), "z.code", "z.raw_text", "z.crop")
 
@@ -216,8 +202,7 @@ def largest_regions(spark, d):
 @query(f"WITH {_BOX} SELECT vec_id, k, row_number() OVER (PARTITION BY vec_id ORDER BY k)::INT AS badge FROM box WHERE r - l > 8")
 def badge_numbers(spark, d):
     """Badges count the regions shown, while ``k`` keeps the gaps of those filtered out."""
-    w = Window.partitionBy("vec_id").orderBy("k")
-    return _boxes(spark, d).where("right - left > 8").select("vec_id", "k", F.row_number().over(w).alias("badge"))
+    return R.badges(_boxes(spark, d).where("right - left > 8").select("vec_id", "k"), "vec_id", "k")
 
 
 _CORNERS = f"""{_QUADS}, s AS (SELECT vec_id, k, list_sort(list_transform(range(1, 5), lambda i: {{'y': y[i], 'i': i, 'x': x[i]}})) AS s FROM pts),

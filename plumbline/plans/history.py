@@ -142,10 +142,7 @@ def authenticate_user(spark, d):
 )
 def login_validation(spark, d):
     users, tries = _users(spark, d)
-    known = users.where("isActive").groupBy("userId", "password").agg(F.min("id").alias("id"))
-    no_id, no_pw = F.trim("userId") == "", F.trim("password") == ""
-    outcome = F.when(no_id & no_pw, "both blank").when(no_id, "id blank").when(no_pw, "password blank").when(F.col("id").isNull(), "mismatch").otherwise("ok")
-    return tries.join(known, ["userId", "password"], "left").select("try_id", outcome.alias("outcome"))
+    return H.login_outcomes(tries, users).select("try_id", "outcome")
 
 
 @query(f"{T.with_('registrations')} SELECT id, CASE syncStatus WHEN 'PENDING' THEN 'waiting' WHEN 'SYNCING' THEN 'sending' WHEN 'SYNCED' THEN 'sent' ELSE 'failed' END AS badge FROM registrations")

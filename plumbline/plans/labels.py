@@ -12,7 +12,7 @@ from .registry import query
 _CHARS = r"A-Za-z0-9+\-./_ \[\]"
 _TRIM = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 _CLEAN = lambda c: _TRIM(f"regexp_replace({_TRIM(c)}, '^[XY][a-z][0-9]\\s*', '')")
-_RAW = "(SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '  Xa1 ' || p_brand || '-' || p_size || ' ' WHEN 1 THEN 'Ya1Xb2' || p_brand WHEN 2 THEN p_type || CASE p_partkey % 3 WHEN 0 THEN '!#!' ELSE '' END ELSE CASE p_partkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'A' ELSE repeat(p_brand, 6) END END AS raw FROM part)"
+_RAW = "(SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN '  Xa1 ' || p_brand || '-' || p_size || ' ' WHEN 1 THEN 'Ya1Xb2' || p_brand WHEN 2 THEN p_type || CASE p_partkey % 3 WHEN 0 THEN '~!#!' ELSE '' END ELSE CASE p_partkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN 'A' ELSE repeat(p_brand, 6) END END AS raw FROM part)"
 
 
 def _raw(spark, d):
@@ -21,7 +21,7 @@ def _raw(spark, d):
     raw = (
         F.when(k % 4 == 0, F.concat(F.lit("  Xa1 "), "p_brand", F.lit("-"), F.col("p_size").cast("string"), F.lit(" ")))
         .when(k % 4 == 1, F.concat(F.lit("Ya1Xb2"), "p_brand"))
-        .when(k % 4 == 2, F.concat("p_type", F.when(k % 3 == 0, "!#!").otherwise("")))
+        .when(k % 4 == 2, F.concat("p_type", F.when(k % 3 == 0, "~!#!").otherwise("")))
         .when(k % 5 == 0, " ")
         .when(k % 5 == 1, "A")
         .otherwise(F.repeat("p_brand", F.lit(6)))
@@ -36,10 +36,11 @@ def clean_product_code(spark, d):
 
 @query(
     f"SELECT id, CASE WHEN {_TRIM('raw')} = '' THEN 'blank' WHEN length({_TRIM('raw')}) < 2 THEN 'short' WHEN length({_TRIM('raw')}) > 50 THEN 'long' WHEN NOT regexp_full_match({_TRIM('raw')}, '[{_CHARS}]+') THEN 'charset' END AS error, "
-    f"list_aggregate(list_sort(list_distinct(list_filter(string_split(regexp_replace(raw, '[{_CHARS}]', '', 'g'), ''), lambda x: x <> ''))), 'string_agg', '') AS bad FROM {_RAW}"
+    f"nullif(array_to_string(list_filter(string_split(regexp_replace(raw, '[{_CHARS}]', '', 'g'), ''), lambda x, i: x <> '' AND list_position(string_split(regexp_replace(raw, '[{_CHARS}]', '', 'g'), ''), x) = i), ''), '') AS bad FROM {_RAW}"
 )
 def validate_product_code(spark, d):
-    bad = F.array_join(F.sort_array(X.invalid_chars(F.col("raw"))), "")
+    """What is wrong with a code, and its wrong characters, first seen first."""
+    bad = F.array_join(X.invalid_chars(F.col("raw")), "")
     return _raw(spark, d).select("id", X.validation_error(F.col("raw")).alias("error"), F.nullif(bad, F.lit("")).alias("bad"))
 
 

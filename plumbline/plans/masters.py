@@ -84,10 +84,16 @@ def process_import_replace(spark, d):
     return M.import_rows(T.processes(spark, d), M.process_lines(_cells(spark, d)).withColumn("isActive", F.lit(True)), ["constructionId", "code"], "replace")
 
 
-@query("WITH b AS (SELECT DISTINCT p_brand AS code FROM part), s AS (SELECT p_type AS code FROM part WHERE p_size > 1000) SELECT code FROM s UNION ALL SELECT code FROM b WHERE (SELECT count(*) FROM s) = 0")
+_SOURCE = lambda name, over: f"SELECT '{name}' AS store, code FROM (SELECT p_type AS code FROM part WHERE p_size > {over} UNION ALL SELECT code FROM b WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_size > {over}))"
+
+
+@query(f"WITH b AS (SELECT DISTINCT p_brand AS code FROM part) {_SOURCE('empty', 1000)} UNION ALL {_SOURCE('filled', 20)}")
 def label_source_fallback(spark, d):
+    """Labels of a store that holds none, and of one that holds some."""
     p = T.read(spark, d, "part")
-    return M.with_fallback(p.where("p_size > 1000").select(F.col("p_type").alias("code")), p.select(F.col("p_brand").alias("code")).distinct())
+    bundled = p.select(F.col("p_brand").alias("code")).distinct()
+    of = lambda name, over: M.with_fallback(p.where(f"p_size > {over}").select(F.col("p_type").alias("code")), bundled).select(F.lit(name).alias("store"), "code")
+    return of("empty", 1000).unionByName(of("filled", 20))
 
 
 @query(
