@@ -48,9 +48,11 @@ class WordEncoder:
     New words go many to a call, with a mark between them that is one id of its own.
     Closing punctuation after a letter or digit is a pre-token of its own, so a word and
     the same word before a comma are learned as one. What was seen lately is remembered
-    in two generations, so that common words stay.
+    in two generations, so that common words stay. Whether a tokenizer is of this kind is
+    tried on a few texts when it is loaded; one that is not encodes whole texts.
     """
 
+    PROBES = ("a b", "Hello, world!", "x\ty\n z", "it's 12.5% (ok)... #tag & more", "é漢字 🙂 b\u0301", " lead", "end \r\n", "ab,cd a  b", "<|x|> </s> [MASK]", "2,000.5 a-b_c", "new york New York")
     MARK, CALL, CLOSING = "\x01", 256, b".,;:!?%&*$#"
 
     def __init__(self, path: str, special_as_text: bool):
@@ -61,6 +63,8 @@ class WordEncoder:
         self.mark = self.library([self.MARK])[0]
         self.seen: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.by_word = True
+        self.by_word = all(map(np.array_equal, self.encode_batch(list(self.PROBES)), self.library(list(self.PROBES))))
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,6 +107,8 @@ class WordEncoder:
                 self.seen.update((w, x.tobytes()) for w, x in zip(some, self.library(plain[i : i + self.CALL]), strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            return self.library(texts)
         split = [t.encode("utf-8").split() for t in texts]  # bytes.split() cuts at ASCII white space alone
         if len(self.seen) > REMEMBER:
             self.seen, self.older = {}, self.seen
@@ -187,10 +193,23 @@ class Reader:
         return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint16)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (a view of the file) and mask of a sequence."""
+        """Ids (a view of the file) and mask of a sequence, spread to one value a position; ``packed`` gives the mask without copying."""
+        b, k = self.place(i)
+        bits, low = self.packed(i)
+        return self.views[b][k * self.length : (k + 1) * self.length], np.unpackbits(bits, bitorder="little")[low : low + self.length].astype(bool)
+
+    def place(self, i: int) -> tuple[int, int]:
+        """Batch of a sequence, and its place there."""
         b = int(np.searchsorted(self.starts, i * self.length, "right")) - 1
-        k = i - int(self.starts[b]) // self.length
-        return self.views[b][k * self.length : (k + 1) * self.length], np.array(self.file.get_batch(b).column(1)[k].as_py())
+        return b, i - int(self.starts[b]) // self.length
+
+    def packed(self, i: int) -> tuple[np.ndarray, int]:
+        """The mask of a sequence as the file holds it: a view of its bytes, eight positions each, the lowest bit first; and the first position's bit (0 for lengths that eight divides)."""
+        b, k = self.place(i)
+        whole = self.file.get_batch(b).column(1).flatten()
+        low = whole.offset + k * self.length
+        bits = np.frombuffer(whole.buffers()[1], np.uint8)[low // 8 : -(-(low + self.length) // 8)]
+        return bits, low % 8
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | None = None, length: int = LENGTH, batch: int = BATCH, special_as_text: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from plumbline.llm import bpe, components, dedup, jaccard, langid, lm, mixing, quality, tokenfile, toxicity, urls
 from plumbline.llm.eliasfano import EliasFano, map_arrays, write_arrays
@@ -268,12 +268,39 @@ def test_token_files(spark, odd):
     reader = tokenfile.Reader(first.file)
     ids, mask = reader.sequence(0)
     assert ids.tolist() == flat[:64] and mask.all() and not ids.flags.owndata
+    bits, low = reader.packed(0)
+    assert not bits.flags.owndata and not bits.flags.writeable and (len(bits), low) == (8, 0) and (bits == 255).all()
     ids, mask = reader.sequence(-(-first.n_ids // 64) - 1)
     assert mask.sum() == (first.n_ids - 1) % 64 + 1
     assert tokenfile.read(tokenfile.write(odd[2], path)).count() == 0
     assert tokenfile.read(tokenfile.write(odd[1], path)).count() == len(odd[0])
 
 
+def test_token_files_of_any_length_and_repeated_ids(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(1, "one two three"), (1, "four"), (2, "a b c d e f g"), (None, "no id"), (2, None)]
+    manifest = tokenfile.write(frame(spark, rows), path, length=10, batch=2)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.read(manifest).collect())
+    t, crc = Tokenizer.from_file(path), lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    ids_of = lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 1]
+    assert sorted((str(i), n, c) for _, i, n, c in got) == sorted((str(i), len(ids_of(x)), crc(ids_of(x))) for i, x in rows)
+    assert [s for s, *_ in got] == np.cumsum([0] + [n for _, _, n, _ in got])[:-1].tolist() and [i for _, i, *_ in got] == [None, 1, 1, 2, 2]
+    for r in manifest.collect():
+        reader = tokenfile.Reader(r.file)
+        masks = np.concatenate([reader.sequence(k)[1] for k in range(-(-r.n_ids // 10))])
+        assert masks.tolist() == [True] * r.n_ids + [False] * (-r.n_ids % 10)
+
+
+def test_token_files_of_a_tokenizer_that_crosses_spaces(spark, tmp_path):
+    odd_one = Tokenizer(models.WordLevel({"[UNK]": 0, "[END]": 1, "New": 2, "York": 3, "New York": 4, "a": 5}, unk_token="[UNK]"))
+    odd_one.pre_tokenizer = pre_tokenizers.Split(Regex("New York|[^ ]+"), "removed", invert=True)
+    odd_one.save(f"{tmp_path}/t.json")
+    assert not tokenfile.WordEncoder(f"{tmp_path}/t.json", True).by_word and tokenfile.WordEncoder(public_tokenizers.path("word_bpe_49k.json"), False).by_word
+    rows = [(1, "New York a"), (2, "a New  York")]
+    got = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in tokenfile.read(tokenfile.write(frame(spark, rows), f"{tmp_path}/t.json")).orderBy("doc_id").collect()]
+    assert got == [(1, 3, zlib.crc32(np.array([4, 5, 1], "<u4").tobytes())), (2, 4, zlib.crc32(np.array([5, 2, 3, 1], "<u4").tobytes()))]
+
+
 def test_token_files_special(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
