@@ -14,7 +14,9 @@ def components(links: DataFrame, most: int | None = None) -> DataFrame:
     Large-star and small-star rounds (each node's larger, then smaller neighbours hang
     on to its least neighbour) end after a number of rounds that grows as the
     logarithm of the longest chain. Only sums, minima and joins on node ids take part;
-    no component is ever gathered. ``most``: so many tasks are enough for the links.
+    no component is ever gathered. ``most``: so many tasks are enough for the links. Repeated
+    links count once; a link of a node to itself, or to a null, adds nothing, not even the
+    node; an empty table gives no rows; other columns are ignored.
     """
     edges = packed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), most)
     # steps on few edges stay in few tasks; the number of edges hardly grows from round to round

@@ -288,7 +288,11 @@ def looked_up(trie: Trie, words: Words) -> tuple[dict[str, np.ndarray], np.ndarr
 
 
 def build(docs: DataFrame, shards: int | None = None) -> Model:
-    """Train on ``docs`` (text): three counting jobs, each writing one level of every shard. A null text is an empty one."""
+    """Train on ``docs`` (text): three counting jobs, each writing one level of every shard.
+
+    A null text is an empty one, and an empty text counts an end alone; repeated rows count as often
+    as they stand; other columns are ignored. An empty table gives a model without words.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     S = shards or min(SHARDS, max(1, -(-(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)))

@@ -249,7 +249,11 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
+    """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    Documents without text have their end id alone; null and repeated ids come as they were written;
+    an empty manifest gives no rows.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
@@ -441,6 +442,47 @@ def test_toxicity(spark, odd):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def grams_of(t):
+    """Character n-grams of the distinct words of a text, each word between two spaces, as often as they stand."""
+    return Counter(x[k : k + n] for x in {f" {w} " for w in words_of(t)} for n in toxicity.GRAMS for k in range(len(x) - n + 1))
+
+
+def toxicity_model(texts, labels, share):
+    """A dense fit in plain arrays, a column for each n-gram; gives a function of a text."""
+    bags = [grams_of(t) for t in texts]
+    names = sorted(set().union(*bags))
+    place = {g: k for k, g in enumerate(names)}
+    x = np.zeros((len(texts), len(names)))
+    for row, bag in zip(x, bags, strict=True):
+        for g, n in bag.items():
+            row[place[g]] = n
+    y = np.array(labels, float)
+    ratio = np.log((y @ x + 1) / ((y @ x).sum() + toxicity.BUCKETS)) - np.log(((1 - y) @ x + 1) / (((1 - y) @ x).sum() + toxicity.BUCKETS))
+    a, v, bias = x * ratio, np.zeros(len(names)), 0.0
+    m, q, bm, bq = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
+    for t in range(1, toxicity.STEPS + 1):
+        off = (1 / (1 + np.exp(-(a @ v + bias))) - y) / len(y)
+        g = a.T @ off + toxicity.PENALTY * v
+        m, q, bm, bq = 0.9 * m + 0.1 * g, 0.99 * q + 0.01 * g**2, 0.9 * bm + 0.1 * off.sum(), 0.99 * bq + 0.01 * off.sum() ** 2
+        fix = math.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+        v, bias = v - 0.02 * fix * m / (np.sqrt(q) + 1e-10), bias - 0.05 * fix * bm / (math.sqrt(bq) + 1e-10)
+    bias += math.log(share / (1 - share)) - math.log(y.mean() / (1 - y.mean()))
+    return lambda text: 1 / (1 + math.exp(-bias - sum(n * ratio[place[g]] * v[place[g]] for g, n in grams_of(text).items() if g in place)))
+
+
+def test_toxicity_against_a_dense_fit(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abé") for _ in range(rnd.randrange(1, 7)))
+    rows = [(i, " ".join([*(word() for _ in range(rnd.randrange(1, 12))), *(["Bad!", "bad"] if i % 4 == 0 else [])])) for i in range(60)] + [(60, None), (61, "")]
+    docs = frame(spark, [*rows, (3, "a text of the same id, the lesser by order"), (None, "no id")])
+    labelled = [(i, int(i % 4 == 0)) for i in range(45)] + [(1, 0), (999, 1), (46, 7)]
+    model = toxicity.train(docs, spark.createDataFrame(labelled, "doc_id long, toxic int"))
+    texts = dict(rows) | {3: min(rows[3][1], "a text of the same id, the lesser by order")}
+    score = toxicity_model([texts[i] or "" for i in range(45)], [int(i % 4 == 0) for i in range(45)], 13 / 46)
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, rows), model).collect()}
+    assert got == {i: pytest.approx(score(t), abs=2e-3) for i, t in rows}
+
+
 def test_hashing():
     rnd = random.Random(11)
     texts = ["", None, " a", "A  b\n", "é漢 x", *("".join(rnd.choice("ab \t") for _ in range(30)) for _ in range(50))]
