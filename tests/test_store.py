@@ -15,6 +15,7 @@ def column(spark, values, expr, kind="string"):
     return [r.y for r in df.select("i", expr(F.col("x")).alias("y")).orderBy("i").collect()]
 
 
+# Codes, sizes and scores in this file are what the store has to give.
 VALID = ["1C-X1Y1", "2C-X3Y3", "1ELP75-1", "2EP175-5", "3SB40-8", "3SCB35-1", "B1SCB100-30", "B2SCB40-10", "PHRHV", "RV11", "ABC-123/DEF.456_GHI+JKL", "abc-123", "ABC 123"]
 
 
