@@ -19,7 +19,9 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-# ---- fixed values: the labelled URLs ----
+# ---- end of fixed values ----
+
+# The labelled URLs, made up for this file; another table can be given.
 BLOCKED = """
 casino-royal.test/play casino.games.test/bonus/3 win-casino.test/slots mega-casino-win.test/spin online-casino.shop.test/a poker-win.test/table
 bets-now.test/odds free-bets.club.test/1 sports-bets.test/live betting-tips.test/free big-win-bets.test/go jackpot-win.test/en/12
@@ -40,7 +42,6 @@ tinoured.test/de/4 blog.stering.test/en/37 m.wherent.test/fr/91 hanthe.test/es/5
 blog.shouth.test/en/28 m.esthing.test/fr/33 www.ofthand.test/en/49 thinder.test/es/80 blog.leading.test/de/24 m.ablerth.test/en/10
 www.notary.test/de/53 blog.cooking.test/en/62 m.cinema.test/fr/71 opera.test/es/16 www.climate.test/en/45 blog.running.test/de/35
 """
-# ---- end of fixed values ----
 
 #: Character n-grams of these lengths, hash buckets, step, decay, steps.
 GRAMS, BUCKETS, STEP, DECAY, STEPS = (3, 4, 5), 4096, 0.02, 0.01, 400
