@@ -26,6 +26,8 @@ from .masters import with_ordinal
 
 _K = MATCH_MAX_DISTANCE
 _KEY = ["len", "part", "piece"]
+#: Up to so many lengths of labels go to all tasks; more are joined.
+_LENGTHS = 4096
 
 
 def indexed(labels: DataFrame) -> DataFrame:
@@ -105,6 +107,8 @@ def _forms(texts: DataFrame) -> DataFrame:
 def within(forms: DataFrame, labels: DataFrame, radius: int = _K) -> DataFrame:
     """(form, code, label_index, label, distance, prefix, length_diff) for labels within ``radius`` edits of each distinct form."""
     at = saved(cuts(labels, radius + 1))
+    if at.count() <= _LENGTHS:  # a row for each length that labels have
+        at = F.broadcast(at)
     spread = 2 * forms.sparkSession.sparkContext.defaultParallelism  # few bytes, much work: not to be put together again
     f = forms.select("form").distinct().repartition(spread, "form").withColumn("vs", variants(F.col("form")))
     heads = F.array_distinct(F.transform(F.filter("vs", lambda v: F.length(v) >= 2), lambda v: F.substring(v, 1, 2)))

@@ -84,7 +84,7 @@ def picture_blur(spark, d):
     return s.select("image", "w", "h", F.round("score", 3).alias("score"), "blurred")
 
 
-_CROPS = ((160, 120), (40, 20), (7, 30))
+_CROPS = ((132, 48), (40, 20), (7, 30))
 _MIX = lambda g: f"floor(({g}[s.y * cw + s.x + 1] * (1 - s.fx) + {g}[s.y * cw + s.x2 + 1] * s.fx) * (1 - s.fy) + ({g}[s.y2 * cw + s.x + 1] * (1 - s.fx) + {g}[s.y2 * cw + s.x2 + 1] * s.fx) * s.fy + 0.5::DOUBLE)"
 
 

@@ -90,6 +90,26 @@ def test_matches_settled_by_the_index_equal_the_wider_search(spark):
     assert got == {(r.text, r["rank"], r.code, r.distance) for r in wide.collect()} and got
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_labels_within_a_radius(spark, radius, monkeypatch):
+    """Labels alike at the front, short ones and an empty one, against all pairs."""
+    monkeypatch.setattr(Y, "_LENGTHS", 4096 if radius == 2 else 0)
+    rnd = random.Random(radius)
+    tail = lambda n: "".join(rnd.choice("ABC12") for _ in range(rnd.randrange(n)))
+    labels = sorted({f"BRAND#{tail(6)}" for _ in range(60)} | {tail(5) for _ in range(30)} | {"", "A", "-"} | {tail(40) for _ in range(20)})
+    texts = sorted({f"BRAND#{tail(6)}" for _ in range(30)} | {tail(8) for _ in range(40)} | {x[:9] + tail(3) for x in labels if len(x) > 12} | {"A---", "----", "B  1"})
+    form = lambda c: c.replace("-", "").replace(" ", "")
+    l = spark.createDataFrame([(c, i, form(c)) for i, c in enumerate(labels)], "code string, label_index int, label string")
+    t = spark.createDataFrame([(x,) for x in texts], "text string")
+    v = t.where("length(text) >= 4").withColumn("form", X.match_form(F.col("text"))).withColumn("v", F.explode(X.variants(F.col("form"))))
+    every = v.crossJoin(l).withColumn("d", F.levenshtein("v", "label")).where(f"d <= {radius}").groupBy("text", "code").agg(F.min("d").alias("d"))
+    want = {(r.text, r.code): r.d for r in every.collect()}
+    assert {(r.text, r.code): r.distance for r in Y.candidates(t, l, radius).collect()} == want and want
+    # no cut falls into the front that all labels of a length share, while the rest has enough characters
+    same = l.where("label LIKE 'BRAND#____'")
+    assert all(s == 0 or s > 6 for s in Y.cuts(same, 3).first().starts) if same.count() > 5 else True
+
+
 def test_corner_order_and_crop(spark):
     df = spark.createDataFrame([([10.0, 10.0, 0.0, 0.0, 10.0, 1.0, 0.0, 9.0],)], "p array<double>")
     w, h = G.crop_size(G.corner_order(F.col("p")))
