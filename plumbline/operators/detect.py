@@ -21,7 +21,7 @@ from ..functions import geometry as G
 from ..functions import image as I
 from ..functions import numeric as N
 from ..functions import raster as R
-from . import regions
+from . import match, regions
 from .keep import saved
 
 _ID = ["image", "index"]
@@ -160,6 +160,11 @@ def run(maps: DataFrame, frames: DataFrame, pictures: DataFrame, reads: DataFram
     return items, all_read.groupBy("image").agg(F.sum("normal_count").alias("normal_count"), F.sum("rotated_count").alias("rotated_count"))
 
 
+def codes(items: DataFrame, labels: DataFrame) -> DataFrame:
+    """Items as product codes: cleaned, validated and matched to ``labels`` (as ``match.indexed`` gives them), under their image and index."""
+    return match.resolved(items.withColumnRenamed("text", "raw"), labels)
+
+
 def outlined(maps: DataFrame, frames: DataFrame, pictures: DataFrame, n: int = MAX_REGIONS) -> DataFrame:
     """Regions alone, to be followed on screen: image, index, box and p, with an empty text of confidence 0."""
     found = chosen(regions.merge_polygons(polygons(maps, frames), pictures), n)

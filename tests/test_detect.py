@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import raster as R
 from plumbline.operators import detect as D
-from plumbline.operators import regions
+from plumbline.operators import match, regions
 from plumbline.plans import detect as P
 from plumbline.sources import standins as T
 
@@ -280,6 +280,17 @@ def test_chain(spark):
     assert ms["total"] == 11_000 and ms["other"] == 6_000
 
 
+def test_codes_of_items(spark):
+    items = spark.createDataFrame([(1, 1, " Xa1 AB-10O ", 0.9), (1, 3, "  ", 0.8), (1, 4, "QQQQQQQQQ", 0.7), (2, 1, "AB-200!", 0.6)], "image long, index int, text string, confidence double")
+    labels = match.indexed(spark.createDataFrame([("AB-100",), ("AB-200",)], "code string"))
+    got = {(r.image, r["index"]): (r.raw_text, r.cleaned_code, r.is_valid, r.matched_label, r.match_distance, r.is_exact, r.candidates, r.display_code, r.confidence) for r in D.codes(items, labels).collect()}
+    assert got == {
+        (1, 1): ("Xa1 AB-10O", "AB-10O", True, "AB-100", 0, True, "AB-100|AB-200", "AB-100", 0.9),
+        (1, 4): ("QQQQQQQQQ", "QQQQQQQQQ", True, None, 2147483647, False, "", "QQQQQQQQQ", 0.7),
+        (2, 1): ("AB-200!", "AB-200!", False, "AB-200", 1, False, "AB-200|AB-100", "AB-200", 0.6),
+    }
+
+
 def test_blur_and_crops_of_two_sizes(spark):
     rnd = random.Random(9)
     rows, want_blur, want_use = [], {}, {}
