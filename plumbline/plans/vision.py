@@ -260,8 +260,27 @@ def connected_components(spark, d):
     return R.components(e.select("image", (F.col("pos") % 8).cast("long").alias("x"), F.floor(F.col("pos") / 8).cast("long").alias("y")), 3)
 
 
-@query()
+_A, _B = "x[q // n + 1]", "x[q % n + 1]"
+_TALL = lambda v: f"greatest({v}.b - {v}.t, 1)"
+_BROAD = lambda v: f"greatest({v}.r - {v}.l, 1)"
+_HIGH, _LOW = f"greatest({_TALL(_A)}, {_TALL(_B)})", f"least({_TALL(_A)}, {_TALL(_B)})"
+_FITS = f"""(q % n) > (q // n) AND {_HIGH} / {_LOW} <= 2.0::DOUBLE AND greatest(least({_A}.b, {_B}.b) - greatest({_A}.t, {_B}.t), 0) / {_LOW} >= 0.45::DOUBLE AND abs(({_A}.t + {_A}.b) / 2 - ({_B}.t + {_B}.b) / 2) <= {_HIGH} * 0.55::DOUBLE
+    AND greatest(least({_A}.r, {_B}.r) - greatest({_A}.l, {_B}.l), 0) <= least({_BROAD(_A)}, {_BROAD(_B)}) * 0.35::DOUBLE AND greatest(greatest({_A}.l, {_B}.l) - least({_A}.r, {_B}.r), 0) <= least({_HIGH} * 1.8::DOUBLE, 1600 * 0.04::DOUBLE)
+    AND greatest({_A}.b, {_B}.b) - least({_A}.t, {_B}.t) <= {_HIGH} * 1.45::DOUBLE"""
+_MIDDLE = f"((a.t + a.b) / 2 * {_BROAD('a')} + (b.t + b.b) / 2 * {_BROAD('b')}) / ({_BROAD('a')} + {_BROAD('b')})"
+_HALF = "greatest(a.b - a.t, b.b - b.t, ((a.b - a.t) + (b.b - b.t)) / 2) / 2"
+
+
+@query(
+    f"""{_BOX.replace('e AS', 'WITH RECURSIVE e AS', 1)}, start AS (SELECT vec_id AS image, list({{'l': l + k * 40, 't': t, 'r': r + k * 40, 'b': b}} ORDER BY k) AS x FROM box GROUP BY 1),
+    m(image, x, step) AS (SELECT image, x, 0 FROM start UNION ALL
+      SELECT image, list_transform(list_filter(range(1, n + 1), lambda k: k <> q % n + 1), lambda k: CASE WHEN k = q // n + 1 THEN {{'l': least(a.l, b.l), 't': {_MIDDLE} - {_HALF}, 'r': greatest(a.r, b.r), 'b': {_MIDDLE} + {_HALF}}} ELSE x[k] END), step + 1
+      FROM (SELECT *, {_A} AS a, {_B} AS b FROM (SELECT image, x, step, n, list_filter(range(n * n), lambda q: {_FITS})[1] AS q FROM (SELECT *, len(x) AS n FROM m))) WHERE q IS NOT NULL),
+    f AS (SELECT image, arg_max(x, step) AS x FROM m GROUP BY 1), o AS (SELECT image, unnest(range(len(x))) AS line, unnest(x) AS v FROM f)
+    SELECT image, line, round(v.l, 6) AS "left", round(v.t, 6) AS top, round(v.r, 6) AS "right", round(v.b, 6) AS bottom FROM o"""
+)
 def greedy_line_merge(spark, d):
-    """Order-dependent, so beyond plain SQL; tested against a model in Python."""
+    """Which lines come out depends on the order of merging: the first pair that fits, again and again."""
     b = _boxes(spark, d)
-    return R.merge_lines(b.select(F.col("vec_id").alias("image"), F.col("k").alias("ord"), (F.col("left") + F.col("k") * 40).alias("left"), "top", (F.col("right") + F.col("k") * 40).alias("right"), "bottom"), 1600.0)
+    boxes = b.select(F.col("vec_id").alias("image"), F.col("k").alias("ord"), (F.col("left") + F.col("k") * 40).alias("left"), "top", (F.col("right") + F.col("k") * 40).alias("right"), "bottom")
+    return R.merge_lines(boxes, 1600.0).select("image", "line", *(F.round(c, 6).alias(c) for c in ("left", "top", "right", "bottom")))
