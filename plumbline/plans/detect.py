@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..constants import COLORS
+from ..functions import geometry as G
 from ..functions import image as I
 from ..functions import numeric as N
 from ..functions import raster as R
@@ -11,6 +13,7 @@ from ..operators import detect as D
 from ..operators import regions
 from ..sources import standins as T
 from .registry import query
+from .vision import _A, _B, _FITS, _HALF, _MIDDLE
 
 
 def _frames(pictures):
@@ -25,11 +28,14 @@ def _with_classes(pictures):
     return pictures.withColumn("classes", F.transform(pixel, named))
 
 
-@query(
-    f"""{T.with_('heat').replace('WITH ', 'WITH RECURSIVE ', 1)}, px AS (SELECT image, x, y FROM heat WHERE v > 0.18::DOUBLE),
+_COMPONENTS = f"""{T.with_('heat').replace('WITH ', 'WITH RECURSIVE ', 1)}, px AS (SELECT image, x, y FROM heat WHERE v > 0.18::DOUBLE),
     st AS (SELECT *, x - row_number() OVER (PARTITION BY image, y ORDER BY x) AS grp FROM px), runs AS (SELECT image, y, min(x) AS x0, max(x) AS x1, min(y * 64 + x) AS id FROM st GROUP BY image, y, grp),
     reach(image, id, other) AS (SELECT image, id, id FROM runs UNION SELECT r.image, r.id, b.id FROM reach r JOIN runs a ON a.image = r.image AND a.id = r.other JOIN runs b ON b.image = a.image AND abs(b.y - a.y) = 1 AND b.x0 <= a.x1 AND a.x0 <= b.x1),
-    c AS (SELECT image, id, min(other) AS first FROM reach GROUP BY ALL),
+    c AS (SELECT image, id, min(other) AS first FROM reach GROUP BY ALL)"""
+
+
+@query(
+    f"""{_COMPONENTS},
     s AS (SELECT image, first, sum(x1 - x0 + 1)::BIGINT AS pixels, min(x0)::BIGINT AS "left", min(y)::BIGINT AS top, max(x1)::BIGINT AS "right", max(y)::BIGINT AS bottom, sum((x1 - x0 + 1) * (64 * y) + (x0 + x1) * (x1 - x0 + 1) // 2)::BIGINT AS places FROM c JOIN runs USING (image, id) GROUP BY ALL HAVING sum(x1 - x0 + 1) >= 15)
     SELECT image, row_number() OVER (PARTITION BY image ORDER BY first) - 1 AS component, pixels, "left", top, "right", bottom, places FROM s"""
 )
@@ -50,19 +56,56 @@ def detection_chain(spark, d):
     return shown.join(counts, "image")
 
 
-@query()
-def detected_lines(spark, d):
-    """Regions merged by line and colour, the largest first; tested with detection_chain."""
-    p = _with_classes(T.pictures(spark, d))
-    found = D.outlined(T.heat_maps(spark, d), _frames(p), p)
-    return found.select("image", "index", "left", "top", "right", "bottom", F.transform("p", lambda v: F.round(v, 4)).alias("p"))
-
-
 _SIZES = ((64, 30), (80, 12))
 _CHANNEL = lambda c, w, h: f"list_transform(range({w * h}), lambda k: round(least(255, greatest(0, (e[((k // {w}) * 8 // {h} * 8 + (k % {w}) * 8 // {w} + {7 * c}) % 64 + 1] * 3 + 0.5::DOUBLE) * 255))))"
 _PICTURES = lambda sizes: " UNION ALL ".join(f"SELECT vec_id AS image, {w} AS w, {h} AS h, {', '.join(f'{_CHANNEL(c, w, h)} AS {k}' for c, k in enumerate('rgb'))} FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)" for w, h in sizes)
 
 
+_XY = lambda i: f"greatest(0, least(CASE WHEN {i} % 2 = 1 THEN 96 ELSE 72 END, (v - CASE WHEN {i} % 2 = 1 THEN 0 ELSE 8 END) / (64 / 96::DOUBLE)))"
+_AREA = "abs((p[1] * p[4] - p[3] * p[2]) + (p[3] * p[6] - p[5] * p[4]) + (p[5] * p[8] - p[7] * p[6]) + (p[7] * p[2] - p[1] * p[8])) / 2"
+_SEEN = lambda b: (
+    f"flatten(list_transform(range(greatest(0, least(71, floor({b}.t)))::INT, greatest(greatest(0, least(71, floor({b}.t))) + 1, least(72, ceil({b}.b)))::INT), lambda y: list_transform(range(greatest(0, least(95, floor({b}.l)))::INT, greatest(greatest(0, least(95, floor({b}.l))) + 1, least(96, ceil({b}.r)))::INT), lambda x: cls[y * 96 + x + 1])))"
+)
+_NAMES = ", ".join(f"'{c}'" for c in COLORS[:-1])
+#: The colour of a list of names ``seen``.
+_BEST = lambda seen: f"(SELECT CASE WHEN list_max(n) > 0 AND list_sum(n) / len({seen}) >= 0.01::DOUBLE THEN [{_NAMES}][list_position(n, list_max(n))] ELSE 'UNKNOWN' END FROM (SELECT list_transform([{_NAMES}], lambda c: len(list_filter({seen}, lambda v: v = c))) AS n))"
+_HUE = "CASE WHEN s.hi = s.lo THEN 0 WHEN s.hi = s.r THEN (s.g - s.b) / (s.hi - s.lo) + CASE WHEN s.g < s.b THEN 6 ELSE 0 END WHEN s.hi = s.g THEN (s.b - s.r) / (s.hi - s.lo) + 2 ELSE (s.r - s.g) / (s.hi - s.lo) + 4 END * 60::DOUBLE"
+_NAMED = """CASE WHEN s.v < 0.25::DOUBLE THEN 'UNKNOWN' WHEN s.s < 0.16::DOUBLE AND s.v > 0.72::DOUBLE THEN 'WHITE' WHEN s.v < 0.28::DOUBLE THEN 'BLACK' WHEN s.s < 0.18::DOUBLE THEN 'UNKNOWN' WHEN s.h BETWEEN 0 AND 22 OR s.h >= 338 THEN 'RED'
+    WHEN s.h BETWEEN 35 AND 78 THEN 'YELLOW' WHEN s.h BETWEEN 80 AND 155 THEN 'GREEN' WHEN s.h BETWEEN 156 AND 210 THEN 'CYAN' WHEN s.h BETWEEN 211 AND 260 THEN 'BLUE' ELSE 'UNKNOWN' END"""
+_LINES = f"""{_COMPONENTS},
+    big AS (SELECT image, first FROM c JOIN runs USING (image, id) GROUP BY ALL HAVING sum(x1 - x0 + 1) >= 15),
+    pt AS (SELECT image, first, unnest(range(x0, x1 + 1))::DOUBLE AS x, y::DOUBLE AS y FROM c JOIN big USING (image, first) JOIN runs USING (image, id)),
+    mo AS (SELECT image, first, avg(x) AS cx, avg(y) AS cy, var_pop(x) AS cxx, var_pop(y) AS cyy, covar_pop(x, y) AS cxy FROM pt GROUP BY ALL),
+    an AS (SELECT *, CASE WHEN abs(cxy) > 1e-10 THEN atan2(cxy, (cxx + cyy) / 2 + sqrt(greatest(0, (cxx + cyy) * (cxx + cyy) / 4 - (cxx * cyy - cxy * cxy))) - cyy) WHEN cxx >= cyy THEN 0 ELSE pi() / 2 END AS angle FROM mo),
+    uv AS (SELECT image, first, cx, cy, angle, (x - cx) * cos(angle) + (y - cy) * sin(angle) AS u, (y - cy) * cos(angle) - (x - cx) * sin(angle) AS v FROM pt JOIN an USING (image, first)),
+    rect AS (SELECT image, first, cx, cy, cos(angle) AS co, sin(angle) AS si, greatest(1, max(u) - min(u)) / 2 * sqrt(1.5::DOUBLE) AS hw, greatest(1, max(v) - min(v)) / 2 * sqrt(1.5::DOUBLE) AS hh FROM uv GROUP BY image, first, cx, cy, angle),
+    raw AS (SELECT image, first, [cx - hw * co + hh * si, cy - hw * si - hh * co, cx + hw * co + hh * si, cy + hw * si - hh * co, cx + hw * co - hh * si, cy + hw * si + hh * co, cx - hw * co - hh * si, cy - hw * si + hh * co] AS p FROM rect),
+    back AS (SELECT image, first, list_transform(p, lambda v, i: {_XY('i')}) AS p FROM raw),
+    poly AS (SELECT *, count(*) OVER (PARTITION BY image) AS many, {{'l': least(p[1], p[3], p[5], p[7]), 't': least(p[2], p[4], p[6], p[8]), 'r': greatest(p[1], p[3], p[5], p[7]), 'b': greatest(p[2], p[4], p[6], p[8])}} AS bx FROM back WHERE {_AREA} > 120),
+    pic AS (SELECT image, list_transform(list_transform(list_transform(range(6912), lambda k: {{'r': r[k + 1], 'g': g[k + 1], 'b': b[k + 1], 'hi': greatest(r[k + 1], g[k + 1], b[k + 1]), 'lo': least(r[k + 1], g[k + 1], b[k + 1])}}),
+      lambda s: {{'h': ({_HUE.replace(" END * 60::DOUBLE", " END) * 60::DOUBLE")}, 's': CASE WHEN s.hi = 0 THEN 0 ELSE (s.hi - s.lo) / s.hi END, 'v': s.hi / 255}}), lambda s: {_NAMED}) AS cls FROM ({_PICTURES(((96, 72),))})),
+    st0 AS (SELECT image, first, bx, {_SEEN('bx')} AS seen FROM poly JOIN pic USING (image) WHERE many > 1), st1 AS (SELECT image, list({{'l': bx.l, 't': bx.t, 'r': bx.r, 'b': bx.b, 'c': {_BEST('seen')}}} ORDER BY first) AS x FROM st0 GROUP BY image),
+    mm(image, x, step) AS (SELECT image, x, 0 FROM st1 UNION ALL
+      SELECT image, list_transform(list_filter(range(1, n + 1), lambda k: k <> q % n + 1), lambda k: CASE WHEN k = q // n + 1 THEN {{'l': z.l, 't': z.t, 'r': z.r, 'b': z.b, 'c': col}} ELSE x[k] END), step + 1
+      FROM (SELECT *, {_BEST('seen')} AS col FROM (SELECT d.*, {_SEEN('z')} AS seen FROM (SELECT *, {{'l': least(a.l, b.l), 't': {_MIDDLE} - {_HALF}, 'r': greatest(a.r, b.r), 'b': {_MIDDLE} + {_HALF}}} AS z
+      FROM (SELECT *, {_A} AS a, {_B} AS b FROM (SELECT image, x, step, n, list_filter(range(n * n), lambda q: {_FITS.replace('1600', '96')} AND ({_A}.c = 'UNKNOWN' OR {_B}.c = 'UNKNOWN' OR {_A}.c = {_B}.c))[1] AS q FROM (SELECT *, len(x) AS n FROM mm))) WHERE q IS NOT NULL) d JOIN pic USING (image)))),
+    done AS (SELECT image, arg_max(x, step) AS x FROM mm GROUP BY 1), li AS (SELECT image, unnest(range(len(x))) AS line, unnest(x) AS v FROM done),
+    al AS (SELECT image, 0 AS line, p FROM poly WHERE many = 1 UNION ALL SELECT image, line, [v.l, v.t, v.r, v.t, v.r, v.b, v.l, v.b] FROM li),
+    ra AS (SELECT image, row_number() OVER (PARTITION BY image ORDER BY {_AREA} DESC, line)::INT AS index, p FROM al)"""
+
+
+@query(
+    f"""{_LINES} SELECT image, index, floor(least(p[1], p[3], p[5], p[7]))::INT AS "left", floor(least(p[2], p[4], p[6], p[8]))::INT AS top, ceil(greatest(p[1], p[3], p[5], p[7]))::INT AS "right", ceil(greatest(p[2], p[4], p[6], p[8]))::INT AS bottom,
+    round(p[1], 4) AS x0, round(p[2], 4) AS y0, round(p[5], 4) AS x2, round(p[6], 4) AS y2, round({_AREA}, 3) AS area FROM ra WHERE index <= 24"""
+)
+def detected_lines(spark, d):
+    """Regions merged by line and colour, the largest first: box, two corners and area."""
+    p = _with_classes(T.pictures(spark, d))
+    found = D.outlined(T.heat_maps(spark, d), _frames(p), p)
+    at = lambda i: F.round(F.get("p", F.lit(i)), 4)
+    return found.select("image", "index", "left", "top", "right", "bottom", at(0).alias("x0"), at(1).alias("y0"), at(4).alias("x2"), at(5).alias("y2"), F.round(G.area(F.col("p")), 3).alias("area"))
+
+
 def _all(spark, d, sizes):
     out = T.pictures(spark, d, *sizes[0])
     for s in sizes[1:]:
