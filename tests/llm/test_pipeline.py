@@ -39,7 +39,7 @@ def test_pipeline(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
