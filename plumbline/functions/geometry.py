@@ -59,16 +59,20 @@ def inverse_letterbox(p: Column, scale: Column, pad_x: Column, pad_y: Column, w:
     return F.transform(p, one)
 
 
+def _angle() -> Column:
+    """The direction of the larger principal axis, over cxx, cyy and cxy."""
+    half = (F.col("cxx") + F.col("cyy")) / 2
+    disc = F.sqrt(F.greatest(F.lit(0.0), half * half - (F.col("cxx") * F.col("cyy") - F.col("cxy") * F.col("cxy"))))
+    return F.when(F.abs("cxy") > 1e-10, F.atan2(F.col("cxy"), half + disc - F.col("cyy"))).when(F.col("cxx") >= F.col("cyy"), 0.0).otherwise(F.pi() / 2)
+
+
 def pca_rect(points: DataFrame, *key: str) -> DataFrame:
     """Principal-axis rectangle of each key's points (x, y): key, n, cx, cy, w, h, angle. Fewer than three points give none.
 
     Two aggregations: moments, then extents along the axes; nothing is gathered.
     """
     m = points.groupBy(*key).agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.var_pop("x").alias("cxx"), F.var_pop("y").alias("cyy"), F.covar_pop("x", "y").alias("cxy")).where("n >= 3")
-    half = (F.col("cxx") + F.col("cyy")) / 2
-    disc = F.sqrt(F.greatest(F.lit(0.0), half * half - (F.col("cxx") * F.col("cyy") - F.col("cxy") * F.col("cxy"))))
-    angle = F.when(F.abs("cxy") > 1e-10, F.atan2(F.col("cxy"), half + disc - F.col("cyy"))).when(F.col("cxx") >= F.col("cyy"), 0.0).otherwise(F.pi() / 2)
-    m = m.withColumn("angle", angle)
+    m = m.withColumn("angle", _angle())
     dx, dy, a = F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.col("angle")
     along, across = dx * F.cos(a) + dy * F.sin(a), dy * F.cos(a) - dx * F.sin(a)
     at = points.join(m, list(key)).withColumns({"_u": along, "_v": across})

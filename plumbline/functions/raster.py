@@ -10,10 +10,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from ..constants import COLOR_SAMPLES, COLOR_SHARE, COLORS, WHITE
+from ..constants import (
+    BLUR_WIDTH, COLOR_SAMPLES, COLOR_SHARE, COLORS, CROP_BRIGHT, CROP_DARK, CROP_EDGE, CROP_SATURATION, CROP_VALUE, LUMINANCE, WHITE,
+)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -62,6 +67,20 @@ def scaled(grid: Column, w, h, new_w, new_h) -> Column:
     return F.transform(_cells(new_w, new_h), lambda k: F.get(grid, under(k).cast("int")))
 
 
+def spread(lists: pa.Array, size: np.ndarray) -> np.ndarray:
+    """The numbers of all lists in a row, each list cut or filled up to its size; NaN for nulls and where a list is filled up."""
+    n = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if np.array_equal(n, size):
+        return flat
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    inside = place < size[row]
+    out = np.full(int(size.sum()), np.nan)
+    out[(np.cumsum(size) - size)[row[inside]] + place[inside]] = flat[inside]
+    return out
+
+
 def homography(p: np.ndarray) -> np.ndarray | None:
     """The eight numbers a to h that take the unit square to the quad p (x0, y0, ...): x = (a s + b t + c) / (g s + h t + 1), y with d, e, f. None for a quad without such a map."""
     x, y = p[0::2], p[1::2]
@@ -114,3 +133,94 @@ def dominant_in(classes: Column, w, h, box: dict[str, Column]) -> Column:
         return bound(counts, lambda n: F.when((shown(n) > 0) & (shown(n) / F.size(got) >= COLOR_SHARE), most(n)).otherwise(COLORS[-1]))
 
     return bound(bound(frame, seen), best)
+
+
+def color_codes(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in COLORS of pixels (0 to 255), by the rules of ``image.hsv`` and ``image.color_class``; NaN stands for null."""
+    top, low = np.fmax(np.fmax(r, g), b), np.fmin(np.fmin(r, g), b)
+    span = top - low
+    with np.errstate(divide="ignore", invalid="ignore"):
+        red = (g - b) / span
+        red = np.where(red < 0, np.fmod(red + 6, 6), red)
+        h = np.where(span == 0, 0.0, np.where(top == r, red, np.where(top == g, (b - r) / span + 2, (r - g) / span + 4))) * 60
+        s, v = np.where(top == 0, 0.0, span / top), top / 255
+    within = lambda x, y: (h >= x) & (h <= y)
+    rules = [
+        (v < 0.25, "UNKNOWN"), ((s < 0.16) & (v > 0.72), "WHITE"), (v < 0.28, "BLACK"), (s < 0.18, "UNKNOWN"), (within(0, 22) | (h >= 338), "RED"),
+        (within(35, 78), "YELLOW"), (within(80, 155), "GREEN"), (within(156, 210), "CYAN"), (within(211, 260), "BLUE"),
+    ]
+    return np.select([on for on, _ in rules], [COLORS.index(name) for _, name in rules], COLORS.index("UNKNOWN"))
+
+
+#: Pictures of a batch that are worked on at once.
+_PICTURES = 16
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def color_names(r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
+    """The colour names of pictures' pixels, channels (array<double>) row by row."""
+    names, parts = pa.array(COLORS), []
+    for at in range(0, max(1, len(r)), _PICTURES):
+        some = [c.slice(at, _PICTURES) for c in (r, g, b)]
+        size = np.max([pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False) for c in some], axis=0)
+        codes = color_codes(*(spread(c, size) for c in some))
+        parts.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), names.take(pa.array(codes))))
+    return pa.concat_arrays(parts)
+
+
+def _each(size: list[pa.Array], more: list[pa.Array], channels: list[pa.Array], one: Callable) -> list:
+    """``one`` (sizes, channels as an array of three images) of each picture; None where a size or a channel is missing or the picture has no pixel."""
+    out = []
+    for i, of in enumerate(zip(*(a.to_pylist() for a in (*size, *more)), strict=True)):
+        if None in of or min(of[:2]) < 1 or not all(c[i].is_valid for c in channels):
+            out.append(None)
+            continue
+        grid = np.stack([spread(c.slice(i, 1), np.array([of[0] * of[1]])) for c in channels]).reshape(3, of[1], of[0])
+        out.append(one(grid, *of[2:]))
+    return out
+
+
+def _luminance(rgb: np.ndarray) -> np.ndarray:
+    return rgb[0] * LUMINANCE[0] + rgb[1] * LUMINANCE[1] + rgb[2] * LUMINANCE[2]
+
+
+def blur_score(w: pa.Array, h: pa.Array, new_h: pa.Array, r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
+    """The variance of the Laplacian of pictures brought to a width of 320 and a height of ``new_h`` as ``scaled`` does; 0 at the edges, which count."""
+
+    def one(rgb: np.ndarray, nh: int) -> float:
+        h, w = rgb.shape[1:]
+        if nh < 3:
+            return 0.0
+        y, x = (np.floor((np.arange(n) + 0.5) * old / n).astype(np.int64) for n, old in ((nh, h), (BLUR_WIDTH, w)))
+        s = _luminance(rgb)[y][:, x]
+        lap = np.zeros_like(s)
+        lap[1:-1, 1:-1] = s[1:-1, :-2] + s[1:-1, 2:] + s[:-2, 1:-1] + s[2:, 1:-1] - 4 * s[1:-1, 1:-1]
+        return float(np.nanvar(lap))
+
+    return pa.array(_each([w, h], [new_h], [r, g, b], one), pa.float64())
+
+
+def _brought_down(grid: np.ndarray, nw: int, nh: int) -> np.ndarray:
+    """Images scaled bilinearly as ``resampled`` does, whole values."""
+    _, h, w = grid.shape
+    u, v = (np.maximum(0.0, np.minimum(old - 1.0, (np.arange(n) + 0.5) * old / n - 0.5)) for n, old in ((nw, w), (nh, h)))
+    x, y = u.astype(np.int64), v.astype(np.int64)
+    fx, fy, x2, y2 = u - x, (v - y)[:, None], np.minimum(x + 1, w - 1), np.minimum(y + 1, h - 1)
+    along = grid[:, :, x] * (1 - fx) + grid[:, :, x2] * fx
+    return np.floor(along[:, y] * (1 - fy) + along[:, y2] * fy + 0.5)
+
+
+def crop_counts(w: pa.Array, h: pa.Array, new_w: pa.Array, new_h: pa.Array, r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
+    """The sums of ``image.crop_counts`` over the pixels of each crop, brought down to ``new_w`` by ``new_h`` first where that is smaller."""
+
+    def one(rgb: np.ndarray, nw: int, nh: int) -> dict:
+        if nw * nh < rgb[0].size:
+            rgb = _brought_down(rgb, nw, nh)
+        lum, top, low = _luminance(rgb), np.fmax(np.fmax(rgb[0], rgb[1]), rgb[2]), np.fmin(np.fmin(rgb[0], rgb[1]), rgb[2])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            colored = (np.where(top == 0, 0.0, (top - low) / top) > CROP_SATURATION) & (top / 255 > CROP_VALUE)
+        n = lambda on: int(np.count_nonzero(on))
+        return {"bright": n(lum > CROP_BRIGHT), "dark": n(lum < CROP_DARK), "colored": n(colored), "edge": n(lum < CROP_EDGE), "contrast": float(np.fmax.reduce(lum, None) - np.fmin.reduce(lum, None)), "n": lum.size}
+
+    kinds = pa.struct([(k, pa.float64() if k == "contrast" else pa.int64()) for k in ("bright", "dark", "colored", "edge", "contrast", "n")])
+    return pa.array(_each([w, h], [new_w, new_h], [r, g, b], one), kinds)

@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..constants import AREA_MIN, BLUR_WIDTH, CROP_CHECK, CROP_MIN, EXPAND_X, EXPAND_Y, MAX_REGIONS, TALL, WHITE
 from ..functions import geometry as G
@@ -25,6 +26,7 @@ from . import match, regions
 from .keep import saved
 
 _ID = ["image", "index"]
+_SUMS = ["bright", "dark", "colored", "edge", "contrast", "n"]
 
 
 class Phases:
@@ -53,7 +55,7 @@ def polygons(maps: DataFrame, frames: DataFrame) -> DataFrame:
 
     ``frames`` (image, w, h, scale, pad_x, pad_y) tells how an image was fitted into the map.
     """
-    rects = G.pca_rect(regions.run_pixels(regions.component_runs(maps)), "image", "component")
+    rects = regions.component_rects(maps)
     quad = G.unclipped(*(F.col(c) for c in ("cx", "cy", "rw", "rh", "angle")))
     c = F.col
     placed = rects.withColumnsRenamed({"w": "rw", "h": "rh"}).join(frames.select("image", "w", "h", "scale", "pad_x", "pad_y"), "image")
@@ -74,7 +76,8 @@ def cropped(found: DataFrame, pictures: DataFrame) -> DataFrame:
     perspective map gives the crop of the box around it.
     """
     pic = pictures.select("image", "w", "h", "r", "g", "b")
-    wide = found.join(pic, "image").withColumn("p", G.expanded(F.col("p"), EXPAND_X, F.col("w"), F.col("h"), EXPAND_Y))
+    # the regions are the side that is held: pictures are never broadcast, and stay where they are if dealt out by image
+    wide = found.hint("shuffle_hash").join(pic, "image").withColumn("p", G.expanded(F.col("p"), EXPAND_X, F.col("w"), F.col("h"), EXPAND_Y))
     wide = wide.withColumns({k: v.cast("int") for k, v in G.int_bbox(F.col("p")).items()})
     quad = G.corner_order(F.col("p"))
     box = G.as_polygon({k: F.col(k).cast("double") for k in ("left", "top", "right", "bottom")})
@@ -104,21 +107,32 @@ def _crop_size(q: list[float]) -> tuple[int, int]:
     return tuple(max(1, min(2000, int(v))) for v in ((side(0, 1) + side(3, 2)) / 2, (side(0, 3) + side(1, 2)) / 2))
 
 
-def crop_sums(crops: DataFrame, *key: str) -> DataFrame:
-    """Counts over the pixels of the crops (key, cw, ch, r, g, b) of 8 pixels each way and more.
+def _measured(pictures: DataFrame, keep: list[str], sizes: list[Column], use: Callable[..., pa.Array], more: list[StructField]) -> DataFrame:
+    """The columns ``keep`` and what ``use`` makes of sizes and channels, row by row: no pixel leaves its picture. Rows of which it makes nothing are left out."""
+    n = len(keep)
 
-    Crops over 128 pixels are brought down to that first. A crop's pixels are counted where it is.
-    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = use(*b.columns[n:])
+            columns = got.flatten() if pa.types.is_struct(got.type) else [got]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *columns], [*b.schema.names[:n], *(f.name for f in more)]).filter(got.is_valid())
+
+    given = pictures.select(*keep, *(s.alias(f"_s{i}") for i, s in enumerate(sizes)), *(F.col(k).cast("array<double>").alias(f"_{k}") for k in "rgb"))
+    return given.mapInArrow(task, StructType([*given.schema.fields[:n], *more]))
+
+
+def _counted(crops: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of crops of 8 pixels each way and more, with their pixel counts. Crops over 128 pixels are brought down to that first."""
     c, long = F.col, F.greatest("cw", "ch")
     fit = lambda v: F.when(long > CROP_CHECK, F.greatest(F.lit(1), (v * (CROP_CHECK / long)).cast("int"))).otherwise(v)
-    whole = lambda a: F.transform(a, lambda v: F.floor(v + 0.5).cast("double"))
     small = crops.where((c("cw") >= CROP_MIN) & (c("ch") >= CROP_MIN))
-    held = F.struct("cw", "ch", fit(c("cw")).alias("nw"), fit(c("ch")).alias("nh"), "r", "g", "b")
-    brought = lambda s, x: F.when(s["nw"] * s["nh"] < s["cw"] * s["ch"], whole(R.resampled(s[x], s["cw"], s["ch"], s["nw"], s["nh"]))).otherwise(s[x])
-    # pixels leave their arrays with nothing but the key
-    zipped = R.bound(held, lambda s: F.arrays_zip(*(brought(s, x).alias(x) for x in ("r", "g", "b"))))
-    px = small.select(*key, F.explode(zipped).alias("px")).select(*key, "px.r", "px.g", "px.b")
-    return px.groupBy(*key).agg(*I.crop_counts(c("r"), c("g"), c("b")))
+    sums = [StructField(k, DoubleType() if k == "contrast" else LongType()) for k in _SUMS]
+    return _measured(small, keep, [c("cw"), c("ch"), fit(c("cw")), fit(c("ch"))], R.crop_counts, sums)
+
+
+def crop_sums(crops: DataFrame, *key: str) -> DataFrame:
+    """Counts over the pixels of the crops (key, cw, ch, r, g, b) of 8 pixels each way and more, a row for each crop."""
+    return _counted(crops, list(key))
 
 
 def useful(crops: DataFrame, *key: str) -> DataFrame:
@@ -133,9 +147,10 @@ def read(crops: DataFrame, reads: DataFrame) -> DataFrame:
     turned level, as it is and upside down; the second is only made where the first is not sure.
     """
     c = F.col
-    sure = I.is_confident(c("text"), c("confidence"))
-    turned = ~sure & (I.recognition_score(c("text_r"), c("confidence_r")) > I.recognition_score(c("text"), c("confidence")))
-    return crops.join(reads, _ID).select(
+    better = I.recognition_score(c("text_r"), c("confidence_r")) > I.recognition_score(c("text"), c("confidence"))
+    judged = crops.join(reads, _ID).withColumn("_sure", I.is_confident(c("text"), c("confidence"))).withColumn("_turned", ~c("_sure") & better)
+    sure, turned = c("_sure"), c("_turned")
+    return judged.select(
         *crops.columns,
         (c("ch") > c("cw") * TALL).alias("turned"),
         F.when(turned, "rotated").otherwise("normal").alias("side"),
@@ -153,9 +168,10 @@ def run(maps: DataFrame, frames: DataFrame, pictures: DataFrame, reads: DataFram
     """
     phase = phases or Phases()
     found = phase("detection", chosen(regions.merge_polygons(polygons(maps, frames), pictures), n))
-    crops = phase("crop", saved(cropped(found, pictures)))  # kept, as they are looked at before they are read
-    good = phase("crop_check", crops.join(useful(crops, *_ID), _ID, "left_semi").drop("r", "g", "b"))
-    all_read = phase("recognition", read(good, reads))
+    crops = phase("crop", cropped(found, pictures))
+    good = phase("crop_check", _counted(crops, [k for k in crops.columns if k not in ("r", "g", "b")]).where(I.is_useful_crop()).drop(*_SUMS))
+    # kept, without pixels, as both the items and the counts are made of them
+    all_read = phase("recognition", saved(read(good, reads)))
     items = phase("result_filter", all_read.where(I.is_kept(F.col("text"), F.col("confidence"))).drop("normal_count", "rotated_count", "cw", "ch"))
     return items, all_read.groupBy("image").agg(F.sum("normal_count").alias("normal_count"), F.sum("rotated_count").alias("rotated_count"))
 
@@ -174,11 +190,9 @@ def outlined(maps: DataFrame, frames: DataFrame, pictures: DataFrame, n: int = M
 def blur_scores(pictures: DataFrame, *key: str) -> DataFrame:
     """(key, score, blurred): the variance of the Laplacian of each picture (w, h, r, g, b), brought to a width of 320 without mixing pixels.
 
-    Nothing but the key goes with a pixel, and pictures are summed up where they are.
+    A picture is a row and is scored where it is; no shuffle.
     """
     c = F.col
     nh = (c("h") * (F.lit(float(BLUR_WIDTH)).cast("float") / c("w"))).cast("int")
-    gray = F.transform(F.arrays_zip("r", "g", "b"), lambda p: I.luminance(p["r"], p["g"], p["b"]))
-    v = R.bound(gray, lambda g: R.bound(R.scaled(g, c("w"), c("h"), BLUR_WIDTH, nh), lambda x: I.laplacian(x, F.lit(BLUR_WIDTH), nh, 1)))
-    out = pictures.select(*key, F.explode(v).alias("v"))
-    return out.groupBy(*key).agg(F.var_pop("v").alias("score")).withColumn("blurred", N.is_blurred(c("score")))
+    scored = _measured(pictures, list(key), [c("w"), c("h"), nh], R.blur_score, [StructField("score", DoubleType())])
+    return scored.withColumn("blurred", N.is_blurred(c("score")))

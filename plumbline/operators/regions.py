@@ -75,11 +75,8 @@ def _numbered_runs(ids: np.ndarray, image: np.ndarray, y: np.ndarray, low: np.nd
 _RUNS = "image long, component long, y long, x0 long, x1 long"
 
 
-def component_runs(maps: DataFrame, threshold: float = HEAT_THRESHOLD, min_size: int = HEAT_MIN_SIZE) -> DataFrame:
-    """4-neighbour components of the values above ``threshold`` in maps (image, width, heat row by row): image, component, y, x0, x1, a row for each run of pixels.
-
-    An image is a row of ``maps`` and never leaves its task; no shuffle.
-    """
+def _from_maps(maps: DataFrame, threshold: float, min_size: int, use: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``use`` of the numbered runs of some whole images at a time."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -98,9 +95,54 @@ def component_runs(maps: DataFrame, threshold: float = HEAT_THRESHOLD, min_size:
                 edge[-1:], edge[:-1] = True, ~lit[1:]
                 ends = np.flatnonzero(lit & (edge | (x == width - 1)))
                 ids = b.column(0).to_numpy(zero_copy_only=False)
-                yield _numbered_runs(ids, image[starts], (place // width)[starts], x[starts], x[ends], min_size)
+                yield use(_numbered_runs(ids, image[starts], (place // width)[starts], x[starts], x[ends], min_size))
+
+    return maps.select("image", "width", "heat").mapInArrow(task, schema)
 
-    return maps.select("image", "width", "heat").mapInArrow(task, _RUNS)
+
+def component_runs(maps: DataFrame, threshold: float = HEAT_THRESHOLD, min_size: int = HEAT_MIN_SIZE) -> DataFrame:
+    """4-neighbour components of the values above ``threshold`` in maps (image, width, heat row by row): image, component, y, x0, x1, a row for each run of pixels.
+
+    An image is a row of ``maps`` and never leaves its task; no shuffle.
+    """
+    return _from_maps(maps, threshold, min_size, lambda runs: runs, _RUNS)
+
+
+def _rects(runs: pa.RecordBatch) -> pa.RecordBatch:
+    """Principal-axis rectangles, as ``geometry.pca_rect`` gives them, of the components of 3 pixels and more: sums over runs in closed form, extents from their ends."""
+    image, component, y, x0, x1 = (c.to_numpy() for c in runs.columns)
+    order = np.lexsort((component, image))
+    image, component, y, x0, x1 = (v[order] for v in (image, component, y, x0, x1))
+    new = np.ones(len(y), bool)
+    new[1:] = (image[1:] != image[:-1]) | (component[1:] != component[:-1])
+    heads = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    total = lambda v: np.add.reduceat(v, heads) if len(heads) else v
+    squares = lambda x: x * (x + 1) * (2 * x + 1)
+    n, twice = x1 - x0 + 1, (x0 + x1) * (x1 - x0 + 1)
+    k, sx, sy, sxx, syy, sxy = (total(v).astype(float) for v in (n, twice, n * y, squares(x1) - squares(x0 - 1), n * y * y, twice * y))
+    sx, sxx, sxy = sx / 2, sxx / 6, sxy / 2
+    cx, cy, cxx, cyy, cxy = sx / k, sy / k, (k * sxx - sx * sx) / (k * k), (k * syy - sy * sy) / (k * k), (k * sxy - sx * sy) / (k * k)
+    half = (cxx + cyy) / 2
+    disc = np.sqrt(np.maximum(0.0, half * half - (cxx * cyy - cxy * cxy)))
+    angle = np.where(np.abs(cxy) > 1e-10, np.arctan2(cxy, half + disc - cyy), np.where(cxx >= cyy, 0.0, np.pi / 2))
+    co, si, dy = np.cos(angle)[of], np.sin(angle)[of], y - cy[of]
+    ends = [x - cx[of] for x in (x0, x1)]
+
+    def extent(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if not len(heads):
+            return a
+        return np.maximum(1.0, np.maximum.reduceat(np.maximum(a, b), heads) - np.minimum.reduceat(np.minimum(a, b), heads))
+
+    w, h = extent(*(dx * co + dy * si for dx in ends)), extent(*(dy * co - dx * si for dx in ends))
+    kept = np.flatnonzero(k >= 3)
+    out = [image[heads], component[heads], k.astype(np.int64), cx, cy, angle, w, h]
+    return pa.RecordBatch.from_arrays([pa.array(v[kept]) for v in out], ["image", "component", "n", "cx", "cy", "angle", "w", "h"])
+
+
+def component_rects(maps: DataFrame, threshold: float = HEAT_THRESHOLD, min_size: int = HEAT_MIN_SIZE) -> DataFrame:
+    """The principal-axis rectangle of each of the components of ``component_runs``: image, component, n, cx, cy, angle, w, h; no shuffle."""
+    return _from_maps(maps, threshold, min_size, _rects, "image long, component long, n long, cx double, cy double, angle double, w double, h double")
 
 
 def run_pixels(runs: DataFrame) -> DataFrame:
@@ -191,10 +233,15 @@ def merge_lines(boxes: DataFrame, image_w: float) -> DataFrame:
 def merge_polygons(polygons: DataFrame, pictures: DataFrame) -> DataFrame:
     """Polygons (image, ord, p) merged by line and colour: image, line, p. A single polygon of an image stays as it is, rotated or not.
 
-    ``pictures`` has image, w, h and classes, the colour names of its pixels row by row; an image is one row of it.
+    ``pictures`` has image, w, h and classes, the colour names of its pixels row by row, or else
+    the channels r, g and b to name; an image is one row of it. The boxes are the side of the
+    join that is held: pictures are never broadcast, and stay where they are if dealt out by image.
     """
     boxed = polygons.select("image", "ord", "p", *(v.alias(k) for k, v in G.bbox(F.col("p")).items()))
-    met = _listed(boxed, "p").join(pictures.select("image", "w", "h", "classes"), "image")
+    pixels = ["classes"] if "classes" in pictures.columns else ["r", "g", "b"]
+    met = _listed(boxed, "p").hint("shuffle_hash").join(pictures.select("image", "w", "h", *pixels), "image")
+    if pixels != ["classes"]:
+        met = met.select("image", "boxes", "w", "h", R.color_names(*(F.col(k).cast("array<double>") for k in pixels)).alias("classes"))
     lines = merged_boxes(F.col("boxes"), F.col("w"), lambda b: R.dominant_in(F.col("classes"), F.col("w"), F.col("h"), b))
     rects = F.transform(lines, lambda b: G.as_polygon({k: b[k] for k in _SIDES}))
     alone = F.transform("boxes", lambda b: b["p"])

@@ -41,16 +41,17 @@ _COMPONENTS = f"""{T.with_('heat').replace('WITH ', 'WITH RECURSIVE ', 1)}, px A
 )
 def text_regions(spark, d):
     """Components of heat maps of 64 by 64 at the detector's own limits, with their sizes, boxes and the sum of their places."""
-    px = regions.run_pixels(regions.component_runs(T.heat_maps(spark, d)))
-    return px.groupBy("image", "component").agg(
-        F.count("*").alias("pixels"), F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("right"), F.max("y").alias("bottom"), F.sum(F.col("y") * 64 + F.col("x")).alias("places")
+    n = F.col("x1") - F.col("x0") + 1
+    places = n * 64 * F.col("y") + F.expr("(x0 + x1) * (x1 - x0 + 1) div 2")
+    return regions.component_runs(T.heat_maps(spark, d)).groupBy("image", "component").agg(
+        F.sum(n).alias("pixels"), F.min("x0").alias("left"), F.min("y").alias("top"), F.max("x1").alias("right"), F.max("y").alias("bottom"), F.sum(places).alias("places")
     )
 
 
 @query()
 def detection_chain(spark, d):
     """What is read in each picture, by index; tested against a model in plain Python."""
-    p = _with_classes(T.pictures(spark, d))
+    p = T.pictures(spark, d)
     items, counts = D.run(T.heat_maps(spark, d), _frames(p), p, T.readings(spark, d))
     shown = items.select("image", "index", "left", "top", "right", "bottom", "turned", "side", "text", F.round(F.col("confidence").cast("double"), 5).alias("confidence"))
     return shown.join(counts, "image")
@@ -100,7 +101,7 @@ _LINES = f"""{_COMPONENTS},
 )
 def detected_lines(spark, d):
     """Regions merged by line and colour, the largest first: box, two corners and area."""
-    p = _with_classes(T.pictures(spark, d))
+    p = T.pictures(spark, d)
     found = D.outlined(T.heat_maps(spark, d), _frames(p), p)
     at = lambda i: F.round(F.get("p", F.lit(i)), 4)
     return found.select("image", "index", "left", "top", "right", "bottom", at(0).alias("x0"), at(1).alias("y0"), at(4).alias("x2"), at(5).alias("y2"), F.round(G.area(F.col("p")), 3).alias("area"))
@@ -155,7 +156,7 @@ def crop_sizes_useful(spark, d):
 @query()
 def upright_crops(spark, d):
     """Sizes and mean colours of the upright crops of each picture's regions; tested against a model in plain Python."""
-    p = _with_classes(T.pictures(spark, d))
+    p = T.pictures(spark, d)
     found = D.chosen(regions.merge_polygons(D.polygons(T.heat_maps(spark, d), _frames(p)), p))
     mean = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c), 4)
     return D.cropped(found, p).select("image", "index", "cw", "ch", *(mean(k).alias(k) for k in ("r", "g", "b")))

@@ -6,9 +6,15 @@ registrations, line items for their items, and brand with size for the label mas
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.raster import bound, spread
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -85,35 +91,48 @@ def recognised_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Embeddings (image, e); few bytes that become many pixels, so dealt out first."""
+    """Embeddings (image, e); few bytes that become many pixels, so dealt out first, into as many parts as a join by image has."""
     e = read(spark, folder, "embeddings").select(F.col("vec_id").alias("image"), F.col("embedding").cast("array<double>").alias("e"))
-    return e.repartition(2 * spark.sparkContext.defaultParallelism, "image")
+    return e.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "image")
+
+
+#: Images of a batch that are drawn at once.
+_IMAGES = 64
 
 
 def heat_maps(spark: SparkSession, folder: str) -> DataFrame:
     """A detector's output, 64 by 64: each embedding as 8 by 8 values, mixed in between."""
-    e = _vectors(spark, folder)
 
-    def one(k: Column) -> Column:
-        x, y = (k % 64).cast("int"), F.floor(k / 64).cast("int")
-        i, j, fx, fy = F.floor(x / 8).cast("int"), F.floor(y / 8).cast("int"), (x % 8) / 8, (y % 8) / 8
-        i2, j2 = F.least(i + 1, F.lit(7)), F.least(j + 1, F.lit(7))
-        g = lambda a, b: F.get("e", b * 8 + a)
-        return ((g(i, j) * (1 - fx) + g(i2, j) * fx) * (1 - fy) + (g(i, j2) * (1 - fx) + g(i2, j2) * fx) * fy) * 3
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = np.arange(64)
+        i, j, f = at // 8, np.minimum(at // 8 + 1, 7), (at % 8) / 8
+        for whole in batches:
+            for start in range(0, whole.num_rows, _IMAGES):
+                b = whole.slice(start, _IMAGES)
+                g = spread(b.column(1), np.full(b.num_rows, 64)).reshape(-1, 8, 8)
+                wide = g[:, :, i] * (1 - f) + g[:, :, j] * f
+                heat = (wide[:, i] * (1 - f)[:, None] + wide[:, j] * f[:, None]) * 3
+                flat = pa.array(heat.ravel(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * 4096, flat)], ["image", "heat"])
 
-    return e.select("image", F.lit(64).alias("width"), F.transform(F.sequence(F.lit(0), F.lit(4095)), one).alias("heat"))
+    return _vectors(spark, folder).mapInArrow(task, "image long, heat array<double>").select("image", F.lit(64).alias("width"), "heat")
 
 
 def pictures(spark: SparkSession, folder: str, w: int = 96, h: int = 72) -> DataFrame:
-    """Pictures of w by h pixels, 8 by 8 fields of one colour each, as channels row by row."""
+    """Pictures of w by h pixels, 8 by 8 fields of one colour each, as channels row by row.
+
+    The 64 values of a channel are worked out once and repeated. Expressions alone, so that the
+    rows stay dealt out by image.
+    """
     e = _vectors(spark, folder)
+    wide, high = ([sum(k * 8 // n == i for k in range(n)) for i in range(8)] for n in (w, h))
+    value = lambda k: F.round(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.get("e", k) * 3 + 0.5) * 255)))
 
     def channel(c: int) -> Column:
-        def one(k: Column) -> Column:
-            field = F.floor(F.floor(k / w) * 8 / h) * 8 + F.floor((k % w) * 8 / w) + 7 * c
-            return F.round(F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.get("e", (field % 64).cast("int")) * 3 + 0.5) * 255)))
-
-        return F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), one)
+        fields = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: value((k + 7 * c) % 64))
+        line = lambda v, j: F.flatten(F.array(*(F.array_repeat(F.get(v, j * 8 + i), n) for i, n in enumerate(wide))))
+        lines = lambda v: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: line(v, j))
+        return F.flatten(bound(bound(fields, lines), lambda x: F.flatten(F.array(*(F.array_repeat(F.get(x, F.lit(j)), n) for j, n in enumerate(high))))))
 
     return e.select("image", F.lit(w).alias("w"), F.lit(h).alias("h"), *(channel(c).alias(k) for c, k in enumerate("rgb")))
 
