@@ -122,12 +122,15 @@ def dominant_in(classes: Column, w, h, box: dict[str, Column]) -> Column:
     def seen(f: Column) -> Column:
         step = F.greatest(F.lit(1), F.floor(F.greatest(f["r"] - f["l"], f["b"] - f["t"]) / COLOR_SAMPLES)).cast("int")
         rows, cols = F.sequence(f["t"], f["b"] - 1, step), F.sequence(f["l"], f["r"] - 1, step)
-        return F.flatten(F.transform(rows, lambda y: F.transform(cols, lambda x: F.get(classes, (y * w + x).cast("int")))))
+        picked = F.flatten(F.transform(rows, lambda y: F.transform(cols, lambda x: F.get(classes, (y * w + x).cast("int")))))
+        # without a step, rows are taken whole, which needs no lambda for each pixel
+        cut = F.flatten(F.transform(rows, lambda y: F.slice(classes, (y * w + f["l"] + 1).cast("int"), f["r"] - f["l"])))
+        return F.when((step == 1) & (F.size(classes) >= w * h), cut).otherwise(picked)
 
     names = F.array(*(F.lit(c) for c in COLORS[:-1]))
 
     def best(got: Column) -> Column:
-        counts = F.transform(names, lambda c: F.size(F.filter(got, lambda v: v == c)))
+        counts = F.transform(names, lambda c: F.size(got) - F.size(F.array_remove(got, c)))
         shown = lambda n: F.aggregate(n, F.lit(0), lambda a, v: a + v)
         most = lambda n: F.get(names, (F.array_position(n, F.array_max(n)) - 1).cast("int"))
         return bound(counts, lambda n: F.when((shown(n) > 0) & (shown(n) / F.size(got) >= COLOR_SHARE), most(n)).otherwise(COLORS[-1]))

@@ -59,8 +59,10 @@ def polygons(maps: DataFrame, frames: DataFrame) -> DataFrame:
     quad = G.unclipped(*(F.col(c) for c in ("cx", "cy", "rw", "rh", "angle")))
     c = F.col
     placed = rects.withColumnsRenamed({"w": "rw", "h": "rh"}).join(frames.select("image", "w", "h", "scale", "pad_x", "pad_y"), "image")
-    out = placed.select("image", c("component").alias("ord"), G.inverse_letterbox(quad, c("scale"), c("pad_x"), c("pad_y"), c("w"), c("h")).alias("p"))
-    return out.where(G.area(c("p")) > AREA_MIN)
+    back = G.inverse_letterbox(quad, c("scale"), c("pad_x"), c("pad_y"), c("w"), c("h"))
+    # bound, as the filter is pushed below and would else hold the polygon's expression at each use
+    out = placed.select("image", c("component").alias("ord"), R.bound(back, lambda p: F.struct(p.alias("p"), G.area(p).alias("area"))).alias("s"))
+    return out.where(c("s.area") > AREA_MIN).select("image", "ord", "s.p")
 
 
 def chosen(lines: DataFrame, n: int = MAX_REGIONS) -> DataFrame:

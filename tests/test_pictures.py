@@ -3,8 +3,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from plumbline.operators import detect as D
 from plumbline.plans import detect as P
+from plumbline.sources import standins as T
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -18,3 +21,12 @@ def test_detected_lines_holds_boxes_and_not_pictures(spark):
     got = plan(P.detected_lines(spark, DATA))
     assert "ShuffledHashJoin [image" in got and "BuildLeft" in got
     assert len(got) < 100_000
+
+
+def test_detection_chain_saves_no_pixels(spark, monkeypatch):
+    kept, saved = [], D.saved
+    monkeypatch.setattr(D, "saved", lambda df: kept.append(set(df.columns)) or saved(df))
+    some = F.col("image") < 20
+    p = T.pictures(spark, DATA).where(some)
+    D.run(T.heat_maps(spark, DATA).where(some), P._frames(p), p, T.readings(spark, DATA))
+    assert len(kept) == 1 and not kept[0] & {"r", "g", "b"}
