@@ -30,3 +30,8 @@ def test_detection_chain_saves_no_pixels(spark, monkeypatch):
     p = T.pictures(spark, DATA).where(some)
     D.run(T.heat_maps(spark, DATA).where(some), P._frames(p), p, T.readings(spark, DATA))
     assert len(kept) == 1 and not kept[0] & {"r", "g", "b"}
+
+
+def test_upright_crops_hold_regions_and_not_pictures(spark):
+    got = plan(P.upright_crops(spark, DATA))
+    assert got.count("ShuffledHashJoin [image") == 2 and len(got) < 100_000
