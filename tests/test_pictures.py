@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,3 +36,20 @@ def test_detection_chain_saves_no_pixels(spark, monkeypatch):
 def test_upright_crops_hold_regions_and_not_pictures(spark):
     got = plan(P.upright_crops(spark, DATA))
     assert got.count("ShuffledHashJoin [image") == 2 and len(got) < 100_000
+
+
+def test_picture_blur_scores_pictures_where_they_are(spark):
+    got = plan(P.picture_blur(spark, DATA))
+    assert "Generate" not in got and "Aggregate" not in got
+
+
+def test_pictures_of_odd_vectors(spark, tmp_path):
+    odd = [(1, [float("nan")] + [0.0] * 63), (2, None), (3, [0.1, None]), (4, [0.2] * 70)]
+    spark.createDataFrame(odd, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for w, h in ((16, 8), (7, 30)):
+        for row in T.pictures(spark, str(tmp_path), w, h).collect():
+            e = (dict(odd)[row.image] or [])[:64]
+            e = e + [None] * (64 - len(e))
+            for c, got in enumerate((row.r, row.g, row.b)):
+                field = [(k // w * 8 // h * 8 + k % w * 8 // w + 7 * c) % 64 for k in range(w * h)]
+                assert got == [0.0 if e[f] is None else 255.0 if e[f] != e[f] else float(int(min(255.0, (float(np.float32(e[f])) * 3 + 0.5) * 255) + 0.5)) for f in field]
