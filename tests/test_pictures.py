@@ -58,3 +58,8 @@ def test_pictures_of_odd_vectors(spark, tmp_path):
 def test_crop_sums_count_crops_where_they_are(spark):
     got = plan(D.crop_sums(spark.createDataFrame([(1, 8, 8, [9.0] * 64, [9.0] * 64, [200.0] * 64)], "image long, cw int, ch int, r array<double>, g array<double>, b array<double>"), "image"))
     assert "Generate" not in got and "Aggregate" not in got
+
+
+def test_text_regions_sum_up_runs(spark):
+    got = plan(P.text_regions(spark, DATA))
+    assert "Generate" not in got
