@@ -7,6 +7,7 @@ searched for common parts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..constants import (
     BLUR_WIDTH, COLOR_SAMPLES, COLOR_SHARE, COLORS, CROP_BRIGHT, CROP_DARK, CROP_EDGE, CROP_SATURATION, CROP_VALUE, LUMINANCE, WHITE,
@@ -155,20 +155,31 @@ def color_codes(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.select([on for on, _ in rules], [COLORS.index(name) for _, name in rules], COLORS.index("UNKNOWN"))
 
 
-#: Pictures of a batch that are worked on at once.
-_PICTURES = 16
-
-
-@F.arrow_udf(ArrayType(StringType()))
-def color_names(r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
-    """The colour names of pictures' pixels, channels (array<double>) row by row."""
-    names, parts = pa.array(COLORS), []
-    for at in range(0, max(1, len(r)), _PICTURES):
-        some = [c.slice(at, _PICTURES) for c in (r, g, b)]
-        size = np.max([pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False) for c in some], axis=0)
-        codes = color_codes(*(spread(c, size) for c in some))
-        parts.append(pa.ListArray.from_arrays(np.append(0, np.cumsum(size)).astype(np.int32), names.take(pa.array(codes))))
-    return pa.concat_arrays(parts)
+def code_grid(channels: list[pa.Array], w: int | None, h: int | None) -> np.ndarray:
+    """Places in COLORS of one picture's pixels, h by w, from its channels or else its colour names; what is missing is UNKNOWN."""
+    w, h = w or 0, h or 0
+    if len(channels) == 1:
+        codes = pc.index_in(channels[0].flatten(), pa.array(COLORS)).fill_null(len(COLORS) - 1).to_numpy(zero_copy_only=False)
+    else:
+        size = np.array([max(pc.list_value_length(c).fill_null(0)[0].as_py() for c in channels)])
+        codes = color_codes(*(spread(c, size) for c in channels))
+    out = np.full(w * h, len(COLORS) - 1)
+    out[: len(codes)] = codes[: w * h]
+    return out.reshape(h, w)
+
+
+def dominant_code(grid: np.ndarray, box: tuple) -> int:
+    """``dominant_in`` of a grid of places in COLORS and a box (left, top, right, bottom): the place of the colour."""
+    h, w = grid.shape
+    if not grid.size:
+        return len(COLORS) - 1
+    left, top = (max(0, min(n - 1, math.floor(v))) for n, v in ((w, box[0]), (h, box[1])))
+    right, bottom = (max(low + 1, min(n, math.ceil(v))) for n, low, v in ((w, left, box[2]), (h, top, box[3])))
+    step = max(1, max(right - left, bottom - top) // COLOR_SAMPLES)
+    seen = grid[top:bottom:step, left:right:step]
+    n = np.bincount(seen.ravel(), minlength=len(COLORS))[:-1]
+    shown = int(n.sum())
+    return int(n.argmax()) if shown and shown / seen.size >= COLOR_SHARE else len(COLORS) - 1
 
 
 def _each(size: list[pa.Array], more: list[pa.Array], channels: list[pa.Array], one: Callable) -> list:

@@ -9,8 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from ..constants import AREA_MIN, COLORS, HEAT_MIN_SIZE, HEAT_THRESHOLD
+from ..constants import (
+    AREA_MIN, COLORS, HEAT_MIN_SIZE, HEAT_THRESHOLD, MERGE_CENTER, MERGE_GAP_HEIGHT, MERGE_GAP_IMAGE, MERGE_HEIGHT_RATIO, MERGE_OVERLAP, MERGE_PADDING, MERGE_UNION_HEIGHT, MERGE_WIDTH_OVERLAP,
+)
 from ..functions import geometry as G
 from ..functions import image as I
 from ..functions import raster as R
@@ -230,19 +233,69 @@ def merge_lines(boxes: DataFrame, image_w: float) -> DataFrame:
     return out.select("image", F.col("line").cast("long").alias("line"), *(F.col(f"b.{k}") for k in _SIDES))
 
 
+def _on_line(a: tuple, b: tuple, image_w: int | None) -> bool:
+    """``geometry.same_line`` and ``image.colors_fit`` of two boxes (left, top, right, bottom, place of the colour in COLORS)."""
+    high, low = max(a[3] - a[1], 1.0), max(b[3] - b[1], 1.0)
+    high, low = max(high, low), min(high, low)
+    gap = max(max(a[0], b[0]) - min(a[2], b[2]), 0.0)
+    return (
+        high / low <= MERGE_HEIGHT_RATIO
+        and max(min(a[3], b[3]) - max(a[1], b[1]), 0.0) / low >= MERGE_OVERLAP
+        and abs((a[1] + a[3]) / 2 - (b[1] + b[3]) / 2) <= high * MERGE_CENTER
+        and max(min(a[2], b[2]) - max(a[0], b[0]), 0.0) <= min(max(a[2] - a[0], 1.0), max(b[2] - b[0], 1.0)) * MERGE_WIDTH_OVERLAP
+        and gap <= (high * MERGE_GAP_HEIGHT if image_w is None else min(high * MERGE_GAP_HEIGHT, image_w * MERGE_GAP_IMAGE))
+        and max(a[3], b[3]) - min(a[1], b[1]) <= high * MERGE_UNION_HEIGHT
+        and (a[4] == b[4] or COLORS[a[4]] == "UNKNOWN" or COLORS[b[4]] == "UNKNOWN")
+    )
+
+
+def _both(a: tuple, b: tuple) -> tuple[float, ...]:
+    """``geometry.line_box`` of two boxes."""
+    wide, other = max(a[2] - a[0], 1.0), max(b[2] - b[0], 1.0)
+    ha, hb = a[3] - a[1], b[3] - b[1]
+    at = ((a[1] + a[3]) / 2 * wide + (b[1] + b[3]) / 2 * other) / (wide + other)
+    half = max(ha, hb, (ha + hb) / 2 * MERGE_PADDING) / 2
+    return min(a[0], b[0]), at - half, max(a[2], b[2]), at + half
+
+
+def _merged(boxes: list[tuple], image_w: int | None, color: Callable[[tuple], int]) -> list[tuple]:
+    """The boxes of one picture merged as ``merged_boxes`` does."""
+    x = [(*b, color(b)) for b in boxes]
+    while pair := next(((i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if _on_line(x[i], x[j], image_w)), None):
+        i, j = pair
+        both = _both(x[i], x[j])
+        x[i] = (*both, color(both))
+        del x[j]
+    return x
+
+
 def merge_polygons(polygons: DataFrame, pictures: DataFrame) -> DataFrame:
     """Polygons (image, ord, p) merged by line and colour: image, line, p. A single polygon of an image stays as it is, rotated or not.
 
     ``pictures`` has image, w, h and classes, the colour names of its pixels row by row, or else
     the channels r, g and b to name; an image is one row of it. The boxes are the side of the
     join that is held: pictures are never broadcast, and stay where they are if dealt out by image.
+    A picture goes to its task once, with its boxes, and only polygons come back.
     """
     boxed = polygons.select("image", "ord", "p", *(v.alias(k) for k, v in G.bbox(F.col("p")).items()))
-    pixels = ["classes"] if "classes" in pictures.columns else ["r", "g", "b"]
+    named = "classes" in pictures.columns
+    pixels = [F.col("classes")] if named else [F.col(k).cast("array<double>").alias(k) for k in "rgb"]
     met = _listed(boxed, "p").hint("shuffle_hash").join(pictures.select("image", "w", "h", *pixels), "image")
-    if pixels != ["classes"]:
-        met = met.select("image", "boxes", "w", "h", R.color_names(*(F.col(k).cast("array<double>") for k in pixels)).alias("classes"))
-    lines = merged_boxes(F.col("boxes"), F.col("w"), lambda b: R.dominant_in(F.col("classes"), F.col("w"), F.col("h"), b))
-    rects = F.transform(lines, lambda b: G.as_polygon({k: b[k] for k in _SIDES}))
-    alone = F.transform("boxes", lambda b: b["p"])
-    return met.select("image", F.posexplode(F.when(F.size("boxes") > 1, rects).otherwise(alone)).alias("line", "p"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            # pixels of pictures with a single polygon are not looked at
+            found, out = b.column(1).to_pylist(), []
+            for i, (w, h, boxes) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), found, strict=True)):
+                if len(boxes) > 1:
+                    grid = R.code_grid([c.slice(i, 1) for c in b.columns[4:]], w, h)
+                    lines = _merged([tuple(x[k] for k in _SIDES) for x in boxes], w, lambda box: R.dominant_code(grid, box))  # noqa: B023
+                    out.append([[x[k] for k in (0, 1, 2, 1, 2, 3, 0, 3)] for x in lines])
+                else:
+                    out.append([x["p"] for x in boxes])
+            size = [len(x) for x in out]
+            columns = [b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), size))), pa.array([k for n in size for k in range(n)], pa.int32()), pa.array([p for x in out for p in x], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["image", "line", "p"])
+
+    given = met.select("image", "boxes", "w", "h", *(["classes"] if named else "rgb"))
+    return given.mapInArrow(task, StructType([given.schema["image"], StructField("line", IntegerType()), StructField("p", ArrayType(DoubleType()))]))

@@ -3,9 +3,12 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.constants import COLORS
+from plumbline.functions import raster as R
 from plumbline.operators import detect as D
 from plumbline.plans import detect as P
 from plumbline.sources import standins as T
@@ -63,3 +66,23 @@ def test_crop_sums_count_crops_where_they_are(spark):
 def test_text_regions_sum_up_runs(spark):
     got = plan(P.text_regions(spark, DATA))
     assert "Generate" not in got
+
+
+def test_merging_sends_no_pixels_back(spark):
+    for query in (P.upright_crops, P.detected_lines):
+        got = plan(query(spark, DATA))
+        assert "ArrowEvalPython" not in got and "ArrowUDF" not in got
+
+
+def test_colours_are_those_of_the_expressions(spark):
+    rnd = np.random.default_rng(5)
+    for w, h in ((300, 160), (40, 20)):
+        few = [[[float(v) for v in x] for x in rnd.choice([0, 40, 120, 200, 255], (3, w * h - short))] for short in (0, 7)]
+        boxes = [[0.0, 0.0, w, h], [10.5, 3.2, 39.1, 19.0], [-9.0, -9.0, 0.0, 0.0], [w - 0.5, h - 0.5, 400.0, 400.0], [5.0, 5.0, 5.0, 5.0]]
+        for rgb in few:
+            codes = R.color_codes(*map(np.array, rgb))
+            frame = spark.createDataFrame([([COLORS[c] for c in codes],)], "c array<string>")
+            want = frame.select(*(R.dominant_in(F.col("c"), w, h, {k: F.lit(float(v)) for k, v in zip(("left", "top", "right", "bottom"), b, strict=True)}).alias(f"b{i}") for i, b in enumerate(boxes))).first()
+            for channels in (rgb, [[COLORS[c] for c in codes]]):
+                grid = R.code_grid([pa.array([c]) for c in channels], w, h)
+                assert [COLORS[R.dominant_code(grid, b)] for b in boxes] == list(want)
