@@ -17,12 +17,15 @@ from __future__ import annotations
 
 import functools
 import os
+import string
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,9 +33,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import new_dir, saved
+from .hashing import portions
 
-#: Ids in a sequence, sequences in a batch; words in a generation of what a worker remembers.
-LENGTH, BATCH, REMEMBER = 2048, 64, 200_000
+#: Ids in a sequence, sequences in a batch; words in a generation of what a worker remembers; bytes of text split together.
+LENGTH, BATCH, REMEMBER, PORTION = 2048, 64, 400_000, 4 << 20
 MANIFEST = "part int, file string, index string, n_docs long, n_ids long"
 
 
@@ -49,10 +53,13 @@ class WordEncoder:
     Closing punctuation after a letter or digit is a pre-token of its own, so a word and
     the same word before a comma are learned as one. What was seen lately is remembered
     in two generations, so that common words stay. Whether a tokenizer is of this kind is
-    tried on a few texts when it is loaded; one that is not encodes whole texts.
+    tried on a few texts when it is loaded; one that is not encodes whole texts. Likewise
+    whether ASCII letters alone go to the library's model in lower case and no other way;
+    such words, the most, are then given to the model itself, past its normalizers.
     """
 
     PROBES = ("a b", "Hello, world!", "x\ty\n z", "it's 12.5% (ok)... #tag & more", "é漢字 🙂 b\u0301", " lead", "end \r\n", "ab,cd a  b", "<|x|> </s> [MASK]", "2,000.5 a-b_c", "new york New York")
+    LETTERS = ("a", "Z", "the", "Hello", "WORLD", "NewYork", "qzxj", "sT", "re", "antidisestablishmentarianism", "Abcdefghijklmnopqrstuvwxyz")
     MARK, CALL, CLOSING = "\x01", 256, b".,;:!?%&*$#"
 
     def __init__(self, path: str, special_as_text: bool):
@@ -63,21 +70,33 @@ class WordEncoder:
         self.mark = self.library([self.MARK])[0]
         self.seen: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.by_word = True
-        self.by_word = all(map(np.array_equal, self.encode_batch(list(self.PROBES)), self.library(list(self.PROBES))))
+        self.by_word, self.plain = True, self.is_plain()
+        self.by_word = all(map(np.array_equal, self.encode_batch(pa.array(self.PROBES)), self.library(list(self.PROBES))))
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def is_plain(self) -> bool:
+        if any(t.content.isascii() and t.content.isalpha() for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return False
+        letters, t = string.ascii_letters, self.tokenizer
+        if t.normalizer is None or t.normalizer.normalize_str(letters) != letters.lower():
+            return False
+        if t.pre_tokenizer is None or [w for w, _ in t.pre_tokenizer.pre_tokenize_str(letters.lower())] != [letters.lower()]:
+            return False
+        return all(self.of_letters(w.encode()) == self.library([w])[0].tobytes() for w in self.LETTERS)
+
+    def of_letters(self, word: bytes) -> bytes:
+        """The ids of a word of ASCII letters, from the library's model."""
+        return array("H" if self.kind is np.uint16 else "I", [t.id for t in self.tokenizer.model.tokenize(word.decode("ascii").lower())]).tobytes()
+
     def missing(self, words) -> list[bytes]:
         """Words without ids yet; those of the older generation move to the new one."""
-        out = []
-        for w in {w for w in words if w not in self.seen}:
-            if w in self.older:
-                self.seen[w] = self.older[w]
-            else:
-                out.append(w)
-        return out
+        # differences go through the few words at hand; an intersection would go through all that is remembered
+        new = set(words).difference(self.seen)
+        out = new.difference(self.older)
+        self.seen.update((w, self.older[w]) for w in new - out)
+        return list(out)
 
     def learn(self, words: list[bytes]) -> None:
         """Remember the ids of words, each through its parts."""
@@ -94,6 +113,9 @@ class WordEncoder:
 
     def ask(self, words: list[bytes]) -> None:
         """Remember the ids of words from the library."""
+        if self.plain:
+            self.seen.update((w, self.of_letters(w)) for w in words if w.isalpha())
+            words = [w for w in words if not w.isalpha()]
         plain = [w.decode("utf-8") for w in words]
         joined = [f" {self.MARK} ".join(plain[i : i + self.CALL]) for i in range(0, len(plain), self.CALL)]
         for i, ids in zip(range(0, len(plain), self.CALL), self.library(joined), strict=True):
@@ -106,14 +128,24 @@ class WordEncoder:
             else:  # a word holds the mark, or the mark is no id of its own
                 self.seen.update((w, x.tobytes()) for w, x in zip(some, self.library(plain[i : i + self.CALL]), strict=True))
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
         if not self.by_word:
-            return self.library(texts)
-        split = [t.encode("utf-8").split() for t in texts]  # bytes.split() cuts at ASCII white space alone
+            return self.library(texts.to_pylist())
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
         if len(self.seen) > REMEMBER:
             self.seen, self.older = {}, self.seen
-        self.learn(self.missing(w for words in split for w in words))
-        return [np.frombuffer(b"".join(map(self.seen.__getitem__, words)), self.kind) for words in split]
+        self.seen[b""] = b""  # what the kernel sees before leading white space
+        self.learn(self.missing(words))
+        # each distinct word is looked up once; its ids go to all its places
+        each = [self.seen[w] for w in words]
+        ids, size = np.frombuffer(b"".join(each), self.kind), np.fromiter(map(len, each), np.int64, len(each)) // self.kind().itemsize
+        n = size[index]
+        ends = np.append(0, np.cumsum(n))
+        place = np.repeat((np.cumsum(size) - size)[index] - ends[:-1], n) + np.arange(ends[-1])
+        cuts = ends[np.cumsum(pc.list_value_length(split).to_numpy())]
+        return np.split(ids[place], cuts[:-1])
 
 
 @functools.cache
@@ -226,10 +258,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, folder: str | N
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out, part = encoder(tokenizer_path, special_as_text), None, TaskContext.get().partitionId()
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                some = b.slice(at, 64)
+            for some in portions(b, limit=PORTION):
                 out = out or Writer(folder, part, enc.kind, length, batch)
-                for k, ids in zip(some.column(0).to_pylist(), enc.encode_batch(some.column(1).to_pylist()), strict=True):
+                for k, ids in zip(some.column(0).to_pylist(), enc.encode_batch(some.column(1)), strict=True):
                     out.add(k, np.append(ids, enc.kind(end_id)))
         if out:
             out.close()

@@ -292,6 +292,23 @@ def test_token_files_of_any_length_and_repeated_ids(spark):
         assert masks.tolist() == [True] * r.n_ids + [False] * (-r.n_ids % 10)
 
 
+def test_words_of_letters_pass_no_normalizer(tmp_path, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, whole = tokenfile.WordEncoder(path, False), Tokenizer.from_file(path)
+    texts = ["", " lead and end \t", "Hello, WORLD!!", "J\u030c j\u030c I\u0307", "a\x0bb\x0cc\r\n d", "it's don'T <|startoftext|>x <|StartOfText|>", "\x01 \x1c\x85 \u00a0x", "x9Y. _a_ ABC\u00e9&&& abc,", "New new NEW new."]
+    for some in (pa.array(texts), pa.array(["skipped", *texts, "left out"]).slice(1, len(texts))):
+        assert [x.tolist() for x in enc.encode_batch(some)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    asked, library = [], enc.library
+    monkeypatch.setattr(enc, "library", lambda x: asked.extend(x) or library(x))
+    (got,) = enc.encode_batch(pa.array(["Unheard oftenly WORDS"]))
+    assert not asked and got.tolist() == whole.encode("Unheard oftenly WORDS", add_special_tokens=False).ids
+    cased = Tokenizer(models.WordLevel({"[UNK]": 0, "a": 1, "A": 2, "\x01": 3}, unk_token="[UNK]"))
+    cased.pre_tokenizer = pre_tokenizers.Whitespace()
+    cased.save(f"{tmp_path}/cased.json")
+    other = tokenfile.WordEncoder(f"{tmp_path}/cased.json", True)
+    assert [x.tolist() for x in other.encode_batch(pa.array(["a A a", "b"]))] == [[1, 2, 1], [0]]
+
+
 def test_token_files_of_a_tokenizer_that_crosses_spaces(spark, tmp_path):
     odd_one = Tokenizer(models.WordLevel({"[UNK]": 0, "[END]": 1, "New": 2, "York": 3, "New York": 4, "a": 5}, unk_token="[UNK]"))
     odd_one.pre_tokenizer = pre_tokenizers.Split(Regex("New York|[^ ]+"), "removed", invert=True)
