@@ -111,19 +111,24 @@ class EliasFano:
         i = np.asarray(i, np.int64)
         return ((self._select(i, self.ones, False) - i).astype(_U) << _U(self.width)) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """For each x the first place whose number is x or more (n if none)."""
-        if not self.n:
-            return np.zeros(len(x), np.int64)
+    def _between(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each x the places (first, one past the last) of the numbers with its high part; n and n beyond the last."""
         h = (x >> _U(self.width)).astype(np.int64)
         last = int(self.zeros[-1]) + 64 - int(bin(int(self.high[-1])).count("1"))  # zeros in all
-        inside = h < last - 1
+        inside = (h >= 0) & (h < last - 1)  # numbers of 64 bits may come out negative
         hh = np.where(inside, h, 0)
-        # numbers of high part h lie between the zeros h - 1 and h
-        low = np.where(hh > 0, self._select(np.maximum(hh - 1, 0), self.zeros, True) - (hh - 1), 0)
-        high = self._select(hh, self.zeros, True) - hh
-        low, high = np.where(inside, np.minimum(low, self.n), self.n), np.where(inside, np.minimum(high, self.n), self.n)
-        want = x & _U((1 << self.width) - 1)
+        # numbers of high part h lie between the zeros h - 1 and h; the second is mostly in what is left of the word
+        start = np.where(hh > 0, self._select(np.maximum(hh - 1, 0), self.zeros, True) + 1, 0)
+        free = ~self.high[start >> 6] >> (start & 63).astype(_U)
+        end = start + np.bitwise_count(~free & (free - _U(1)))
+        far = np.flatnonzero(free == 0)
+        end[far] = self._select(hh[far], self.zeros, True)
+        return np.where(inside, np.minimum(start - hh, self.n), self.n), np.where(inside, np.minimum(end - hh, self.n), self.n)
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each x the first place whose number is x or more (n if none), and the end of the numbers with its high part."""
+        low, high = self._between(x)
+        end, want = high.copy(), x & _U((1 << self.width) - 1)
         live = np.flatnonzero(low < high)
         while len(live):
             mid = (low[live] + high[live]) >> 1
@@ -131,15 +136,21 @@ class EliasFano:
             low[live[less]] = mid[less] + 1
             high[live[~less]] = mid[~less]
             live = live[low[live] < high[live]]
-        return low
+        return low, end
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """For each x the first place whose number is x or more (n if none)."""
+        return self._search(x)[0] if self.n else np.zeros(len(x), np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each x, -1 where it is not in the sequence."""
+        """The place of each x, -1 where it is not in the sequence. Distinct ones are searched in order, which goes through memory once."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
-        at = self.successor(x)
-        ok = np.flatnonzero(at < self.n)
-        out = np.full(len(x), -1, np.int64)
-        hit = ok[self.get(at[ok]) == x[ok]]
+        kinds, back = np.unique(x, return_inverse=True)
+        at, end = self._search(kinds)
+        # below the end, the high part is that of x
+        ok = np.flatnonzero(at < end)
+        hit = ok[self._low(at[ok]) == kinds[ok] & _U((1 << self.width) - 1)]
+        out = np.full(len(kinds), -1, np.int64)
         out[hit] = at[hit]
-        return out
+        return out[back]

@@ -560,3 +560,19 @@ def test_mixing_given_targets(spark):
     assert got["s2"] == 0 and abs(got["s0"] - 0.6 * 1800) < 1 and abs(got["s1"] - 0.4 * 1800) < 1
     cells = out.groupBy("source", "lang", "topic").agg(F.sum(F.col("p") * F.col("n_tokens")).alias("x"))
     assert mixing.residual(cells, {"source": share}, 1800.0) < 1e-3
+
+
+def test_search_selects_once(monkeypatch):
+    rnd = np.random.default_rng(2)
+    sets = [np.unique(rnd.integers(0, 1 << 40, 50_000, dtype=np.uint64)), np.arange(1000, dtype=np.uint64), np.concatenate([np.arange(500, dtype=np.uint64), np.array([1 << 60], np.uint64)])]
+    selected, select = [0], EliasFano._select
+    monkeypatch.setattr(EliasFano, "_select", lambda self, k, *more: selected.__setitem__(0, selected[0] + len(k)) or select(self, k, *more))
+    for values in sets:
+        e = EliasFano(EliasFano.build(values, "a"), "a")
+        x = np.concatenate([values, values + np.uint64(1), np.array([0, 1 << 62, (1 << 64) - 1], np.uint64)])
+        x = np.concatenate([x, x])[rnd.permutation(2 * len(x))]
+        place = np.searchsorted(values, x)
+        assert e.successor(x).tolist() == place.tolist()
+        selected[0] = 0
+        assert e.find(x).tolist() == np.where(values[np.minimum(place, len(values) - 1)] == x, place, -1).tolist()
+        assert selected[0] <= 2.5 * len(np.unique(x))  # a second one where a run leaves its word
