@@ -8,7 +8,9 @@ searched for common parts.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -182,36 +184,70 @@ def dominant_code(grid: np.ndarray, box: tuple) -> int:
     return int(n.argmax()) if shown and shown / seen.size >= COLOR_SHARE else len(COLORS) - 1
 
 
-def _each(size: list[pa.Array], more: list[pa.Array], channels: list[pa.Array], one: Callable) -> list:
-    """``one`` (sizes, channels as an array of three images) of each picture; None where a size or a channel is missing or the picture has no pixel."""
-    out = []
+#: Pixels of pictures of one size that are worked on at once, so that they stay in a core's cache.
+_PIXELS = 32768
+
+
+def _each(size: list[pa.Array], more: list[pa.Array], channels: list[pa.Array], some: Callable) -> list:
+    """``some`` (three channels as arrays of n images, sizes) of pictures of equal sizes, a few at a time: a result for each; None where a size or a channel is missing or the picture has no pixel."""
+    out, alike = [None] * len(size[0]), defaultdict(list)
+    given = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in channels])
     for i, of in enumerate(zip(*(a.to_pylist() for a in (*size, *more)), strict=True)):
-        if None in of or min(of[:2]) < 1 or not all(c[i].is_valid for c in channels):
-            out.append(None)
-            continue
-        grid = np.stack([spread(c.slice(i, 1), np.array([of[0] * of[1]])) for c in channels]).reshape(3, of[1], of[0])
-        out.append(one(grid, *of[2:]))
+        if None not in of and min(of[:2]) >= 1 and given[i]:
+            alike[of].append(i)
+    for (w, h, *rest), rows in alike.items():
+        n = max(1, _PIXELS // (w * h))
+        for at in range(0, len(rows), n):
+            few = rows[at : at + n]
+            near = few[-1] - few[0] + 1 == len(few)
+            lists = [c.slice(few[0], len(few)) if near else c.take(pa.array(few)) for c in channels]
+            grids = [spread(c, np.full(len(few), w * h)).reshape(-1, h, w) for c in lists]
+            for i, v in zip(few, some(*grids, *rest), strict=True):
+                out[i] = v
     return out
 
 
-def _luminance(rgb: np.ndarray) -> np.ndarray:
-    return rgb[0] * LUMINANCE[0] + rgb[1] * LUMINANCE[1] + rgb[2] * LUMINANCE[2]
+def _luminance(r: np.ndarray, g: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return r * LUMINANCE[0] + g * LUMINANCE[1] + b * LUMINANCE[2]
+
+
+@lru_cache(64)
+def _threes(old: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A length brought to ``n`` without mixing: what its inner places have before, under and after them, every different three once, and how often it comes."""
+    under = np.floor((np.arange(n) + 0.5) * old / n).astype(np.int64)
+    three, times = np.unique(np.stack([under[:-2], under[1:-1], under[2:]]), axis=1, return_counts=True)
+    return three, times.astype(float)
 
 
 def blur_score(w: pa.Array, h: pa.Array, new_h: pa.Array, r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
-    """The variance of the Laplacian of pictures brought to a width of 320 and a height of ``new_h`` as ``scaled`` does; 0 at the edges, which count."""
+    """The variance of the Laplacian of pictures brought to a width of 320 and a height of ``new_h`` as ``scaled`` does; 0 at the edges, which count.
 
-    def one(rgb: np.ndarray, nh: int) -> float:
-        h, w = rgb.shape[1:]
-        if nh < 3:
-            return 0.0
-        y, x = (np.floor((np.arange(n) + 0.5) * old / n).astype(np.int64) for n, old in ((nh, h), (BLUR_WIDTH, w)))
-        s = _luminance(rgb)[y][:, x]
-        lap = np.zeros_like(s)
-        lap[1:-1, 1:-1] = s[1:-1, :-2] + s[1:-1, 2:] + s[:-2, 1:-1] + s[2:, 1:-1] - 4 * s[1:-1, 1:-1]
-        return float(np.nanvar(lap))
+    A pixel that is repeated has few different neighbours, so values are worked out once and counted.
+    """
 
-    return pa.array(_each([w, h], [new_h], [r, g, b], one), pa.float64())
+    def some(r: np.ndarray, g: np.ndarray, b: np.ndarray, nh: int) -> np.ndarray:
+        n, h, w = r.shape
+        if nh < 3:
+            return np.zeros(n)
+        (left, x, right), nx = _threes(w, BLUR_WIDTH)
+        (above, y, below), ny = _threes(h, nh)
+        lum, times = _luminance(r, g, b), np.outer(ny, nx).ravel()
+        edge = BLUR_WIDTH * nh - times.sum()
+        # take, as indices in brackets would turn the axes around in memory
+        lap = (lum.take(left, 2) + lum.take(right, 2) - 4 * lum.take(x, 2)).take(y, 1)
+        lap += (lum.take(above, 1) + lum.take(below, 1)).take(x, 2)
+        lap = lap.reshape(n, -1)
+        gone, total = np.isnan(lap), BLUR_WIDTH * nh
+        if gone.any():
+            total = total - gone @ times
+        lap[gone] = 0.0
+        mean = lap @ times / total
+        lap -= mean[:, None]
+        lap[gone] = 0.0
+        lap *= lap
+        return (lap @ times + edge * mean * mean) / total
+
+    return pa.array(_each([w, h], [new_h], [r, g, b], some), pa.float64())
 
 
 def _brought_down(grid: np.ndarray, nw: int, nh: int) -> np.ndarray:
@@ -220,21 +256,25 @@ def _brought_down(grid: np.ndarray, nw: int, nh: int) -> np.ndarray:
     u, v = (np.maximum(0.0, np.minimum(old - 1.0, (np.arange(n) + 0.5) * old / n - 0.5)) for n, old in ((nw, w), (nh, h)))
     x, y = u.astype(np.int64), v.astype(np.int64)
     fx, fy, x2, y2 = u - x, (v - y)[:, None], np.minimum(x + 1, w - 1), np.minimum(y + 1, h - 1)
-    along = grid[:, :, x] * (1 - fx) + grid[:, :, x2] * fx
-    return np.floor(along[:, y] * (1 - fy) + along[:, y2] * fy + 0.5)
+    along = grid.take(x, 2) * (1 - fx) + grid.take(x2, 2) * fx
+    return np.floor(along.take(y, 1) * (1 - fy) + along.take(y2, 1) * fy + 0.5)
 
 
 def crop_counts(w: pa.Array, h: pa.Array, new_w: pa.Array, new_h: pa.Array, r: pa.Array, g: pa.Array, b: pa.Array) -> pa.Array:
     """The sums of ``image.crop_counts`` over the pixels of each crop, brought down to ``new_w`` by ``new_h`` first where that is smaller."""
 
-    def one(rgb: np.ndarray, nw: int, nh: int) -> dict:
-        if nw * nh < rgb[0].size:
-            rgb = _brought_down(rgb, nw, nh)
-        lum, top, low = _luminance(rgb), np.fmax(np.fmax(rgb[0], rgb[1]), rgb[2]), np.fmin(np.fmin(rgb[0], rgb[1]), rgb[2])
+    def some(r: np.ndarray, g: np.ndarray, b: np.ndarray, nw: int, nh: int) -> Iterator[dict]:
+        if nw * nh < r[0].size:
+            r, g, b = (_brought_down(c, nw, nh) for c in (r, g, b))
+        r, g, b = (c.reshape(len(c), -1) for c in (r, g, b))
+        lum, top, low = _luminance(r, g, b), np.fmax(np.fmax(r, g), b), np.fmin(np.fmin(r, g), b)
         with np.errstate(divide="ignore", invalid="ignore"):
-            colored = (np.where(top == 0, 0.0, (top - low) / top) > CROP_SATURATION) & (top / 255 > CROP_VALUE)
-        n = lambda on: int(np.count_nonzero(on))
-        return {"bright": n(lum > CROP_BRIGHT), "dark": n(lum < CROP_DARK), "colored": n(colored), "edge": n(lum < CROP_EDGE), "contrast": float(np.fmax.reduce(lum, None) - np.fmin.reduce(lum, None)), "n": lum.size}
+            # without a top there is no value either
+            colored = ((top - low) / top > CROP_SATURATION) & (top / 255 > CROP_VALUE)
+        on = {"bright": lum > CROP_BRIGHT, "dark": lum < CROP_DARK, "colored": colored, "edge": lum < CROP_EDGE}
+        contrast = np.fmax.reduce(lum, 1) - np.fmin.reduce(lum, 1)
+        for i in range(len(lum)):
+            yield {k: int(np.count_nonzero(v[i])) for k, v in on.items()} | {"contrast": float(contrast[i]), "n": lum[i].size}
 
     kinds = pa.struct([(k, pa.float64() if k == "contrast" else pa.int64()) for k in ("bright", "dark", "colored", "edge", "contrast", "n")])
-    return pa.array(_each([w, h], [new_w, new_h], [r, g, b], one), kinds)
+    return pa.array(_each([w, h], [new_w, new_h], [r, g, b], some), kinds)

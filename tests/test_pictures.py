@@ -86,3 +86,49 @@ def test_colours_are_those_of_the_expressions(spark):
             for channels in (rgb, [[COLORS[c] for c in codes]]):
                 grid = R.code_grid([pa.array([c]) for c in channels], w, h)
                 assert [COLORS[R.dominant_code(grid, b)] for b in boxes] == list(want)
+
+
+def few_at_a_time(monkeypatch):
+    """How many pictures each call that works on pixels gets."""
+    calls, plain = [], R._luminance
+    monkeypatch.setattr(R, "_luminance", lambda *rgb: calls.append(len(rgb[0])) or plain(*rgb))
+    return calls
+
+
+def odd_pictures(sizes):
+    rnd = np.random.default_rng(7)
+    out = [(w, h, *([float(v) for v in rnd.choice([0, 80, 110, 175, 255], w * h)] for _ in range(3))) for w, h in sizes]
+    out[1][2][:] = out[1][3][:] = out[1][4][:] = [9.0] * len(out[1][2])
+    out[2][3][5] = None
+    del out[3][4][-2:]
+    out[4][2].append(5.0)
+    out[5] = (*out[5][:4], None)
+    out[6] = (None, *out[6][1:])
+    out[7] = (0, *out[7][1:])
+    return out
+
+
+def columns(rows, more):
+    kinds = [pa.int32()] * (2 + len(more[0])) + [pa.list_(pa.float64())] * 3
+    return [pa.array(c, k) for c, k in zip(zip(*((*r[:2], *m, *r[2:]) for r, m in zip(rows, more, strict=True)), strict=True), kinds, strict=True)]
+
+
+SIZES = ((64, 30), (80, 12), (700, 20), (33, 77), (320, 5), (64, 30), (80, 12), (80, 12), (64, 30), (80, 12), (1, 1), (9, 2)) * 3
+
+
+def test_blur_of_equal_sizes_is_scored_together(monkeypatch):
+    calls, rows = few_at_a_time(monkeypatch), odd_pictures(SIZES)
+    heights = [(h * 320 // w,) if w else (3,) for w, h in ((r[0] or 0, r[1]) for r in rows)]
+    got = R.blur_score(*columns(rows, heights)).to_pylist()
+    assert len(calls) < sum(v is not None for v in got) / 2
+    for (w, h, *rgb), (nh,), score in zip(rows, heights, got, strict=True):
+        if not w or None in rgb:
+            assert score is None
+            continue
+        full = [(np.array([np.nan if v is None else v for v in c] + [np.nan] * (w * h - len(c)))[: w * h]).reshape(h, w) for c in rgb]
+        y, x = (np.floor((np.arange(n) + 0.5) * old / n).astype(int) for n, old in ((nh, h), (320, w)))
+        s = (full[0] * 0.299 + full[1] * 0.587 + full[2] * 0.114)[y][:, x]
+        lap = np.zeros((nh, 320))
+        if nh > 2:
+            lap[1:-1, 1:-1] = s[1:-1, :-2] + s[1:-1, 2:] + s[:-2, 1:-1] + s[2:, 1:-1] - 4 * s[1:-1, 1:-1]
+        assert score == pytest.approx(np.nanvar(lap) if lap.size else 0.0, rel=1e-9, abs=1e-9)
