@@ -132,3 +132,16 @@ def test_blur_of_equal_sizes_is_scored_together(monkeypatch):
         if nh > 2:
             lap[1:-1, 1:-1] = s[1:-1, :-2] + s[1:-1, 2:] + s[:-2, 1:-1] + s[2:, 1:-1] - 4 * s[1:-1, 1:-1]
         assert score == pytest.approx(np.nanvar(lap) if lap.size else 0.0, rel=1e-9, abs=1e-9)
+
+
+def test_crops_of_equal_sizes_are_counted_together(monkeypatch):
+    rows = odd_pictures(SIZES)
+    fits = [(max(1, r[0] * 128 // max(r[:2])), max(1, r[1] * 128 // max(r[:2]))) if r[0] and max(r[:2]) > 128 else (r[0], r[1]) for r in rows]
+    alone = [R.crop_counts(*columns([r], [f])).to_pylist()[0] for r, f in zip(rows, fits, strict=True)]
+    calls = few_at_a_time(monkeypatch)
+    assert R.crop_counts(*columns(rows, fits)).to_pylist() == alone
+    assert len(calls) < sum(v is not None for v in alone) / 2
+    w, h, r, g, b = rows[0]
+    lum = [x * 0.299 + y * 0.587 + z * 0.114 for x, y, z in zip(r, g, b, strict=True)]
+    colored = sum(max(p) / 255 > 0.16 and (max(p) - min(p)) / max(p) > 0.18 for p in zip(r, g, b, strict=True))
+    assert alone[0] == {"bright": sum(v > 175 for v in lum), "dark": sum(v < 80 for v in lum), "colored": colored, "edge": sum(v < 110 for v in lum), "contrast": max(lum) - min(lum), "n": w * h}
